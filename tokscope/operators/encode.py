@@ -37,19 +37,14 @@ def _unk_map(tokenizers: Sequence[NativeTokenizer]) -> Column | None:
     return F.create_map(*pairs) if pairs else None
 
 
-def token_stream(
-    df: DataFrame,
-    vocab: Vocab,
-    keys: Sequence[str],
-    text_col: str = "text",
-) -> DataFrame:
-    """``(keys..., tokenizer, pidx, cidx, bidx, token_id)``: one row per token, in text order.
+def encode_pieces(p: DataFrame, vocab: Vocab, keys: Sequence[str]) -> DataFrame:
+    """``(keys..., tokenizer, [pidx,] cidx, bidx, token_id)`` from rows ``(keys..., tokenizer, [pidx,] piece)``.
 
-    The order of tokens inside one input row is ``(pidx, cidx, bidx)``.  Special tokens are
-    not part of the stream; callers add them once per encoded text.
+    Known pieces take their ids from the broadcast word table; unknown pieces fall back to
+    characters (broadcast char table), unknown characters to their UTF-8 bytes.
     """
     toks = vocab.tokenizers
-    p = pieces(df, toks, keys, text_col)
+    pos = ["pidx"] if "pidx" in p.columns else []
     p = p.join(F.broadcast(vocab.words), ["tokenizer", "piece"], "left")
 
     null_id = F.lit(None).cast("int")
@@ -65,25 +60,56 @@ def token_stream(
     items = items.otherwise(
         F.transform(F.regexp_extract_all("piece", F.lit(CHAR_PATTERN), 0), lambda c: F.struct(null_id.alias("id"), c.alias("ch")))
     )
-    p = p.select(*keys, "tokenizer", "pidx", F.posexplode(items).alias("cidx", "it"))
-    p = p.select(*keys, "tokenizer", "pidx", "cidx", F.col("it.id").alias("wid"), F.col("it.ch").alias("ch"))
+    p = p.select(*keys, "tokenizer", *pos, F.posexplode(items).alias("cidx", "it"))
+    p = p.select(*keys, "tokenizer", *pos, "cidx", F.col("it.id").alias("wid"), F.col("it.ch").alias("ch"))
     p = p.join(F.broadcast(vocab.chars), ["tokenizer", "ch"], "left")
     byte_ids = F.when(F.col("wid").isNull() & F.col("char_id").isNull(), utf8_bytes_of_char(F.col("ch")))
-    p = p.select(*keys, "tokenizer", "pidx", "cidx", "wid", "char_id", F.posexplode_outer(byte_ids).alias("bidx", "byte"))
+    p = p.select(*keys, "tokenizer", *pos, "cidx", "wid", "char_id", F.posexplode_outer(byte_ids).alias("bidx", "byte"))
     return p.select(
         *keys,
         "tokenizer",
-        "pidx",
+        *pos,
         "cidx",
         F.coalesce(F.col("bidx"), F.lit(0)).alias("bidx"),
         F.coalesce(F.col("wid"), F.col("char_id"), F.col("byte")).alias("token_id"),
     )
 
 
+def token_stream(
+    df: DataFrame,
+    vocab: Vocab,
+    keys: Sequence[str],
+    text_col: str = "text",
+) -> DataFrame:
+    """``(keys..., tokenizer, pidx, cidx, bidx, token_id)``: one row per token, in text order.
+
+    The order of tokens inside one input row is ``(pidx, cidx, bidx)``.  Special tokens are
+    not part of the stream; callers add them once per encoded text.
+    """
+    return encode_pieces(pieces(df, vocab.tokenizers, keys, text_col), vocab, keys)
+
+
+def piece_counts(df: DataFrame, tokenizers: Sequence[NativeTokenizer], group_cols: Sequence[str], text_col: str = "text") -> DataFrame:
+    """``(tokenizer, group_cols..., piece, n)``: how often each piece occurs per group (the fold).
+
+    The aggregation is partial on the map side, so what crosses the shuffle is the set of
+    distinct pieces per task, not the piece stream.
+    """
+    p = pieces(df, tokenizers, list(group_cols), text_col)
+    return p.groupBy("tokenizer", *group_cols, "piece").agg(F.count(F.lit(1)).alias("n"))
+
+
 def token_counts(df: DataFrame, vocab: Vocab, group_cols: Sequence[str], text_col: str = "text") -> DataFrame:
-    """``(tokenizer, group_cols..., token_id, n)``: occurrences of every id per group (no specials)."""
-    stream = token_stream(df, vocab, list(group_cols), text_col)
-    return stream.groupBy("tokenizer", *group_cols, "token_id").agg(F.count(F.lit(1)).alias("n"))
+    """``(tokenizer, group_cols..., token_id, n)``: occurrences of every id per group (no specials).
+
+    Fold, encode, fan out: pieces are counted first, every distinct piece is encoded once
+    (pieces never share a token, so the ids of a text are the union of its pieces' ids), and
+    the piece counts are summed per id.
+    """
+    g = list(group_cols)
+    folded = piece_counts(df, vocab.tokenizers, g, text_col)
+    ids = encode_pieces(folded, vocab, [*g, "n"])
+    return ids.groupBy("tokenizer", *g, "token_id").agg(F.sum("n").alias("n"))
 
 
 def tokens_per_row(df: DataFrame, vocab: Vocab, keys: Sequence[str], text_col: str = "text") -> DataFrame:

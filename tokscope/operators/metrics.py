@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from . import segment
 from .encode import token_counts, tokens_per_row
 from .prefix import DEFAULT_BLOCK_SIZE
+from ..session import materialize
 from .tokenizers import NativeTokenizer, Vocab, tokenizer_table
 
 LANG_INFO = ("lang_key", "iso_code", "script", "language", "source")
@@ -54,9 +55,10 @@ def language_totals(docs: DataFrame, group_cols: Sequence[str] = ("lang_key",))
     """
     g = list(group_cols)
     info = [c for c in LANG_INFO if c not in g]
-    stats = segment.doc_unit_stats(docs.select(*g, *info, "doc_id", "text"), [*g, *info])
-    langs = stats.groupBy(*g, *info).agg(
-        F.first("method").alias("segmentation_method"),
+    # slim (one row of counts per document) and read by several stages: computed once
+    stats = materialize(segment.doc_unit_stats(docs.select(*g, *info, "doc_id", "text"), [*g, *info]))
+    # the method depends on (iso, script) only, so grouping by it keeps one row per language
+    langs = stats.groupBy(*g, *info, F.col("method").alias("segmentation_method")).agg(
         F.count(F.lit(1)).alias("n_docs"),
         F.min("doc_id").alias("first_doc"),
         F.sum("n_bytes").alias("doc_bytes"),

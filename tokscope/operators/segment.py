@@ -40,12 +40,15 @@ def units_of(text: Column, kind: Column) -> Column:
 
 def doc_unit_stats(docs: DataFrame, group_cols: Sequence[str]) -> DataFrame:
     """Per document: method, bytes and the unit counts its method may need."""
-    method = S.segmentation_method(F.col("iso_code"), F.col("script"))
     text = F.col("text")
-    return docs.select(
+    with_method = docs.select(
+        *group_cols, "doc_id", "text", S.segmentation_method(F.col("iso_code"), F.col("script")).alias("method")
+    )
+    method = F.col("method")
+    return with_method.select(
         *group_cols,
         "doc_id",
-        method.alias("method"),
+        "method",
         S.utf8_len(text).alias("n_bytes"),
         F.when(method == KIND_WHITESPACE, F.size(S.whitespace_units(text)))
         .when(method == KIND_CHARACTER, F.size(S.character_units(text)))
@@ -127,10 +130,7 @@ def sampled_units(
             cond = cond & (F.floor(pos / F.col("step")) < F.lit(limit))
         return cond
 
-    kept = texts.select(
-        *g,
-        "u_off",
-        F.filter(F.arrays_zip(units.alias("u"), F.sequence(F.lit(0), F.size(units) - 1).alias("i")), lambda z: keep(z["u"], z["i"])).alias("z"),
-    )
+    indexed = F.transform(units, lambda u, i: F.struct(u.alias("u"), i.alias("i")))
+    kept = texts.select(*g, "u_off", F.filter(indexed, lambda z: keep(z["u"], z["i"])).alias("z"))
     out = kept.select(*g, "u_off", F.explode("z").alias("z"))
     return out.select(*g, (F.col("u_off") + F.col("z.i")).alias("upos"), F.col("z.u").alias("unit"))

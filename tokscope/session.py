@@ -45,3 +45,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     sc.setCheckpointDir(conf_dir)
     return conf_dir
+
+
+def materialize(df):
+    """Write ``df`` to the checkpoint folder and continue from the written copy.
+
+    Used for slim intermediates that several later stages read (per-document statistics):
+    they are computed once, and a lost executor does not force a re-scan of the text.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -35,6 +35,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-spread a scan that yields fewer partitions than there are cores.
+
+    Small inputs stored as one unsplittable row group would otherwise run every per-row
+    operator (regex, explode, joins) in one task.  Large inputs already scan into many
+    partitions and are left as they are, so no shuffle of the full text is added at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key)
+
+
 def language_codes(spark: SparkSession) -> DataFrame:
     """The fixed code table as a DataFrame (four rows; joined by broadcast)."""
     return spark.createDataFrame(
@@ -73,7 +86,7 @@ def documents(spark: SparkSession, sf_dir: str, group: str = "lang") -> DataFram
         name = F.concat(name, F.lit(" ["), F.col("source"), F.lit("]"))
     elif group != "lang":
         raise ValueError(f"unknown grouping {group!r}")
-    return joined.select(
+    return spread(joined.select(
         key.alias("lang_key"),
         iso.alias("iso_code"),
         script.alias("script"),
@@ -81,7 +94,7 @@ def documents(spark: SparkSession, sf_dir: str, group: str = "lang") -> DataFram
         src.alias("source"),
         F.col("doc_id"),
         F.col("text"),
-    )
+    ), "doc_id")
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +105,7 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     conv = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     iso = F.lit("und")
     script = F.lit(UNKNOWN_SCRIPT)
-    return conv.where(non_empty(F.col("text"))).select(
+    return spread(conv.where(non_empty(F.col("text"))).select(
         F.concat(lang_key(iso, script, F.lit("conversations")), F.lit("/"), F.col("role")).alias("lang_key"),
         iso.alias("iso_code"),
         script.alias("script"),
@@ -100,7 +113,7 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("conversations").alias("source"),
         (F.col("conv_id") * F.lit(1 << 20) + F.col("turn")).alias("doc_id"),
         F.col("text"),
-    )
+    ), "doc_id")
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +121,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     pg = read_table(spark, sf_dir, "pages").select("page_id", "html")
     iso = F.lit("html")
     src = F.lit("starcoder")
-    return pg.where(non_empty(F.col("html"))).select(
+    return spread(pg.where(non_empty(F.col("html"))).select(
         lang_key(iso, F.lit("code"), src).alias("lang_key"),
         iso.alias("iso_code"),
         F.lit("code").alias("script"),
@@ -116,7 +129,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         src.alias("source"),
         F.col("page_id").alias("doc_id"),
         F.col("html").alias("text"),
-    )
+    ), "doc_id")
 
 
 def training_text(spark: SparkSession, sf_dir: str) -> DataFrame:
