@@ -7,11 +7,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.tokenizers import NativeTokenizer, Vocab, default_tokenizers, learn_vocab
+from ..session import materialize
 from ..sources import text as src
 
 ROUND = 6
 
 _VOCABS: dict[tuple[int, str], Vocab] = {}
+_CACHE: dict[tuple[int, str, str], DataFrame] = {}
+
+
+def shared(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """A derived table built once per (session, folder) and written to the checkpoint folder."""
+    key = (id(spark), sf_dir, name)
+    if key not in _CACHE:
+        _CACHE[key] = materialize(build())
+    return _CACHE[key]
 
 
 def tokenizers() -> list[NativeTokenizer]:
@@ -37,3 +47,10 @@ def rounded(df: DataFrame, digits: int = ROUND) -> DataFrame:
         for f in df.schema.fields
     ]
     return df.select(*cols)
+
+
+def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The per (tokenizer, language) metric records of the documents, shared by reports."""
+    from ..operators.metrics import language_metrics
+
+    return shared(spark, sf_dir, "metrics", lambda: language_metrics(documents(spark, sf_dir), vocab(spark, sf_dir)))

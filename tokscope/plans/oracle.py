@@ -15,6 +15,11 @@ from ..operators.tokenizers import CHAR_PATTERN, NativeTokenizer, default_tokeni
 from ..sources.text import LANGUAGE_CODES, UNKNOWN_SCRIPT
 
 ROUND = 6
+DOUBLE_METRICS = {"bytes_per_token", "subword_fertility", "word_split_pct", "continuation_token_pct", "continued_word_rate"}
+SEP_DOCS = """sdocs AS (
+  SELECT d.lang_key, d.doc_id, CASE WHEN d.doc_id = l.first_doc THEN d.text ELSE chr(10) || d.text END AS text
+  FROM docs d JOIN langs l USING (lang_key)
+)"""
 
 
 def q(s: str) -> str:
@@ -199,10 +204,7 @@ def language_metrics_sql(
 ) -> str:
     """WITH-list ending in ``metrics``; with ``final`` a SELECT of the rounded record."""
     toks = toks or default_tokenizers()
-    sep_docs = """sdocs AS (
-  SELECT d.lang_key, CASE WHEN d.doc_id = l.first_doc THEN d.text ELSE chr(10) || d.text END AS text
-  FROM docs d JOIN langs l USING (lang_key)
-)"""
+    sep_docs = SEP_DOCS
     ctes = [
         documents_cte(),
         langs_cte(),
@@ -227,6 +229,7 @@ splits AS (
          CASE WHEN l.total_units > 0 THEN {ratio('t.text_tokens + k.n_special', 'l.total_units')} ELSE 0.0 END AS subword_fertility,
          CASE WHEN l.total_units > 0 THEN {ratio('s.n_split', 's.n_sampled')} * 100.0 ELSE 0.0 END AS word_split_pct,
          CASE WHEN l.total_units > 0 THEN {ratio('s.n_cont', 's.n_unit_tokens')} * 100.0 ELSE 0.0 END AS continuation_token_pct,
+         CASE WHEN l.total_units > 0 THEN {ratio('s.n_cont', 's.n_unit_tokens')} * 100.0 ELSE 0.0 END AS continued_word_rate,
          CASE WHEN l.total_units > 0 THEN CAST(trunc({ratio('s.n_split', 's.n_sampled')} * l.total_units) AS BIGINT) ELSE 0 END AS estimated_units_split,
          k.vocab_size
   FROM ttot t JOIN toks k USING (tokenizer) JOIN langs l USING (lang_key)
@@ -242,3 +245,172 @@ SELECT tokenizer, lang_key, iso_code, script, language, source, segmentation_met
        {rnd('word_split_pct')} AS word_split_pct, {rnd('continuation_token_pct')} AS continuation_token_pct,
        {rnd('continuation_token_pct')} AS continued_word_rate, estimated_units_split
 FROM metrics"""
+
+
+def ordered_encode_ctes(prefix: str, source: str, keys: list[str], text: str, toks: list[NativeTokenizer]) -> str:
+    """Like :func:`encode_ctes` but keeps ``pidx, cidx, bidx`` (1-based) for text order."""
+    k = ", ".join(keys)
+    piece_parts = [
+        f"SELECT {k}, {q(t.name)} AS tokenizer, unnest(ps) AS piece, generate_subscripts(ps, 1) AS pidx "
+        f"FROM (SELECT {k}, regexp_extract_all({text}, {q(t.piece_pattern)}) AS ps FROM {source})"
+        for t in toks
+    ]
+    unk = [(t.name, t.unk_id) for t in toks if t.unk_id is not None]
+    unk_case = (
+        "CASE " + " ".join(f"WHEN tokenizer = {q(n)} THEN {u}" for n, u in unk) + " END" if unk else "NULL::INTEGER"
+    )
+    return f"""{prefix}_pieces AS ({' UNION ALL '.join(piece_parts)}),
+{prefix}_wj AS (
+  SELECT p.*, w.ids, {unk_case} AS unk FROM {prefix}_pieces p LEFT JOIN wvocab w ON p.tokenizer = w.tokenizer AND p.piece = w.piece
+),
+{prefix}_known AS (SELECT {k}, tokenizer, pidx, generate_subscripts(ids, 1) AS cidx, 1 AS bidx, unnest(ids) AS token_id FROM {prefix}_wj WHERE ids IS NOT NULL),
+{prefix}_unk AS (SELECT {k}, tokenizer, pidx, 1 AS cidx, 1 AS bidx, unk AS token_id FROM {prefix}_wj WHERE ids IS NULL AND unk IS NOT NULL),
+{prefix}_uc AS (
+  SELECT {k}, tokenizer, pidx, unnest(chs) AS ch, generate_subscripts(chs, 1) AS cidx
+  FROM (SELECT *, regexp_extract_all(piece, {q(CHAR_PATTERN)}) AS chs FROM {prefix}_wj WHERE ids IS NULL AND unk IS NULL)
+),
+{prefix}_cj AS (SELECT u.*, c.char_id FROM {prefix}_uc u LEFT JOIN cvocab c ON u.tokenizer = c.tokenizer AND u.ch = c.ch),
+{prefix}_ub AS (SELECT *, {utf8_bytes_sql('ch')} AS bs FROM {prefix}_cj WHERE char_id IS NULL),
+{prefix}_ostream AS (
+  SELECT {k}, tokenizer, pidx, cidx, bidx, token_id FROM {prefix}_known
+  UNION ALL SELECT {k}, tokenizer, pidx, cidx, bidx, token_id FROM {prefix}_unk
+  UNION ALL SELECT {k}, tokenizer, pidx, cidx, 1 AS bidx, char_id AS token_id FROM {prefix}_cj WHERE char_id IS NOT NULL
+  UNION ALL SELECT {k}, tokenizer, pidx, cidx, generate_subscripts(bs, 1) AS bidx, unnest(bs) AS token_id FROM {prefix}_ub
+)"""
+
+
+def decoded_vocab_ctes(toks: list[NativeTokenizer]) -> str:
+    """``dvocab(tokenizer, token_id, token_text)`` for ids 0..V-1 (NULL = undecodable, BOS = '')."""
+    return """dvocab AS (
+  SELECT k.tokenizer, CAST(r.id AS INTEGER) AS token_id,
+         CASE WHEN r.id = k.bos_id THEN ''
+              ELSE coalesce(w.piece, c.ch, CASE WHEN r.id < 128 THEN chr(CAST(r.id AS INTEGER)) END) END AS token_text
+  FROM toks k CROSS JOIN LATERAL (SELECT range AS id FROM range(k.vocab_size)) r
+  LEFT JOIN (SELECT tokenizer, piece, ids[1] AS wid FROM wvocab WHERE len(ids) = 1) w ON w.tokenizer = k.tokenizer AND w.wid = r.id
+  LEFT JOIN cvocab c ON c.tokenizer = k.tokenizer AND c.char_id = r.id
+)"""
+
+
+def scripts_sql(text: str) -> str:
+    parts = ", ".join(
+        f"CASE WHEN regexp_matches({text}, {q(uc.script_class(label))}) THEN {q(label)} END" for label in uc.SCRIPT_LABELS
+    )
+    return f"list_filter([{parts}], lambda x: x IS NOT NULL)"
+
+
+def annotated_vocab_cte() -> str:
+    return f"""avocab AS (
+  SELECT tokenizer, token_id, token_text,
+         coalesce(regexp_matches(token_text, {q(uc.starts_with_ws_pattern())}), false) AS starts_with_space,
+         coalesce(regexp_matches(token_text, {q(uc.inner_ws_pattern())}), false) AS has_whitespace_in_middle,
+         CASE WHEN token_text IS NULL THEN []::VARCHAR[] ELSE {scripts_sql('token_text')} END AS scripts
+  FROM dvocab
+)"""
+
+
+def with_docs_langs() -> str:
+    return "WITH " + documents_cte() + ",\n" + langs_cte()
+
+
+def _base(toks, extra: list[str]) -> str:
+    return with_docs_langs() + ",\n" + vocab_ctes(toks) + ",\n" + ",\n".join(extra)
+
+
+def encode_lookup_sql(toks) -> str:
+    dp = "dp AS (SELECT tokenizer, piece, count(*) AS occurrences FROM dt_pieces GROUP BY ALL)"
+    return _base(toks, [encode_ctes("dt", "docs", ["lang_key"], "text", toks), dp, ordered_encode_ctes("pe", "(SELECT DISTINCT piece AS p FROM dp)", ["p"], "p", toks)]) + """
+SELECT d.tokenizer, d.piece, d.occurrences, CAST(count(*) AS BIGINT) AS n_ids,
+       string_agg(CAST(o.token_id AS VARCHAR), ' ' ORDER BY o.cidx, o.bidx) AS ids
+FROM dp d JOIN pe_ostream o ON o.p = d.piece AND o.tokenizer = d.tokenizer
+GROUP BY d.tokenizer, d.piece, d.occurrences"""
+
+
+def _doc_counts(toks) -> list[str]:
+    return [SEP_DOCS, encode_ctes("dt", "sdocs", ["lang_key"], "text", toks),
+            "tc AS (SELECT tokenizer, lang_key, token_id, count(*) AS n FROM dt_stream GROUP BY ALL)"]
+
+
+def decode_tokens_sql(toks) -> str:
+    return _base(toks, _doc_counts(toks) + [decoded_vocab_ctes(toks)]) + """
+SELECT c.tokenizer, c.lang_key, c.token_id, d.token_text, CAST(c.n AS BIGINT) AS n, d.token_text IS NOT NULL AS decodable
+FROM tc c LEFT JOIN dvocab d ON d.tokenizer = c.tokenizer AND d.token_id = c.token_id"""
+
+
+def token_analysis_sql(toks) -> str:
+    return _base(toks, _doc_counts(toks) + [decoded_vocab_ctes(toks), annotated_vocab_cte()]) + """
+SELECT c.tokenizer, c.lang_key, c.token_id, a.token_text, a.starts_with_space, a.has_whitespace_in_middle,
+       array_to_string(a.scripts, ',') AS scripts, len(a.scripts) > 1 AS script_overlap, CAST(c.n AS BIGINT) AS n
+FROM tc c JOIN avocab a ON a.tokenizer = c.tokenizer AND a.token_id = c.token_id
+WHERE a.token_text IS NOT NULL AND length(a.token_text) > 0"""
+
+
+def vocab_analysis_sql(toks) -> str:
+    return _base(toks, [decoded_vocab_ctes(toks), """side AS (
+  SELECT d.tokenizer, d.token_id, d.token_text, k.vocab_size,
+         (length(d.token_text) > 0 AND NOT starts_with(d.token_text, ' ')) AS no_space
+  FROM dvocab d JOIN toks k USING (tokenizer)
+  WHERE d.token_id % greatest(1, k.vocab_size // greatest(least(k.vocab_size, 10000), 1)) = 0 AND d.token_text IS NOT NULL
+),
+ex AS (
+  SELECT tokenizer, no_space, string_agg(token_text, '|' ORDER BY token_id) AS examples
+  FROM (SELECT *, row_number() OVER (PARTITION BY tokenizer, no_space ORDER BY token_id) AS rn FROM side) WHERE rn <= 10
+  GROUP BY ALL
+),
+agg AS (SELECT tokenizer, vocab_size, count(*) AS analyzed, sum(CAST(no_space AS INTEGER)) AS nns FROM side GROUP BY ALL)"""]) + f"""
+SELECT a.tokenizer, a.vocab_size,
+       CASE WHEN a.analyzed > 0 THEN CAST(trunc(CAST(a.nns AS DOUBLE) / a.analyzed * a.vocab_size) AS BIGINT) ELSE 0 END AS tokens_without_leading_space_count,
+       {rnd("CASE WHEN a.analyzed > 0 THEN CAST(a.nns AS DOUBLE) / a.analyzed * 100.0 ELSE 0.0 END")} AS tokens_without_leading_space_pct,
+       CAST(a.analyzed AS BIGINT) AS analyzed_sample_size,
+       coalesce(n.examples, '') AS sample_non_space_tokens, coalesce(s.examples, '') AS sample_space_tokens
+FROM agg a LEFT JOIN ex n ON n.tokenizer = a.tokenizer AND n.no_space
+LEFT JOIN ex s ON s.tokenizer = a.tokenizer AND NOT s.no_space"""
+
+
+def vocab_flags_sql(toks, kind: str) -> str:
+    sel = (
+        "tokenizer, token_id, token_text, starts_with_space, has_whitespace_in_middle"
+        if kind == "ws"
+        else "tokenizer, token_id, array_to_string(scripts, ',') AS scripts, len(scripts) > 1 AS script_overlap"
+    )
+    return "WITH " + vocab_ctes(toks) + ",\n" + decoded_vocab_ctes(toks) + ",\n" + annotated_vocab_cte() + f"\nSELECT {sel} FROM avocab WHERE token_text IS NOT NULL"
+
+
+def sampled_tokens_sql(toks, max_tokens: int = DEFAULT_TOKEN_SAMPLE) -> str:
+    return _base(toks, [SEP_DOCS, ordered_encode_ctes("ot", "sdocs", ["lang_key", "doc_id"], "text", toks), f"""opos AS (
+  SELECT o.tokenizer, o.lang_key, o.token_id, k.n_special, k.bos_id,
+         k.n_special + row_number() OVER (PARTITION BY o.tokenizer, o.lang_key ORDER BY o.doc_id, o.pidx, o.cidx, o.bidx) - 1 AS tpos,
+         count(*) OVER (PARTITION BY o.tokenizer, o.lang_key) + k.n_special AS total
+  FROM ot_ostream o JOIN toks k USING (tokenizer)
+),
+stok AS (
+  SELECT tokenizer, lang_key, CAST(tpos AS BIGINT) AS tpos, token_id FROM opos
+  WHERE tpos % greatest(1, total // {max_tokens}) = 0 AND tpos // greatest(1, total // {max_tokens}) < {max_tokens}
+  UNION ALL
+  SELECT DISTINCT tokenizer, lang_key, CAST(0 AS BIGINT) AS tpos, bos_id AS token_id FROM opos WHERE n_special > 0
+)"""])
+
+
+def _annotated_sample(toks) -> str:
+    return sampled_tokens_sql(toks) + ",\n" + decoded_vocab_ctes(toks) + ",\n" + annotated_vocab_cte() + """,
+ann AS (SELECT s.tokenizer, a.* EXCLUDE (tokenizer, token_id), len(a.scripts) > 1 AS script_overlap
+        FROM stok s JOIN avocab a ON a.tokenizer = s.tokenizer AND a.token_id = s.token_id WHERE a.token_text IS NOT NULL),
+tot AS (SELECT tokenizer, count(*) AS total, sum(CAST(starts_with_space AS INTEGER)) AS sp,
+               sum(CAST(has_whitespace_in_middle AS INTEGER)) AS inn, sum(CAST(script_overlap AS INTEGER)) AS ov FROM ann GROUP BY ALL),
+scr AS (SELECT tokenizer, script, count(*) AS n FROM (SELECT tokenizer, unnest(scripts) AS script FROM ann) GROUP BY ALL)"""
+
+
+def global_metrics_sql(toks) -> str:
+    pct = lambda c: rnd(f"CAST({c} AS DOUBLE) / total * 100.0")
+    return _annotated_sample(toks) + f"""
+SELECT tokenizer, 'total_tokens_analyzed' AS metric, {rnd('total')} AS value FROM tot WHERE total > 0
+UNION ALL SELECT tokenizer, 'tokens_starting_with_space_pct', {pct('sp')} FROM tot WHERE total > 0
+UNION ALL SELECT tokenizer, 'tokens_with_whitespace_in_middle_pct', {pct('inn')} FROM tot WHERE total > 0
+UNION ALL SELECT tokenizer, 'tokens_with_script_overlap_pct', {pct('ov')} FROM tot WHERE total > 0
+UNION ALL SELECT s.tokenizer, 'tokens_with_' || lower(s.script) || '_unicode_pct', {rnd('CAST(s.n AS DOUBLE) / t.total * 100.0')}
+FROM scr s JOIN tot t USING (tokenizer) WHERE s.n > 0"""
+
+
+def script_coverage_sql(toks) -> str:
+    return _annotated_sample(toks) + f"""
+SELECT s.tokenizer, s.script, CAST(s.n AS BIGINT) AS n_tokens, {rnd('CAST(s.n AS DOUBLE) / t.total * 100.0')} AS pct
+FROM scr s JOIN tot t USING (tokenizer)"""
