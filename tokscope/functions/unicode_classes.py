@@ -41,6 +41,7 @@ SCRIPT_LABELS: tuple[str, ...] = tuple(label for label, _ in SCRIPT_NAME_KEYWORD
 )
 
 _MAX_CP = 0x110000
+FAST_LIMIT = 0x250  # Latin-1 and Latin Extended-A/B: tested first in character units
 _SURROGATES = range(0xD800, 0xE000)
 
 
@@ -80,17 +81,32 @@ def _ranges(cps: list[int]) -> list[tuple[int, int]]:
 
 
 def ranges_to_class_body(ranges: list[tuple[int, int]]) -> str:
-    """Render ranges as the inside of a bracket expression (no brackets)."""
+    """Render ranges as the inside of a bracket expression (no brackets).
+
+    Code points below 256 are written one by one: Java packs single characters below 256
+    into one bit set, while every range becomes a separate test in a chain.
+    """
     parts = []
     for lo, hi in ranges:
+        if lo < 256:
+            top = min(hi, 255)
+            parts.extend(f"\\x{{{cp:x}}}" for cp in range(lo, top + 1))
+            if hi <= 255:
+                continue
+            lo = 256
         parts.append(f"\\x{{{lo:x}}}" if lo == hi else f"\\x{{{lo:x}}}-\\x{{{hi:x}}}")
     return "".join(parts)
 
 
+def _clip(ranges: list[tuple[int, int]], lo: int, hi: int) -> list[tuple[int, int]]:
+    return [(max(a, lo), min(b, hi)) for a, b in ranges if b >= lo and a <= hi]
+
+
 @functools.lru_cache(maxsize=1)
 def _tables() -> dict[str, list[tuple[int, int]]]:
     ws: list[int] = []
     nonprint: list[int] = []
+    printable: list[int] = []
     by_label: dict[str, list[int]] = {label: [] for label in SCRIPT_LABELS}
     for cp in _code_points():
         ch = chr(cp)
@@ -103,10 +119,12 @@ def _tables() -> dict[str, list[tuple[int, int]]]:
             continue
         if not ch.isprintable():
             nonprint.append(cp)
+        else:
+            printable.append(cp)
         label = _label_of(ch, cat)
         if label is not None:
             by_label[label].append(cp)
-    tables = {"WS": _ranges(ws), "NONPRINT": _ranges(nonprint)}
+    tables = {"WS": _ranges(ws), "NONPRINT": _ranges(nonprint), "PRINTABLE": _ranges(printable)}
     for label, cps in by_label.items():
         tables[label] = _ranges(cps)
     return tables
@@ -146,8 +164,16 @@ def whitespace_unit_pattern() -> str:
 
 @functools.lru_cache(maxsize=None)
 def character_unit_pattern() -> str:
-    """One character that is neither whitespace nor non-printable."""
-    return f"[^{ws()}{nonprint_non_ws()}]"
+    """One character that is neither whitespace nor non-printable.
+
+    Written as a positive class in ascending code-point order: Java tests the ranges of a
+    class left to right, so ASCII and Latin text match on the first ranges instead of being
+    checked against every non-printable range.
+    """
+    printable = _tables()["PRINTABLE"]
+    fast = ranges_to_class_body(_clip(printable, 0, FAST_LIMIT - 1))
+    rest = ranges_to_class_body(_clip(printable, FAST_LIMIT, _MAX_CP - 1))
+    return f"[{fast}]|[{rest}]"
 
 
 @functools.lru_cache(maxsize=None)

@@ -26,11 +26,15 @@ def exclusive_prefix_sums(
     order_col: str,
     values: dict[str, str],
     block_size: int = DEFAULT_BLOCK_SIZE,
+    below: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Add, for each ``out -> value`` in ``values``, the sum of ``value`` over earlier rows.
 
     ``order_col`` must be a non-negative integer that is unique within a group.  Returns the
     augmented rows and a ``(part_cols..., <value>_total...)`` table of group totals.
+    With ``below`` (one output only, non-negative values), blocks whose offset already
+    reaches ``below`` are dropped before the exact window: a budgeted prefix then only
+    sorts the first blocks of each group.
     """
     part = list(part_cols)
     blk = df.withColumn("_blk", F.expr(f"`{order_col}` div {int(block_size)}"))
@@ -39,6 +43,9 @@ def exclusive_prefix_sums(
     offsets = totals.select(
         *part, "_blk", *[F.coalesce(F.sum(f"_t_{o}").over(wb), F.lit(0)).alias(f"_o_{o}") for o in values]
     )
+    if below is not None:
+        (only,) = values
+        offsets = offsets.where(F.col(f"_o_{only}") < F.lit(below))
     wr = Window.partitionBy(*part, "_blk").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
     joined = blk.join(offsets, [*part, "_blk"], "inner")
     out_cols = [

@@ -69,14 +69,22 @@ def syl_chars(text: str) -> str:
     return f"list_filter({char_units(text)}, lambda x: x <> {q(S.TSHEG)})"
 
 
-def documents_cte() -> str:
+def documents_cte(with_code: bool = False) -> str:
     codes = _values([(c, i, s, n) for c, i, s, n, _f in LANGUAGE_CODES], ["code", "iso_code", "script", "language"])
+    code = ""
+    if with_code:
+        from .oracle_catalog import code_rows_sql
+
+        code = f"""
+  UNION ALL
+  SELECT lang || '-code', lang, 'code', upper(lang[1]) || lower(lang[2:]) || ' (code)', 'starcoder', doc_id, text
+  FROM ({code_rows_sql()}) WHERE text IS NOT NULL AND text <> ''"""
     return f"""docs AS (
   SELECT coalesce(c.iso_code, d.lang) || '-' || coalesce(c.script, {q(UNKNOWN_SCRIPT)}) AS lang_key,
          coalesce(c.iso_code, d.lang) AS iso_code, coalesce(c.script, {q(UNKNOWN_SCRIPT)}) AS script,
          coalesce(c.language, d.lang) AS language, 'documents' AS source, d.doc_id, d.text
   FROM documents d LEFT JOIN {codes} c ON d.lang = c.code
-  WHERE d.text IS NOT NULL AND d.text <> ''
+  WHERE d.text IS NOT NULL AND d.text <> ''{code}
 )"""
 
 
@@ -200,13 +208,16 @@ su AS (
 
 
 def language_metrics_sql(
-    toks: list[NativeTokenizer] | None = None, max_units: int | None = DEFAULT_UNIT_SAMPLE, final: bool = True
+    toks: list[NativeTokenizer] | None = None,
+    max_units: int | None = DEFAULT_UNIT_SAMPLE,
+    final: bool = True,
+    with_code: bool = False,
 ) -> str:
     """WITH-list ending in ``metrics``; with ``final`` a SELECT of the rounded record."""
     toks = toks or default_tokenizers()
     sep_docs = SEP_DOCS
     ctes = [
-        documents_cte(),
+        documents_cte(with_code),
         langs_cte(),
         vocab_ctes(toks),
         sep_docs,

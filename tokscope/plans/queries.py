@@ -217,3 +217,4 @@ def q_script_coverage(spark, sf_dir):
         "tokenizer", "script", F.col("n_tokens").cast("long").alias("n_tokens"),
         (F.col("n_tokens").cast("double") / F.col("total").cast("double") * F.lit(100.0)).alias("pct"),
     ))
+from . import queries_catalog  # noqa: E402,F401  (registers more queries)
