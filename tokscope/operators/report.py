@@ -129,6 +129,7 @@ def _script_has(script: Column, tags: Sequence[str]) -> Column:
 def language_categories(langs: DataFrame) -> DataFrame:
     """``(category, position, language)`` for the eleven ordered category lists."""
     o = ["rank_key", "language"]
+    keep = ["rank_key"]  # 'language' is selected separately
     nat = langs.where(F.col("kind") == "natural")
     eng = langs.where(F.col("kind") == "english")
     code = langs.where(F.col("kind") == "code")
@@ -138,14 +139,14 @@ def language_categories(langs: DataFrame) -> DataFrame:
         return df.select(F.lit(category).alias("category"), (F.row_number().over(w) - 1).alias("position"), "language")
 
     all_langs = (
-        eng.select("language", F.lit(0).alias("b"), *o)
-        .unionByName(nat.select("language", F.lit(1).alias("b"), *o))
-        .unionByName(code.select("language", F.lit(2).alias("b"), *o))
+        eng.select("language", F.lit(0).alias("b"), *keep)
+        .unionByName(nat.select("language", F.lit(1).alias("b"), *keep))
+        .unionByName(code.select("language", F.lit(2).alias("b"), *keep))
     )
     # only the first English language joins the natural ranking
     top_eng = eng.orderBy("language").limit(1)
     natural_ranked = numbered(
-        top_eng.select("language", F.lit(0).alias("b"), *o).unionByName(nat.select("language", F.lit(1).alias("b"), *o)),
+        top_eng.select("language", F.lit(0).alias("b"), *keep).unionByName(nat.select("language", F.lit(1).alias("b"), *keep)),
         "_",
         ["b", *o],
     )

@@ -256,7 +256,9 @@ def tokenizer_summary(docs: DataFrame) -> DataFrame:
         F.coalesce("tokenizer", "tokenizer_key").alias("tokenizer_name"),
         "vocab_size",
         ts.alias("timestamp"),
-        F.when(ts != 0, F.date_format(F.timestamp_seconds(ts), "yyyy-MM-dd HH:mm:ss")).alias("datetime"),
+        F.when(ts != 0, F.date_format(F.to_utc_timestamp(F.timestamp_seconds(ts), F.current_timezone()), "yyyy-MM-dd HH:mm:ss")).alias(
+            "datetime"
+        ),
         F.col("vocab_metrics.tokens_without_leading_space_pct").alias("tokens_without_leading_space_pct"),
         F.col("vocab_metrics.tokens_without_leading_space_count").alias("tokens_without_leading_space_count"),
         F.col("vocab_metrics.analyzed_sample_size").alias("analyzed_sample_size"),

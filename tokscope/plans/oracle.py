@@ -214,6 +214,19 @@ def language_metrics_sql(
     with_code: bool = False,
 ) -> str:
     """WITH-list ending in ``metrics``; with ``final`` a SELECT of the rounded record."""
+    ctes = language_metrics_ctes(toks, max_units, with_code)
+    with_list = "WITH " + ",\n".join(ctes)
+    if not final:
+        return with_list
+    return with_list + f"""
+SELECT tokenizer, lang_key, iso_code, script, language, source, segmentation_method, total_bytes, total_tokens,
+       unique_tokens, {rnd('bytes_per_token')} AS bytes_per_token, total_units, {rnd('subword_fertility')} AS subword_fertility,
+       {rnd('word_split_pct')} AS word_split_pct, {rnd('continuation_token_pct')} AS continuation_token_pct,
+       {rnd('continuation_token_pct')} AS continued_word_rate, estimated_units_split
+FROM metrics"""
+
+
+def language_metrics_ctes(toks=None, max_units: int | None = DEFAULT_UNIT_SAMPLE, with_code: bool = False) -> list[str]:
     toks = toks or default_tokenizers()
     sep_docs = SEP_DOCS
     ctes = [
@@ -247,15 +260,7 @@ splits AS (
   LEFT JOIN splits s ON s.tokenizer = t.tokenizer AND s.lang_key = t.lang_key
 )""",
     ]
-    with_list = "WITH " + ",\n".join(ctes)
-    if not final:
-        return with_list
-    return with_list + f"""
-SELECT tokenizer, lang_key, iso_code, script, language, source, segmentation_method, total_bytes, total_tokens,
-       unique_tokens, {rnd('bytes_per_token')} AS bytes_per_token, total_units, {rnd('subword_fertility')} AS subword_fertility,
-       {rnd('word_split_pct')} AS word_split_pct, {rnd('continuation_token_pct')} AS continuation_token_pct,
-       {rnd('continuation_token_pct')} AS continued_word_rate, estimated_units_split
-FROM metrics"""
+    return ctes
 
 
 def ordered_encode_ctes(prefix: str, source: str, keys: list[str], text: str, toks: list[NativeTokenizer]) -> str:
@@ -319,12 +324,12 @@ def annotated_vocab_cte() -> str:
 )"""
 
 
-def with_docs_langs() -> str:
-    return "WITH " + documents_cte() + ",\n" + langs_cte()
+def with_docs_langs(with_code: bool = False) -> str:
+    return "WITH " + documents_cte(with_code) + ",\n" + langs_cte()
 
 
-def _base(toks, extra: list[str]) -> str:
-    return with_docs_langs() + ",\n" + vocab_ctes(toks) + ",\n" + ",\n".join(extra)
+def _base(toks, extra: list[str], with_code: bool = False) -> str:
+    return with_docs_langs(with_code) + ",\n" + vocab_ctes(toks) + ",\n" + ",\n".join(extra)
 
 
 def encode_lookup_sql(toks) -> str:
@@ -355,8 +360,7 @@ FROM tc c JOIN avocab a ON a.tokenizer = c.tokenizer AND a.token_id = c.token_id
 WHERE a.token_text IS NOT NULL AND length(a.token_text) > 0"""
 
 
-def vocab_analysis_sql(toks) -> str:
-    return _base(toks, [decoded_vocab_ctes(toks), """side AS (
+VOCAB_ANALYSIS = """side AS (
   SELECT d.tokenizer, d.token_id, d.token_text, k.vocab_size,
          (length(d.token_text) > 0 AND NOT starts_with(d.token_text, ' ')) AS no_space
   FROM dvocab d JOIN toks k USING (tokenizer)
@@ -367,14 +371,22 @@ ex AS (
   FROM (SELECT *, row_number() OVER (PARTITION BY tokenizer, no_space ORDER BY token_id) AS rn FROM side) WHERE rn <= 10
   GROUP BY ALL
 ),
-agg AS (SELECT tokenizer, vocab_size, count(*) AS analyzed, sum(CAST(no_space AS INTEGER)) AS nns FROM side GROUP BY ALL)"""]) + f"""
-SELECT a.tokenizer, a.vocab_size,
-       CASE WHEN a.analyzed > 0 THEN CAST(trunc(CAST(a.nns AS DOUBLE) / a.analyzed * a.vocab_size) AS BIGINT) ELSE 0 END AS tokens_without_leading_space_count,
-       {rnd("CASE WHEN a.analyzed > 0 THEN CAST(a.nns AS DOUBLE) / a.analyzed * 100.0 ELSE 0.0 END")} AS tokens_without_leading_space_pct,
-       CAST(a.analyzed AS BIGINT) AS analyzed_sample_size,
-       coalesce(n.examples, '') AS sample_non_space_tokens, coalesce(s.examples, '') AS sample_space_tokens
-FROM agg a LEFT JOIN ex n ON n.tokenizer = a.tokenizer AND n.no_space
-LEFT JOIN ex s ON s.tokenizer = a.tokenizer AND NOT s.no_space"""
+vagg AS (SELECT tokenizer, vocab_size, count(*) AS analyzed, sum(CAST(no_space AS INTEGER)) AS nns FROM side GROUP BY ALL),
+va AS (
+  SELECT a.tokenizer, a.vocab_size,
+         CASE WHEN a.analyzed > 0 THEN CAST(trunc(CAST(a.nns AS DOUBLE) / a.analyzed * a.vocab_size) AS BIGINT) ELSE 0 END AS tokens_without_leading_space_count,
+         CASE WHEN a.analyzed > 0 THEN CAST(a.nns AS DOUBLE) / a.analyzed * 100.0 ELSE 0.0 END AS tokens_without_leading_space_pct,
+         CAST(a.analyzed AS BIGINT) AS analyzed_sample_size,
+         coalesce(n.examples, '') AS sample_non_space_tokens, coalesce(s.examples, '') AS sample_space_tokens
+  FROM vagg a LEFT JOIN ex n ON n.tokenizer = a.tokenizer AND n.no_space
+  LEFT JOIN ex s ON s.tokenizer = a.tokenizer AND NOT s.no_space
+)"""
+
+
+def vocab_analysis_sql(toks) -> str:
+    return _base(toks, [decoded_vocab_ctes(toks), VOCAB_ANALYSIS]) + f"""
+SELECT tokenizer, vocab_size, tokens_without_leading_space_count, {rnd('tokens_without_leading_space_pct')} AS tokens_without_leading_space_pct,
+       analyzed_sample_size, sample_non_space_tokens, sample_space_tokens FROM va"""
 
 
 def vocab_flags_sql(toks, kind: str) -> str:
@@ -386,8 +398,13 @@ def vocab_flags_sql(toks, kind: str) -> str:
     return "WITH " + vocab_ctes(toks) + ",\n" + decoded_vocab_ctes(toks) + ",\n" + annotated_vocab_cte() + f"\nSELECT {sel} FROM avocab WHERE token_text IS NOT NULL"
 
 
-def sampled_tokens_sql(toks, max_tokens: int = DEFAULT_TOKEN_SAMPLE) -> str:
-    return _base(toks, [SEP_DOCS, ordered_encode_ctes("ot", "sdocs", ["lang_key", "doc_id"], "text", toks), f"""opos AS (
+def sampled_tokens_sql(toks, max_tokens: int = DEFAULT_TOKEN_SAMPLE, with_code: bool = False) -> str:
+    return _base(toks, [SEP_DOCS] + sampled_tokens_ctes(toks, max_tokens), with_code)
+
+
+def sampled_tokens_ctes(toks, max_tokens: int = DEFAULT_TOKEN_SAMPLE) -> list[str]:
+    """``stok`` (needs ``sdocs`` and ``toks``)."""
+    return [ordered_encode_ctes("ot", "sdocs", ["lang_key", "doc_id"], "text", toks), f"""opos AS (
   SELECT o.tokenizer, o.lang_key, o.token_id, k.n_special, k.bos_id,
          k.n_special + row_number() OVER (PARTITION BY o.tokenizer, o.lang_key ORDER BY o.doc_id, o.pidx, o.cidx, o.bidx) - 1 AS tpos,
          count(*) OVER (PARTITION BY o.tokenizer, o.lang_key) + k.n_special AS total
@@ -398,11 +415,14 @@ stok AS (
   WHERE tpos % greatest(1, total // {max_tokens}) = 0 AND tpos // greatest(1, total // {max_tokens}) < {max_tokens}
   UNION ALL
   SELECT DISTINCT tokenizer, lang_key, CAST(0 AS BIGINT) AS tpos, bos_id AS token_id FROM opos WHERE n_special > 0
-)"""])
+)"""]
 
 
 def _annotated_sample(toks) -> str:
-    return sampled_tokens_sql(toks) + ",\n" + decoded_vocab_ctes(toks) + ",\n" + annotated_vocab_cte() + """,
+    return sampled_tokens_sql(toks) + ",\n" + decoded_vocab_ctes(toks) + ",\n" + annotated_vocab_cte() + ",\n" + ANNOTATED_SAMPLE
+
+
+ANNOTATED_SAMPLE = """
 ann AS (SELECT s.tokenizer, a.* EXCLUDE (tokenizer, token_id), len(a.scripts) > 1 AS script_overlap
         FROM stok s JOIN avocab a ON a.tokenizer = s.tokenizer AND a.token_id = s.token_id WHERE a.token_text IS NOT NULL),
 tot AS (SELECT tokenizer, count(*) AS total, sum(CAST(starts_with_space AS INTEGER)) AS sp,

@@ -218,3 +218,4 @@ def q_script_coverage(spark, sf_dir):
         (F.col("n_tokens").cast("double") / F.col("total").cast("double") * F.lit(100.0)).alias("pct"),
     ))
 from . import queries_catalog  # noqa: E402,F401  (registers more queries)
+from . import queries_reports  # noqa: E402,F401  (registers more queries)
