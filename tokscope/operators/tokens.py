@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import unicode_classes as uc
+from ..session import materialize
 from .encode import encode_pieces, pieces
 from .prefix import DEFAULT_BLOCK_SIZE, exclusive_prefix_sums
 from .segment import DEFAULT_TOKEN_SAMPLE, even_sample_step
@@ -150,7 +151,8 @@ def even_sample_tokens(
     """
     g = list(group_cols)
     spark = docs.sparkSession
-    per_doc = tokens_per_doc(docs.select(*g, "doc_id", "text"), vocab, [*g, "doc_id"])
+    # slim (one row per document and tokenizer) and read twice by the prefix sum
+    per_doc = materialize(tokens_per_doc(docs.select(*g, "doc_id", "text"), vocab, [*g, "doc_id"]))
     specials = spark.createDataFrame(
         [(t.name, t.n_special if add_special_tokens else 0, t.bos_id) for t in vocab.tokenizers],
         "tokenizer string, n_special int, bos_id int",
@@ -167,12 +169,16 @@ def even_sample_tokens(
     keep_doc = (F.col("n_tokens") > 0) & (first_kept * F.col("step") < F.col("start") + F.col("n_tokens")) & (
         first_kept < max_tokens
     )
-    chosen = sel.where(keep_doc).select("tokenizer", *g, "doc_id", "start", "step")
+    # at most max_tokens rows per (tokenizer, language); used twice below
+    chosen = materialize(sel.where(keep_doc).select("tokenizer", *g, "doc_id", "start", "step"))
     # bounded by max_tokens rows per (tokenizer, language): safe to broadcast
     texts = docs.select(*g, "doc_id", "text").join(F.broadcast(chosen.select(*g, "doc_id").distinct()), [*g, "doc_id"])
+    # Shuffle the (few) chosen documents, not their tokens: explode and broadcast joins keep
+    # this partitioning, which already clusters the per-document window below.
+    texts = texts.repartition(*g, "doc_id")
     stream = encode_pieces(pieces(texts, vocab.tokenizers, [*g, "doc_id"]), vocab, [*g, "doc_id"])
     stream = stream.join(F.broadcast(chosen), ["tokenizer", *g, "doc_id"])
-    w = Window.partitionBy("tokenizer", *g, "doc_id").orderBy("pidx", "cidx", "bidx")
+    w = Window.partitionBy(*g, "doc_id", "tokenizer").orderBy("pidx", "cidx", "bidx")
     pos = stream.select(
         "tokenizer", *g, "token_id", "step", (F.col("start") + F.row_number().over(w) - 1).alias("tpos")
     )
