@@ -306,3 +306,66 @@ def _nn(c: str) -> str:
 def q_nonnull_columns(spark, sf_dir):
     """P10: the report columns that hold at least one value."""
     return R.nonnull_columns(report_rows(spark, sf_dir), NONNULL)
+
+
+# --- sample preview (F13, F15, F16, D5) and streaming (X2) ---------------------------------
+
+
+@register("sample_preview")
+def q_sample_preview(spark, sf_dir):
+    """A seeded 300-byte snippet of every language, encoded, with previews.
+
+    No SQL oracle: the offset comes from Python's Mersenne Twister.
+    """
+    from ..operators import snippet as SN
+
+    v = C.vocab(spark, sf_dir)
+    docs = C.documents(spark, sf_dir)
+    langs, _ = M.language_totals(docs)
+    sep = M.with_separators(docs, langs, ["lang_key"])
+    snips = SN.snippets(sep, langs.select("lang_key", "iso_code", "script", "total_bytes"))
+    s = SN.sample_structs(snips, v)
+    prev = RS.preview(F.col("sample.tokens"))
+    return s.select(
+        "tokenizer",
+        "lang_key",
+        F.col("sample.byte_offset").alias("byte_offset"),
+        F.col("sample.text_bytes").alias("text_bytes"),
+        F.md5(F.col("sample.text")).alias("text_md5"),
+        F.size("sample.token_ids").alias("n_token_ids"),
+        F.size("sample.tokens").alias("sample_token_count"),
+        prev.alias("sample_tokens_preview"),
+        RS.wrap_preview(prev).alias("preview_wrapped"),
+    )
+
+
+def _stream_sql() -> str:
+    toks = C.tokenizers()
+    return (
+        "WITH " + O.vocab_ctes(toks) + ",\n"
+        + "sd AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL AND text <> ''),\n"
+        + O.encode_ctes("st", "sd", ["doc_id"], "text", toks) + ",\n"
+        + O.decoded_vocab_ctes(toks) + ",\n" + O.annotated_vocab_cte() + ",\n"
+        + """ann AS (SELECT s.tokenizer, a.starts_with_space, a.has_whitespace_in_middle, len(a.scripts) > 1 AS script_overlap, a.scripts
+        FROM st_stream s JOIN avocab a ON a.tokenizer = s.tokenizer AND a.token_id = s.token_id WHERE a.token_text IS NOT NULL),
+tot AS (SELECT tokenizer, count(*) AS total, sum(CAST(starts_with_space AS INTEGER)) AS sp,
+               sum(CAST(has_whitespace_in_middle AS INTEGER)) AS inn, sum(CAST(script_overlap AS INTEGER)) AS ov FROM ann GROUP BY ALL),
+scr AS (SELECT tokenizer, script, count(*) AS n FROM (SELECT tokenizer, unnest(scripts) AS script FROM ann) GROUP BY ALL)"""
+        + O.global_metrics_sql(toks)[O.global_metrics_sql(toks).rindex("\nSELECT tokenizer, 'total_tokens_analyzed'"):]
+    )
+
+
+@register("stream_global_metrics", _stream_sql)
+def q_stream_global_metrics(spark, sf_dir):
+    """Global token metrics of all documents, computed incrementally by a streaming query."""
+    from ..streaming import stream as ST
+
+    base = ensure_checkpoint_dir(spark)
+    name = f"global_metrics_{uuid.uuid4().hex[:12]}"
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    q = ST.start_global_metrics_stream(
+        spark, sf_dir, schema, C.vocab(spark, sf_dir), os.path.join(base, name), name, glob="documents.parquet"
+    )
+    q.awaitTermination()
+    out = spark.table(name)
+    return C.rounded(ST.counters_to_long(out))
