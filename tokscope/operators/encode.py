@@ -92,11 +92,24 @@ def token_stream(
 def piece_counts(df: DataFrame, tokenizers: Sequence[NativeTokenizer], group_cols: Sequence[str], text_col: str = "text") -> DataFrame:
     """``(tokenizer, group_cols..., piece, n)``: how often each piece occurs per group (the fold).
 
-    The aggregation is partial on the map side, so what crosses the shuffle is the set of
-    distinct pieces per task, not the piece stream.
+    Tokenizers sharing a pre-tokenizer pattern share one explode and one fold; the tokenizer
+    names are attached to the folded (small) table only.  The aggregation is partial on the
+    map side, so what crosses the shuffle is the set of distinct pieces per task.
     """
-    p = pieces(df, tokenizers, list(group_cols), text_col)
-    return p.groupBy("tokenizer", *group_cols, "piece").agg(F.count(F.lit(1)).alias("n"))
+    g = list(group_cols)
+    by_pattern: dict[str, list[str]] = {}
+    for t in tokenizers:
+        by_pattern.setdefault(t.piece_pattern, []).append(t.name)
+    per_pat = F.array(
+        *[
+            F.struct(F.lit(i).alias("pat"), F.regexp_extract_all(F.col(text_col), F.lit(pat), 0).alias("ps"))
+            for i, pat in enumerate(by_pattern)
+        ]
+    )
+    exploded = df.select(*g, F.inline(per_pat)).select(*g, "pat", F.explode("ps").alias("piece"))
+    folded = exploded.groupBy("pat", *g, "piece").agg(F.count(F.lit(1)).alias("n"))
+    names = F.create_map(*[x for i, ns in enumerate(by_pattern.values()) for x in (F.lit(i), F.array(*[F.lit(n) for n in ns]))])
+    return folded.select(F.explode(F.element_at(names, F.col("pat"))).alias("tokenizer"), *g, "piece", "n")
 
 
 def token_counts(df: DataFrame, vocab: Vocab, group_cols: Sequence[str], text_col: str = "text") -> DataFrame:

@@ -18,7 +18,7 @@ from ..session import materialize
 from .encode import encode_pieces, pieces
 from .prefix import DEFAULT_BLOCK_SIZE, exclusive_prefix_sums
 from .segment import DEFAULT_TOKEN_SAMPLE, even_sample_step
-from .tokenizers import Vocab
+from .tokenizers import CHAR_PATTERN, Vocab
 
 # ---------------------------------------------------------------------------
 # Fixed values of the vocabulary analysis.
@@ -108,26 +108,60 @@ def _char_classes(vocab: Vocab) -> dict[str, str]:
     return out
 
 
-def tokens_per_doc(docs: DataFrame, vocab: Vocab, keys: Sequence[str]) -> DataFrame:
-    """``(tokenizer, keys..., n_tokens)`` per row, from pieces without materialising tokens.
+def piece_token_counts(p: DataFrame, vocab: Vocab, classes: dict[str, str] | None = None) -> Column:
+    """Number of ids of each piece row (after the left join with the word table), without exploding.
 
     A known piece contributes ``size(ids)``; an unknown one its known characters (one id
-    each) plus the UTF-8 bytes of the others.  Equal to the token stream's row count.
+    each) plus the UTF-8 bytes of the others.
     """
-    p = pieces(docs, vocab.tokenizers, list(keys))
-    p = p.join(F.broadcast(vocab.words), ["tokenizer", "piece"], "left")
-    classes = _char_classes(vocab)
+    classes = _char_classes(vocab) if classes is None else classes
     piece = F.col("piece")
-    unknown_chars_bytes = F.octet_length(piece)
-    n_fallback = unknown_chars_bytes  # no char table: every character becomes its bytes
+    n_fallback = F.octet_length(piece)  # no char table: every character becomes its bytes
     for name, cls in classes.items():
         rest = F.regexp_replace(piece, cls, "")
         with_table = (F.char_length(piece) - F.char_length(rest)) + F.octet_length(rest)
         n_fallback = F.when(F.col("tokenizer") == name, with_table).otherwise(n_fallback)
-    unk = [(t.name) for t in vocab.tokenizers if t.unk_id is not None]
+    unk = [t.name for t in vocab.tokenizers if t.unk_id is not None]
     n_unknown = F.when(F.col("tokenizer").isin(*unk), F.lit(1)).otherwise(n_fallback) if unk else n_fallback
-    n = F.when(F.col("ids").isNotNull(), F.size("ids")).otherwise(n_unknown)
-    return p.groupBy("tokenizer", *keys).agg(F.sum(n).cast("long").alias("n_tokens"))
+    return F.when(F.col("ids").isNotNull(), F.size("ids")).otherwise(n_unknown)
+
+
+def _char_level(t) -> bool:
+    """Pieces are single characters and there is no word table: counts follow from the text."""
+    return t.piece_pattern == CHAR_PATTERN and t.word_slots == 0 and t.unk_id is None
+
+
+def tokens_per_doc(docs: DataFrame, vocab: Vocab, keys: Sequence[str]) -> DataFrame:
+    """``(tokenizer, keys..., n_tokens)`` per row, from pieces without materialising tokens.
+
+    Character-level tokenizers are counted with one expression over the whole text (known
+    characters count one, the others their UTF-8 bytes); the others explode pieces and join
+    the word table.  Equal to the token stream's row count.
+    """
+    keys = list(keys)
+    classes = _char_classes(vocab)
+    direct = [t for t in vocab.tokenizers if _char_level(t)]
+    other = [t for t in vocab.tokenizers if not _char_level(t)]
+    parts = []
+    if direct:
+        text = F.col("text")
+        items = []
+        for t in direct:
+            if t.name in classes:
+                rest = F.regexp_replace(text, classes[t.name], "")
+                n = (F.char_length(text) - F.char_length(rest)) + F.octet_length(rest)
+            else:
+                n = F.octet_length(text)
+            items.append(F.struct(F.lit(t.name).alias("tokenizer"), n.cast("long").alias("n_tokens")))
+        parts.append(docs.select(*keys, F.inline(F.array(*items))).select("tokenizer", *keys, "n_tokens"))
+    if other:
+        p = pieces(docs, other, keys)
+        p = p.join(F.broadcast(vocab.words), ["tokenizer", "piece"], "left")
+        parts.append(p.groupBy("tokenizer", *keys).agg(F.sum(piece_token_counts(p, vocab, classes)).cast("long").alias("n_tokens")))
+    out = parts[0]
+    for q in parts[1:]:
+        out = out.unionByName(q)
+    return out
 
 
 # --- D4 / W5 on ids: positional sample of each language's token sequence ---------
@@ -172,22 +206,70 @@ def even_sample_tokens(
     # at most max_tokens rows per (tokenizer, language); used twice below
     chosen = materialize(sel.where(keep_doc).select("tokenizer", *g, "doc_id", "start", "step"))
     # bounded by max_tokens rows per (tokenizer, language): safe to broadcast
-    texts = docs.select(*g, "doc_id", "text").join(F.broadcast(chosen.select(*g, "doc_id").distinct()), [*g, "doc_id"])
-    # Shuffle the (few) chosen documents, not their tokens: explode and broadcast joins keep
+    direct_names = [t.name for t in vocab.tokenizers if _char_level(t)]
+    classes = _char_classes(vocab)
+    texts_all = docs.select(*g, "doc_id", "text").join(F.broadcast(chosen.select(*g, "doc_id").distinct()), [*g, "doc_id"])
+
+    # (a) character-level tokenizers: a sampled position is a character (or, without a
+    # char table, a byte) of the document, read directly -- no explode, no window.
+    direct_hits = None
+    if direct_names:
+        dc = chosen.where(F.col("tokenizer").isin(*direct_names))
+        d = texts_all.join(F.broadcast(dc), [*g, "doc_id"])
+        known_all = F.lit(True)
+        for name, cls in classes.items():
+            known_all = F.when(F.col("tokenizer") == name, F.regexp_replace("text", cls, "") == "").otherwise(known_all)
+        has_table = F.col("tokenizer").isin(*[n for n in direct_names if n in classes]) if classes else F.lit(False)
+        n_tok = F.when(has_table, F.char_length("text")).otherwise(F.octet_length("text"))
+        d = d.withColumn("has_table", has_table).withColumn("known_all", known_all).withColumn("n_tok", n_tok)
+        easy = d.where(~F.col("has_table") | F.col("known_all"))
+        rel0 = F.expr("((start + step - 1) div step) * step - start")
+        rels = F.when(rel0 <= F.col("n_tok") - 1, F.sequence(rel0, F.col("n_tok") - 1, F.col("step"))).otherwise(
+            F.array().cast("array<bigint>")
+        )
+        e = easy.select("tokenizer", *g, "doc_id", "text", "has_table", "start", "step", F.explode(rels).alias("rel"))
+        e = e.where(F.floor((F.col("start") + F.col("rel")) / F.col("step")) < max_tokens)
+        ch = F.substring(F.col("text"), F.col("rel").cast("int") + 1, 1)
+        byte = F.conv(F.hex(F.substring(F.encode("text", "UTF-8"), F.col("rel").cast("int") + 1, 1)), 16, 10).cast("int")
+        e = e.select("tokenizer", *g, "has_table", (F.col("start") + F.col("rel")).alias("tpos"), F.when(F.col("has_table"), ch).alias("ch"), byte.alias("byte"))
+        e = e.join(F.broadcast(vocab.chars), ["tokenizer", "ch"], "left")
+        direct_hits = e.select(
+            "tokenizer", *g, F.col("tpos").cast("long"), F.when(F.col("has_table"), F.col("char_id")).otherwise(F.col("byte")).alias("token_id")
+        )
+        hard_docs = d.where(F.col("has_table") & ~F.col("known_all")).select("tokenizer", *g, "doc_id")
+    # (b) other tokenizers (and character documents with unknown characters): token offsets
+    # of pieces from a running sum over pieces; only pieces holding a sampled position are
+    # encoded token by token.
+    rest_chosen = chosen.where(~F.col("tokenizer").isin(*direct_names)) if direct_names else chosen
+    if direct_names:
+        rest_chosen = rest_chosen.unionByName(chosen.join(hard_docs, ["tokenizer", *g, "doc_id"]))
+    texts = docs.select(*g, "doc_id", "text").join(F.broadcast(rest_chosen.select(*g, "doc_id").distinct()), [*g, "doc_id"])
+    # Shuffle the (few) chosen documents, not their pieces: explode and broadcast joins keep
     # this partitioning, which already clusters the per-document window below.
     texts = texts.repartition(*g, "doc_id")
-    stream = encode_pieces(pieces(texts, vocab.tokenizers, [*g, "doc_id"]), vocab, [*g, "doc_id"])
-    stream = stream.join(F.broadcast(chosen), ["tokenizer", *g, "doc_id"])
-    w = Window.partitionBy(*g, "doc_id", "tokenizer").orderBy("pidx", "cidx", "bidx")
-    pos = stream.select(
-        "tokenizer", *g, "token_id", "step", (F.col("start") + F.row_number().over(w) - 1).alias("tpos")
+    p = pieces(texts, vocab.tokenizers, [*g, "doc_id"])
+    p = p.join(F.broadcast(rest_chosen), ["tokenizer", *g, "doc_id"])
+    p = p.join(F.broadcast(vocab.words), ["tokenizer", "piece"], "left")
+    p = p.withColumn("n", piece_token_counts(p, vocab, classes))
+    wp = Window.partitionBy(*g, "doc_id", "tokenizer").orderBy("pidx").rowsBetween(Window.unboundedPreceding, -1)
+    p = p.withColumn("poff", F.coalesce(F.sum("n").over(wp), F.lit(0)))
+    p = p.withColumn("gstart", F.col("start") + F.col("poff"))
+    first = F.expr("(gstart + step - 1) div step")
+    hit = (F.col("n") > 0) & (first * F.col("step") < F.col("gstart") + F.col("n")) & (first < max_tokens)
+    hits = p.where(hit).select(*g, "doc_id", "tokenizer", "pidx", "piece", "gstart", "step")
+    enc = encode_pieces(hits, vocab, [*g, "doc_id", "gstart", "step"])
+    wt = Window.partitionBy(*g, "doc_id", "tokenizer", "pidx").orderBy("cidx", "bidx")
+    pos = enc.select("tokenizer", *g, "token_id", "step", (F.col("gstart") + F.row_number().over(wt) - 1).alias("tpos"))
+    text_part = pos.where((F.col("tpos") % F.col("step") == 0) & (F.floor(F.col("tpos") / F.col("step")) < max_tokens)).select(
+        "tokenizer", *g, F.col("tpos").cast("long"), "token_id"
     )
-    text_part = pos.where((F.col("tpos") % F.col("step") == 0) & (F.floor(F.col("tpos") / F.col("step")) < max_tokens))
+    if direct_hits is not None:
+        text_part = text_part.unionByName(direct_hits)
     # the special token at position 0 is always kept (0 % step = 0)
     bos = lt.where((F.col("n_special") > 0) & (F.col("total") > 0)).select(
         "tokenizer", *g, F.lit(0).cast("long").alias("tpos"), F.col("bos_id").alias("token_id")
     )
-    return text_part.select("tokenizer", *g, F.col("tpos").cast("long"), "token_id").unionByName(bos)
+    return text_part.unionByName(bos)
 
 
 # --- A12 / A13 ------------------------------------------------------------------
