@@ -27,9 +27,9 @@ def test_stream_replay_equals_batch(spark):
             if f.endswith(".parquet"):
                 os.rename(os.path.join(folder, f"part{k}", f), os.path.join(src, f"p{k}-{f}"))
     q = ST.start_global_metrics_stream(spark, src, docs.schema.simpleString().replace("struct<", "").rstrip(">").replace(":", " "),
-                                       vocab, os.path.join(folder, "ckpt"), "replay_test")
+                                       vocab, os.path.join(folder, "ckpt"), "replay_test", os.path.join(folder, "state"))
     q.awaitTermination()
-    streamed = {(r[0], r[1]): r[2] for r in ST.counters_to_long(spark.table("replay_test")).collect()}
+    streamed = {(r[0], r[1]): r[2] for r in ST.counters_to_long(ST.read_counters(spark, os.path.join(folder, "state"))).collect()}
     batch = {(r[0], r[1]): r[2] for r in ST.counters_to_long(ST.counters(ST.document_tokens(docs, vocab), vocab)).collect()}
     assert streamed == batch and streamed
 

@@ -363,9 +363,9 @@ def q_stream_global_metrics(spark, sf_dir):
     base = ensure_checkpoint_dir(spark)
     name = f"global_metrics_{uuid.uuid4().hex[:12]}"
     schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    state = os.path.join(base, name + "-state")
     q = ST.start_global_metrics_stream(
-        spark, sf_dir, schema, C.vocab(spark, sf_dir), os.path.join(base, name), name, glob="documents.parquet"
+        spark, sf_dir, schema, C.vocab(spark, sf_dir), os.path.join(base, name), name, state, glob="documents.parquet"
     )
     q.awaitTermination()
-    out = spark.table(name)
-    return C.rounded(ST.counters_to_long(out))
+    return C.rounded(ST.counters_to_long(ST.read_counters(spark, state)))

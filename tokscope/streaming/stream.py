@@ -1,10 +1,12 @@
 """Structured Streaming: incremental global token metrics (X2) and streamed ingest.
 
-New text files are read with ``readStream`` (``maxFilesPerTrigger`` bounds each micro-batch);
-every micro-batch is encoded with the broadcast-join encoder and joined to the annotated
-vocabulary (a static, bounded table), and one stateful aggregation per tokenizer keeps the
-counters.  The counters are order-insensitive, so replaying the files in any grouping gives
-the batch result.
+New text files are read with ``readStream`` (``maxFilesPerTrigger`` bounds each micro-batch).
+Each micro-batch is a plain DataFrame inside ``foreachBatch``: it is encoded with the fold
+(piece counts, distinct pieces encoded once), weighted by the annotated vocabulary (a
+static, bounded table) and written as that batch's partial counters under
+``<state>/batch_id=<n>`` with overwrite, so a replayed batch replaces itself (idempotent).
+The result is the sum over all batch files: counters are order-insensitive, so any grouping
+of the files gives the batch result.
 """
 
 from __future__ import annotations
@@ -14,21 +16,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import unicode_classes as uc
-from ..operators.encode import token_stream
+from ..operators.encode import token_counts, token_stream
 from ..operators.tokens import annotated_vocab
 from ..operators.tokenizers import Vocab
-from ..sources.text import non_empty
+from ..sources.text import non_empty, spread
 
 COUNT_COLUMNS = ("total", "space", "inner", "overlap", *[f"script_{label}" for label in uc.SCRIPT_LABELS])
 
 
 def counters(tokens: DataFrame, vocab: Vocab) -> DataFrame:
-    """``(tokenizer, total, space, inner, overlap, script_<label>...)`` over annotated tokens."""
+    """``(tokenizer, total, space, inner, overlap, script_<label>...)`` over annotated tokens.
+
+    ``tokens`` holds one row per token, or ``(tokenizer, token_id, n)`` counts.
+    """
     ann = F.broadcast(annotated_vocab(vocab).where(F.col("token_text").isNotNull()))
     a = tokens.join(ann, ["tokenizer", "token_id"])
-    one = F.lit(1).cast("long")
+    one = F.col("n").cast("long") if "n" in tokens.columns else F.lit(1).cast("long")
     aggs = [
-        F.count(F.lit(1)).alias("total"),
+        F.sum(one).alias("total"),
         F.sum(F.when(F.col("starts_with_space"), one).otherwise(0)).alias("space"),
         F.sum(F.when(F.col("has_whitespace_in_middle"), one).otherwise(0)).alias("inner"),
         F.sum(F.when(F.col("script_overlap"), one).otherwise(0)).alias("overlap"),
@@ -63,6 +68,18 @@ def document_tokens(docs: DataFrame, vocab: Vocab) -> DataFrame:
     return token_stream(docs.select("doc_id", "text").where(non_empty(F.col("text"))), vocab, ["doc_id"])
 
 
+def document_token_counts(docs: DataFrame, vocab: Vocab) -> DataFrame:
+    """``(tokenizer, token_id, n)`` of every document encoded on its own, by the fold."""
+    d = docs.select(F.lit(0).alias("_all"), "text").where(non_empty(F.col("text")))
+    return token_counts(d, vocab, ["_all"]).drop("_all")
+
+
+def read_counters(spark: SparkSession, state: str) -> DataFrame:
+    """The running counters: the sum of every micro-batch's partial counters."""
+    parts = spark.read.parquet(state)
+    return parts.groupBy("tokenizer").agg(*[F.sum(c).alias(c) for c in COUNT_COLUMNS])
+
+
 def start_global_metrics_stream(
     spark: SparkSession,
     folder: str,
@@ -70,22 +87,27 @@ def start_global_metrics_stream(
     vocab: Vocab,
     checkpoint: str,
     query_name: str,
+    state: str,
     max_files_per_trigger: int = 1,
     glob: str = "*.parquet",
 ) -> StreamingQuery:
-    """Stream the parquet files of ``folder`` matching ``glob`` into per-tokenizer counters
-    (memory sink, complete mode, ``availableNow`` so the query stops once the files present
-    are read)."""
+    """Stream the parquet files of ``folder`` matching ``glob`` into per-batch counters under
+    ``state`` (``availableNow``: the query stops once the files present are read); read the
+    totals with :func:`read_counters`."""
     src = (
         spark.readStream.schema(schema)
         .option("maxFilesPerTrigger", max_files_per_trigger)
         .option("pathGlobFilter", glob)
         .parquet(folder)
     )
-    agg = counters(document_tokens(src, vocab), vocab)
+
+    def per_batch(batch: DataFrame, batch_id: int) -> None:
+        counts = document_token_counts(spread(batch.select("doc_id", "text"), "doc_id"), vocab)
+        part = counters(counts, vocab)
+        part.write.mode("overwrite").parquet(f"{state}/batch_id={batch_id}")
+
     return (
-        agg.writeStream.outputMode("complete")
-        .format("memory")
+        src.writeStream.foreachBatch(per_batch)
         .queryName(query_name)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
