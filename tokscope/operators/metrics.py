@@ -130,17 +130,19 @@ def language_metrics(
     max_units: int | None = segment.DEFAULT_UNIT_SAMPLE,
     add_special_tokens: bool = True,
     block_size: int = DEFAULT_BLOCK_SIZE,
+    totals: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """A10: the metric record of every (tokenizer, language).
 
     ``docs`` = a text source (``lang_key, iso_code, script, language, source, doc_id, text``).
     ``max_units`` = size of the positional unit sample for split rates (``None``: all units).
     ``add_special_tokens`` = count special tokens once per language text (the fast path).
+    ``totals`` = the ``(langs, per_doc)`` pair of :func:`language_totals` when already built.
     """
     g = list(group_cols)
     spark = docs.sparkSession
     docs = docs.select(*LANG_INFO, "doc_id", "text")
-    langs, per_doc = language_totals(docs, g)
+    langs, per_doc = totals if totals is not None else language_totals(docs, g)
     toks = token_totals(with_separators(docs, langs, g), vocab, g)
     units = segment.sampled_units(docs, per_doc, langs.select(*g, "total_units"), g, max_units, block_size)
     splits = split_stats(units, vocab, g)

@@ -243,11 +243,23 @@ def even_sample_tokens(
     rest_chosen = chosen.where(~F.col("tokenizer").isin(*direct_names)) if direct_names else chosen
     if direct_names:
         rest_chosen = rest_chosen.unionByName(chosen.join(hard_docs, ["tokenizer", *g, "doc_id"]))
-    texts = docs.select(*g, "doc_id", "text").join(F.broadcast(rest_chosen.select(*g, "doc_id").distinct()), [*g, "doc_id"])
-    # Shuffle the (few) chosen documents, not their pieces: explode and broadcast joins keep
-    # this partitioning, which already clusters the per-document window below.
-    texts = texts.repartition(*g, "doc_id")
-    p = pieces(texts, vocab.tokenizers, [*g, "doc_id"])
+
+    def chosen_pieces(sel: DataFrame, toks) -> DataFrame:
+        texts = docs.select(*g, "doc_id", "text").join(F.broadcast(sel.select(*g, "doc_id").distinct()), [*g, "doc_id"])
+        # Shuffle the (few) chosen documents, not their pieces: explode and broadcast joins
+        # keep this partitioning, which already clusters the per-document window below.
+        return pieces(texts.repartition(*g, "doc_id"), toks, [*g, "doc_id"])
+
+    other_toks = [t for t in vocab.tokenizers if not _char_level(t)]
+    direct_toks = [t for t in vocab.tokenizers if _char_level(t)]
+    parts = []
+    if other_toks:
+        parts.append(chosen_pieces(chosen.where(F.col("tokenizer").isin(*[t.name for t in other_toks])), other_toks))
+    if direct_toks:
+        parts.append(chosen_pieces(hard_docs, direct_toks))
+    p = parts[0]
+    for q in parts[1:]:
+        p = p.unionByName(q)
     p = p.join(F.broadcast(rest_chosen), ["tokenizer", *g, "doc_id"])
     p = p.join(F.broadcast(vocab.words), ["tokenizer", "piece"], "left")
     p = p.withColumn("n", piece_token_counts(p, vocab, classes))

@@ -43,8 +43,9 @@ def result_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     def build():
         v = C.vocab(spark, sf_dir)
         docs = all_sources(spark, sf_dir)
-        metrics = M.language_metrics(docs, v)
-        langs, _ = M.language_totals(docs)
+        totals = M.language_totals(docs)
+        metrics = M.language_metrics(docs, v, totals=totals)
+        langs, _ = totals
         sep = M.with_separators(docs, langs, ["lang_key"])
         sampled = TK.even_sample_tokens(sep, v, langs.select("lang_key", "first_doc"))
         glong = TK.global_metrics_long(TK.annotate(sampled, v, keep_empty=True))
