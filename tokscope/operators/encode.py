@@ -45,7 +45,7 @@ def encode_pieces(p: DataFrame, vocab: Vocab, keys: Sequence[str]) -> DataFrame:
     """
     toks = vocab.tokenizers
     pos = ["pidx"] if "pidx" in p.columns else []
-    p = p.join(F.broadcast(vocab.words), ["tokenizer", "piece"], "left")
+    p = p.join(vocab.words_for_join(), ["tokenizer", "piece"], "left")
 
     null_id = F.lit(None).cast("int")
     null_ch = F.lit(None).cast("string")

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -105,6 +106,10 @@ class Vocab:
     chars: DataFrame  # tokenizer, ch, char_id int
     tokenizers: list[NativeTokenizer]
     decode_table: DataFrame | None = None  # explicit (tokenizer, token_id, token_text), e.g. for mocks
+    words_bounded: bool = True  # False: the word table grows with the corpus and is never broadcast
+
+    def words_for_join(self) -> DataFrame:
+        return F.broadcast(self.words) if self.words_bounded else self.words
 
     def decoded(self, spark: SparkSession) -> DataFrame:
         """J3 target: ``(tokenizer, token_id, token_text)`` for every id below the vocab size.
@@ -190,3 +195,61 @@ def table_vocab(
         else None
     )
     return Vocab(words=words, chars=spark.createDataFrame([], CHARS_SCHEMA), tokenizers=list(tokenizers), decode_table=decode)
+
+
+# --- D1, python form: a local tokenizer file applied to distinct pieces -----------------------
+
+
+def python_vocab(
+    pieces_df: DataFrame,
+    name: str,
+    tokenizer_file: str,
+    piece_pattern: str,
+    bos_id: int | None = None,
+) -> Vocab:
+    """A Vocab whose word table is every distinct piece of ``pieces_df(piece)`` encoded by a local
+    ``tokenizers`` file (no special tokens), with a pandas UDF that loads the file once per
+    Python worker.  The table grows with the corpus, so it is joined with a shuffle, not
+    broadcast.  Exact for tokenizers whose tokens never cross piece borders.
+    """
+    from pyspark.sql import types as T
+
+    cache: dict[str, object] = {}
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def encode(ps: pd.Series) -> pd.Series:
+        tok = cache.get(tokenizer_file)
+        if tok is None:
+            from tokenizers import Tokenizer
+
+            tok = cache[tokenizer_file] = Tokenizer.from_file(tokenizer_file)
+        encs = tok.encode_batch(list(ps), add_special_tokens=False)
+        return pd.Series([e.ids for e in encs])
+
+    distinct = pieces_df.select("piece").distinct()
+    words = distinct.select(F.lit(name).alias("tokenizer"), "piece", encode(F.col("piece")).alias("ids"))
+    spec = PythonTokenizer(name, piece_pattern, tokenizer_file, bos_id)
+    empty_chars = pieces_df.sparkSession.createDataFrame([], CHARS_SCHEMA)
+    return Vocab(words=words, chars=empty_chars, tokenizers=[spec], words_bounded=False)
+
+
+@dataclass(frozen=True)
+class PythonTokenizer(NativeTokenizer):
+    """D1 python form: pieces by ``piece_pattern``, ids from a local tokenizer file."""
+
+    tokenizer_file: str = ""
+    bos_token_id: int | None = None
+
+    def __init__(self, name, piece_pattern, tokenizer_file, bos_token_id=None):
+        object.__setattr__(self, "name", name)
+        object.__setattr__(self, "piece_pattern", piece_pattern)
+        object.__setattr__(self, "char_slots", 0)
+        object.__setattr__(self, "word_slots", 0)
+        object.__setattr__(self, "bos", bos_token_id is not None)
+        object.__setattr__(self, "unk_id", None)
+        object.__setattr__(self, "tokenizer_file", tokenizer_file)
+        object.__setattr__(self, "bos_token_id", bos_token_id)
+
+    @property
+    def bos_id(self):
+        return self.bos_token_id

@@ -156,7 +156,7 @@ def tokens_per_doc(docs: DataFrame, vocab: Vocab, keys: Sequence[str]) -> DataFr
         parts.append(docs.select(*keys, F.inline(F.array(*items))).select("tokenizer", *keys, "n_tokens"))
     if other:
         p = pieces(docs, other, keys)
-        p = p.join(F.broadcast(vocab.words), ["tokenizer", "piece"], "left")
+        p = p.join(vocab.words_for_join(), ["tokenizer", "piece"], "left")
         parts.append(p.groupBy("tokenizer", *keys).agg(F.sum(piece_token_counts(p, vocab, classes)).cast("long").alias("n_tokens")))
     out = parts[0]
     for q in parts[1:]:
@@ -261,7 +261,7 @@ def even_sample_tokens(
     for q in parts[1:]:
         p = p.unionByName(q)
     p = p.join(F.broadcast(rest_chosen), ["tokenizer", *g, "doc_id"])
-    p = p.join(F.broadcast(vocab.words), ["tokenizer", "piece"], "left")
+    p = p.join(vocab.words_for_join(), ["tokenizer", "piece"], "left")
     p = p.withColumn("n", piece_token_counts(p, vocab, classes))
     wp = Window.partitionBy(*g, "doc_id", "tokenizer").orderBy("pidx").rowsBetween(Window.unboundedPreceding, -1)
     p = p.withColumn("poff", F.coalesce(F.sum("n").over(wp), F.lit(0)))

@@ -196,3 +196,24 @@ def work_list(spark: SparkSession, cat: DataFrame, natural_n: int = 99, code_n:
     return out.withColumn("duplicate_key", F.row_number().over(dup) > 1).select(
         "position", "lang_key", "iso_code", "script", "name", "source", "data_dir", "duplicate_key"
     )
+
+
+def read_catalogue_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """A catalogue CSV with a header; header names are trimmed and ``catalog_pos`` keeps the
+    file order (``monotonically_increasing_id`` grows with partition index and row order)."""
+    r = spark.read.option("header", True)
+    df = (r.schema(schema) if schema else r).csv(path)
+    df = df.toDF(*[c.strip() for c in df.columns])
+    pos = F.row_number().over(Window.orderBy(F.monotonically_increasing_id())) - 1
+    return df.withColumn("catalog_pos", pos.cast("int"))
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """CSV export with a header; array and map columns are written as JSON text."""
+    from pyspark.sql import types as T
+
+    cols = [
+        F.to_json(F.col(f.name)).alias(f.name) if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) else F.col(f.name)
+        for f in df.schema.fields
+    ]
+    df.select(*cols).write.mode("overwrite").option("header", True).csv(path)
