@@ -182,3 +182,69 @@ def q_fallback_text(spark, sf_dir):
 def q_quarantine(spark, sf_dir):
     """Per (source, language) validation; failing languages go to the error side."""
     return CO.quarantine(C.documents(spark, sf_dir).unionByName(T.conversations(spark, sf_dir)).unionByName(CAT.code_sources(spark, sf_dir)))
+
+
+# --- pytest-planned scalar keys, run over the whole documents table --------------------------
+
+SLICE_START, SLICE_END = 7, 107
+
+
+def _slice_sql() -> str:
+    def cont(p: str) -> str:
+        return f"({p} < n AND substr(h, 2 * {p} + 1, 1) IN ('8', '9', 'A', 'B'))"
+
+    steps = [f"s0 AS (SELECT doc_id, h, n, {SLICE_START} AS s, least({SLICE_END}, n) AS e FROM (SELECT doc_id, hex(encode(text)) AS h, strlen(text) AS n FROM documents WHERE text IS NOT NULL AND text <> ''))"]
+    for i in range(3):
+        steps.append(f"s{i + 1} AS (SELECT doc_id, h, n, CASE WHEN {cont('s')} THEN s + 1 ELSE s END AS s, e FROM s{i})")
+    for i in range(3, 6):
+        steps.append(f"s{i + 1} AS (SELECT doc_id, h, n, s, CASE WHEN e > 0 AND {cont('e')} THEN e - 1 ELSE e END AS e FROM s{i})")
+    return "WITH " + ",\n".join(steps) + """
+SELECT doc_id, CAST(strlen(t) AS BIGINT) AS n_bytes, md5(t) AS text_md5
+FROM (SELECT doc_id, CASE WHEN e > s THEN decode(unhex(substr(h, 2 * s + 1, 2 * (e - s)))) ELSE '' END AS t FROM s6)"""
+
+
+@register("utf8_slice", _slice_sql)
+def q_utf8_slice(spark, sf_dir):
+    """bytes [7, 107) of every document, broken edge characters dropped."""
+    d = C.documents(spark, sf_dir)
+    t = S.utf8_slice(F.col("text"), F.lit(SLICE_START), F.lit(SLICE_END))
+    return d.select("doc_id", F.octet_length(t).cast("long").alias("n_bytes"), F.md5(t).alias("text_md5"))
+
+
+@register(
+    "units_syllable",
+    lambda: f"""WITH u AS (
+  SELECT lang, doc_id, CAST(len({O.syl_units('text')}) AS BIGINT) AS n_syl, CAST(len({O.syl_chars('text')}) AS BIGINT) AS n_syl_chars
+  FROM documents WHERE text IS NOT NULL AND text <> ''
+)
+SELECT lang, doc_id, n_syl, n_syl_chars,
+       CASE WHEN sum(n_syl) OVER (PARTITION BY lang) < {S.MIN_SYLLABLES} THEN n_syl_chars ELSE n_syl END AS n_units
+FROM u""",
+)
+def q_units_syllable(spark, sf_dir):
+    """every document segmented as a syllable language (tsheg split; a language with fewer
+    than three syllables in all falls back to characters)."""
+    d = T.read_table(spark, sf_dir, "documents").where(T.non_empty(F.col("text")))
+    u = d.select(
+        "lang",
+        "doc_id",
+        F.size(S.syllable_units(F.col("text"))).cast("long").alias("n_syl"),
+        F.size(S.character_units_without_tsheg(F.col("text"))).cast("long").alias("n_syl_chars"),
+    )
+    tot = u.groupBy("lang").agg(F.sum("n_syl").alias("t"))
+    j = u.join(F.broadcast(tot), "lang")  # one row per language
+    n = F.when(F.col("t") < S.MIN_SYLLABLES, F.col("n_syl_chars")).otherwise(F.col("n_syl"))
+    return j.select("lang", "doc_id", "n_syl", "n_syl_chars", n.alias("n_units"))
+
+
+@register("snippet")
+def q_snippet(spark, sf_dir):
+    """the seeded 300-byte snippet of every language (no SQL oracle: Mersenne Twister)."""
+    from ..operators import metrics as M
+    from ..operators import snippet as SN
+
+    docs = C.documents(spark, sf_dir)
+    langs, _ = M.language_totals(docs)
+    sep = M.with_separators(docs, langs, ["lang_key"])
+    s = SN.snippets(sep, langs.select("lang_key", "iso_code", "script", "total_bytes"))
+    return s.select("lang_key", "byte_offset", F.octet_length("text").cast("long").alias("text_bytes"), F.md5("text").alias("text_md5"))
