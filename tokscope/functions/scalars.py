@@ -79,6 +79,15 @@ def whitespace_units(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(uc.whitespace_unit_pattern()), 0)
 
 
+def whitespace_unit_count(text: Column) -> Column:
+    """Number of whitespace units, counted without materialising them."""
+    return F.regexp_count(text, F.lit(uc.whitespace_unit_pattern()))
+
+
+def character_unit_count(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(uc.character_unit_pattern()))
+
+
 def character_units(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(uc.character_unit_pattern()), 0)
 

@@ -50,8 +50,8 @@ def doc_unit_stats(docs: DataFrame, group_cols: Sequence[str]) -> DataFrame:
         "doc_id",
         "method",
         S.utf8_len(text).alias("n_bytes"),
-        F.when(method == KIND_WHITESPACE, F.size(S.whitespace_units(text)))
-        .when(method == KIND_CHARACTER, F.size(S.character_units(text)))
+        F.when(method == KIND_WHITESPACE, S.whitespace_unit_count(text))
+        .when(method == KIND_CHARACTER, S.character_unit_count(text))
         .otherwise(F.lit(0))
         .cast("long")
         .alias("n_plain"),

@@ -36,8 +36,15 @@ def vocab(spark: SparkSession, sf_dir: str) -> Vocab:
     return _VOCABS[key]
 
 
+_SOURCES: dict[tuple[int, str, str], DataFrame] = {}
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return src.documents(spark, sf_dir)
+    """The documents text source, built once per (session, folder) so that queries share it."""
+    key = (id(spark), sf_dir, "documents")
+    if key not in _SOURCES:
+        _SOURCES[key] = src.documents(spark, sf_dir)
+    return _SOURCES[key]
 
 
 def rounded(df: DataFrame, digits: int = ROUND) -> DataFrame:

@@ -34,7 +34,10 @@ FIRST_COLUMNS = ["tokens_with_latin_unicode_pct", "tokens_starting_with_space_pc
 
 
 def all_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.documents(spark, sf_dir).unionByName(CAT.code_sources(spark, sf_dir))
+    key = (id(spark), sf_dir, "all_sources")
+    if key not in C._SOURCES:
+        C._SOURCES[key] = C.documents(spark, sf_dir).unionByName(CAT.code_sources(spark, sf_dir))
+    return C._SOURCES[key]
 
 
 def result_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,17 +36,34 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
+# Spread copies of small inputs are kept in memory/disk below this estimated size.
+SMALL_INPUT_BYTES = 1 << 30
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate of ``df`` (file sizes for scans)."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - no estimate: treat as large
+        return 1 << 62
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Hash-spread a scan that yields fewer partitions than there are cores.
 
     Small inputs stored as one unsplittable row group would otherwise run every per-row
     operator (regex, explode, joins) in one task.  Large inputs already scan into many
     partitions and are left as they are, so no shuffle of the full text is added at scale.
+    A spread copy whose estimated size is below ``SMALL_INPUT_BYTES`` is persisted, so later
+    stages do not shuffle it again.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
         return df
-    return df.repartition(cores, key)
+    out = df.repartition(cores, key)
+    if estimated_bytes(df) < SMALL_INPUT_BYTES:
+        out = out.persist(StorageLevel.MEMORY_AND_DISK)
+    return out
 
 
 def language_codes(spark: SparkSession) -> DataFrame:
