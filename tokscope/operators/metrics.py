@@ -87,6 +87,20 @@ def language_totals(docs: DataFrame, group_cols: Sequence[str] = ("lang_key",))
 SEPARATOR = "\n"
 
 
+def language_heads(docs: DataFrame, group_cols: Sequence[str] = ("lang_key",)) -> DataFrame:
+    """Per language: first document, document count and text bytes (separators included).
+
+    A plain aggregate (no unit segmentation), for stages that only need where each language
+    text starts and how long it is.
+    """
+    g = list(group_cols)
+    info = [c for c in LANG_INFO if c not in g and c in docs.columns]
+    agg = docs.groupBy(*g, *info).agg(
+        F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n_docs"), F.sum(F.octet_length("text")).alias("doc_bytes")
+    )
+    return agg.select(*g, *info, "first_doc", "n_docs", (F.col("doc_bytes") + F.col("n_docs") - 1).alias("total_bytes"))
+
+
 def with_separators(docs: DataFrame, langs: DataFrame, group_cols: Sequence[str]) -> DataFrame:
     """Documents after the first of their language carry a leading separator, so that encoding
     rows one by one sees the same bytes as encoding the joined language text."""

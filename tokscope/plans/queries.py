@@ -66,8 +66,8 @@ for _name, _cols in {
 @register("total_bytes", lambda: O.with_docs_langs() + "\nSELECT lang_key, total_bytes, CAST(n_docs AS BIGINT) AS n_docs FROM langs")
 def q_total_bytes(spark, sf_dir):
     """A1/F1: UTF-8 bytes of each language's text (documents joined by one-byte separators)."""
-    langs, _ = M.language_totals(C.documents(spark, sf_dir))
-    return langs.select("lang_key", "total_bytes", F.col("n_docs").cast("long").alias("n_docs"))
+    heads = M.language_heads(C.documents(spark, sf_dir))
+    return heads.select("lang_key", F.col("total_bytes").cast("long").alias("total_bytes"), F.col("n_docs").cast("long").alias("n_docs"))
 
 
 @register(
@@ -132,8 +132,8 @@ def q_encode_lookup(spark, sf_dir):
 
 def _counts_with_separators(spark, sf_dir):
     docs = C.documents(spark, sf_dir)
-    langs, _ = M.language_totals(docs)
-    return EN.token_counts(M.with_separators(docs, langs, ["lang_key"]).select("lang_key", "text"), C.vocab(spark, sf_dir), ["lang_key"])
+    heads = M.language_heads(docs)
+    return EN.token_counts(M.with_separators(docs, heads, ["lang_key"]).select("lang_key", "text"), C.vocab(spark, sf_dir), ["lang_key"])
 
 
 @register("decode_tokens", lambda: O.decode_tokens_sql(C.tokenizers()))
@@ -185,9 +185,9 @@ def q_unicode_scripts(spark, sf_dir):
 def _sampled_tokens(spark, sf_dir):
     def build():
         docs = C.documents(spark, sf_dir)
-        langs, _ = M.language_totals(docs)
-        sep = M.with_separators(docs, langs, ["lang_key"])
-        return TK.even_sample_tokens(sep, C.vocab(spark, sf_dir), langs.select("lang_key", "first_doc"))
+        heads = M.language_heads(docs)
+        sep = M.with_separators(docs, heads, ["lang_key"])
+        return TK.even_sample_tokens(sep, C.vocab(spark, sf_dir), heads.select("lang_key", "first_doc"))
 
     return C.shared(spark, sf_dir, "sampled_tokens", build)
 

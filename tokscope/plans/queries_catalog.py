@@ -244,7 +244,7 @@ def q_snippet(spark, sf_dir):
     from ..operators import snippet as SN
 
     docs = C.documents(spark, sf_dir)
-    langs, _ = M.language_totals(docs)
-    sep = M.with_separators(docs, langs, ["lang_key"])
-    s = SN.snippets(sep, langs.select("lang_key", "iso_code", "script", "total_bytes"))
+    heads = M.language_heads(docs)
+    sep = M.with_separators(docs, heads, ["lang_key"])
+    s = SN.snippets(sep, heads.select("lang_key", "iso_code", "script", "total_bytes"))
     return s.select("lang_key", "byte_offset", F.octet_length("text").cast("long").alias("text_bytes"), F.md5("text").alias("text_md5"))

@@ -325,9 +325,9 @@ def q_sample_preview(spark, sf_dir):
 
     v = C.vocab(spark, sf_dir)
     docs = C.documents(spark, sf_dir)
-    langs, _ = M.language_totals(docs)
-    sep = M.with_separators(docs, langs, ["lang_key"])
-    snips = SN.snippets(sep, langs.select("lang_key", "iso_code", "script", "total_bytes"))
+    heads = M.language_heads(docs)
+    sep = M.with_separators(docs, heads, ["lang_key"])
+    snips = SN.snippets(sep, heads.select("lang_key", "iso_code", "script", "total_bytes"))
     s = SN.sample_structs(snips, v)
     prev = RS.preview(F.col("sample.tokens"))
     return s.select(
