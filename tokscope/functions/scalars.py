@@ -146,8 +146,36 @@ def utf8_bytes_of_char(ch: Column) -> Column:
 
 
 def _is_continuation(binary: Column, pos0: Column) -> Column:
-    """Byte at 0-based ``pos0`` is a UTF-8 continuation byte (0x80-0xBF)."""
-    return F.coalesce(F.hex(F.substring(binary, pos0 + 1, 1)).rlike("^[89AB]"), F.lit(False))
+    """Byte at 0-based ``pos0`` exists and is a UTF-8 continuation byte (0x80-0xBF)."""
+    inside = (pos0 >= 0) & (pos0 < F.octet_length(binary))
+    return inside & F.coalesce(F.hex(F.substring(binary, pos0 + 1, 1)).rlike("^[89AB]"), F.lit(False))
+
+
+def utf8_safe_range(binary: Column, start: Column, end: Column) -> tuple[Column, Column]:
+    """``[start, end)`` moved inwards to character borders: the start forward past at most three
+    continuation bytes, the end back to the lead byte of a cut character.
+
+    Written as sums of chained tests (no nested conditionals), so the expression stays small.
+    """
+    n = F.octet_length(binary)
+    s0 = F.greatest(start, F.lit(0))
+    c1 = _is_continuation(binary, s0)
+    c2 = c1 & _is_continuation(binary, s0 + 1)
+    c3 = c2 & _is_continuation(binary, s0 + 2)
+    s = s0 + c1.cast("int") + c2.cast("int") + c3.cast("int")
+    e0 = F.least(end, n)
+    d1 = _is_continuation(binary, e0)
+    d2 = d1 & _is_continuation(binary, e0 - 1)
+    d3 = d2 & _is_continuation(binary, e0 - 2)
+    e = e0 - d1.cast("int") - d2.cast("int") - d3.cast("int")
+    return s, e
+
+
+def utf8_slice_bytes(binary: Column, start: Column, end: Column) -> Column:
+    """F12 on UTF-8 bytes: the characters lying wholly inside ``[start, end)``."""
+    s, e = utf8_safe_range(binary, start, end)
+    length = F.greatest(e - s, F.lit(0))
+    return F.when(length > 0, F.substring(binary, s + 1, length).cast("string")).otherwise(F.lit(""))
 
 
 def utf8_slice(text: Column, start: Column, end: Column) -> Column:
@@ -156,16 +184,7 @@ def utf8_slice(text: Column, start: Column, end: Column) -> Column:
     Only the at most three bytes at each edge are looked at, so the cost does not depend on
     the length of the text.
     """
-    b = F.encode(text, "UTF-8")
-    n = F.octet_length(b)
-    s = F.greatest(start, F.lit(0))
-    for _ in range(3):
-        s = F.when((s < n) & _is_continuation(b, s), s + 1).otherwise(s)
-    e = F.least(end, n)
-    for _ in range(3):
-        e = F.when((e < n) & (e > 0) & _is_continuation(b, e), e - 1).otherwise(e)
-    length = F.greatest(e - s, F.lit(0))
-    return F.when(length > 0, F.substring(b, s + 1, length).cast("string")).otherwise(F.lit(""))
+    return utf8_slice_bytes(F.encode(text, "UTF-8"), start, end)
 
 
 def language_seed(iso: Column, script: Column) -> Column:
