@@ -51,3 +51,9 @@ def test_python_tokenizer_fold_equals_direct(spark):
         for i in tok.encode(t, add_special_tokens=False).ids:
             direct[i] = direct.get(i, 0) + 1
     assert counts == direct
+    # decode table covers the whole vocabulary; vocabulary analysis runs on it
+    from tokscope.operators import tokens as TK
+
+    assert vocab.decoded(spark).count() == tok.get_vocab_size()
+    va = TK.vocab_analysis(vocab).first()
+    assert va["vocab_size"] == tok.get_vocab_size() and va["analyzed_sample_size"] > 0

@@ -200,6 +200,18 @@ def table_vocab(
 # --- D1, python form: a local tokenizer file applied to distinct pieces -----------------------
 
 
+_PY_TOKENIZERS: dict[str, object] = {}  # per Python worker: tokenizer files loaded once
+
+
+def _load_tokenizer(path: str):
+    tok = _PY_TOKENIZERS.get(path)
+    if tok is None:
+        from tokenizers import Tokenizer
+
+        tok = _PY_TOKENIZERS[path] = Tokenizer.from_file(path)
+    return tok
+
+
 def python_vocab(
     pieces_df: DataFrame,
     name: str,
@@ -208,29 +220,38 @@ def python_vocab(
     bos_id: int | None = None,
 ) -> Vocab:
     """A Vocab whose word table is every distinct piece of ``pieces_df(piece)`` encoded by a local
-    ``tokenizers`` file (no special tokens), with a pandas UDF that loads the file once per
-    Python worker.  The table grows with the corpus, so it is joined with a shuffle, not
-    broadcast.  Exact for tokenizers whose tokens never cross piece borders.
+    ``tokenizers`` file (no special tokens), with a pandas UDF; the file is loaded once per
+    Python worker.  The word table grows with the corpus, so it is joined with a shuffle, not
+    broadcast.  The decode table covers ids ``0..V-1`` (bounded by the vocabulary size).
+    Exact for tokenizers whose tokens never cross piece borders.
     """
     from pyspark.sql import types as T
 
-    cache: dict[str, object] = {}
-
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def encode(ps: pd.Series) -> pd.Series:
-        tok = cache.get(tokenizer_file)
-        if tok is None:
-            from tokenizers import Tokenizer
-
-            tok = cache[tokenizer_file] = Tokenizer.from_file(tokenizer_file)
-        encs = tok.encode_batch(list(ps), add_special_tokens=False)
+        encs = _load_tokenizer(tokenizer_file).encode_batch(list(ps), add_special_tokens=False)
         return pd.Series([e.ids for e in encs])
 
+    @F.pandas_udf(T.StringType())
+    def decode(ids: pd.Series) -> pd.Series:
+        tok = _load_tokenizer(tokenizer_file)
+        out = []
+        for i in ids:
+            try:
+                out.append(tok.decode([int(i)], skip_special_tokens=True))
+            except Exception:  # noqa: BLE001 - undecodable id -> NULL (P11)
+                out.append(None)
+        return pd.Series(out, dtype=object)
+
+    spark = pieces_df.sparkSession
     distinct = pieces_df.select("piece").distinct()
     words = distinct.select(F.lit(name).alias("tokenizer"), "piece", encode(F.col("piece")).alias("ids"))
-    spec = PythonTokenizer(name, piece_pattern, tokenizer_file, bos_id)
-    empty_chars = pieces_df.sparkSession.createDataFrame([], CHARS_SCHEMA)
-    return Vocab(words=words, chars=empty_chars, tokenizers=[spec], words_bounded=False)
+    size = _load_tokenizer(tokenizer_file).get_vocab_size(with_added_tokens=True)
+    spec = PythonTokenizer(name, piece_pattern, tokenizer_file, bos_id, size)
+    dec = spark.range(size).select(F.lit(name).alias("tokenizer"), F.col("id").cast("int").alias("token_id"))
+    dec = dec.select("tokenizer", "token_id", decode(F.col("token_id")).alias("token_text"))
+    empty_chars = spark.createDataFrame([], CHARS_SCHEMA)
+    return Vocab(words=words, chars=empty_chars, tokenizers=[spec], decode_table=dec, words_bounded=False)
 
 
 @dataclass(frozen=True)
@@ -239,8 +260,9 @@ class PythonTokenizer(NativeTokenizer):
 
     tokenizer_file: str = ""
     bos_token_id: int | None = None
+    size: int = 0
 
-    def __init__(self, name, piece_pattern, tokenizer_file, bos_token_id=None):
+    def __init__(self, name, piece_pattern, tokenizer_file, bos_token_id=None, size=0):
         object.__setattr__(self, "name", name)
         object.__setattr__(self, "piece_pattern", piece_pattern)
         object.__setattr__(self, "char_slots", 0)
@@ -249,7 +271,12 @@ class PythonTokenizer(NativeTokenizer):
         object.__setattr__(self, "unk_id", None)
         object.__setattr__(self, "tokenizer_file", tokenizer_file)
         object.__setattr__(self, "bos_token_id", bos_token_id)
+        object.__setattr__(self, "size", size)
 
     @property
     def bos_id(self):
         return self.bos_token_id
+
+    @property
+    def vocab_size(self) -> int:
+        return self.size
