@@ -49,3 +49,28 @@ def test_parse_size_and_title(spark):
     names = ["c-sharp", "objective-c++", "SQL", "don't", "3d"]
     t = [r[0] for r in spark.createDataFrame([(n,) for n in names], "n string").select(S.title_case(F.col("n"))).collect()]
     assert t == [n.title() for n in names]
+
+
+def test_budget_stream_equals_batch_and_stops_early(spark):
+    from tokscope.operators import corpus as CO
+    from tokscope.sources import text as T
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    folder = tempfile.mkdtemp(prefix="tokscope-budget-")
+    src = os.path.join(folder, "in")
+    os.makedirs(src)
+    bounds = [0, 60, 130, 10**9]
+    for k in range(3):  # files in doc_id order
+        part = os.path.join(folder, f"tmp{k}")
+        docs.where((F.col("doc_id") >= bounds[k]) & (F.col("doc_id") < bounds[k + 1])).coalesce(1).write.parquet(part)
+        for f in os.listdir(part):
+            if f.endswith(".parquet"):
+                os.rename(os.path.join(part, f), os.path.join(src, f"{k:03d}-{f}"))
+    target = 3000
+    state = os.path.join(folder, "state")
+    q = ST.start_budget_stream(spark, src, "doc_id bigint, text string, lang string, source string, n_chars bigint", target,
+                               os.path.join(folder, "ckpt"), state)
+    ST.run_until_budget(q, spark, state, target, languages=99)  # never reached: runs to the end of the files
+    streamed = {(r["lang_key"], r["doc_id"]) for r in spark.read.parquet(state).collect()}
+    batch = {(r["lang_key"], r["doc_id"]) for r in CO.byte_budget(T.documents_from(docs).where(T.non_empty(F.col("text"))), target).collect()}
+    assert streamed == batch and streamed

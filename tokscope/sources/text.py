@@ -92,6 +92,12 @@ def documents(spark: SparkSession, sf_dir: str, group: str = "lang") -> DataFram
     benchmark row.
     """
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return spread(documents_from(docs, group), "doc_id")
+
+
+def documents_from(docs: DataFrame, group: str = "lang") -> DataFrame:
+    """Project raw ``documents`` rows (``doc_id, text, lang, source``) to the text-source shape."""
+    spark = docs.sparkSession
     codes = F.broadcast(language_codes(spark))
     joined = docs.where(non_empty(F.col("text"))).join(codes, docs.lang == codes.code, "left")
     iso = F.coalesce(F.col("iso_code"), F.col("lang"))
@@ -104,7 +110,7 @@ def documents(spark: SparkSession, sf_dir: str, group: str = "lang") -> DataFram
         name = F.concat(name, F.lit(" ["), F.col("source"), F.lit("]"))
     elif group != "lang":
         raise ValueError(f"unknown grouping {group!r}")
-    return spread(joined.select(
+    return joined.select(
         key.alias("lang_key"),
         iso.alias("iso_code"),
         script.alias("script"),
@@ -112,7 +118,7 @@ def documents(spark: SparkSession, sf_dir: str, group: str = "lang") -> DataFram
         src.alias("source"),
         F.col("doc_id"),
         F.col("text"),
-    ), "doc_id")
+    )
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -113,3 +113,79 @@ def start_global_metrics_stream(
         .trigger(availableNow=True)
         .start()
     )
+
+
+# --- X1: streamed ingest under a byte budget, stopping early -----------------------------------
+
+
+def start_budget_stream(
+    spark: SparkSession,
+    folder: str,
+    schema: str,
+    target_bytes: int,
+    checkpoint: str,
+    state: str,
+    glob: str = "*.parquet",
+    max_files_per_trigger: int = 1,
+) -> StreamingQuery:
+    """Keep documents of each language while the bytes kept before them stay below the budget.
+
+    Each micro-batch continues the running total from the bytes already kept (read from
+    ``state``); rows are written under ``<state>/batch_id=<n>`` (overwrite: replay-safe).  With
+    files arriving in ``doc_id`` order this equals the batch budget (W1).
+    """
+    from pyspark.sql import Window
+
+    from ..sources.text import documents_from
+
+    src = (
+        spark.readStream.schema(schema)
+        .option("maxFilesPerTrigger", max_files_per_trigger)
+        .option("pathGlobFilter", glob)
+        .parquet(folder)
+    )
+
+    def per_batch(batch: DataFrame, batch_id: int) -> None:
+        slim = documents_from(batch.select("doc_id", "text", "lang", "source")).select(
+            "lang_key", "doc_id", F.octet_length("text").cast("long").alias("n_bytes")
+        )
+        prev = kept_totals(spark, state, exclude_batch=batch_id)
+        # one micro-batch per window task: bounded by maxFilesPerTrigger
+        w = Window.partitionBy("lang_key").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
+        rows = slim.join(F.broadcast(prev), "lang_key", "left").withColumn(
+            "bytes_before", F.coalesce(F.col("kept_bytes"), F.lit(0)) + F.coalesce(F.sum("n_bytes").over(w), F.lit(0))
+        )
+        rows.where(F.col("bytes_before") < F.lit(target_bytes)).select("lang_key", "doc_id", "n_bytes", "bytes_before").write.mode(
+            "overwrite"
+        ).parquet(f"{state}/batch_id={batch_id}")
+
+    return (
+        src.writeStream.foreachBatch(per_batch)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def kept_totals(spark: SparkSession, state: str, exclude_batch: int | None = None) -> DataFrame:
+    """``(lang_key, kept_bytes)`` over the kept rows written so far (one row per language)."""
+    import os
+
+    empty = spark.createDataFrame([], "lang_key string, kept_bytes long")
+    if not os.path.isdir(state) or not any(n.startswith("batch_id=") for n in os.listdir(state)):
+        return empty
+    kept = spark.read.parquet(state)
+    if exclude_batch is not None:
+        kept = kept.where(F.col("batch_id") != exclude_batch)
+    return kept.groupBy("lang_key").agg(F.sum("n_bytes").cast("long").alias("kept_bytes"))
+
+
+def run_until_budget(query: StreamingQuery, spark: SparkSession, state: str, target_bytes: int, languages: int, poll: float = 0.5) -> None:
+    """Early stop: stop the stream once ``languages`` languages have reached the budget."""
+    while query.isActive:
+        query.awaitTermination(poll)
+        if not query.isActive:
+            break
+        done = kept_totals(spark, state).where(F.col("kept_bytes") >= target_bytes).count()
+        if done >= languages:
+            query.stop()
