@@ -57,3 +57,33 @@ def test_python_tokenizer_fold_equals_direct(spark):
     assert vocab.decoded(spark).count() == tok.get_vocab_size()
     va = TK.vocab_analysis(vocab).first()
     assert va["vocab_size"] == tok.get_vocab_size() and va["analyzed_sample_size"] > 0
+
+
+def test_result_documents_roundtrip_lenient_and_strict(spark):
+    from pyspark.sql import functions as F
+
+    from tokscope.operators import results as RS
+
+    metrics = spark.createDataFrame(
+        [("tk", "eng-Latn", "eng", "Latn", "English", "documents", 2.5, 10, 4, 3, 1.5, 0.0, 50.0, 0.0, "whitespace", 2, 1)],
+        "tokenizer string, lang_key string, iso_code string, script string, language string, source string, bytes_per_token double, "
+        "total_bytes long, total_tokens long, unique_tokens long, subword_fertility double, continued_word_rate double, "
+        "word_split_pct double, continuation_token_pct double, segmentation_method string, total_units long, estimated_units_split long",
+    )
+    va = spark.createDataFrame([("tk", 3, 50.0, 6, ["a"], [" b"])],
+                               "tokenizer string, tokens_without_leading_space_count long, tokens_without_leading_space_pct double, "
+                               "analyzed_sample_size long, sample_non_space_tokens array<string>, sample_space_tokens array<string>")
+    gl = spark.createDataFrame([("tk", "total_tokens_analyzed", 4.0), ("tk", "tokens_with_latin_unicode_pct", 75.0)], "tokenizer string, metric string, value double")
+    sizes = spark.createDataFrame([("tk", 100)], "tokenizer string, vocab_size bigint")
+    docs = RS.build_documents(metrics, va, gl, sizes, 2.0, 0.0)
+    path = tempfile.mkdtemp(prefix="tokscope-res-") + "/r"
+    RS.write_documents(docs, path)
+    with open(os.path.join(path, "broken.json"), "w") as f:
+        f.write("{not json")
+    flat = RS.flatten(RS.read_documents(spark, path)).collect()
+    assert len(flat) == 1
+    r = flat[0]
+    assert r["tokenizer_key"] == "tk" and r["benchmark_size_mb"] == 2.0 and r["datetime"] is None
+    assert r["tokens_with_latin_unicode_pct"] == 75.0 and r["tokens_with_greek_unicode_pct"] is None
+    with pytest.raises(Exception):
+        RS.read_documents(spark, path, strict=True).collect()
