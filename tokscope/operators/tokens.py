@@ -205,9 +205,9 @@ def even_sample_tokens(
     )
     # at most max_tokens rows per (tokenizer, language); used twice below
     chosen = materialize(sel.where(keep_doc).select("tokenizer", *g, "doc_id", "start", "step"))
-    # bounded by max_tokens rows per (tokenizer, language): safe to broadcast
     direct_names = [t.name for t in vocab.tokenizers if _char_level(t)]
     classes = _char_classes(vocab)
+    # ``chosen`` holds at most max_tokens rows per (tokenizer, language): safe to broadcast
     texts_all = docs.select(*g, "doc_id", "text").join(F.broadcast(chosen.select(*g, "doc_id").distinct()), [*g, "doc_id"])
 
     # (a) character-level tokenizers: a sampled position is a character (or, without a
@@ -244,8 +244,8 @@ def even_sample_tokens(
     if direct_names:
         rest_chosen = rest_chosen.unionByName(chosen.join(hard_docs, ["tokenizer", *g, "doc_id"]))
 
-    def chosen_pieces(sel: DataFrame, toks) -> DataFrame:
-        texts = docs.select(*g, "doc_id", "text").join(F.broadcast(sel.select(*g, "doc_id").distinct()), [*g, "doc_id"])
+    def chosen_pieces(picked: DataFrame, toks) -> DataFrame:
+        texts = docs.select(*g, "doc_id", "text").join(F.broadcast(picked.select(*g, "doc_id").distinct()), [*g, "doc_id"])
         # Shuffle the (few) chosen documents, not their pieces: explode and broadcast joins
         # keep this partitioning, which already clusters the per-document window below.
         return pieces(texts.repartition(*g, "doc_id"), toks, [*g, "doc_id"])
