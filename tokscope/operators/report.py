@@ -209,6 +209,19 @@ def default_tokenizers(rows: DataFrame, preferred: Sequence[str], n: int = 3) ->
     return best.where(F.col("preferred") == F.col("best")).select("tokenizer_key", (F.col("preferred") == 1).alias("preferred"))
 
 
+def default_languages(categories: DataFrame, rows: DataFrame) -> DataFrame:
+    """The "Top 30 Natural" languages in their order, or every language when that list is empty."""
+    top = categories.where(F.col("category") == "Top 30 Natural").select("language", "position", F.lit(1).alias("from_top"))
+    every = rows.select("language").distinct()
+    every = every.select("language", (F.row_number().over(Window.orderBy("language")) - 1).alias("position"), F.lit(0).alias("from_top"))
+    both = top.unionByName(every)
+    # both sides hold one row per language: the window over all of them is small
+    best = both.withColumn("best", F.max("from_top").over(Window.partitionBy()))
+    return best.where(F.col("from_top") == F.col("best")).select(
+        "language", F.col("position").cast("int").alias("position"), (F.col("from_top") == 1).alias("from_top30")
+    )
+
+
 def efficiency_vs_vocab(rows: DataFrame, natural_only: bool = False) -> DataFrame:
     """Unweighted mean bytes per token, vocabulary size and row count per tokenizer."""
     r = rows.where(F.col("source") != "starcoder") if natural_only else rows

@@ -192,6 +192,22 @@ def q_default_selection(spark, sf_dir):
     return R.default_tokenizers(report_rows(spark, sf_dir), PREFERRED_TOKENIZERS)
 
 
+@register(
+    "default_languages",
+    lambda: OR.categories_sql(C.tokenizers())
+    + """,
+dl AS (
+  SELECT language, position, 1 AS from_top FROM cats WHERE category = 'Top 30 Natural'
+  UNION ALL
+  SELECT language, CAST(row_number() OVER (ORDER BY language) - 1 AS INTEGER), 0 FROM (SELECT DISTINCT language FROM rows)
+)
+SELECT language, position, from_top = 1 AS from_top30 FROM (SELECT *, max(from_top) OVER () AS best FROM dl) WHERE from_top = best""",
+)
+def q_default_languages(spark, sf_dir):
+    """Default language selection (Top 30 Natural, else every language)."""
+    return R.default_languages(_categories(spark, sf_dir), report_rows(spark, sf_dir))
+
+
 def _pivot_sql() -> str:
     cols = ", ".join(
         O.rnd(f"avg(bytes_per_token) FILTER (WHERE tokenizer_name = {O.q(t)})") + f" AS {t}" for t in PIVOT_TOKENIZERS
