@@ -281,7 +281,8 @@ def even_sample_tokens(
     bos = lt.where((F.col("n_special") > 0) & (F.col("total") > 0)).select(
         "tokenizer", *g, F.lit(0).cast("long").alias("tpos"), F.col("bos_id").alias("token_id")
     )
-    return text_part.unionByName(bos)
+    # at most max_tokens rows per (tokenizer, language), and consumers read it more than once
+    return materialize(text_part.unionByName(bos))
 
 
 # --- A12 / A13 ------------------------------------------------------------------

@@ -186,6 +186,9 @@ def run_until_budget(query: StreamingQuery, spark: SparkSession, state: str, tar
         query.awaitTermination(poll)
         if not query.isActive:
             break
-        done = kept_totals(spark, state).where(F.col("kept_bytes") >= target_bytes).count()
+        try:
+            done = kept_totals(spark, state).where(F.col("kept_bytes") >= target_bytes).count()
+        except Exception:  # noqa: BLE001 - a micro-batch is still writing its folder: check again
+            continue
         if done >= languages:
             query.stop()
