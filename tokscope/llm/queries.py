@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from . import secret_scans
+from .bpe import op1_bpe
 from .quality_classifier import op7_quality_classifier
+from .secret_scans import op3_secret_scans
 
 QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op3_secret_scans": op3_secret_scans,
     "op7_quality_classifier": op7_quality_classifier,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_secret_scans": secret_scans.ORACLE,
+}
