@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from . import secret_scans
 from .bpe import op1_bpe
+from .decontamination import op2_decontamination
 from .jaccard_join import op4_jaccard_join
 from .quality_classifier import op7_quality_classifier
 from .secret_scans import op3_secret_scans
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_decontamination": op2_decontamination,
     "op3_secret_scans": op3_secret_scans,
     "op4_jaccard_join": op4_jaccard_join,
     "op7_quality_classifier": op7_quality_classifier,
