@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import secret_scans
+from . import license_scans, secret_scans
 from .bpe import op1_bpe
 from .decontamination import op2_decontamination
 from .jaccard_join import op4_jaccard_join
+from .license_scans import op8_license_scans
 from .quality_classifier import op7_quality_classifier
 from .secret_scans import op3_secret_scans
 
@@ -15,8 +16,10 @@ QUERIES = {
     "op3_secret_scans": op3_secret_scans,
     "op4_jaccard_join": op4_jaccard_join,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_license_scans": op8_license_scans,
 }
 
 ORACLES: dict[str, str] = {
     "op3_secret_scans": secret_scans.ORACLE,
+    "op8_license_scans": license_scans.ORACLE,
 }
