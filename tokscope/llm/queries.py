@@ -9,6 +9,8 @@ from .jaccard_join import op4_jaccard_join
 from .license_scans import op8_license_scans
 from .quality_classifier import op7_quality_classifier
 from .secret_scans import op3_secret_scans
+from .sharding import op9_sharding
+from .warc import op10_warc
 
 QUERIES = {
     "op1_bpe": op1_bpe,
@@ -17,6 +19,8 @@ QUERIES = {
     "op4_jaccard_join": op4_jaccard_join,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_license_scans": op8_license_scans,
+    "op9_sharding": op9_sharding,
+    "op10_warc": op10_warc,
 }
 
 ORACLES: dict[str, str] = {
