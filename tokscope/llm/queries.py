@@ -8,6 +8,7 @@ from .decontamination import op2_decontamination
 from .jaccard_join import op4_jaccard_join
 from .license_scans import op8_license_scans
 from .quality_classifier import op7_quality_classifier
+from .quality_rules import op5_quality_rules
 from .secret_scans import op3_secret_scans
 from .sharding import op9_sharding
 from .warc import op10_warc
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_secret_scans": op3_secret_scans,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_quality_rules": op5_quality_rules,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_license_scans": op8_license_scans,
     "op9_sharding": op9_sharding,
