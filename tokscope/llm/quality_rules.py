@@ -39,7 +39,7 @@ from .common import WordCodes, map_arrow, table, texts, window_hashes, words_of,
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 20
-SPREAD = 8.0
+SPREAD = {"chars_per_token": 8.0, "fallback_share": 8.0, "entropy": 5.0}
 FLOOR = {"chars_per_token": 0.1, "fallback_share": 0.02, "entropy": 0.03}
 LEAST = 30
 STEADY = 200
@@ -197,7 +197,8 @@ def bands(measured: DataFrame) -> DataFrame:
     off = off.groupBy(*keys, "mid", "off").agg(F.sum("n").alias("n"))
     mad = _median(off, [*keys, "mid"], "off", "mad")
     floor = F.coalesce(*[F.when(F.col("measure") == m, F.lit(x * 1000)) for m, x in FLOOR.items()])
-    reach = F.greatest(F.col("mad") * SPREAD, floor)
+    spread = F.coalesce(*[F.when(F.col("measure") == m, F.lit(x)) for m, x in SPREAD.items()])
+    reach = F.greatest(F.col("mad") * spread, floor)
     return mad.select(*keys, "all", F.col("mid").cast("double").alias("mid"), reach.cast("double").alias("reach"))
 
 

@@ -11,6 +11,7 @@ from .quality_classifier import op7_quality_classifier
 from .quality_rules import op5_quality_rules
 from .secret_scans import op3_secret_scans
 from .sharding import op9_sharding
+from .substring_dedup import op6_substring_dedup
 from .warc import op10_warc
 
 QUERIES = {
@@ -19,6 +20,7 @@ QUERIES = {
     "op3_secret_scans": op3_secret_scans,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_quality_rules": op5_quality_rules,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_license_scans": op8_license_scans,
     "op9_sharding": op9_sharding,
