@@ -14,6 +14,8 @@ block; a block matches a license template if it contains at least THRESHOLD of t
    order), at most ``i + 1`` earlier and ``min(n - i, m - j) - 1`` later words can be shared.
 5. The remaining pairs are counted exactly.
 
+``matches`` returns all pairs; ``scan`` labels a block by its best ones, as near-equal notices match together.
+
 Result: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score (1 if there is a base place,
 else the best containment of a matched template, else 0).  Defined results: null or empty text has no words and
 no labels; repeated rows give repeated rows; extra columns are ignored; templates without words match nothing.
@@ -61,10 +63,10 @@ def needed(n: int, threshold: tuple[int, int]) -> int:
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, line: every line, once for rows that agree in doc_id and text."""
+    """doc_id, text_key, number, line: every line of every text."""
     text = F.coalesce("text", F.lit(""))
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    return d.select("doc_id", F.xxhash64("text").alias("text_key"), F.explode(F.split("text", "\n")).alias("line"))
+    return d.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("number", "line"))
 
 
 def _among(line: Column, order: list[str]) -> Column:
@@ -83,7 +85,7 @@ def global_order(docs: DataFrame, templates: list[tuple[str, str]]) -> list[str]
 
 
 def matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """doc_id, text_key, label, containment for every block and template that reach the threshold."""
+    """doc_id, text_key, number, label, containment: every block and template that reach the threshold."""
     spark, order = docs.sparkSession, global_order(docs, templates)
     place = {w: i for i, w in enumerate(order)}
     index = []
@@ -95,8 +97,8 @@ def matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, thres
     prefix = spark.createDataFrame(index, schema)
     least = min((x[5] for x in index), default=1)
     heads = F.array(*[F.lit(w) for w in sorted({x[0] for x in index})]) if index else F.expr("cast(array() as array<string>)")
-    held = _blocks(docs).select("doc_id", "text_key", _among(F.col("line"), order).alias("held") if order else F.expr("cast(array() as array<string>)").alias("held"))
-    near = held.where(F.size("held") >= least).select("doc_id", "text_key", "held", F.explode(F.array_intersect(heads, "held")).alias("word"))
+    held = _blocks(docs).select("doc_id", "text_key", "number", _among(F.col("line"), order).alias("held") if order else F.expr("cast(array() as array<string>)").alias("held"))
+    near = held.where(F.size("held") >= least).select("doc_id", "text_key", "number", "held", F.explode(F.array_intersect(heads, "held")).alias("word"))
     m = F.size("held")
     j = F.array_position("held", F.col("word")).cast("int") - 1
     room = F.least(F.col("i"), j) + F.least(F.col("n") - F.col("i"), m - j)
@@ -106,10 +108,20 @@ def matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, thres
         .where((m >= F.col("k")) & (room >= F.col("k")))
         .withColumn("shared", shared)
         .where(F.col("shared") >= F.col("k"))
-        .select("doc_id", "text_key", "label", (F.col("shared") / F.col("n")).alias("containment"))
+        .select("doc_id", "text_key", "number", "label", (F.col("shared") / F.col("n")).alias("containment"))
+        .distinct()  # a pair has a row for each prefix word that it shares, and repeated rows have equal ones
     )
 
 
+def best_matches(found: DataFrame) -> DataFrame:
+    """Of each block's matches those with its highest containment (near-equal notices match together)."""
+    block = found.groupBy("doc_id", "text_key", "number").agg(
+        F.max("containment").alias("containment"), F.collect_list(F.struct("containment", "label")).alias("all")
+    )  # at most a row per template in the list
+    top = F.filter("all", lambda x: x["containment"] == F.col("containment"))
+    return block.select("doc_id", "text_key", "containment", F.explode(F.transform(top, lambda x: x["label"])).alias("label"))
+
+
 def _starts(w: Column, phrase: str) -> Column:
     """Word numbers at which the phrase's words stand one after the other."""
     p = phrase.split()
@@ -136,7 +148,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> DataF
     places = [F.col(f"p{i}") for i in range(len(PHRASES))]
     labels = F.filter(F.array(*[F.when(F.size(c) > 0, F.lit(label)) for label, c in zip(PHRASES, places, strict=True)]), lambda x: x.isNotNull())
     base = written(d.select("doc_id", "text_key", "n_words", F.concat(*places).alias("at"), labels.alias("base")), "license-base")
-    found = matches(docs, templates).groupBy("doc_id", "text_key").agg(F.collect_set("label").alias("found"), F.max("containment").alias("best"))
+    found = best_matches(matches(docs, templates)).groupBy("doc_id", "text_key").agg(F.collect_set("label").alias("found"), F.max("containment").alias("best"))
     same = F.col("b.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("b.text_key") == F.col("f.text_key"))
     none = F.expr("cast(array() as array<string>)")
     return base.alias("b").join(found.alias("f"), same, "left").select(
@@ -167,8 +179,9 @@ def _oracle() -> str:
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {low} AS t, regexp_extract_all({low}, '{p}') AS w FROM documents),
 t(label, ws, k) AS (VALUES {rows}),
-lines AS (SELECT r, regexp_extract_all(line, '{p}') AS lw FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d)),
-m AS (SELECT r, label, CAST(len(list_intersect(ws, lw)) AS DOUBLE) / len(ws) AS c FROM lines, t WHERE len(list_intersect(ws, lw)) >= k),
+lines AS (SELECT row_number() OVER () AS l, r, regexp_extract_all(line, '{p}') AS lw FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d)),
+every AS (SELECT l, r, label, CAST(len(list_intersect(ws, lw)) AS DOUBLE) / len(ws) AS c FROM lines, t WHERE len(list_intersect(ws, lw)) >= k),
+m AS (SELECT r, label, c FROM every QUALIFY c = max(c) OVER (PARTITION BY l)),
 b AS ({" UNION ALL ".join(at)}),
 bg AS (SELECT r, count(*) AS n, min(i) - 1 AS lo, max(i) - 1 AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS s FROM b GROUP BY r),
 best AS (SELECT r, max(c) AS c FROM m GROUP BY r),
