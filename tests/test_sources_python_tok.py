@@ -85,5 +85,23 @@ def test_result_documents_roundtrip_lenient_and_strict(spark):
     r = flat[0]
     assert r["tokenizer_key"] == "tk" and r["benchmark_size_mb"] == 2.0 and r["datetime"] is None
     assert r["tokens_with_latin_unicode_pct"] == 75.0 and r["tokens_with_greek_unicode_pct"] is None
-    with pytest.raises(Exception):
+    assert RS.read_documents(spark, path).count() == 1  # a second read, and one of no column
+    assert [r["tokenizer_key"] for r in RS.rejected_documents(spark, path).collect()] == ["broken"]
+    with pytest.raises(Exception, match="MALFORMED_RECORD_IN_PARSING|FAILFAST"):
         RS.read_documents(spark, path, strict=True).collect()
+    RS.write_documents(docs, path + "-pq", "parquet")
+    assert spark.read.parquet(path + "-pq").select("tokenizer", "tokenizer_key").collect() == [("tk", "tk")]
+
+
+def test_indented_result_file_and_stem_key(spark, tmp_path):
+    import json
+
+    from tokscope.operators import results as RS
+
+    entry = {"language_info": {"name": "English", "iso_code": "eng", "script": "Latn", "source": "s"}, "metrics": {"bytes_per_token": 2.5, "total_bytes": 10}}
+    body = {"tokenizer": "org/gpt-2", "vocab_size": 7, "languages": {"eng-Latn": entry}, "global_metrics": {}}
+    (tmp_path / "my stem.json").write_text(json.dumps(body, indent=2))
+    for strict in (False, True):
+        rows = RS.flatten(RS.read_documents(spark, str(tmp_path), strict)).collect()
+        assert [(r["tokenizer_key"], r["tokenizer_name"], r["bytes_per_token"]) for r in rows] == [("my stem", "org/gpt-2", 2.5)]
+    assert RS.rejected_documents(spark, str(tmp_path)).count() == 0

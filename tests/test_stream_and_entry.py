@@ -51,7 +51,7 @@ def test_parse_size_and_title(spark):
     assert t == [n.title() for n in names]
 
 
-def test_budget_stream_equals_batch_and_stops_early(spark):
+def test_budget_stream_equals_batch(spark):
     from tokscope.operators import corpus as CO
     from tokscope.sources import text as T
 
@@ -74,3 +74,63 @@ def test_budget_stream_equals_batch_and_stops_early(spark):
     streamed = {(r["lang_key"], r["doc_id"]) for r in spark.read.parquet(state).collect()}
     batch = {(r["lang_key"], r["doc_id"]) for r in CO.byte_budget(T.documents_from(docs).where(T.non_empty(F.col("text"))), target).collect()}
     assert streamed == batch and streamed
+
+
+def _files_in_order(docs, folder, n):
+    src = os.path.join(folder, "in")
+    os.makedirs(src)
+    rows = docs.orderBy("doc_id").toPandas()
+    for k in range(n):
+        rows.iloc[k * len(rows) // n : (k + 1) * len(rows) // n].to_parquet(os.path.join(src, f"{k:03d}.parquet"), index=False)
+    return src
+
+
+def test_budget_stream_with_uri_state_writes_text_and_really_stops_early(spark):
+    from tokscope.operators import corpus as CO
+    from tokscope.sources import text as T
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source")
+    folder = tempfile.mkdtemp(prefix="tokscope-budget-")
+    src = _files_in_order(docs, folder, 12)
+    schema, target = "doc_id bigint, text string, lang string, source string", 2000
+    state = "file://" + os.path.join(folder, "state")  # totals must carry over between micro-batches
+    q = ST.start_budget_stream(spark, src, schema, target, "file://" + os.path.join(folder, "ckpt"), state, with_text=True)
+    ST.run_until_budget(q, spark, state, target, languages=1)
+    done = len([x for x in os.listdir(os.path.join(folder, "state")) if x.startswith("batch_id=")])
+    assert done < 12  # files are left unread
+    got = {r["doc_id"]: r["text"] for r in spark.read.option("recursiveFileLookup", True).parquet(state).collect()}
+    want = {r["doc_id"] for r in CO.byte_budget(T.documents_from(docs), target).collect()}
+    assert set(got) <= want and got
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert all(texts[k] == v for k, v in got.items())
+    full = max(r["kept_bytes"] for r in ST.kept_totals(spark, state).collect())
+    assert full >= target
+
+
+def test_streams_read_folder_tables(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    assert ST.table_folder(spark, str(tmp_path / "documents.parquet")) == (str(tmp_path / "documents.parquet"), "*.parquet")
+    folder, glob = ST.table_folder(spark, f"{SF}/documents.parquet")
+    assert folder.endswith("sf0.001") and glob == "documents.parquet"
+
+
+def test_no_shared_folder_on_a_cluster_is_an_error(monkeypatch):
+    import pytest
+    from tokscope import session
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(Session())

@@ -130,6 +130,9 @@ def tokens_per_row(df: DataFrame, vocab: Vocab, keys: Sequence[str], text_col: s
 
     ``keys`` must identify a row.  Rows are never dropped: a row without tokens gets 0.
     """
-    stream = token_stream(df, vocab, list(keys), text_col)
+    keys = list(keys)
+    stream = token_stream(df, vocab, keys, text_col)
     counted = stream.groupBy("tokenizer", *keys).agg(F.count(F.lit(1)).alias("n_tokens"))
-    return counted
+    names = F.array(*[F.lit(t.name) for t in vocab.tokenizers])
+    every = df.select(*keys, F.explode(names).alias("tokenizer"))
+    return every.join(counted, ["tokenizer", *keys], "left").select("tokenizer", *keys, F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"))

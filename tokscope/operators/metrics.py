@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from . import segment
 from .encode import token_counts, tokens_per_row
+from .joined import token_rows
 from .prefix import DEFAULT_BLOCK_SIZE
 from ..session import materialize
 from .tokenizers import NativeTokenizer, Vocab, tokenizer_table
@@ -48,69 +49,97 @@ def ratio(num: Column, den: Column) -> Column:
     return F.when(F.coalesce(den, F.lit(0)) > 0, num.cast("double") / den.cast("double")).otherwise(F.lit(0.0))
 
 
-def language_totals(docs: DataFrame, group_cols: Sequence[str] = ("lang_key",)) -> tuple[DataFrame, DataFrame]:
-    """Per-language bytes, documents, units and unit kind; plus per-document unit counts.
+def _info(info: Sequence[str]) -> tuple[list[Column], list[Column], Column]:
+    """Aggregates and result columns for columns that should be constant in a group (else NULL), and a conflict flag."""
+    one = F.struct(*[F.col(c) for c in info])
+    aggs = [F.min(one).alias("_info"), F.max(one).alias("_info_last")]
+    alike = F.col("_info").eqNullSafe(F.col("_info_last"))
+    # a column is NULL only where it differs within the group
+    cols = [
+        F.when(F.col(f"_info.{c}").eqNullSafe(F.col(f"_info_last.{c}")), F.col(f"_info.{c}")).alias(c) for c in info
+    ]
+    return aggs, cols, ~alike
 
-    Returns ``(langs, per_doc)``; ``langs`` carries the language info columns.
+
+def language_conflicts(docs: DataFrame, group_cols: Sequence[str] = ("lang_key",)) -> DataFrame:
+    """``(group..., n_kinds)``: keys that stand for more than one language, script or source.
+
+    Such keys are refused: :func:`language_metrics` leaves them out, and this is their error table.
     """
     g = list(group_cols)
     info = [c for c in LANG_INFO if c not in g]
-    # slim (one row of counts per document) and read by several stages: computed once
-    stats = materialize(segment.doc_unit_stats(docs.select(*g, *info, "doc_id", "text"), [*g, *info]))
-    # the method depends on (iso, script) only, so grouping by it keeps one row per language
-    langs = stats.groupBy(*g, *info, F.col("method").alias("segmentation_method")).agg(
+    kinds = docs.select(*g, *info).distinct().groupBy(*g).agg(F.count(F.lit(1)).alias("n_kinds"))
+    return kinds.where(F.col("n_kinds") > 1)
+
+
+def language_totals(
+    docs: DataFrame, group_cols: Sequence[str] = ("lang_key",), block_size: int = DEFAULT_BLOCK_SIZE
+) -> tuple[DataFrame, DataFrame]:
+    """Per-group bytes, documents, units and unit kind; plus per-row unit counts.
+
+    Returns ``(langs, per_doc)``; ``langs`` has one row per group and carries the language info
+    columns (NULL where they differ within the group).  With ``lang_key`` among the group columns,
+    keys of conflicting info are left out (:func:`language_conflicts`).  ``per_doc`` has the rows of
+    :func:`segment.unit_row_stats`.
+    """
+    g = list(group_cols)
+    info = [c for c in LANG_INFO if c not in g]
+    # slim (counts and edge strings of each document) and read by several stages: computed once
+    keep = [*g, *info]
+    stats = materialize(segment.doc_unit_stats(docs.select(*keep, *[c for c in ("iso_code", "script") if c not in keep], "doc_id", "text"), keep))
+    aggs, cols, conflict = _info(info) if info else ([], [], F.lit(False))
+    heads = stats.groupBy(*g).agg(
+        *aggs,
+        F.min("method").alias("_method"),
+        F.max("method").alias("_method_last"),
         F.count(F.lit(1)).alias("n_docs"),
         F.min("doc_id").alias("first_doc"),
         F.sum("n_bytes").alias("doc_bytes"),
-        F.sum("n_plain").alias("n_plain"),
-        F.sum("n_syl").alias("n_syl"),
-        F.sum("n_syl_chars").alias("n_syl_chars"),
     )
-    kind = segment.unit_kind(F.col("segmentation_method"), F.col("n_syl"))
-    langs = langs.select(
+    if "lang_key" in g:
+        heads = heads.where(~conflict)
+    rows = segment.unit_row_stats(stats, g, block_size)
+    units = rows.groupBy(*g).agg(
+        F.sum("n_plain").alias("n_plain"), F.sum("n_syl").alias("n_syl"), F.sum("n_syl_chars").alias("n_syl_chars")
+    )
+    method = F.when(F.col("_method") == F.col("_method_last"), F.col("_method")).otherwise(F.lit(segment.KIND_MIXED))
+    syllables = F.col("n_syl") >= segment.S.MIN_SYLLABLES
+    langs = heads.join(units, g).select(
         *g,
-        *info,
-        "segmentation_method",
-        kind.alias("unit_kind"),
+        *cols,
+        method.alias("segmentation_method"),
+        segment.unit_kind(method, F.col("n_syl")).alias("unit_kind"),
+        syllables.alias("syllables"),
         "n_docs",
         "first_doc",
         (F.col("doc_bytes") + F.col("n_docs") - 1).alias("total_bytes"),
-        F.when(kind == segment.KIND_SYLLABLE, F.col("n_syl"))
-        .when(kind == segment.KIND_SYLLABLE_CHARS, F.col("n_syl_chars"))
-        .otherwise(F.col("n_plain"))
-        .alias("total_units"),
+        (F.col("n_plain") + F.when(syllables, F.col("n_syl")).otherwise(F.col("n_syl_chars"))).alias("total_units"),
     )
-    per_doc = segment.doc_units(stats.select(*g, "doc_id", "n_plain", "n_syl", "n_syl_chars"), langs, g)
-    return langs, per_doc
-
-
-SEPARATOR = "\n"
+    return langs, segment.doc_units(rows, langs, g)
 
 
 def language_heads(docs: DataFrame, group_cols: Sequence[str] = ("lang_key",)) -> DataFrame:
-    """Per language: first document, document count and text bytes (separators included).
+    """Per group: first document, document count and text bytes (separators included).
 
-    A plain aggregate (no unit segmentation), for stages that only need where each language
+    A plain aggregate (no unit segmentation), for stages that only need where each group's
     text starts and how long it is.
     """
     g = list(group_cols)
     info = [c for c in LANG_INFO if c not in g and c in docs.columns]
-    agg = docs.groupBy(*g, *info).agg(
-        F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n_docs"), F.sum(F.octet_length("text")).alias("doc_bytes")
+    aggs, cols, conflict = _info(info) if info else ([], [], F.lit(False))
+    agg = docs.groupBy(*g).agg(
+        *aggs, F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n_docs"), F.sum(F.octet_length("text")).alias("doc_bytes")
     )
-    return agg.select(*g, *info, "first_doc", "n_docs", (F.col("doc_bytes") + F.col("n_docs") - 1).alias("total_bytes"))
+    if "lang_key" in g:
+        agg = agg.where(~conflict)
+    return agg.select(*g, *cols, "first_doc", "n_docs", (F.col("doc_bytes") + F.col("n_docs") - 1).alias("total_bytes"))
 
 
 def with_separators(docs: DataFrame, langs: DataFrame, group_cols: Sequence[str]) -> DataFrame:
-    """Documents after the first of their language carry a leading separator, so that encoding
-    rows one by one sees the same bytes as encoding the joined language text."""
+    """The joined text of every group of ``langs`` as rows ``(group..., doc_id struct, text)`` that no
+    piece crosses (:func:`joined.token_rows`), so that encoding them one by one is exact."""
     g = list(group_cols)
-    firsts = F.broadcast(langs.select(*g, "first_doc"))  # one row per language
-    j = docs.join(firsts, g, "inner")
-    text = F.when(F.col("doc_id") == F.col("first_doc"), F.col("text")).otherwise(
-        F.concat(F.lit(SEPARATOR), F.col("text"))
-    )
-    return j.select(*[c for c in docs.columns if c != "text"], text.alias("text"))
+    return token_rows(docs, g).join(F.broadcast(langs.select(*g)), g, "left_semi")  # one row per group
 
 
 def token_totals(docs: DataFrame, vocab: Vocab, group_cols: Sequence[str] = ("lang_key",)) -> DataFrame:
@@ -146,7 +175,7 @@ def language_metrics(
     block_size: int = DEFAULT_BLOCK_SIZE,
     totals: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
-    """A10: the metric record of every (tokenizer, language).
+    """A10: the metric record of every (tokenizer, language), or of any other grouping.
 
     ``docs`` = a text source (``lang_key, iso_code, script, language, source, doc_id, text``).
     ``max_units`` = size of the positional unit sample for split rates (``None``: all units).
@@ -155,8 +184,8 @@ def language_metrics(
     """
     g = list(group_cols)
     spark = docs.sparkSession
-    docs = docs.select(*LANG_INFO, "doc_id", "text")
-    langs, per_doc = totals if totals is not None else language_totals(docs, g)
+    docs = docs.select(*dict.fromkeys([*g, *LANG_INFO, "doc_id", "text"]))
+    langs, per_doc = totals if totals is not None else language_totals(docs, g, block_size)
     toks = token_totals(with_separators(docs, langs, g), vocab, g)
     units = segment.sampled_units(docs, per_doc, langs.select(*g, "total_units"), g, max_units, block_size)
     splits = split_stats(units, vocab, g)
@@ -172,7 +201,7 @@ def language_metrics(
     zero = F.lit(0.0)
     return m.select(
         "tokenizer",
-        *LANG_INFO,
+        *dict.fromkeys([*g, *LANG_INFO]),
         "segmentation_method",
         F.col("total_bytes").cast("long").alias("total_bytes"),
         total_tokens.alias("total_tokens"),

@@ -100,6 +100,11 @@ RESULT = T.StructType(
 )
 
 
+def _by_key(a, b):
+    """Order of map entries (the values themselves hold maps and cannot be compared)."""
+    return F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)
+
+
 def build_documents(
     metrics: DataFrame,
     vocab_metrics: DataFrame,
@@ -124,15 +129,15 @@ def build_documents(
         F.col("lang_key").alias("key"),
         F.struct(
             F.struct(
-                "iso_code", "script", F.col("language").alias("name"), "source", F.lit(None).cast("string").alias("data_dir")
+                "iso_code", "script", F.col("language").alias("name"), "source", (F.col("data_dir") if "data_dir" in m.columns else F.lit(None).cast("string")).alias("data_dir")
             ).alias("language_info"),
             F.struct(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in METRICS.fields]).alias("metrics"),
             F.col("sample").cast(SAMPLE).alias("sample"),
         ).alias("value"),
     )
-    langs = m.groupBy("tokenizer").agg(F.map_from_entries(F.collect_list(entry)).alias("languages"))
+    langs = m.groupBy("tokenizer").agg(F.map_from_entries(F.array_sort(F.collect_list(entry), _by_key)).alias("languages"))
     glob = global_long.groupBy("tokenizer").agg(
-        F.map_from_entries(F.collect_list(F.struct("metric", "value"))).alias("global_metrics")
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "value")))).alias("global_metrics")
     )
     vm = vocab_metrics.select(
         "tokenizer", F.struct(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in VOCAB_METRICS.fields]).alias("vocab_metrics")
@@ -155,27 +160,52 @@ def output_name(tokenizer: str, given: str | None = None) -> str:
     return given if given else tokenizer.replace("/", "_").replace("-", "_")
 
 
-def write_documents(docs: DataFrame, path: str) -> None:
-    """One JSON document per tokenizer under ``path/tokenizer_key=<safe name>/``."""
+def write_documents(docs: DataFrame, path: str, fmt: str = "json") -> None:
+    """One document per tokenizer under ``path/tokenizer_key=<safe name>/``, as JSON or Parquet."""
     keyed = docs.withColumn("tokenizer_key", safe_output_name(F.col("tokenizer")))
     dup = keyed.groupBy("tokenizer_key").count().where("count > 1").limit(1).collect()
     if dup:
         raise ValueError(f"two tokenizers map to the output name {dup[0]['tokenizer_key']!r}")
-    keyed.repartition("tokenizer_key").write.mode("overwrite").partitionBy("tokenizer_key").json(path)
+    keyed.repartition("tokenizer_key").write.mode("overwrite").partitionBy("tokenizer_key").format(fmt).save(path)
+
+
+CORRUPT = "_corrupt_record"
+
+
+def _files(spark, path: str) -> DataFrame:
+    """``(value, file, tokenizer_key)``: each JSON file below ``path`` as one text; key = the ``tokenizer_key=``
+    folder where there is one, else the file's stem."""
+    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json")
+    file = F.col("_metadata.file_path")
+    folder = F.regexp_extract(file, "/tokenizer_key=([^/]+)/[^/]*$", 1)
+    stem = F.regexp_extract(file, "([^/]+)[.]json$", 1)
+    key = F.url_decode(F.replace(F.when(folder != "", folder).otherwise(stem), F.lit("+"), F.lit("%2B")))
+    return raw.select("value", file.alias("file"), key.alias("tokenizer_key"))
+
+
+def _parsed(spark, path: str) -> DataFrame:
+    schema = T.StructType([*RESULT.fields, T.StructField(CORRUPT, T.StringType())])
+    doc = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    return _files(spark, path).select("file", "tokenizer_key", doc.alias("doc"))
 
 
 def read_documents(spark, path: str, strict: bool = False) -> DataFrame:
-    """Result documents with an explicit schema; key = folder name.
+    """Result documents (one per file, indented or not) with an explicit schema.
 
-    Lenient mode keeps unreadable documents out (PERMISSIVE + corrupt-record column); strict
-    mode fails on them.
+    Lenient mode keeps unreadable files out (:func:`rejected_documents` lists them); strict mode fails
+    on them.
     """
-    schema = RESULT.add(T.StructField("_corrupt_record", T.StringType()))
-    r = spark.read.schema(schema).option("mode", "FAILFAST" if strict else "PERMISSIVE").option(
-        "columnNameOfCorruptRecord", "_corrupt_record"
-    ).json(path)
-    r = r.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
-    return r
+    if strict:
+        doc = F.from_json("value", RESULT, {"mode": "FAILFAST"})
+        return _files(spark, path).select("tokenizer_key", doc.alias("doc")).select("doc.*", "tokenizer_key")
+    ok = _parsed(spark, path).where(F.col("doc").isNotNull() & F.col(f"doc.{CORRUPT}").isNull())
+    return ok.select(*[F.col(f"doc.{f.name}").alias(f.name) for f in RESULT.fields], "tokenizer_key")
+
+
+def rejected_documents(spark, path: str) -> DataFrame:
+    """``(file, tokenizer_key)`` of the files that hold no readable document."""
+    bad = F.col("doc").isNull() | F.col(f"doc.{CORRUPT}").isNotNull()
+    return _parsed(spark, path).where(bad).select("file", "tokenizer_key")
 
 
 def flatten(docs: DataFrame) -> DataFrame:

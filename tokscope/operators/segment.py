@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .joined import body, borders, row_key, syllable_edges
 from .prefix import DEFAULT_BLOCK_SIZE, exclusive_prefix_sums
 
 # ---------------------------------------------------------------------------
@@ -26,6 +27,7 @@ KIND_WHITESPACE = "whitespace"
 KIND_CHARACTER = "character"
 KIND_SYLLABLE = "syllable"
 KIND_SYLLABLE_CHARS = "syllable_chars"  # syllable language with too few syllables
+KIND_MIXED = "mixed"  # a group of documents with different methods
 
 
 def units_of(text: Column, kind: Column) -> Column:
@@ -38,31 +40,65 @@ def units_of(text: Column, kind: Column) -> Column:
     )
 
 
-def doc_unit_stats(docs: DataFrame, group_cols: Sequence[str]) -> DataFrame:
-    """Per document: method, bytes and the unit counts its method may need."""
+def _counts(method: Column, text: Column) -> list[Column]:
+    """The unit counts that a method may need, for one row's text."""
+    syllable = method == KIND_SYLLABLE
+    plain = F.when(method == KIND_WHITESPACE, S.whitespace_unit_count(text)).when(method == KIND_CHARACTER, S.character_unit_count(text))
+    return [
+        plain.otherwise(F.lit(0)).cast("long").alias("n_plain"),
+        F.when(syllable, F.size(S.syllable_units(text))).otherwise(F.lit(0)).cast("long").alias("n_syl"),
+        F.when(syllable, F.size(S.character_units_without_tsheg(text))).otherwise(F.lit(0)).cast("long").alias("n_syl_chars"),
+    ]
+
+
+def _edges(method: Column, text: Column) -> dict[str, Column]:
+    """Syllable languages are cut at the outer tshegs; other texts are one row."""
+    cut, syllable = syllable_edges(text), method == KIND_SYLLABLE
+    return {
+        "head": F.when(syllable, cut["head"]).otherwise(F.lit("")),
+        "tail": F.when(syllable, cut["tail"]).otherwise(F.lit("")),
+        "whole": F.when(syllable, cut["whole"]).otherwise(F.lit(False)),
+    }
+
+
+def doc_unit_stats(docs: DataFrame, keep_cols: Sequence[str]) -> DataFrame:
+    """Per document: method, bytes, the unit counts of its body, and its edge strings (syllables)."""
     text = F.col("text")
     with_method = docs.select(
-        *group_cols, "doc_id", "text", S.segmentation_method(F.col("iso_code"), F.col("script")).alias("method")
+        *keep_cols, "doc_id", "text", S.segmentation_method(F.col("iso_code"), F.col("script")).alias("method")
     )
     method = F.col("method")
+    edges = _edges(method, text)
+    inner = F.when(method == KIND_SYLLABLE, body(text, edges)).otherwise(text)
     return with_method.select(
-        *group_cols,
-        "doc_id",
-        "method",
-        S.utf8_len(text).alias("n_bytes"),
-        F.when(method == KIND_WHITESPACE, S.whitespace_unit_count(text))
-        .when(method == KIND_CHARACTER, S.character_unit_count(text))
-        .otherwise(F.lit(0))
-        .cast("long")
-        .alias("n_plain"),
-        F.when(method == KIND_SYLLABLE, F.size(S.syllable_units(text))).otherwise(F.lit(0)).cast("long").alias("n_syl"),
-        F.when(method == KIND_SYLLABLE, F.size(S.character_units_without_tsheg(text)))
-        .otherwise(F.lit(0))
-        .cast("long")
-        .alias("n_syl_chars"),
+        *keep_cols, "doc_id", "method", S.utf8_len(text).alias("n_bytes"), *_counts(method, inner), *[c.alias(n) for n, c in edges.items()]
     )
 
 
+def _border_rows(edges: DataFrame, g: list[str], block_size: int) -> DataFrame:
+    return borders(edges.where(F.col("method") == KIND_SYLLABLE), g, block_size).withColumn("method", F.lit(KIND_SYLLABLE))
+
+
+def unit_row_stats(stats: DataFrame, group_cols: Sequence[str], block_size: int = DEFAULT_BLOCK_SIZE) -> DataFrame:
+    """``(group..., doc_id struct, method, n_plain, n_syl, n_syl_chars, border)``: rows that no unit reaches over.
+
+    A document's body has a NULL ``border`` (its text is read where it is sampled); a syllable that lies
+    between documents is a row of its own, with its text.
+    """
+    g = list(group_cols)
+    counts = ["n_plain", "n_syl", "n_syl_chars"]
+    bodies = stats.select(*g, row_key(F.col("doc_id"), 1).alias("doc_id"), "method", *counts, F.lit(None).cast("string").alias("border"))
+    between = borders(stats.where(F.col("method") == KIND_SYLLABLE), g, block_size).withColumn("method", F.lit(KIND_SYLLABLE))
+    return bodies.unionByName(between.select(*g, "doc_id", "method", *_counts(F.col("method"), F.col("text")), F.col("text").alias("border")))
+
+
+def bodies_of(docs: DataFrame, group_cols: Sequence[str]) -> DataFrame:
+    """``(group..., doc_id struct, text)``: the body of each document (all of it but for syllable languages)."""
+    text, method = F.col("text"), S.segmentation_method(F.col("iso_code"), F.col("script"))
+    inner = F.when(method == KIND_SYLLABLE, body(text, _edges(method, text))).otherwise(text)
+    return docs.select(*group_cols, row_key(F.col("doc_id"), 1).alias("doc_id"), inner.alias("text"))
+
+
 def unit_kind(method: Column, n_syl_total: Column) -> Column:
     return (
         F.when(method != KIND_SYLLABLE, method)
@@ -71,15 +107,13 @@ def unit_kind(method: Column, n_syl_total: Column) -> Column:
     )
 
 
-def doc_units(stats: DataFrame, kinds: DataFrame, group_cols: Sequence[str]) -> DataFrame:
-    """Per document: the unit count under the language's final unit kind."""
-    joined = stats.join(F.broadcast(kinds.select(*group_cols, "unit_kind")), list(group_cols), "inner")
-    n = (
-        F.when(F.col("unit_kind") == KIND_SYLLABLE, F.col("n_syl"))
-        .when(F.col("unit_kind") == KIND_SYLLABLE_CHARS, F.col("n_syl_chars"))
-        .otherwise(F.col("n_plain"))
-    )
-    return joined.select(*group_cols, "doc_id", "unit_kind", n.alias("n_units"))
+def doc_units(rows: DataFrame, langs: DataFrame, group_cols: Sequence[str]) -> DataFrame:
+    """Per row: its unit kind (syllables only if the group has enough of them) and unit count."""
+    joined = rows.join(F.broadcast(langs.select(*group_cols, "syllables")), list(group_cols), "inner")  # one row per group
+    syllable = F.col("method") == KIND_SYLLABLE
+    kind = F.when(~syllable, F.col("method")).when(F.col("syllables"), F.lit(KIND_SYLLABLE)).otherwise(F.lit(KIND_SYLLABLE_CHARS))
+    n = F.when(~syllable, F.col("n_plain")).when(F.col("syllables"), F.col("n_syl")).otherwise(F.col("n_syl_chars"))
+    return joined.select(*group_cols, "doc_id", kind.alias("unit_kind"), n.alias("n_units"), "border")
 
 
 def even_sample_step(total: Column, max_items: int) -> Column:
@@ -95,9 +129,9 @@ def sampled_units(
     max_units: int | None = DEFAULT_UNIT_SAMPLE,
     block_size: int = DEFAULT_BLOCK_SIZE,
 ) -> DataFrame:
-    """``(group_cols..., upos, unit)``: the positional even sample of each language's units.
+    """``(group_cols..., upos, unit)``: the positional even sample of each group's units.
 
-    ``per_doc`` = ``(group_cols, doc_id, unit_kind, n_units)``; ``lang_totals`` =
+    ``docs`` = a text source; ``per_doc`` = ``(group_cols, doc_id, unit_kind, n_units)``; ``lang_totals`` =
     ``(group_cols, total_units)``.  Only documents holding a sampled position are re-read,
     and their unit arrays are filtered by position before anything is exploded.
     ``max_units=None`` keeps every unit.
@@ -117,10 +151,12 @@ def sampled_units(
     keep_doc = (F.col("n_units") > 0) & (first < F.col("u_off") + F.col("n_units"))
     if limit is not None:
         keep_doc = keep_doc & (F.expr("(u_off + step - 1) div step") < F.lit(limit))
-    chosen = sel.where(keep_doc).select(*g, "doc_id", "unit_kind", "u_off", "step")
+    chosen = sel.where(keep_doc).select(*g, "doc_id", "unit_kind", "u_off", "step", "border")
     # at most max_units documents per group when sampling, so the broadcast is bounded
     chosen_b = F.broadcast(chosen) if limit is not None else chosen
-    texts = docs.select(*g, "doc_id", "text").join(chosen_b, [*g, "doc_id"], "inner")
+    texts = bodies_of(docs, g).join(chosen_b.where(F.col("border").isNull()).drop("border"), [*g, "doc_id"], "inner")
+    between = chosen.where(F.col("border").isNotNull()).withColumnRenamed("border", "text")
+    texts = texts.unionByName(between.select(*texts.columns))
     units = units_of(F.col("text"), F.col("unit_kind"))
 
     def keep(_u, i):

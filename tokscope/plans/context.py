@@ -12,13 +12,13 @@ from ..sources import text as src
 
 ROUND = 6
 
-_VOCABS: dict[tuple[int, str], Vocab] = {}
-_CACHE: dict[tuple[int, str, str], DataFrame] = {}
+_VOCABS: dict[tuple[str, str], Vocab] = {}
+_CACHE: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def shared(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     """A derived table built once per (session, folder) and written to the checkpoint folder."""
-    key = (id(spark), sf_dir, name)
+    key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _CACHE:
         _CACHE[key] = materialize(build())
     return _CACHE[key]
@@ -30,23 +30,32 @@ def tokenizers() -> list[NativeTokenizer]:
 
 def vocab(spark: SparkSession, sf_dir: str) -> Vocab:
     """Vocabulary learned from ``benchmark`` once per (session, folder)."""
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _VOCABS:
         _VOCABS[key] = learn_vocab(src.training_text(spark, sf_dir), tokenizers())
     return _VOCABS[key]
 
 
-_SOURCES: dict[tuple[int, str, str], DataFrame] = {}
+_SOURCES: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents text source, built once per (session, folder) so that queries share it."""
-    key = (id(spark), sf_dir, "documents")
+    key = (spark.sparkContext.applicationId, sf_dir, "documents")
     if key not in _SOURCES:
         _SOURCES[key] = src.documents(spark, sf_dir)
     return _SOURCES[key]
 
 
+def release() -> None:
+    """Forget the derived tables of all sessions (their files stay in the shared folder)."""
+    for v in _VOCABS.values():
+        v.words.unpersist()
+        v.chars.unpersist()
+    for cache in (_VOCABS, _CACHE, _SOURCES):
+        cache.clear()
+
+
 def rounded(df: DataFrame, digits: int = ROUND) -> DataFrame:
     """Round every double column, so that both sides of the oracle compare equal."""
     cols = [

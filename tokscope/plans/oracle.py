@@ -16,9 +16,9 @@ from ..sources.text import LANGUAGE_CODES, UNKNOWN_SCRIPT
 
 ROUND = 6
 DOUBLE_METRICS = {"bytes_per_token", "subword_fertility", "word_split_pct", "continuation_token_pct", "continued_word_rate"}
+# The whole text of a language as one string, so that the oracle never sees a document's end.
 SEP_DOCS = """sdocs AS (
-  SELECT d.lang_key, d.doc_id, CASE WHEN d.doc_id = l.first_doc THEN d.text ELSE chr(10) || d.text END AS text
-  FROM docs d JOIN langs l USING (lang_key)
+  SELECT lang_key, min(doc_id) AS doc_id, string_agg(text, chr(10) ORDER BY doc_id) AS text FROM docs GROUP BY lang_key
 )"""
 
 
@@ -226,6 +226,21 @@ SELECT tokenizer, lang_key, iso_code, script, language, source, segmentation_met
 FROM metrics"""
 
 
+def by_origin_cte() -> str:
+    """``docs`` keyed by the origin of each document (its ``source`` column) over all languages."""
+    return """docs AS (
+  SELECT source AS lang_key, 'eng' AS iso_code, 'Latn' AS script, '' AS language, '' AS source, doc_id, text
+  FROM documents WHERE text IS NOT NULL AND text <> ''
+)"""
+
+
+def language_metrics_by_source_sql() -> str:
+    ctes = language_metrics_ctes()
+    return "WITH " + ",\n".join([by_origin_cte(), *ctes[1:]]) + f"""
+SELECT tokenizer, lang_key AS source, total_bytes, total_tokens, unique_tokens, {rnd('bytes_per_token')} AS bytes_per_token,
+       total_units, {rnd('subword_fertility')} AS subword_fertility, {rnd('word_split_pct')} AS word_split_pct FROM metrics"""
+
+
 def language_metrics_ctes(toks=None, max_units: int | None = DEFAULT_UNIT_SAMPLE, with_code: bool = False) -> list[str]:
     toks = toks or default_tokenizers()
     sep_docs = SEP_DOCS

@@ -35,6 +35,15 @@ def q_language_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.rounded(M.language_metrics(C.documents(spark, sf_dir), C.vocab(spark, sf_dir)))
 
 
+@register("language_metrics_by_source", lambda: O.language_metrics_by_source_sql())
+def q_language_metrics_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A10/D2 for another grouping: the metrics of each origin, over the documents of all its languages."""
+    from ..sources import text as T
+
+    m = M.language_metrics(T.documents(spark, sf_dir, "origin"), C.vocab(spark, sf_dir), ["source"])
+    return C.rounded(m.select("tokenizer", "source", "total_bytes", "total_tokens", "unique_tokens", "bytes_per_token", "total_units", "subword_fertility", "word_split_pct"))
+
+
 # --- slim metric projections (A1-A9) ------------------------------------------------
 
 

@@ -181,7 +181,12 @@ def q_fallback_text(spark, sf_dir):
 @register("quarantine", lambda: OC.quarantine_sql())
 def q_quarantine(spark, sf_dir):
     """Per (source, language) validation; failing languages go to the error side."""
-    return CO.quarantine(C.documents(spark, sf_dir).unionByName(T.conversations(spark, sf_dir)).unionByName(CAT.code_sources(spark, sf_dir)))
+    # the sources' document keys differ in type, and only their texts matter here
+    parts = [C.documents(spark, sf_dir), T.conversations(spark, sf_dir), CAT.code_sources(spark, sf_dir)]
+    first, *others = [p.drop("doc_id") for p in parts]
+    for p in others:
+        first = first.unionByName(p)
+    return CO.quarantine(first)
 
 
 # --- pytest-planned scalar keys, run over the whole documents table --------------------------

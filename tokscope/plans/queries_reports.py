@@ -17,6 +17,7 @@ from ..sources import catalog as CAT
 from ..sources import text as T
 from . import context as C
 from . import oracle as O
+from . import oracle_catalog as OC
 from . import oracle_reports as OR
 from .queries import register
 
@@ -29,12 +30,13 @@ PREFERRED_TOKENIZERS = ["words", "gpt2"]
 PIVOT_LANGS = ["eng-Latn", "fra-Latn", "deu-Latn", "spa-Latn", "html-code", "kor-Hang"]
 PIVOT_TOKENIZERS = ["words", "chars", "bytes"]
 BASELINE = "bytes"
+STREAM_BUDGET_BYTES = 60_000
 FIRST_COLUMNS = ["tokens_with_latin_unicode_pct", "tokens_starting_with_space_pct", "tokens_without_leading_space_pct"]
 # ---------------------------------------------------------------------------
 
 
 def all_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = (id(spark), sf_dir, "all_sources")
+    key = (spark.sparkContext.applicationId, sf_dir, "all_sources")
     if key not in C._SOURCES:
         C._SOURCES[key] = C.documents(spark, sf_dir).unionByName(CAT.code_sources(spark, sf_dir))
     return C._SOURCES[key]
@@ -384,8 +386,25 @@ def q_stream_global_metrics(spark, sf_dir):
     name = f"global_metrics_{uuid.uuid4().hex[:12]}"
     schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
     state = os.path.join(base, name + "-state")
-    q = ST.start_global_metrics_stream(
-        spark, sf_dir, schema, C.vocab(spark, sf_dir), os.path.join(base, name), name, state, glob="documents.parquet"
-    )
+    folder, glob = ST.table_folder(spark, f"{sf_dir}/documents.parquet")
+    q = ST.start_global_metrics_stream(spark, folder, schema, C.vocab(spark, sf_dir), os.path.join(base, name), name, state, glob=glob)
     q.awaitTermination()
     return C.rounded(ST.counters_to_long(ST.read_counters(spark, state)))
+
+
+@register("stream_budget", lambda: OC.byte_budget_sql(STREAM_BUDGET_BYTES))
+def q_stream_budget(spark, sf_dir):
+    """The byte-budgeted documents, taken by a streaming query that carries its totals between micro-batches.
+
+    Equal to W1 where the files arrive in ``doc_id`` order.
+    """
+    from ..streaming import stream as ST
+
+    base = ensure_checkpoint_dir(spark)
+    name = f"budget_{uuid.uuid4().hex[:12]}"
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    state = f"{base}/{name}-state"
+    folder, glob = ST.table_folder(spark, f"{sf_dir}/documents.parquet")
+    ST.start_budget_stream(spark, folder, schema, STREAM_BUDGET_BYTES, f"{base}/{name}", state, glob=glob, with_text=True).awaitTermination()
+    rows = spark.read.schema("lang_key string, doc_id long, text string, n_bytes long, bytes_before long").option("recursiveFileLookup", True).parquet(state)
+    return rows.select("lang_key", "doc_id", "n_bytes", "bytes_before")

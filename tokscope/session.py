@@ -22,6 +22,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # the test tables are files of one row group: deal them out to the cores
+        .config("tokscope.input.partitions", str(cores) if str(cores).isdigit() else "8")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -30,20 +32,20 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's checkpoint folder; set a scratch one only when none is configured.
+    """The session's shared folder, from ``spark.checkpoint.dir``.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as is.  Only a
-    session without it (tests, local benches) gets a fresh folder of its own.
+    Where it is unset, a session with a local master gets a scratch folder of its own (tests, benches);
+    on a cluster there is no folder that all executors share, so this fails.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
-    if current:
-        return current
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+    conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not conf_dir:
+        if not (sc.master.startswith("local[") or sc.master == "local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf_dir = tempfile.mkdtemp(prefix="tokscope-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", conf_dir)
-    sc.setCheckpointDir(conf_dir)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(conf_dir)
     return conf_dir
 
 

@@ -126,7 +126,7 @@ def code_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         parts.append(F.struct(F.lit(name).alias("lang"), text.alias("text")))
     rows = pg.select("page_id", F.inline(F.array(*parts))).where(T.non_empty(F.col("text")))
     iso = F.col("lang")
-    return T.spread(
+    return T.dealt(
         rows.select(
             T.lang_key(iso, F.lit("code"), F.lit("starcoder")).alias("lang_key"),
             iso.alias("iso_code"),

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import os
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,34 +35,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
-# Spread copies of small inputs are kept in memory/disk below this estimated size.
-SMALL_INPUT_BYTES = 1 << 30
+#: Session setting: deal every text source out to so many partitions by its document key.
+PARTITIONS = "tokscope.input.partitions"
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of ``df`` (file sizes for scans)."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - no estimate: treat as large
-        return 1 << 62
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """``df`` as scanned, or dealt out by ``key`` if the caller has set PARTITIONS for the session.
 
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-spread a scan that yields fewer partitions than there are cores.
-
-    Small inputs stored as one unsplittable row group would otherwise run every per-row
-    operator (regex, explode, joins) in one task.  Large inputs already scan into many
-    partitions and are left as they are, so no shuffle of the full text is added at scale.
-    A spread copy whose estimated size is below ``SMALL_INPUT_BYTES`` is persisted, so later
-    stages do not shuffle it again.
+    Files of one row group scan into one task; a caller who knows that (a local test or bench) sets
+    the number.  On a cluster it stays unset and no text is shuffled.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    out = df.repartition(cores, key)
-    if estimated_bytes(df) < SMALL_INPUT_BYTES:
-        out = out.persist(StorageLevel.MEMORY_AND_DISK)
-    return out
+    n = df.sparkSession.conf.get(PARTITIONS, None)
+    return df.repartition(int(n), key) if n else df
 
 
 def language_codes(spark: SparkSession) -> DataFrame:
@@ -89,10 +72,10 @@ def documents(spark: SparkSession, sf_dir: str, group: str = "lang") -> DataFram
 
     ``group='lang'`` keys rows by language; ``group='lang_source'`` keys them by language and
     origin (``source`` column), which turns every (language, origin) pair into its own
-    benchmark row.
+    benchmark row; ``group='origin'`` keeps the language key and carries the origin as ``source``.
     """
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return spread(documents_from(docs, group), "doc_id")
+    return dealt(documents_from(docs, group), "doc_id")
 
 
 def documents_from(docs: DataFrame, group: str = "lang") -> DataFrame:
@@ -108,6 +91,8 @@ def documents_from(docs: DataFrame, group: str = "lang") -> DataFrame:
     if group == "lang_source":
         key = F.concat(key, F.lit("/"), F.col("source"))
         name = F.concat(name, F.lit(" ["), F.col("source"), F.lit("]"))
+    elif group == "origin":
+        src = F.col("source")
     elif group != "lang":
         raise ValueError(f"unknown grouping {group!r}")
     return joined.select(
@@ -122,20 +107,17 @@ def documents_from(docs: DataFrame, group: str = "lang") -> DataFrame:
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``conversations`` as one text source keyed by role; order = (conv_id, turn).
-
-    The numeric order key packs ``conv_id`` and ``turn``; turns are below 2**20.
-    """
+    """``conversations`` as one text source keyed by role; ``doc_id`` is the struct (conv_id, turn)."""
     conv = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     iso = F.lit("und")
     script = F.lit(UNKNOWN_SCRIPT)
-    return spread(conv.where(non_empty(F.col("text"))).select(
+    return dealt(conv.where(non_empty(F.col("text"))).select(
         F.concat(lang_key(iso, script, F.lit("conversations")), F.lit("/"), F.col("role")).alias("lang_key"),
         iso.alias("iso_code"),
         script.alias("script"),
         F.concat(F.lit("Conversation ("), F.col("role"), F.lit(")")).alias("language"),
         F.lit("conversations").alias("source"),
-        (F.col("conv_id") * F.lit(1 << 20) + F.col("turn")).alias("doc_id"),
+        F.struct("conv_id", "turn").alias("doc_id"),
         F.col("text"),
     ), "doc_id")
 
@@ -145,7 +127,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     pg = read_table(spark, sf_dir, "pages").select("page_id", "html")
     iso = F.lit("html")
     src = F.lit("starcoder")
-    return spread(pg.where(non_empty(F.col("html"))).select(
+    return dealt(pg.where(non_empty(F.col("html"))).select(
         lang_key(iso, F.lit("code"), src).alias("lang_key"),
         iso.alias("iso_code"),
         F.lit("code").alias("script"),

@@ -17,9 +17,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import unicode_classes as uc
 from ..operators.encode import token_counts, token_stream
+from ..operators.prefix import exclusive_prefix_sums
 from ..operators.tokens import annotated_vocab
 from ..operators.tokenizers import Vocab
-from ..sources.text import non_empty, spread
+from ..sources.text import dealt, documents_from, non_empty
 
 COUNT_COLUMNS = ("total", "space", "inner", "overlap", *[f"script_{label}" for label in uc.SCRIPT_LABELS])
 
@@ -102,7 +103,7 @@ def start_global_metrics_stream(
     )
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        counts = document_token_counts(spread(batch.select("doc_id", "text"), "doc_id"), vocab)
+        counts = document_token_counts(dealt(batch.select("doc_id", "text"), "doc_id"), vocab)
         part = counters(counts, vocab)
         part.write.mode("overwrite").parquet(f"{state}/batch_id={batch_id}")
 
@@ -127,17 +128,15 @@ def start_budget_stream(
     state: str,
     glob: str = "*.parquet",
     max_files_per_trigger: int = 1,
+    with_text: bool = False,
 ) -> StreamingQuery:
     """Keep documents of each language while the bytes kept before them stay below the budget.
 
     Each micro-batch continues the running total from the bytes already kept (read from
     ``state``); rows are written under ``<state>/batch_id=<n>`` (overwrite: replay-safe).  With
-    files arriving in ``doc_id`` order this equals the batch budget (W1).
+    files arriving in ``doc_id`` order this equals the batch budget (W1).  ``with_text`` writes the
+    documents' texts too.
     """
-    from pyspark.sql import Window
-
-    from ..sources.text import documents_from
-
     src = (
         spark.readStream.schema(schema)
         .option("maxFilesPerTrigger", max_files_per_trigger)
@@ -146,18 +145,17 @@ def start_budget_stream(
     )
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        slim = documents_from(batch.select("doc_id", "text", "lang", "source")).select(
-            "lang_key", "doc_id", F.octet_length("text").cast("long").alias("n_bytes")
-        )
+        docs = documents_from(batch.select("doc_id", "text", "lang", "source"))
+        slim = docs.select("lang_key", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"))
         prev = kept_totals(spark, state, exclude_batch=batch_id)
-        # one micro-batch per window task: bounded by maxFilesPerTrigger
-        w = Window.partitionBy("lang_key").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-        rows = slim.join(F.broadcast(prev), "lang_key", "left").withColumn(
-            "bytes_before", F.coalesce(F.col("kept_bytes"), F.lit(0)) + F.coalesce(F.sum("n_bytes").over(w), F.lit(0))
+        placed, _ = exclusive_prefix_sums(slim, ["lang_key"], "doc_id", {"in_batch": "n_bytes"}, below=target_bytes)
+        rows = placed.join(F.broadcast(prev), "lang_key", "left").withColumn(  # one row per language
+            "bytes_before", F.coalesce(F.col("kept_bytes"), F.lit(0)) + F.col("in_batch")
         )
-        rows.where(F.col("bytes_before") < F.lit(target_bytes)).select("lang_key", "doc_id", "n_bytes", "bytes_before").write.mode(
-            "overwrite"
-        ).parquet(f"{state}/batch_id={batch_id}")
+        kept = rows.where(F.col("bytes_before") < F.lit(target_bytes)).select("lang_key", "doc_id", "n_bytes", "bytes_before")
+        if with_text:
+            kept = docs.select("lang_key", "doc_id", "text").join(F.broadcast(kept), ["lang_key", "doc_id"])  # at most the budget's rows
+        kept.write.mode("overwrite").parquet(f"{state}/batch_id={batch_id}")
 
     return (
         src.writeStream.foreachBatch(per_batch)
@@ -169,26 +167,41 @@ def start_budget_stream(
 
 def kept_totals(spark: SparkSession, state: str, exclude_batch: int | None = None) -> DataFrame:
     """``(lang_key, kept_bytes)`` over the kept rows written so far (one row per language)."""
-    import os
-
-    empty = spark.createDataFrame([], "lang_key string, kept_bytes long")
-    if not os.path.isdir(state) or not any(n.startswith("batch_id=") for n in os.listdir(state)):
-        return empty
-    kept = spark.read.parquet(state)
+    kept = spark.read.schema(KEPT).option("recursiveFileLookup", "true").parquet(state) if folder_exists(spark, state) else None
+    if kept is None:
+        return spark.createDataFrame([], "lang_key string, kept_bytes long")
     if exclude_batch is not None:
-        kept = kept.where(F.col("batch_id") != exclude_batch)
+        of_batch = F.regexp_extract(F.col("_metadata.file_path"), r"/batch_id=(\d+)/", 1)
+        kept = kept.where(of_batch != F.lit(str(exclude_batch)))
     return kept.groupBy("lang_key").agg(F.sum("n_bytes").cast("long").alias("kept_bytes"))
 
 
+KEPT = "lang_key string, n_bytes long"
+
+
+def table_folder(spark: SparkSession, path: str) -> tuple[str, str]:
+    """(folder, glob) that a stream of the table at ``path`` reads, be it one file or a folder of files."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(hadoop).isDirectory():
+        return path, "*.parquet"
+    return hadoop.getParent().toString(), hadoop.getName()
+
+
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    """Whether the folder exists, asked of the file system that the path names."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 def run_until_budget(query: StreamingQuery, spark: SparkSession, state: str, target_bytes: int, languages: int, poll: float = 0.5) -> None:
     """Early stop: stop the stream once ``languages`` languages have reached the budget."""
     while query.isActive:
         query.awaitTermination(poll)
         if not query.isActive:
             break
-        try:
-            done = kept_totals(spark, state).where(F.col("kept_bytes") >= target_bytes).count()
-        except Exception:  # noqa: BLE001 - a micro-batch is still writing its folder: check again
+        if query.lastProgress is None:  # no micro-batch has ended yet
             continue
+        # only folders of ended micro-batches: the running one is left out
+        done = kept_totals(spark, state, exclude_batch=query.lastProgress["batchId"] + 1).where(F.col("kept_bytes") >= target_bytes).count()
         if done >= languages:
             query.stop()
