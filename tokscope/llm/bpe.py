@@ -2,7 +2,8 @@
 
 1. Split: each task cuts its documents into words as the tokenizer's own normalizer and pre-tokenizer do, and
    packs them into blocks of up to BLOCK_CHARS characters: the block's distinct words, and for each document
-   the positions as codes into them.  The blocks are written once to the shared checkpoint folder.
+   the positions as codes into them.  The blocks are written once to the shared checkpoint folder, in buckets by
+   block, so that the codes never move again.
 2. Distinct words: the words of all blocks are dealt out by word, so all uses of a word meet in one task, which
    encodes each word once.  A word has at most one row per block, so a frequent word is no hot key.
 3. Join back: the ids return to their blocks by block id, and the codes put them in place.
@@ -31,9 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, map_arrow, table, texts, written
+from .common import batch, map_arrow, table, texts, written_by
 
-BLOCK_CHARS = 1 << 25
+BLOCK_CHARS = 1 << 24
 #: Words that an encoding task holds before it sends them on.
 CHUNK_WORDS = 200_000
 
@@ -213,7 +214,7 @@ def encode(docs: DataFrame, tokenizer: str | None = None, block_chars: int = BLO
         spec = f.read()
     tok = load(spec)
     pieces = [tok.id_to_token(i) for i in range(tok.get_vocab_size(with_added_tokens=True))]
-    cut = written(blocks(docs, spec, block_chars), "bpe-blocks")
+    cut = written_by(blocks(docs, spec, block_chars), "bpe-blocks", "block")
     ids = encoded_words(cut, spec)
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -41,6 +41,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_by(df: DataFrame, name: str, column: str) -> DataFrame:
+    """Like ``written``, in buckets by ``column``: operators that need its values together need no shuffle of it.
+
+    The table's name is dropped from the catalog at once; its files stay in the shared folder.
+    """
+    spark = df.sparkSession
+    unique = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{unique}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, column).option("path", path).option("compression", "zstd").saveAsTable(unique)
+    out = spark.table(unique)
+    out.schema  # noqa: B018 - resolves the files before the name goes
+    spark.sql(f"DROP TABLE {unique}")
+    return out
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """``mapInArrow`` with batches of at most BATCH_ROWS rows."""
     conf = df.sparkSession.conf
