@@ -72,11 +72,11 @@ def test_utf8_slice_matches_errors_ignore(spark):
     assert got == [data[a:b].decode("utf-8", errors="ignore") for a, b in cases]
 
 
-def test_snippet_start_matches_python_random():
-    import pandas as pd
-
+def test_snippet_offset_matches_python_random(spark):
     seeds, totals = [3674004633026330627, 1, 2**63 + 5, 7], [10_000_000, 200, 4500, 4396]
-    got = list(SN.snippet_start.func(pd.Series([str(s) for s in seeds]), pd.Series(totals)))
+    df = spark.createDataFrame([(i, str(s), t) for i, (s, t) in enumerate(zip(seeds, totals))], "i int, s string, t long")
+    off = SN.snippet_offset(F.col("s").cast("decimal(20,0)"), F.col("t"))
+    got = [r[1] for r in sorted(df.select("i", off).collect())]
     exp = []
     for s, t in zip(seeds, totals):
         if t <= 300:
@@ -86,6 +86,8 @@ def test_snippet_start_matches_python_random():
         hi = t - 300
         exp.append(hi if lo >= hi else random.Random(s).randint(lo, hi))
     assert got == exp
+    drawn = df.select("i", SN.snippet_offset(F.col("s").cast("decimal(20,0)"), F.col("t"), "modulo")).collect()
+    assert [r[1] for r in sorted(drawn)] == [4096 + seeds[0] % (10_000_000 - 300 - 4096 + 1), 0, 4096 + seeds[2] % 105, seeds[3] % 4097]
 
 
 def test_seed_matches_sha1(spark):

@@ -84,3 +84,16 @@ def test_random_strings_match_python(spark):
         assert r["b"] == bool(t.strip() and any(c.isspace() for c in t.strip()))
         assert r["c"] == len([c for c in t if not c.isspace() and c.isprintable()])
         assert r["w"] == len(t.split())
+
+
+def test_character_database_version():
+    """Class sizes at the committed version; a new Python brings a new database, and this test must be looked at."""
+    import unicodedata
+
+    assert unicodedata.unidata_version == uc.UNICODE_VERSION
+    sizes = {label: sum(b - a + 1 for a, b in uc._tables()[label]) for label in uc.SCRIPT_LABELS}
+    assert sizes == SIZES
+
+
+#: Code points per label at UNICODE_VERSION.
+SIZES = {'Korean': 11677, 'Japanese': 287, 'Chinese': 98809, 'Latin': 1373, 'Cyrillic': 505, 'Arabic': 1133, 'Devanagari': 143, 'Thai': 64, 'Hebrew': 127, 'Greek': 353, 'Punctuation': 832, 'Symbols': 8928, 'Numbers': 1781}

@@ -33,6 +33,10 @@ SYMBOL_NAME_KEYWORDS: tuple[str, ...] = ("MATHEMATICAL", "DOUBLE-STRUCK")
 CATEGORY_LABELS: tuple[tuple[str, str], ...] = (("P", "Punctuation"), ("S", "Symbols"), ("N", "Numbers"))
 # ---------------------------------------------------------------------------
 
+#: Version of the character database that the registered results were made with.  Another version may label
+#: newly assigned characters; ``tests/test_unicode.py`` says so before results change unseen.
+UNICODE_VERSION = "15.1.0"
+
 #: Output order of script labels everywhere in the library.
 SCRIPT_LABELS: tuple[str, ...] = tuple(label for label, _ in SCRIPT_NAME_KEYWORDS) + (
     "Punctuation",
@@ -52,22 +56,24 @@ def _code_points():
         yield cp
 
 
-def _label_of(ch: str, cat: str | None = None) -> str | None:
-    """Script label of one non-space character by the name/category rule, or None."""
-    if cat is None:
-        cat = unicodedata.category(ch)
-    if cat in ("Cn", "Co", "Cs"):  # unassigned, private use, surrogate: no name, no label
-        return None
-    name = unicodedata.name(ch, "")
-    if any(k in name for k in SYMBOL_NAME_KEYWORDS):
-        return "Symbols"
-    for prefix, label in CATEGORY_LABELS:
-        if cat.startswith(prefix):
-            return label
-    for label, keywords in SCRIPT_NAME_KEYWORDS:
-        if any(k in name for k in keywords):
-            return label
-    return None
+@functools.lru_cache(maxsize=1)
+def _label_sets() -> dict[str, set[int]]:
+    """Code points of each label: one set for each test, and each label keeps what the earlier ones left."""
+    names, first_letters = {}, {}
+    for cp in _code_points():
+        ch = chr(cp)
+        category = unicodedata.category(ch)
+        if category not in ("Cn", "Co") and not ch.isspace():  # the others have no name and no label
+            names[cp], first_letters[cp] = unicodedata.name(ch, ""), category[0]
+    having = lambda words: {cp for cp, name in names.items() if any(w in name for w in words)}
+    tests = [("Symbols", having(SYMBOL_NAME_KEYWORDS))]
+    tests += [(label, {cp for cp, c in first_letters.items() if c == letter}) for letter, label in CATEGORY_LABELS]
+    tests += [(label, having(words)) for label, words in SCRIPT_NAME_KEYWORDS]
+    left, out = set(names), {label: set() for label in SCRIPT_LABELS}
+    for label, found in tests:
+        out[label] |= found & left
+        left -= found
+    return out
 
 
 def _ranges(cps: list[int]) -> list[tuple[int, int]]:
@@ -107,7 +113,6 @@ def _tables() -> dict[str, list[tuple[int, int]]]:
     ws: list[int] = []
     nonprint: list[int] = []
     printable: list[int] = []
-    by_label: dict[str, list[int]] = {label: [] for label in SCRIPT_LABELS}
     for cp in _code_points():
         ch = chr(cp)
         if ch.isspace():
@@ -121,12 +126,9 @@ def _tables() -> dict[str, list[tuple[int, int]]]:
             nonprint.append(cp)
         else:
             printable.append(cp)
-        label = _label_of(ch, cat)
-        if label is not None:
-            by_label[label].append(cp)
     tables = {"WS": _ranges(ws), "NONPRINT": _ranges(nonprint), "PRINTABLE": _ranges(printable)}
-    for label, cps in by_label.items():
-        tables[label] = _ranges(cps)
+    for label, cps in _label_sets().items():
+        tables[label] = _ranges(sorted(cps))
     return tables
 
 
@@ -197,12 +199,6 @@ def words_piece_pattern() -> str:
 
 
 def py_scripts(text: str) -> set[str]:
-    """Plain-Python statement of the script rule, for tests and tiny driver-side checks."""
-    out: set[str] = set()
-    for ch in text or "":
-        if ch.isspace():
-            continue
-        label = _label_of(ch)
-        if label is not None:
-            out.add(label)
-    return out
+    """Labels of a text's characters, for tests and tiny driver-side checks."""
+    points = {ord(c) for c in text or ""}
+    return {label for label, cps in _label_sets().items() if points & cps}

@@ -62,7 +62,7 @@ def encode_pieces(p: DataFrame, vocab: Vocab, keys: Sequence[str]) -> DataFrame:
     )
     p = p.select(*keys, "tokenizer", *pos, F.posexplode(items).alias("cidx", "it"))
     p = p.select(*keys, "tokenizer", *pos, "cidx", F.col("it.id").alias("wid"), F.col("it.ch").alias("ch"))
-    p = p.join(F.broadcast(vocab.chars), ["tokenizer", "ch"], "left")
+    p = p.join(vocab.chars_for_join(), ["tokenizer", "ch"], "left")
     byte_ids = F.when(F.col("wid").isNull() & F.col("char_id").isNull(), utf8_bytes_of_char(F.col("ch")))
     p = p.select(*keys, "tokenizer", *pos, "cidx", "wid", "char_id", F.posexplode_outer(byte_ids).alias("bidx", "byte"))
     return p.select(

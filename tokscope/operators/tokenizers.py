@@ -32,8 +32,8 @@ N_BYTES = 256
 WORDS_SCHEMA = "tokenizer string, piece string, ids array<int>"
 CHARS_SCHEMA = "tokenizer string, ch string, char_id int"
 CHAR_PATTERN = "(?s)."
-# Upper bound on table rows that may be broadcast to every task.
-MAX_BROADCAST_SLOTS = 1_000_000
+# Table rows that are broadcast to every task at most; larger tables are joined with a shuffle.
+BROADCAST_SLOTS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -48,8 +48,6 @@ class NativeTokenizer:
     def __post_init__(self):
         if self.char_slots < 0 or self.word_slots < 0:
             raise ValueError("slot counts must be >= 0")
-        if self.char_slots + self.word_slots > MAX_BROADCAST_SLOTS:
-            raise ValueError(f"{self.name}: tables above {MAX_BROADCAST_SLOTS} rows are not broadcast-safe")
 
     @property
     def char_base(self) -> int:
@@ -109,7 +107,12 @@ class Vocab:
     words_bounded: bool = True  # False: the word table grows with the corpus and is never broadcast
 
     def words_for_join(self) -> DataFrame:
-        return F.broadcast(self.words) if self.words_bounded else self.words
+        fits = self.words_bounded and sum(t.word_slots for t in self.tokenizers) <= BROADCAST_SLOTS
+        return F.broadcast(self.words) if fits else self.words
+
+    def chars_for_join(self) -> DataFrame:
+        fits = sum(t.char_slots for t in self.tokenizers) <= BROADCAST_SLOTS
+        return F.broadcast(self.chars) if fits else self.chars
 
     def decoded(self, spark: SparkSession) -> DataFrame:
         """J3 target: ``(tokenizer, token_id, token_text)`` for every id below the vocab size.
@@ -133,9 +136,8 @@ class Vocab:
         bos = F.create_map(*[x for t in self.tokenizers if t.bos for x in (F.lit(t.name), F.lit(t.bos_id))]) if any(
             t.bos for t in self.tokenizers
         ) else None
-        joined = all_ids.join(F.broadcast(words), ["tokenizer", "token_id"], "left").join(
-            F.broadcast(chars), ["tokenizer", "token_id"], "left"
-        )
+        # one row per id on all sides: the planner picks the joins by size
+        joined = all_ids.join(words, ["tokenizer", "token_id"], "left").join(chars, ["tokenizer", "token_id"], "left")
         byte_text = F.when(F.col("token_id") < 128, F.chr(F.col("token_id")))
         text = F.coalesce(F.col("w_text"), F.col("c_text"), byte_text)
         if bos is not None:

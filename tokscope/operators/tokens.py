@@ -232,7 +232,7 @@ def even_sample_tokens(
         ch = F.substring(F.col("text"), F.col("rel").cast("int") + 1, 1)
         byte = F.conv(F.hex(F.substring(F.encode("text", "UTF-8"), F.col("rel").cast("int") + 1, 1)), 16, 10).cast("int")
         e = e.select("tokenizer", *g, "has_table", (F.col("start") + F.col("rel")).alias("tpos"), F.when(F.col("has_table"), ch).alias("ch"), byte.alias("byte"))
-        e = e.join(F.broadcast(vocab.chars), ["tokenizer", "ch"], "left")
+        e = e.join(vocab.chars_for_join(), ["tokenizer", "ch"], "left")
         direct_hits = e.select(
             "tokenizer", *g, F.col("tpos").cast("long"), F.when(F.col("has_table"), F.col("char_id")).otherwise(F.col("byte")).alias("token_id")
         )

@@ -278,6 +278,33 @@ splits AS (
     return ctes
 
 
+def snippet_sql() -> str:
+    """WITH-list ending in ``snip(lang_key, byte_offset, text)``: bytes of the joined text, broken ends dropped."""
+    from ..operators.snippet import MIN_SKIP_BYTES, SNIPPET_BYTES
+
+    n, skip = SNIPPET_BYTES, MIN_SKIP_BYTES
+    return "WITH " + ",\n".join([
+        documents_cte(),
+        SEP_DOCS,
+        f"""seeds AS (
+  SELECT lang_key, CAST('0x' || substr(sha1(iso_code || ':' || script), 1, 16) AS UBIGINT) AS seed
+  FROM (SELECT DISTINCT lang_key, iso_code, script FROM docs)
+),
+spans AS (
+  SELECT lang_key, text, seed, greatest(strlen(text) - {n}, 0) AS hi,
+         CASE WHEN strlen(text) <= {n + skip} THEN 0 ELSE {skip} END AS lo
+  FROM sdocs JOIN seeds USING (lang_key)
+),
+offs AS (SELECT lang_key, text, CAST(lo + CAST(seed % CAST(hi - lo + 1 AS UBIGINT) AS BIGINT) AS BIGINT) AS byte_offset FROM spans),
+raw AS (SELECT lang_key, byte_offset, substr(hex(encode(text)), CAST(2 * byte_offset + 1 AS BIGINT), {2 * n}) AS h FROM offs),
+snip AS (
+  SELECT lang_key, byte_offset, decode(unhex(regexp_replace(regexp_replace(h, '^([89AB][0-9A-F])+', ''),
+         '([CD][0-9A-F]|E[0-9A-F]([89AB][0-9A-F])?|F[0-7]([89AB][0-9A-F]){{0,2}})$', ''))) AS text
+  FROM raw
+)""",
+    ])
+
+
 def ordered_encode_ctes(prefix: str, source: str, keys: list[str], text: str, toks: list[NativeTokenizer]) -> str:
     """Like :func:`encode_ctes` but keeps ``pidx, cidx, bidx`` (1-based) for text order."""
     k = ", ".join(keys)
@@ -460,3 +487,20 @@ def script_coverage_sql(toks) -> str:
     return _annotated_sample(toks) + f"""
 SELECT s.tokenizer, s.script, CAST(s.n AS BIGINT) AS n_tokens, {rnd('CAST(s.n AS DOUBLE) / t.total * 100.0')} AS pct
 FROM scr s JOIN tot t USING (tokenizer)"""
+
+
+def sample_preview_sql(toks: list[NativeTokenizer]) -> str:
+    """D5/F15/F16 on the snippets: ids with the BOS id, non-empty decodes, previews of twenty, wrapped by eight."""
+    return snippet_sql() + ",\n" + vocab_ctes(toks) + ",\n" + ordered_encode_ctes("sn", "snip", ["lang_key"], "text", toks) + ",\n" + decoded_vocab_ctes(toks) + """,
+per AS (
+  SELECT s.tokenizer, s.lang_key, count(*) AS n_ids,
+         list(d.token_text ORDER BY s.pidx, s.cidx, s.bidx) FILTER (d.token_text IS NOT NULL AND d.token_text <> '') AS ts
+  FROM sn_ostream s LEFT JOIN dvocab d ON d.tokenizer = s.tokenizer AND d.token_id = s.token_id GROUP BY ALL
+),
+prev AS (SELECT *, coalesce(array_to_string(ts[1:20], '|'), '') AS p FROM per)
+SELECT t.tokenizer, s.lang_key, s.byte_offset, CAST(strlen(s.text) AS BIGINT) AS text_bytes, md5(s.text) AS text_md5,
+       CAST(p.n_ids + CASE WHEN t.bos_id >= 0 THEN 1 ELSE 0 END AS INTEGER) AS n_token_ids,
+       CAST(coalesce(len(p.ts), 0) AS INTEGER) AS sample_token_count, p.p AS sample_tokens_preview,
+       CASE WHEN p.p = '' THEN '' ELSE array_to_string(list_transform(range(1, CAST(len(string_split(p.p, '|')) AS BIGINT) + 1, 8),
+            lambda i: array_to_string(string_split(p.p, '|')[i:i + 7], '|')), '<br>') END AS preview_wrapped
+FROM snip s JOIN prev p USING (lang_key) JOIN toks t USING (tokenizer)"""

@@ -242,14 +242,14 @@ def q_units_syllable(spark, sf_dir):
     return j.select("lang", "doc_id", "n_syl", "n_syl_chars", n.alias("n_units"))
 
 
-@register("snippet")
+@register("snippet", lambda: O.snippet_sql() + "\nSELECT lang_key, byte_offset, CAST(strlen(text) AS BIGINT) AS text_bytes, md5(text) AS text_md5 FROM snip")
 def q_snippet(spark, sf_dir):
-    """the seeded 300-byte snippet of every language (no SQL oracle: Mersenne Twister)."""
+    """a 300-byte snippet of every language; the seed modulo the span draws its offset."""
     from ..operators import metrics as M
     from ..operators import snippet as SN
 
     docs = C.documents(spark, sf_dir)
     heads = M.language_heads(docs)
     sep = M.with_separators(docs, heads, ["lang_key"])
-    s = SN.snippets(sep, heads.select("lang_key", "iso_code", "script", "total_bytes"))
+    s = SN.snippets(sep, heads.select("lang_key", "iso_code", "script", "total_bytes"), draw="modulo")
     return s.select("lang_key", "byte_offset", F.octet_length("text").cast("long").alias("text_bytes"), F.md5("text").alias("text_md5"))

@@ -333,19 +333,17 @@ def q_nonnull_columns(spark, sf_dir):
 # --- sample preview (F13, F15, F16, D5) and streaming (X2) ---------------------------------
 
 
-@register("sample_preview")
+@register("sample_preview", lambda: O.sample_preview_sql(C.tokenizers()))
 def q_sample_preview(spark, sf_dir):
-    """A seeded 300-byte snippet of every language, encoded, with previews.
-
-    No SQL oracle: the offset comes from Python's Mersenne Twister.
-    """
+    """A 300-byte snippet of every language (the seed modulo the span draws its offset),
+    encoded, with previews."""
     from ..operators import snippet as SN
 
     v = C.vocab(spark, sf_dir)
     docs = C.documents(spark, sf_dir)
     heads = M.language_heads(docs)
     sep = M.with_separators(docs, heads, ["lang_key"])
-    snips = SN.snippets(sep, heads.select("lang_key", "iso_code", "script", "total_bytes"))
+    snips = SN.snippets(sep, heads.select("lang_key", "iso_code", "script", "total_bytes"), draw="modulo")
     s = SN.sample_structs(snips, v)
     prev = RS.preview(F.col("sample.tokens"))
     return s.select(

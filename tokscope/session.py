@@ -23,7 +23,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.driver.memory", "8g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         # the test tables are files of one row group: deal them out to the cores
-        .config("tokscope.input.partitions", str(cores) if str(cores).isdigit() else "8")
+        .config("spark.tokscope.input.partitions", str(cores) if str(cores).isdigit() else "8")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

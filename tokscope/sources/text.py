@@ -36,7 +36,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Session setting: deal every text source out to so many partitions by its document key.
-PARTITIONS = "tokscope.input.partitions"
+PARTITIONS = "spark.tokscope.input.partitions"
 
 
 def dealt(df: DataFrame, key: str) -> DataFrame:
