@@ -8,7 +8,8 @@ a document with a smaller doc_id is removed; windows are judged on the input.
    depends on CONTEXT words around it: equal word sequences hold the same symbols but near their ends.
 2. Each window is stood for by the least symbol well inside it.  Consecutive windows with one symbol are one row:
    ``k``, a hash of the words that all of them share, and ``e``, a hash of all their words.  This is about one row
-   for 18 words.  (Windows without an inside symbol, long repeats of one or two words, are rows of their own.)
+   for 18 words.  (Windows without an inside symbol, in long repeats of one or two words, are known by their own
+   words; a stretch of equal ones is one row.)
 3. Spark groups by ``k``.  A ``k`` of one document is done.  Where all rows of a ``k`` agree in ``e``, all windows
    of all documents but the first go.  Where they don't, rows agree or not by ``e``; and for one document of each
    ``e`` the single windows are hashed and compared, which settles the ends of repeats.
@@ -40,7 +41,7 @@ _LONE = np.uint64(0x5851F42D4C957F2D)
 
 
 def window_groups(lens: np.ndarray, h: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, ...]:
-    """(first word, number of windows, k, e) of the windows of documents that lie one after the other in ``h``."""
+    """(first word, places that a window of the group can start at, k, e), for documents one after the other in ``h``."""
     ends = np.cumsum(lens)
     edge = np.zeros(len(h), dtype=bool)
     edge[(ends - lens)[lens > 0]] = True
@@ -55,6 +56,7 @@ def window_groups(lens: np.ndarray, h: np.ndarray, window: int = WINDOW) -> tupl
     cut = np.flatnonzero(new)
     n = np.diff(np.append(cut, len(at)))
     lo, symbol = at[cut], symbol[cut]
+    doc = np.searchsorted(ends, lo, side="right")
     inside, prefix = symbol >= 0, Prefix(h)
     here = np.maximum(symbol, 0)
     k = np.where(
@@ -64,7 +66,15 @@ def window_groups(lens: np.ndarray, h: np.ndarray, window: int = WINDOW) -> tupl
     )
     shift = np.where(inside, start[here] - lo, 0).astype(np.uint64)
     e = mix64(prefix.of(lo, lo + n - 1 + window, 1) + shift)
-    return lo, n, k.view(np.int64), e.view(np.int64)
+    # equal windows without an inside symbol, each starting within the one before: one stretch, one row
+    order = np.lexsort((lo, k, doc, inside))
+    lo, n, k, e, doc, inside = (x[order] for x in (lo, n, k, e, doc, inside))
+    far = (np.diff(lo, prepend=-1) > window) | (np.diff(doc, prepend=-1) != 0)
+    first = np.flatnonzero(inside | far | np.append(True, (k[1:] != k[:-1]) | (e[1:] != e[:-1])))
+    last = np.append(first[1:], len(lo)) - 1
+    n = lo[last] - lo[first] + n[first]
+    order = np.argsort(lo[first], kind="stable")
+    return tuple(x[order] for x in (lo[first], n, k[first].view(np.int64), e[first].view(np.int64)))
 
 
 GROUPS = "doc_id long, text_key long, k array<long>, e array<long>, lo array<int>, n array<int>"
