@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import corpus as CO
+from ..session import ensure_checkpoint_dir
 from ..sources import catalog as CAT
 from ..sources import text as T
 from . import context as C
@@ -55,6 +58,29 @@ def q_listed_languages(spark, sf_dir):
     return CAT.listed_languages(_cat(spark, sf_dir), LISTED_SUBSETS).select("catalog_pos", "name", "iso_code", "script", "subset")
 
 
+@register(
+    "catalogue_csv",
+    lambda: "WITH " + OC.catalogue_ctes() + "\nSELECT CAST(row_number() OVER (ORDER BY catalog_pos) - 1 AS INTEGER) AS catalog_pos, "
+    "name, script, iso_code, disk_size, subset, family FROM catalogue",
+)
+def q_catalogue_csv(spark, sf_dir):
+    """The natural catalogue written as one CSV file (a row per language) and read back with its file order."""
+    cols = ["name", "script", "iso_code", "disk_size", "subset", "family"]
+    path = f"{ensure_checkpoint_dir(spark)}/catalogue-{uuid.uuid4().hex}"
+    CAT.write_csv(_cat(spark, sf_dir).coalesce(1).sortWithinPartitions("catalog_pos").select(*cols), path)
+    back = CAT.read_catalogue_csv(spark, path, ", ".join(f"{c} string" for c in cols))
+    return back.select("catalog_pos", *cols)
+
+
+@register("metrics_csv", lambda: O.language_metrics_sql())
+def q_metrics_csv(spark, sf_dir):
+    """The metric records exported as CSV and read back with their schema."""
+    rows = C.metrics(spark, sf_dir)
+    path = f"{ensure_checkpoint_dir(spark)}/metrics-{uuid.uuid4().hex}"
+    CAT.write_csv(rows, path)
+    return C.rounded(spark.read.schema(rows.schema).option("header", True).csv(path))
+
+
 def _work_list_sql() -> str:
     eng = CAT.ENGLISH_ROW
     return "WITH " + OC.catalogue_ctes() + f""",
