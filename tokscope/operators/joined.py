@@ -60,10 +60,10 @@ def row_key(doc_id: Column, part: int) -> Column:
 
 
 def borders(edges: DataFrame, group_cols: Sequence[str], block_size: int = DEFAULT_BLOCK_SIZE) -> DataFrame:
-    """``(group..., doc_id struct, text)`` from ``(group..., doc_id, head, tail, whole)``, empty ones left out."""
+    """``(group..., doc_id struct, text)`` from written ``(group..., doc_id, head, tail, whole)``, empty ones left out."""
     g = list(group_cols)
     slim = edges.select(*g, "doc_id", "head", "tail", "whole", (~F.col("whole")).cast("long").alias("solid"), F.lit(1).cast("long").alias("one"))
-    placed, _ = exclusive_prefix_sums(slim, g, "doc_id", {"index": "solid", "before": "one"}, block_size)
+    placed, _ = exclusive_prefix_sums(slim, g, "doc_id", {"index": "solid", "before": "one"}, block_size, written=True)
     separated = F.when(F.col("before") == 0, F.col("head")).otherwise(F.concat(F.lit(SEPARATOR), F.col("head")))
     own = F.struct(
         F.col("index").alias("index"), F.lit(0).alias("seq"), separated.alias("s"), F.when(~F.col("whole"), F.col("doc_id")).alias("before_doc")

@@ -23,13 +23,13 @@ from ..session import materialize
 DEFAULT_BLOCK_SIZE = 1 << 16
 
 
-def blocked(df: DataFrame, part_cols: Sequence[str], order_col: str, block_size: int) -> DataFrame:
+def blocked(df: DataFrame, part_cols: Sequence[str], order_col: str, block_size: int, written: bool = False) -> DataFrame:
     """``df`` with ``_blk``: number of the range of (group, order) that a row lies in.
 
     Both steps are written: the range bounds are sampled from slim rows (not from texts), and
-    every reader must see the same blocks.
+    every reader must see the same blocks.  ``written``: ``df`` reads a written table already.
     """
-    slim = materialize(df)
+    slim = df if written else materialize(df)
     n = max(1, -(-slim.count() // block_size))
     return materialize(slim.repartitionByRange(n, *part_cols, order_col).withColumn("_blk", F.spark_partition_id()))
 
@@ -41,17 +41,19 @@ def exclusive_prefix_sums(
     values: dict[str, str],
     block_size: int = DEFAULT_BLOCK_SIZE,
     below: int | None = None,
+    written: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Add, for each ``out -> value`` in ``values``, the sum of ``value`` over earlier rows.
 
     ``order_col`` must be unique within a group; any orderable type will do.  Returns the
     augmented rows and a ``(part_cols..., <value>_total...)`` table of group totals.
+    ``written``: ``df`` is slim and reads a written table, so it can be read more than once.
     With ``below`` (one output only, non-negative values), blocks whose offset already
     reaches ``below`` are dropped before the exact window: a budgeted prefix then only
     sorts the first blocks of each group.
     """
     part = list(part_cols)
-    blk = blocked(df, part, order_col, block_size)
+    blk = blocked(df, part, order_col, block_size, written)
     totals = blk.groupBy(*part, "_blk").agg(*[F.sum(v).alias(f"_t_{o}") for o, v in values.items()])
     wb = Window.partitionBy(*part).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(

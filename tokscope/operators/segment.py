@@ -88,7 +88,10 @@ def unit_row_stats(stats: DataFrame, group_cols: Sequence[str], block_size: int
     g = list(group_cols)
     counts = ["n_plain", "n_syl", "n_syl_chars"]
     bodies = stats.select(*g, row_key(F.col("doc_id"), 1).alias("doc_id"), "method", *counts, F.lit(None).cast("string").alias("border"))
-    between = borders(stats.where(F.col("method") == KIND_SYLLABLE), g, block_size).withColumn("method", F.lit(KIND_SYLLABLE))
+    syllables = stats.where(F.col("method") == KIND_SYLLABLE)
+    if syllables.isEmpty():  # no such language: no borders to look for
+        return bodies
+    between = borders(syllables, g, block_size).withColumn("method", F.lit(KIND_SYLLABLE))
     return bodies.unionByName(between.select(*g, "doc_id", "method", *_counts(F.col("method"), F.col("text")), F.col("text").alias("border")))
 
 
@@ -137,7 +140,7 @@ def sampled_units(
     ``max_units=None`` keeps every unit.
     """
     g = list(group_cols)
-    with_off, _ = exclusive_prefix_sums(per_doc, g, "doc_id", {"u_off": "n_units"}, block_size)
+    with_off, _ = exclusive_prefix_sums(per_doc, g, "doc_id", {"u_off": "n_units"}, block_size, written=True)
     if max_units is None:
         step = F.lit(1).cast("long")
         limit = None

@@ -191,7 +191,7 @@ def even_sample_tokens(
         [(t.name, t.n_special if add_special_tokens else 0, t.bos_id) for t in vocab.tokenizers],
         "tokenizer string, n_special int, bos_id int",
     )
-    with_off, totals = exclusive_prefix_sums(per_doc, ["tokenizer", *g], "doc_id", {"t_off": "n_tokens"}, block_size)
+    with_off, totals = exclusive_prefix_sums(per_doc, ["tokenizer", *g], "doc_id", {"t_off": "n_tokens"}, block_size, written=True)
     totals = totals.join(F.broadcast(specials), "tokenizer").select(
         "tokenizer", *g, "n_special", "bos_id", (F.col("n_tokens_total") + F.col("n_special")).alias("total")
     )
