@@ -8,8 +8,8 @@ a document with a smaller doc_id is removed; windows are judged on the input.
    depends on CONTEXT words around it: equal word sequences hold the same symbols but near their ends.
 2. Each window is stood for by the least symbol well inside it.  Consecutive windows with one symbol are one row:
    ``k``, a hash of the words that all of them share, and ``e``, a hash of all their words.  This is about one row
-   for 18 words.  (Windows without an inside symbol, in long repeats of one or two words, are known by their own
-   words; a stretch of equal ones is one row.)
+   for 18 words.  (A window without an inside symbol, in a long repeat of one word, is known by its own words.)
+   In periodic text a group recurs and overlaps itself: all its repetitions are one row.
 3. Spark groups by ``k``.  A ``k`` of one document is done.  Where all rows of a ``k`` agree in ``e``, all windows
    of all documents but the first go.  Where they don't, rows agree or not by ``e``; and for one document of each
    ``e`` the single windows are hashed and compared, which settles the ends of repeats.
@@ -41,7 +41,11 @@ _LONE = np.uint64(0x5851F42D4C957F2D)
 
 
 def window_groups(lens: np.ndarray, h: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, ...]:
-    """(first word, places that a window of the group can start at, k, e), for documents one after the other in ``h``."""
+    """(first word, number of windows, distance to its last repetition, k, e) of the groups of windows.
+
+    ``h`` holds documents of ``lens`` words one after the other.  A group that recurs at once is one row: its
+    repetitions overlap, so they cover one stretch of words.
+    """
     ends = np.cumsum(lens)
     edge = np.zeros(len(h), dtype=bool)
     edge[(ends - lens)[lens > 0]] = True
@@ -49,7 +53,7 @@ def window_groups(lens: np.ndarray, h: np.ndarray, window: int = WINDOW) -> tupl
     at = at[np.repeat(ends, lens) - at >= window]
     if not len(at):
         none = np.empty(0, np.int64)
-        return none, none, none, none
+        return none, none, none, none, none
     name, start, end = parse(h, edge)
     symbol = chosen(name, start, end, at, window)
     new = (np.diff(symbol, prepend=-2) != 0) | (symbol < 0) | (np.diff(at, prepend=-2) != 1)
@@ -66,18 +70,17 @@ def window_groups(lens: np.ndarray, h: np.ndarray, window: int = WINDOW) -> tupl
     )
     shift = np.where(inside, start[here] - lo, 0).astype(np.uint64)
     e = mix64(prefix.of(lo, lo + n - 1 + window, 1) + shift)
-    # equal windows without an inside symbol, each starting within the one before: one stretch, one row
-    order = np.lexsort((lo, k, doc, inside))
-    lo, n, k, e, doc, inside = (x[order] for x in (lo, n, k, e, doc, inside))
-    far = (np.diff(lo, prepend=-1) > window) | (np.diff(doc, prepend=-1) != 0)
-    first = np.flatnonzero(inside | far | np.append(True, (k[1:] != k[:-1]) | (e[1:] != e[:-1])))
-    last = np.append(first[1:], len(lo)) - 1
-    n = lo[last] - lo[first] + n[first]
+    # equal groups of one document, each starting within the one before (periodic text): one row
+    order = np.lexsort((lo, e, k, doc))
+    lo, n, k, e, doc = (x[order] for x in (lo, n, k, e, doc))
+    alike = (k[1:] == k[:-1]) & (e[1:] == e[:-1]) & (doc[1:] == doc[:-1]) & (np.diff(lo) <= window)
+    first = np.flatnonzero(np.append(True, ~alike))
+    span = lo[np.append(first[1:], len(lo)) - 1] - lo[first]
     order = np.argsort(lo[first], kind="stable")
-    return tuple(x[order] for x in (lo[first], n, k[first].view(np.int64), e[first].view(np.int64)))
+    return tuple(x[order] for x in (lo[first], n[first], span, k[first].view(np.int64), e[first].view(np.int64)))
 
 
-GROUPS = "doc_id long, text_key long, k array<long>, e array<long>, lo array<int>, n array<int>"
+GROUPS = "doc_id long, text_key long, k array<long>, e array<long>, lo array<int>, n array<int>, span array<int>"
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -94,7 +97,7 @@ def parsed(docs: DataFrame, window: int) -> DataFrame:
             at = [codes.of(words_of(t)) for t in b.column("text").to_pylist()]
             lens = np.fromiter(map(len, at), np.int64, len(at))
             h = codes.hashes()[np.concatenate(at)] if len(at) else np.empty(0, np.uint64)
-            lo, n, k, e = window_groups(lens, h, window)
+            lo, n, span, k, e = window_groups(lens, h, window)
             starts = np.cumsum(lens) - lens
             doc = np.searchsorted(np.cumsum(lens), lo, side="right")
             cut = pa.array(np.searchsorted(doc, np.arange(len(at) + 1)), pa.int32())
@@ -106,6 +109,7 @@ def parsed(docs: DataFrame, window: int) -> DataFrame:
                 e=lists(e, pa.int64()),
                 lo=lists(lo - starts[doc] if len(lo) else lo, pa.int32()),
                 n=lists(n, pa.int32()),
+                span=lists(span, pa.int32()),
             )
 
     return map_arrow(keyed(docs), run, GROUPS)
@@ -159,7 +163,7 @@ def single_windows(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame
 def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, text_key, lo, hi: stretches of words covered by windows that an earlier document has."""
     groups = written(parsed(docs, window).where(F.col("doc_id").isNotNull()), "window-groups")
-    rows = groups.select("doc_id", "text_key", F.inline(F.arrays_zip("k", "e", "lo", "n")))
+    rows = groups.select("doc_id", "text_key", F.inline(F.arrays_zip("k", "e", "lo", "n", "span")))
     shared = (
         rows.groupBy("k")
         .agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min("e").alias("e0"), F.max("e").alias("e1"))
@@ -167,7 +171,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         .select("k", "first", (F.col("e0") == F.col("e1")).alias("alike"))
     )
     hits = written(rows.join(shared, "k"), "shared-groups")
-    whole = lambda df: df.select("doc_id", "text_key", "lo", (F.col("lo") + F.col("n") - 1 + window).alias("hi"))
+    whole = lambda df: df.select("doc_id", "text_key", "lo", (F.col("lo") + F.col("span") + F.col("n") - 1 + window).alias("hi"))
 
     alike = hits.where("alike and doc_id > first")
     differ = hits.where("not alike")
@@ -181,7 +185,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return (
         whole(alike)
         .unionByName(whole(both.where(F.col("doc_id") > F.col("m"))))
-        .unionByName(ends.select("doc_id", "text_key", (F.col("lo") + F.col("j")).alias("lo"), (F.col("lo") + F.col("j") + window).alias("hi")))
+        .unionByName(ends.select("doc_id", "text_key", (F.col("lo") + F.col("j")).alias("lo"), (F.col("lo") + F.col("j") + F.col("span") + window).alias("hi")))
     )
 
 
