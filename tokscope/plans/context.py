@@ -43,12 +43,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents text source, built once per (session, folder) so that queries share it."""
     key = (spark.sparkContext.applicationId, sf_dir, "documents")
     if key not in _SOURCES:
-        _SOURCES[key] = src.documents(spark, sf_dir)
+        docs = src.documents(spark, sf_dir)
+        # a caller who has texts dealt out (a local test or bench) shares that shuffle between queries
+        _SOURCES[key] = docs.persist() if spark.conf.get(src.PARTITIONS, None) else docs
     return _SOURCES[key]
 
 
 def release() -> None:
     """Forget the derived tables of all sessions (their files stay in the shared folder)."""
+    for docs in _SOURCES.values():
+        docs.unpersist()
     for v in _VOCABS.values():
         v.words.unpersist()
         v.chars.unpersist()
