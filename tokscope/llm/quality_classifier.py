@@ -8,8 +8,8 @@ Features, all hashed into ``BUCKETS`` rows of one embedding table:
 - each pair of neighbouring words (the pair's bucket is the XOR of the words' hashes, so that a word
   repeated at once always falls into one bucket).
 
-The table and the softmax weights are trained by plain stochastic gradient descent in numpy on the
-driver, over a bounded sample of labelled rows: at most MAX_PER_CLASS rows of each label, those with the
+The table and the softmax weights are trained by plain stochastic gradient descent in numpy, in one
+task, over a bounded sample of labelled rows: at most MAX_PER_CLASS rows of each label, those with the
 smallest hash of doc_id.  Nothing but the text is a feature.
 
 Scoring runs over whole texts in the tasks.  As mean and softmax input are linear, a bucket's part of the
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordCodes, map_arrow, mix64, table, texts, words_of
+from .common import WordCodes, batch, map_arrow, mix64, table, texts, words_of
 
 BUCKETS = 1 << 17
 DIM = 16
@@ -80,10 +80,10 @@ def pairs(h: np.ndarray) -> np.ndarray:
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct buckets of a text and their shares."""
+    """Distinct buckets of a text and their shares (32 bits each: training keeps them for its sample)."""
     words = words_of(text)
     if not words:
-        return np.empty(0, np.int64), np.empty(0)
+        return np.empty(0, np.int32), np.empty(0, np.float32)
     codes = WordCodes()
     at = codes.of(words)
     h = codes.hashes()
@@ -91,16 +91,19 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     weight = np.concatenate([np.bincount(at)[owner], np.ones(len(words) - 1)])
     found, n = np.unique(np.concatenate([own, pairs(h[at])]), return_inverse=True)
     total = np.bincount(n, weight)
-    return found, total / total.sum()
+    return found.astype(np.int32), (total / total.sum()).astype(np.float32)
 
 
 def train(rows: list[tuple[int, str]], epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> Model:
-    """Stochastic gradient descent over (label, text) rows."""
+    """Stochastic gradient descent over (label, text) rows; the list is used up."""
     labels = np.array([y for y, _ in rows], dtype=np.int64)
     share = labels.mean() if len(labels) else 0.5
     if len(set(labels.tolist())) < 2:
         return Model(np.zeros(BUCKETS, np.float32), float(np.log((share + 1e-3) / (1 - share + 1e-3))))
-    data = [features(t) for _, t in rows]
+    data = []
+    while rows:  # from the last; a text goes as soon as its features are known
+        data.append(features(rows.pop()[1]))
+    data.reverse()
     rng = np.random.default_rng(seed)
     table_ = ((rng.random((BUCKETS, DIM)) - 0.5) / DIM).astype(np.float32)
     out = np.zeros((DIM, 2), dtype=np.float32)
@@ -113,7 +116,6 @@ def train(rows: list[tuple[int, str]], epochs: int = EPOCHS, rate: float = RATE,
             done += 1
             if not len(idx):
                 continue
-            w = w.astype(np.float32)
             rows_ = table_[idx]
             mean = w @ rows_
             z = mean @ out + bias
@@ -131,8 +133,8 @@ def held_out(doc_id):
     return F.crc32(doc_id.cast("string")) % 4 == 2
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = MAX_PER_CLASS) -> list[tuple[int, str]]:
-    """The bounded, deterministic sample: per class the labelled rows with the smallest hash of doc_id."""
+def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = MAX_PER_CLASS) -> DataFrame:
+    """doc_id, quality, text of the bounded, deterministic sample: per class the smallest hashes of doc_id."""
     one = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
         .where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
@@ -142,8 +144,21 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = MAX_PER_C
     )
     picked = [one.where(F.col("quality") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     ids = F.broadcast(picked[0].unionByName(picked[1]))  # at most 2 * per_class rows
-    found = texts(docs).join(ids, "doc_id").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("text").alias("text"))
-    return [(r.quality, r.text) for r in sorted(found.collect(), key=lambda r: r.doc_id)]
+    return texts(docs).join(ids, "doc_id").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("text").alias("text"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = MAX_PER_CLASS) -> Model:
+    """Trains on the sample in one task (2 * per_class rows at most); the driver gets the model alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("doc_id", "quality", "text")), strict=True)]
+        rows.sort()
+        rows = [(quality, text) for _, quality, text in rows]
+        model = train(rows)
+        yield batch(weight=pa.array([model.weight.tobytes()], pa.binary()), bias=pa.array([model.bias], pa.float64()))
+
+    found = map_arrow(training_rows(docs, labels, per_class).repartition(1), run, "weight binary, bias double").first()
+    return train([]) if found is None else Model(np.frombuffer(found["weight"], np.float32), found["bias"])
 
 
 class Scorer:
@@ -184,7 +199,7 @@ def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
 
 def classify(docs: DataFrame, labels: DataFrame, per_class: int = MAX_PER_CLASS) -> DataFrame:
     """doc_id, held_out, score, predicted; the model is trained when this is called."""
-    model = train(training_rows(docs, labels, per_class))
+    model = fit(docs, labels, per_class)
     return scored(texts(docs), model).select(
         "doc_id",
         F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"),
@@ -195,7 +210,7 @@ def classify(docs: DataFrame, labels: DataFrame, per_class: int = MAX_PER_CLASS)
 
 def accepted(docs: DataFrame, labels: DataFrame, per_class: int = MAX_PER_CLASS) -> DataFrame:
     """The documents that the classifier accepts, with all their columns."""
-    model = train(training_rows(docs, labels, per_class))
+    model = fit(docs, labels, per_class)
     name = next(f"score{i}" for i in range(len(docs.columns) + 1) if f"score{i}" not in docs.columns)
     return scored(docs, model, name).where(F.col(name) >= ACCEPT).drop(name)
 
