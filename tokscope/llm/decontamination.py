@@ -31,6 +31,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,7 @@ NGRAM = 3
 BLOCK = 32
 K1, B = 1.2, 0.75
 SHARD_POSTINGS = 500_000
+CHUNK_CHARS = 300_000
 #: Letters and digits stay, other ASCII characters become blanks; bytes of other characters stay.
 _CLEAN = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
 
@@ -113,7 +115,10 @@ def postings(items: DataFrame) -> DataFrame:
 
 @dataclass
 class Shard:
-    """One shard of the index, as arrays: postings by (term, segment), and block maxima by (term, block)."""
+    """One shard of the index, as arrays: postings by (term, segment), and block maxima by (term, block).
+
+    Terms are numbered by their highest weight, the lowest first.
+    """
 
     terms: dict[bytes, int]
     seg_item: np.ndarray  # segment -> item
@@ -129,6 +134,12 @@ class Shard:
     term_at: np.ndarray = field(init=False)  # first block key of the term
 
     def __post_init__(self) -> None:
+        highest = np.zeros(len(self.terms))
+        np.maximum.at(highest, self.term, self.weight)
+        number = np.empty(len(highest), np.int64)
+        number[np.argsort(highest, kind="stable")] = np.arange(len(highest))
+        self.terms = {t: int(number[i]) for t, i in self.terms.items()}
+        self.term = number[self.term]
         order = np.lexsort((self.seg, self.term))
         self.term, self.seg, self.weight = self.term[order], self.seg[order], self.weight[order]
         self.n_blocks = len(self.seg_item) // BLOCK + 1
@@ -151,12 +162,10 @@ class Shard:
         return np.repeat(start - before, size) + np.arange(int(size.sum()))
 
     def search(self, passage: np.ndarray, term: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(passage, segment, score) of all that score ``least`` or more; passage and term: distinct pairs by passage."""
+        """(passage, segment, score) of all that score ``least`` or more; passage and term: distinct ascending pairs."""
         none = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
         least = least - 1e-9
-        high = self.term_max[term]
-        order = np.lexsort((high, passage))
-        passage, term, high = passage[order], term[order], high[order]
+        high = self.term_max[term]  # ascending within a passage, as terms are numbered by it
         first = np.flatnonzero(np.diff(passage, prepend=-1))
         size = np.diff(np.append(first, len(passage)))
         total = np.cumsum(high)
@@ -186,15 +195,26 @@ class Shard:
         # exact sums over the postings of these blocks
         count = self.block_at[where + 1] - self.block_at[where]
         post = self.spans(self.block_at[where], count)
-        n = len(self.seg_item)
-        pair, inverse = np.unique(p[np.repeat(owner, count)] * n + self.seg[post], return_inverse=True)
-        score = np.bincount(inverse, self.weight[post])
-        ok = score >= least
-        return pair[ok] // n, pair[ok] % n, score[ok]
-
-    def leaks(self, text: str | None) -> list[tuple]:
-        """(item_id, score, n_passages, question, answer, item overlap) of each item that the text leaks."""
-        return self.leaks_of([text])[0]
+        # a cell for each segment of each candidate block
+        cell = np.repeat(owner, count) * BLOCK + self.seg[post] % BLOCK
+        score = np.bincount(cell, self.weight[post], len(p) * BLOCK)
+        ok = np.flatnonzero(score >= least)
+        return p[ok // BLOCK], block[ok // BLOCK] * BLOCK + ok % BLOCK, score[ok]
+
+    def leaks(self, found: list[str | None]) -> list[list[tuple]]:
+        """For each text (item_id, score, n_passages, question, answer, item overlap) of each item that it leaks.
+
+        Texts are searched a few at a time (CHUNK_CHARS, or one longer text), which bounds the arrays.
+        """
+        out: list[list[tuple]] = []
+        part, size = [], 0
+        for text in found:
+            part.append(text)
+            size += len(text or "")
+            if size >= CHUNK_CHARS:
+                out += self.leaks_of(part)
+                part, size = [], 0
+        return out + self.leaks_of(part)
 
     def leaks_of(self, found: list[str | None], least: float = MIN_SCORE, overlap: float = OVERLAP) -> list[list[tuple]]:
         get, words, keys, n_terms, base = self.terms.get, [], [], max(1, len(self.terms)), 0
@@ -202,7 +222,7 @@ class Shard:
         for text in found:
             w = tokens(text)
             words.append(w)
-            ids = np.fromiter((get(x, -1) for x in w), np.int64, len(w))
+            ids = np.fromiter(map(get, w, repeat(-1)), np.int64, len(w))
             at = np.flatnonzero(ids >= 0)
             bases.append(base)
             part = at // SEGMENT + 1  # a token lies in the passage of its stretch and in the one before
@@ -270,7 +290,7 @@ def leaks(docs: DataFrame, items: DataFrame, shard_postings: int = SHARD_POSTING
     def finder(shard: Shard):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                found = shard.leaks_of(b.column("text").to_pylist())
+                found = shard.leaks(b.column("text").to_pylist())
                 rows = [(d, *x) for d, xs in zip(b.column("doc_id").to_pylist(), found, strict=True) for x in xs]
                 cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
                 kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
@@ -292,7 +312,7 @@ def without_leaks(docs: DataFrame, items: DataFrame, shard_postings: int = SHARD
     def keeper(shard: Shard):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                clean = [not x for x in shard.leaks_of(b.column("text").to_pylist())]
+                clean = [not x for x in shard.leaks(b.column("text").to_pylist())]
                 yield b.filter(pa.array(clean, pa.bool_()))
 
         return run
