@@ -217,6 +217,33 @@ def test_license_scans(spark):
     assert license_scans.scan(cases.documents(spark), []).where("labels like '%mit%'").count() == 0
 
 
+NOTICES = [
+    ("Released under the MIT License.", "mit"),
+    ("This project is licensed under the MIT license - see the LICENSE file", "mit"),
+    ("// Use of this source code is governed by, and licensed under, the BSD License", "bsd"),
+    ("Distributed under the BSD 3-Clause License.", "bsd"),
+    ("Released under the ISC License", "isc"),
+    ("Licensed under the Mozilla Public License", "mpl"),
+    ("Available under the MPL 2.0", "mpl-2.0"),
+    ("Released under the GPL", "gpl"),
+    ("Dual licensed under the GPLv2", "gpl"),
+    ("Released under the Apache License 2.0", "apache-2.0"),
+    ("Licensed under the Apache License, Version 2.0.", "apache-2.0"),
+    (" * The above copyright notice and this permission notice shall be included in all copies or substantial portions", "mit"),
+    ("notice, this list of conditions, and the following disclaimer: redistributions of source code must retain the above copyright notice", "bsd"),
+    ("Released under the Foo License", ""),
+    ("Released under the Foo License 2.0", ""),
+    ("Released under the Foo Public License", ""),
+    ("we study at MIT under the guidance of others", ""),
+]
+
+
+def test_license_scans_short_notices(spark):
+    docs = spark.createDataFrame([(i, line) for i, (line, _) in enumerate(NOTICES)], "doc_id long, text string")
+    out = {r.doc_id: r.labels for r in license_scans.scan(docs).collect()}
+    assert [out[i] for i in range(len(NOTICES))] == [label for _, label in NOTICES]
+
+
 def test_sharding(spark, tmp_path):
     docs = cases.documents(spark)
     out = sharding.reshard(docs).collect()

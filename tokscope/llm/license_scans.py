@@ -32,19 +32,42 @@ from .common import table, written
 APART = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 THRESHOLD = (4, 5)
 PHRASES = {"cc-by": "cc by", "gpl": "general public license", "reserved": "all rights reserved"}
-#: (label, notice): opening words of public license notices.
+#: (label, notice): public license notices.  Openings and further sentences of the longer ones may miss words; a short
+#: notice has at most four distinct words, so that all of them are needed and the name of the license is among them.
 TEMPLATES = [
+    ("apache-2.0", "Apache License 2.0"),
     ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
+    ("apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
+    ("apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS"),
+    ("bsd", "under the BSD License"),
+    ("bsd", "BSD 2-Clause License"),
+    ("bsd", "BSD 3-Clause License"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"),
+    ("bsd", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation"),
+    ("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software"),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
+    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
     ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("gpl", "under the GPL"),
+    ("gpl", "under the GPLv2"),
+    ("gpl", "under the GPLv3"),
     ("gpl", "This work is licensed under the GNU General Public License, version 3"),
     ("gpl", "redistribute it and/or modify it under the terms of the GNU General Public License"),
+    ("gpl", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of"),
+    ("isc", "under the ISC License"),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("mit", "under the MIT License"),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
+    ("mpl", "the Mozilla Public License"),
+    ("mpl-2.0", "the MPL 2.0"),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("mpl-2.0", "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/"),
     ("reserved", "All rights reserved"),
+    ("unlicense", "This is free and unencumbered software released into the public domain"),
 ]
 
 
