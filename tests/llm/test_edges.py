@@ -244,6 +244,61 @@ def test_license_scans_short_notices(spark):
     assert [out[i] for i in range(len(NOTICES))] == [label for _, label in NOTICES]
 
 
+WRAPPED = [
+    ("// Redistribution and use in source and binary\n// forms, with or without modification, are permitted\n// provided", "bsd", 1.0),
+    ("# This Source Code Form is subject to the terms of the\n# Mozilla Public License, v. 2.0.", "mpl,mpl-2.0", 1.0),
+    (" * Permission to use, copy, modify, and/or distribute this software\n * for any purpose with or without fee\n * is hereby granted", "isc", 1.0),
+    ("a b c\nyou can redistribute it and/or modify\nit under the terms of the GNU Lesser General Public\nLicense", "gpl", 1.0),
+    ("x y\nReleased under the\r\n\r\nMIT License.", "mit", 1.0),
+    ("x y released under the MIT\n" + "z " * 5000 + "License", "", 0.0),  # no run that long
+    ("Licensed under CC\nBY-NC 4.0. All\nrights reserved", "cc-by,cc-by-nc,reserved", 1.0),  # cc-by-sa shares six of seven words
+    ("Licensed under CC BY-NC 4.0.\nsa", "cc-by,cc-by-nc", 1.0),
+    ("All\nof the rights that were not reserved", "", 0.0),
+    ("Permission is hereby granted, free of\ncharge, to anyone obtaining a copy of this software", "mit", 13 / 15),
+]
+
+
+def test_license_scans_wrapped_notices(spark):
+    docs = spark.createDataFrame([(i % 7, text) for i, (text, *_) in enumerate(WRAPPED)] * 2, "doc_id long, text string")
+    out = sorted((r.doc_id, r.labels, round(r.score, 6)) for r in license_scans.scan(docs).collect())
+    assert out == sorted((i % 7, labels, round(score, 6)) for i, (_, labels, score) in enumerate(WRAPPED) for _ in range(2))
+
+
+def test_license_matches_brute_force(spark):
+    """Random wrapped text: lines and runs counted one by one."""
+    import random
+
+    draw = random.Random(5)
+    notices = [("a", "p q r s t u v w x y"), ("b", "p q r s t u v w x z"), ("c", "k l m"), ("d", "p k p l q")]
+    texts = []
+    for i in range(60):
+        ws = []
+        while len(ws) < 60:
+            ws += draw.choice(notices)[1].split() if draw.random() < 0.5 else draw.choices("pqrstuvwxyzklmno", k=4)
+        texts.append((i, "".join(w + draw.choice("     \n") for w in ws)))
+    want = set()
+    for i, text in texts:
+        ws = [(w, n) for n, line in enumerate(text.split("\n")) for w in line.split()]
+        runs = []
+        for label, notice in notices:
+            kinds, size = set(notice.split()), len(notice.split())
+            for n, line in enumerate(text.split("\n")):
+                shared = len(kinds & set(line.split()))
+                if 5 * shared >= 4 * len(kinds):
+                    want.add((i, n, n, label, shared / len(kinds)))
+            for s in range(len(ws)):
+                places = [p for p in range(s, min(s + size, len(ws))) if ws[p][0] in kinds]
+                shared = len({ws[p][0] for p in places})
+                if places and places[0] == s and 5 * shared >= 4 * len(kinds):
+                    runs.append((s, places[-1], label, shared, shared / len(kinds)))
+        for s, e, label, shared, c in runs:
+            if ws[s][1] < ws[e][1] and not any(x[0] <= e and s <= x[1] and x[4] > c and x[3] >= shared for x in runs):
+                want.add((i, ws[s][1], ws[e][1], label, c))
+    out = license_scans.matches(spark.createDataFrame(texts, "doc_id long, text string"), notices).collect()
+    assert sum(n < last for _, n, last, *_ in want) > 20
+    assert sorted((r.doc_id, r.number, r.last, r.label, r.containment) for r in out) == sorted(want)
+
+
 def test_sharding(spark, tmp_path):
     docs = cases.documents(spark)
     out = sharding.reshard(docs).collect()

@@ -1,20 +1,26 @@
 """License scans by an exact set-similarity join (operator 8), with DataFrame functions only.
 
-Base: places where the words of a phrase stand one after the other (PHRASES).  Method: every line of a text is a
-block; a block matches a license template if it contains at least THRESHOLD of the template's distinct words.
+Base: places where the words of a phrase stand one after the other (PHRASES).  Method: a block of a text matches a
+license template if it contains at least THRESHOLD of the template's distinct words.  A block is a line, or a run of
+words over the end of a line that is no longer than the notice (its words counted with repeats), so a wrapped notice is
+compared whole.
 
-1. Global order: one pass counts the blocks that hold each template word; words are ordered by that count, the
+1. Global order: one pass counts the texts that hold each template word; words are ordered by that count, the
    rarest first (ties by the word).  Only template words can count, so the order has as many rows as the
    templates have words, a bound set by the templates and not by the corpus.
 2. Prefix filter: a template of n words that needs k of them shares one of its first n - k + 1 words with any
-   block that matches.  The index of these prefix words is joined (broadcast, at most one row per template word)
-   with each block's own words among them.
-3. Length filter: a block with fewer than k template words is out.
-4. Positional filter: with a match at place i of the template and place j of the block's words (both in global
+   text that has a block that matches.  The index of these prefix words is joined (broadcast, at most one row per
+   template word) with each text's own words among them.
+3. Length filter: a text with fewer than k template words is out.
+4. Positional filter: with a match at place i of the template and place j of the text's words (both in global
    order), at most ``i + 1`` earlier and ``min(n - i, m - j) - 1`` later words can be shared.
-5. The remaining pairs are counted exactly.
+5. The remaining texts and templates are counted exactly, block by block: a block's words are among its text's, so
+   the filters lose none.
+6. A run gives way to an overlapping one (of any template, inside a line too) with a higher containment and as many
+   shared words: near-equal notices match together, and so do the remains of a notice that a run cuts.
 
-``matches`` returns all pairs; ``scan`` labels a block by its best ones, as near-equal notices match together.
+``matches`` returns all pairs of lines and templates and the remaining runs over line ends; ``scan`` labels a block by
+its best ones.
 
 Result: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score (1 if there is a base place,
 else the best containment of a matched template, else 0).  Defined results: null or empty text has no words and
@@ -23,7 +29,7 @@ no labels; repeated rows give repeated rows; extra columns are ignored; template
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table, written
@@ -64,6 +70,8 @@ TEMPLATES = [
     ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
     ("mpl", "the Mozilla Public License"),
     ("mpl-2.0", "the MPL 2.0"),
+    ("mpl-2.0", "Mozilla License 2.0"),
+    ("mpl-2.0", "Mozilla v2.0"),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("mpl-2.0", "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/"),
     ("reserved", "All rights reserved"),
@@ -75,9 +83,13 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), APART), "")
 
 
+def _all_words(notice: str) -> list[str]:
+    return "".join(c if c.isalnum() else " " for c in notice.lower()).split()
+
+
 def _words_of(notice: str) -> list[str]:
     """Distinct words of an ASCII notice."""
-    return sorted(set("".join(c if c.isalnum() else " " for c in notice.lower()).split()))
+    return sorted(set(_all_words(notice)))
 
 
 def needed(n: int, threshold: tuple[int, int]) -> int:
@@ -85,60 +97,100 @@ def needed(n: int, threshold: tuple[int, int]) -> int:
     return max(1, -(-n * threshold[0] // threshold[1]))
 
 
-def _blocks(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, number, line: every line of every text."""
+def _texts(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, text: every text (null: empty)."""
     text = F.coalesce("text", F.lit(""))
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    return d.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("number", "line"))
+    return d.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
 
 
-def _among(line: Column, order: list[str]) -> Column:
-    """The distinct words of a line that are in ``order``, in that order."""
-    return F.array_intersect(F.array(*[F.lit(w) for w in order]), words(line))
+def _among(text: Column, order: list[str]) -> Column:
+    """The distinct words of a text that are in ``order``, in that order."""
+    return F.array_intersect(F.array(*[F.lit(w) for w in order]), words(text))
 
 
 def global_order(docs: DataFrame, templates: list[tuple[str, str]]) -> list[str]:
-    """All template words, those in the fewest blocks first; counted over all blocks."""
+    """All template words, those in the fewest texts first; counted over all texts."""
     every = sorted({w for _, notice in templates for w in _words_of(notice)})
     if not every:
         return []
-    held = _blocks(docs).select(F.explode(_among(F.col("line"), every)).alias("word")).groupBy("word").count()
+    held = _texts(docs).select(F.explode(_among(F.col("text"), every)).alias("word")).groupBy("word").count()
     n = {r["word"]: r["count"] for r in held.collect()}  # at most one row per template word
     return sorted(every, key=lambda w: (n.get(w, 0), w))
 
 
-def matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """doc_id, text_key, number, label, containment: every block and template that reach the threshold."""
+def _candidates(docs: DataFrame, templates: list[tuple[str, str]], threshold: tuple[int, int]) -> DataFrame:
+    """doc_id, text_key, text, t, label, words, n, k, length: every text and template that the filters leave."""
     spark, order = docs.sparkSession, global_order(docs, templates)
     place = {w: i for i, w in enumerate(order)}
     index = []
     for t, (label, notice) in enumerate(templates):
         ws = sorted(_words_of(notice), key=place.__getitem__)
         k = needed(len(ws), threshold)
-        index += [(w, t, label, ws, len(ws), k, i) for i, w in enumerate(ws[: len(ws) - k + 1])]
-    schema = "word string, template int, label string, words array<string>, n int, k int, i int"
+        index += [(w, t, label, ws, len(ws), k, i, len(_all_words(notice))) for i, w in enumerate(ws[: len(ws) - k + 1])]
+    schema = "word string, t int, label string, words array<string>, n int, k int, i int, length int"
     prefix = spark.createDataFrame(index, schema)
     least = min((x[5] for x in index), default=1)
     heads = F.array(*[F.lit(w) for w in sorted({x[0] for x in index})]) if index else F.expr("cast(array() as array<string>)")
-    held = _blocks(docs).select("doc_id", "text_key", "number", _among(F.col("line"), order).alias("held") if order else F.expr("cast(array() as array<string>)").alias("held"))
-    near = held.where(F.size("held") >= least).select("doc_id", "text_key", "number", "held", F.explode(F.array_intersect(heads, "held")).alias("word"))
+    held = _texts(docs).select("doc_id", "text_key", "text", _among(F.col("text"), order).alias("held") if order else F.expr("cast(array() as array<string>)").alias("held"))
+    near = held.where(F.size("held") >= least).select("doc_id", "text_key", "text", "held", F.explode(F.array_intersect(heads, "held")).alias("word"))
     m = F.size("held")
     j = F.array_position("held", F.col("word")).cast("int") - 1
     room = F.least(F.col("i"), j) + F.least(F.col("n") - F.col("i"), m - j)
-    shared = F.size(F.array_intersect("words", "held"))
+    shared = F.array_intersect("words", "held")
     return (
         near.join(F.broadcast(prefix), "word")
         .where((m >= F.col("k")) & (room >= F.col("k")))
         .withColumn("shared", shared)
-        .where(F.col("shared") >= F.col("k"))
-        .select("doc_id", "text_key", "number", "label", (F.col("shared") / F.col("n")).alias("containment"))
-        .distinct()  # a pair has a row for each prefix word that it shares, and repeated rows have equal ones
+        .where((F.size("shared") >= F.col("k")) & (F.get("shared", F.lit(0)) == F.col("word")))  # once, by its first shared word
+        .select("doc_id", "text_key", "text", "t", "label", "words", "n", "k", "length")
     )
 
 
+def matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+    """doc_id, text_key, number, last, label, containment: every block and template that reach the threshold.
+
+    A block reaches from line ``number`` to line ``last``; runs that give way to others are left out.
+    """
+    pair = ["doc_id", "text_key", "t", "label", "n", "k"]
+    by_line = F.transform(F.split("text", "\n"), words)
+    d = _candidates(docs, templates, threshold).select(*pair, "words", "length", by_line.alias("by_line"))
+    lines = F.transform("by_line", lambda w, i: F.struct(i.alias("number"), F.size(F.array_intersect("words", w)).alias("shared")))
+    every = F.flatten(F.transform("by_line", lambda w, i: F.transform(w, lambda x: F.struct(i.alias("line"), x.alias("word")))))
+    placed = F.transform(every, lambda x, p: F.struct(p.alias("place"), x["line"].alias("line"), x["word"].alias("word")))
+    hits = F.filter(placed, lambda x: F.array_contains("words", x["word"]))
+    hits = F.when(F.size("by_line") > 1, hits).otherwise(F.slice(hits, 1, 0))
+    d = d.select(*pair, "length", F.filter(lines, lambda x: x["shared"] >= F.col("k")).alias("lines"), hits.alias("hits"))
+    # places differ, so the hits of a run are among the next ``length`` ones
+    runs = F.transform("hits", lambda h, i: F.filter(F.slice("hits", i + 1, F.col("length")), lambda x: x["place"] < h["place"] + F.col("length")))
+    d = d.select(*pair, "lines", runs.alias("runs"))
+
+    def run(x: Column) -> Column:
+        first, last = F.element_at(x, 1), F.element_at(x, -1)
+        shared = F.size(F.array_distinct(F.transform(x, lambda y: y["word"])))
+        return F.struct(first["line"].alias("number"), last["line"].alias("last"), shared.alias("shared"), first["place"].alias("start"), last["place"].alias("end"))
+
+    line = F.transform("lines", lambda x: F.struct(x["number"].alias("number"), x["number"].alias("last"), x["shared"].alias("shared"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end")))
+    blocks = F.concat(line, F.filter(F.transform("runs", run), lambda x: x["shared"] >= F.col("k")))
+    found = d.select(*pair, F.explode(blocks).alias("b")).select("doc_id", "text_key", "t", "label", "b.*", (F.col("b.shared") / F.col("n")).alias("containment"))
+    found = written(found, "license-blocks")
+    out = ["doc_id", "text_key", "number", "last", "label", "containment"]
+    whole = found.where("start is null").select(*out)
+    return whole.unionByName(_standing(found.where("start is not null")).where("number < last").select(*out)).distinct()  # repeated rows have equal pairs
+
+
+def _standing(runs: DataFrame) -> DataFrame:
+    """The runs without an overlapping one of higher containment and no fewer shared words."""
+    at = Window.partitionBy("doc_id", "text_key", "place")
+    here = F.collect_set(F.struct("shared", "containment")).over(at)  # at most a value per template and count
+    beaten = F.exists("here", lambda x: (x["containment"] > F.col("containment")) & (x["shared"] >= F.col("shared")))
+    places = runs.select("*", F.explode(F.sequence("start", "end")).alias("place")).withColumn("here", here)
+    return places.groupBy(*runs.columns).agg(F.max(beaten).alias("beaten")).where("not beaten")
+
+
 def best_matches(found: DataFrame) -> DataFrame:
     """Of each block's matches those with its highest containment (near-equal notices match together)."""
-    block = found.groupBy("doc_id", "text_key", "number").agg(
+    block = found.groupBy("doc_id", "text_key", "number", "last").agg(
         F.max("containment").alias("containment"), F.collect_list(F.struct("containment", "label")).alias("all")
     )  # at most a row per template in the list
     top = F.filter("all", lambda x: x["containment"] == F.col("containment"))
