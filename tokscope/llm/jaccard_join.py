@@ -1,13 +1,14 @@
-"""N-gram Jaccard join: MinHash LSH forest with exact verification (operator 4).
+"""N-gram Jaccard join: MinHash bands with exact verification (operator 4).
 
 Two documents are linked if the Jaccard similarity of their sets of word five-grams is 0.8 or more.
 
 1. Each text becomes the set of its five-grams (64-bit fingerprints of five consecutive words; a text of fewer
    words has one shingle, all its words).  Texts with equal sets form a *class*; one row stands for it.
-2. Forest: every class has a label in each of TREES tries, a sequence of up to MAX_DEPTH MinHash values.  The
-   matched prefix starts at the full label and is shortened until the expected recall of a pair right at the
-   threshold, ``1 - (1 - t**depth) ** TREES``, reaches TARGET_RECALL; classes under one node of that depth are
-   candidates.  More similar pairs have a higher recall.
+2. Banding of fixed depth, in place of an LSH forest: every class has TREES bands of ``depth`` MinHash values each,
+   hashed into one node name per band.  The depth is the same for all and chosen before any data is read: the
+   greatest up to MAX_DEPTH for which the expected recall of a pair right at the threshold,
+   ``1 - (1 - t**depth) ** TREES``, reaches TARGET_RECALL (6).  Classes under one node are candidates.  More similar
+   pairs have a higher recall.  There are no tries, no full labels and no shortening by the density of the data.
 3. A node's classes meet in the group of the node's least class: one row per (group, class), never a row per
    pair.  Large groups are cut into chunks of about CHUNK classes, and each pair of chunks is a task's unit, so
    memory is bounded and no class is dropped.
@@ -52,7 +53,7 @@ def recall(depth: int, trees: int = TREES, threshold: tuple[int, int] = THRESHOL
 
 
 def matched_depth(target: float = TARGET_RECALL, trees: int = TREES, threshold: tuple[int, int] = THRESHOLD) -> int:
-    """Shortens the matched prefix from the full label until the target recall."""
+    """The greatest depth up to MAX_DEPTH that reaches the target recall."""
     depth = MAX_DEPTH
     while depth > 1 and recall(depth, trees, threshold) < target:
         depth -= 1
@@ -65,7 +66,7 @@ def shingles(h: np.ndarray, n: int = SHINGLE) -> np.ndarray:
 
 
 def prefixes(s: np.ndarray, trees: int, depth: int, rng_seed: int = 11) -> np.ndarray:
-    """For each tree the node of the label's prefix: a 64-bit name of ``depth`` MinHash values and the tree."""
+    """For each band its node: a 64-bit name of ``depth`` MinHash values and the band."""
     rng = np.random.default_rng(rng_seed)
     a = rng.integers(0, 1 << 31, trees * depth, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
     b = rng.integers(0, 1 << 32, trees * depth, dtype=np.uint32)
