@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from . import license_scans, secret_scans
+from . import chat_format, license_scans, secret_scans
 from .bpe import op1_bpe
+from .chat_format import op12_chat_format
 from .decontamination import op2_decontamination
 from .jaccard_join import op4_jaccard_join
 from .license_scans import op8_license_scans
@@ -25,9 +26,11 @@ QUERIES = {
     "op8_license_scans": op8_license_scans,
     "op9_sharding": op9_sharding,
     "op10_warc": op10_warc,
+    "op12_chat_format": op12_chat_format,
 }
 
 ORACLES: dict[str, str] = {
     "op3_secret_scans": secret_scans.ORACLE,
     "op8_license_scans": license_scans.ORACLE,
+    "op12_chat_format": chat_format.ORACLE,
 }
