@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat_format, conversation_trie, license_scans, secret_scans
+from . import chat_format, collocations, conversation_trie, license_scans, secret_scans
 from .bpe import op1_bpe
 from .chat_format import op12_chat_format
+from .collocations import op11_collocations
 from .conversation_trie import op13_conversation_trie
 from .decontamination import op2_decontamination
 from .jaccard_join import op4_jaccard_join
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_license_scans": op8_license_scans,
     "op9_sharding": op9_sharding,
     "op10_warc": op10_warc,
+    "op11_collocations": op11_collocations,
     "op12_chat_format": op12_chat_format,
     "op13_conversation_trie": op13_conversation_trie,
 }
@@ -34,6 +36,7 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op3_secret_scans": secret_scans.ORACLE,
     "op8_license_scans": license_scans.ORACLE,
+    "op11_collocations": collocations.ORACLE,
     "op12_chat_format": chat_format.ORACLE,
     "op13_conversation_trie": conversation_trie.ORACLE,
 }
