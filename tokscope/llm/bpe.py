@@ -1,23 +1,29 @@
 """BPE encoding and decoding through a distinct-word table (operator 1).
 
 1. Split: each task cuts its documents into words as the tokenizer's own normalizer and pre-tokenizer do, and
-   packs them into blocks of up to BLOCK_CHARS characters: the block's distinct words, and for each document
-   the positions as codes into them.  The blocks are written once to the shared checkpoint folder, in buckets by
-   block, so that the codes never move again.
-2. Distinct words: the words of all blocks are dealt out by word, so all uses of a word meet in one task, which
-   encodes each word once.  A word has at most one row per block, so a frequent word is no hot key.
-3. Join back: the ids return to their blocks by block id, and the codes put them in place.
+   packs them into blocks of up to BLOCK_CHARS characters: for each document the positions as codes into the
+   block's distinct words, and these words, dealt out by their hash into one packed row per hash bucket.  Blocks are
+   written once to the shared checkpoint folder.
+2. Distinct words: all words of a hash bucket meet in one task, bucket after bucket, which encodes each distinct word of
+   the bucket once.  A word has at most one place per block, so a frequent word is no hot key.
+3. Join back: the ids return to their block, bucket by bucket, and the codes put them in place.
 4. Decode: ids become pieces through the id-to-piece table (the vocabulary, a fixed size), again once per
    distinct word of a block, and the pieces are joined by blanks, as the tokenizer does without a decoder.
 
+A task holds one block (or one longer text) and the words of one bucket; results leave it in batches of about
+OUT_CHARS characters.
+
 The result equals ``Tokenizer.encode(text, add_special_tokens=False)`` and ``decode(ids,
 skip_special_tokens=False)``; strings of special tokens in a text become their ids, as they do there.
 
 Texts whose characters are all below U+0180 (but U+0130, whose lower case is two characters) take a direct pattern (NFC leaves them alone, and lower-casing and
-classes are plain); any other text goes through the library's normalizer and split pattern.
+classes are plain); any other text goes through the library's normalizer and split pattern.  A tokenizer file of another
+build (``BUILD``: normalizer, pre-tokenizer, no unknown token, no decoder) is refused; vocabulary, merges and special
+tokens are read from the file.
 
 Defined results: null or empty text has no ids and decodes to the empty string; repeated rows give repeated
-rows; extra columns are ignored; a null doc_id stays null.
+rows; extra columns are ignored; a null doc_id stays null; an empty table gives no rows; a text of any length is one
+document of one block; the order of equal rows is not defined (rows carry no position).
 """
 
 from __future__ import annotations
@@ -32,11 +38,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, map_arrow, table, texts, written_by
-
-BLOCK_CHARS = 1 << 24
-#: Words that an encoding task holds before it sends them on.
-CHUNK_WORDS = 200_000
+from .common import batch, map_arrow, table, texts, written
+
+BLOCK_CHARS = 1 << 23
+#: Characters of decoded text in one batch of results.
+OUT_CHARS = 1 << 20
+
+# The build of tokenizer file that the split below restates.
+BUILD = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "decoder": None,
+}
 
 LETTER = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f"
 NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -57,13 +76,28 @@ def load(spec: str):
     return Tokenizer.from_str(spec)
 
 
+def checked(spec: str) -> str:
+    """``spec`` if it is of the build that this operator restates; special tokens have to be found as they stand."""
+    conf = json.loads(spec)
+    other = [k for k, v in BUILD.items() if conf.get(k) != v]
+    model = conf["model"]
+    if model["type"] != "BPE" or model.get("unk_token") or model.get("dropout"):
+        other.append("model")
+    if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in conf["added_tokens"]):
+        other.append("added_tokens")
+    if other:
+        raise ValueError(f"tokenizer file of another build: {', '.join(other)}")
+    return spec
+
+
 def splitter(spec: str) -> Callable[[str], list[str]]:
     """text -> words (normalised), with the special tokens of the text among them."""
     from tokenizers import Regex, pre_tokenizers
 
     tok, conf = load(spec), json.loads(spec)
     special = sorted((t["content"] for t in conf["added_tokens"]), key=len, reverse=True)
-    at_special = re.compile("(" + "|".join(map(re.escape, special)) + ")")
+    at_special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
+    marks = tuple({t[:2] for t in special})
     pattern = next(p["pattern"]["Regex"] for p in conf["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
     cut = pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
     plain, beyond = PLAIN.findall, BEYOND.search
@@ -77,7 +111,7 @@ def splitter(spec: str) -> Callable[[str], list[str]]:
         return plain(text.lower())
 
     def split(text: str) -> list[str]:
-        if "<|" not in text:
+        if at_special is None or not any(m in text for m in marks):
             return words(text)
         out: list[str] = []
         for i, part in enumerate(at_special.split(text)):
@@ -119,43 +153,72 @@ def _unpack(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<i4").ravel()
 
 
-BLOCKS = "block long, doc_ids array<long>, n_words array<int>, codes binary, words array<string>"
-PACKED = "block long, codes binary, lens binary, ids binary"
+#: A block's own row has bucket -1; the others hold its words (lengths and UTF-8 bytes) by hash bucket.
+BLOCKS = "block long, bucket int, doc_ids array<long>, n_words array<int>, codes binary, words binary"
+IDS = "block long, bucket int, lens binary, ids binary"
+
+
+def _joined(words: list[str]) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=3).compress("\n".join(words).encode("utf-8", "surrogatepass"))
+
+
+def _parted(body: bytes) -> list[str]:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(body).decode("utf-8", "surrogatepass").split("\n")
 
 
-def blocks(docs: DataFrame, spec: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """Each row a block: its documents, its distinct words (most frequent first), and codes by position."""
+def blocks(docs: DataFrame, spec: str, buckets: int, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of BLOCKS.  Codes number a block's distinct words, most frequent first; the words of bucket b are
+    those whose hash is b, in the order of their codes (no word has white space in it, so a line holds one)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_64_intdigest as digest
+
         split = splitter(spec)
 
-        def block(ids: list, known: dict[str, int], parts: list[np.ndarray]) -> pa.RecordBatch:
-            codes = np.concatenate(parts) if parts else np.empty(0, np.int32)
+        def block(ids: list, known: dict[str, int], parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            codes = np.concatenate(parts)
             order = np.argsort(-np.bincount(codes, minlength=len(known)), kind="stable")
             rank = np.empty(len(known), np.int32)
             rank[order] = np.arange(len(known), dtype=np.int32)
             words = list(known)
-            return batch(
-                block=pa.array([uuid.uuid4().int >> 65], pa.int64()),
-                doc_ids=pa.array([ids], pa.list_(pa.int64())),
-                n_words=pa.array([[len(p) for p in parts]], pa.list_(pa.int32())),
-                codes=pa.array([_pack(rank[codes])], pa.binary()),
-                words=pa.array([[words[i] for i in order]], pa.list_(pa.string())),
-            )
+            words = [words[i] for i in order.tolist()]
+            hashes = np.fromiter((digest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
+            bucket = (hashes % np.uint64(buckets)).astype(np.int64)
+            place = np.argsort(bucket, kind="stable")
+            borders = np.searchsorted(bucket[place], np.arange(buckets + 1))
+            name = uuid.uuid4().int >> 65
+            out = [(-1, ids, [len(p) for p in parts], _pack(rank[codes]), _pack(place.astype(np.int32)))]
+            for b in np.flatnonzero(np.diff(borders)).tolist():
+                out.append((b, None, None, None, _joined([words[i] for i in place[borders[b] : borders[b + 1]].tolist()])))
+            for at in range(0, len(out), 4096):
+                some = list(zip(*out[at : at + 4096], strict=True))
+                yield batch(
+                    block=pa.array([name] * len(some[0]), pa.int64()),
+                    bucket=pa.array(some[0], pa.int32()),
+                    doc_ids=pa.array(some[1], pa.list_(pa.int64())),
+                    n_words=pa.array(some[2], pa.list_(pa.int32())),
+                    codes=pa.array(some[3], pa.binary()),
+                    words=pa.array(some[4], pa.binary()),
+                )
 
         ids, parts, size = [], [], 0
         known: dict[str, int] = _Codes()
         for b in batches:
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
+                text = text.as_py()
                 found = split(text)
                 ids.append(doc_id)
                 parts.append(np.fromiter(map(known.__getitem__, found), np.int32, len(found)))
                 size += len(text)
                 if size >= block_chars:
-                    yield block(ids, known, parts)
+                    yield from block(ids, known, parts)
                     ids, parts, size, known = [], [], 0, _Codes()
         if ids:
-            yield block(ids, known, parts)
+            yield from block(ids, known, parts)
 
     return map_arrow(texts(docs), run, BLOCKS)
 
@@ -167,94 +230,93 @@ class _Codes(dict):
 
 
 def encoded_words(cut: DataFrame, spec: str) -> DataFrame:
-    """Deals the blocks' words out by word, encodes each distinct word once, and packs ids by block."""
-    uses = cut.select("block", F.posexplode("words").alias("code", "word")).repartition("word")
+    """Bucket after bucket, each distinct word encoded once; the ids of a block's words of a bucket in one row."""
+    uses = cut.where("bucket >= 0").select("block", "bucket", "words").repartition("bucket").sortWithinPartitions("bucket")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_encoder(spec)
-        done: dict[str, list[int]] = {}
-
-        def packed(rows: list[tuple[np.ndarray, np.ndarray, list[str]]]) -> Iterator[pa.RecordBatch]:
-            block, code = (np.concatenate([r[i] for r in rows]) for i in (0, 1))
-            ids = [done[w] for r in rows for w in r[2]]
-            lens = np.fromiter(map(len, ids), np.int32, len(ids))
-            start = np.concatenate([[0], np.cumsum(lens)])
-            order = np.argsort(block, kind="stable")
-            flat = np.fromiter((i for x in order for i in ids[x]), np.int32, int(start[-1]))
-            cuts = np.flatnonzero(np.diff(block[order], prepend=block[order[0]] - 1))
-            ends = np.append(cuts[1:], len(order))
-            at = np.concatenate([[0], np.cumsum(lens[order])])
-            yield batch(
-                block=pa.array(block[order][cuts], pa.int64()),
-                codes=pa.array([_pack(code[order[a:b]]) for a, b in zip(cuts, ends, strict=True)], pa.binary()),
-                lens=pa.array([_pack(lens[order[a:b]]) for a, b in zip(cuts, ends, strict=True)], pa.binary()),
-                ids=pa.array([_pack(flat[at[a] : at[b]]) for a, b in zip(cuts, ends, strict=True)], pa.binary()),
-            )
-
-        rows, n = [], 0
+        done: dict[str, np.ndarray] = {}
+        now = None
         for b in batches:
-            words = b.column("word").to_pylist()
-            for w in words:
-                if w not in done:
-                    done[w] = encode(w)
-            rows.append((b.column("block").to_numpy(), b.column("code").to_numpy(), words))
-            n += len(words)
-            if n >= CHUNK_WORDS:
-                yield from packed(rows)
-                rows, n = [], 0
-        if n:
-            yield from packed(rows)
-
-    return uses.mapInArrow(run, PACKED)
+            lens, ids = [], []
+            for bucket, body in zip(b.column("bucket").to_pylist(), b.column("words"), strict=True):
+                if bucket != now:
+                    done, now = {}, bucket
+                words = _parted(body.as_py())
+                for w in words:
+                    if w not in done:
+                        done[w] = np.array(encode(w), np.int32)
+                said = [done[w] for w in words]
+                lens.append(_pack(np.fromiter(map(len, said), np.int32, len(said))))
+                ids.append(_pack(np.concatenate(said)))
+            yield batch(block=b.column("block"), bucket=b.column("bucket"), lens=pa.array(lens, pa.binary()), ids=pa.array(ids, pa.binary()))
+
+    return map_arrow(uses, run, IDS)
 
 
 def encode(docs: DataFrame, tokenizer: str | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, ids (array<int>), decoded (string) of every document; ``tokenizer``: the path of a tokenizer file."""
     with open(tokenizer or default_tokenizer(), encoding="utf-8") as f:
-        spec = f.read()
+        spec = checked(f.read())
     tok = load(spec)
     pieces = [tok.id_to_token(i) for i in range(tok.get_vocab_size(with_added_tokens=True))]
-    cut = written_by(blocks(docs, spec, block_chars), "bpe-blocks", "block")
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = written(blocks(docs, spec, buckets, block_chars), "bpe-blocks")
     ids = encoded_words(cut, spec)
+    none = F.lit(None).cast("binary")
+    own = cut.where("bucket < 0").select("block", F.lit(buckets).alias("bucket"), none.alias("lens"), none.alias("ids"), "doc_ids", "n_words", "codes", F.col("words").alias("place"))
+    back = ids.select("*", F.lit(None).cast("array<long>").alias("doc_ids"), F.lit(None).cast("array<int>").alias("n_words"), none.alias("codes"), none.alias("place"))
+    # a block's ids come in the order of its buckets, then its own row
+    meets = back.unionByName(own).repartition("block").sortWithinPartitions("block", "bucket")
 
-    def join(left: pa.Table, right: pa.Table) -> pa.Table:
-        codes = [_unpack(x.as_py()) for x in right.column("codes")]
-        lens = [_unpack(x.as_py()) for x in right.column("lens")]
-        flat = [_unpack(x.as_py()) for x in right.column("ids")]
-        n = sum(map(len, codes))
-        size, start = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        flat_all = np.concatenate(flat) if flat else np.empty(0, np.int32)
-        if codes:
-            code_all, len_all = np.concatenate(codes), np.concatenate(lens).astype(np.int64)
-            size[code_all] = len_all
-            start[code_all] = np.cumsum(len_all) - len_all
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lens, flat = [], []
+        for b in batches:
+            for i, own in enumerate(b.column("codes").is_valid().to_pylist()):
+                if own:
+                    yield from join(lens, flat, *(b.column(c)[i].as_py() for c in ("doc_ids", "n_words", "codes", "place")))
+                    lens, flat = [], []
+                else:
+                    lens.append(b.column("lens")[i].as_py())
+                    flat.append(b.column("ids")[i].as_py())
+
+    def join(lens: list[bytes], flat: list[bytes], doc_ids: list, n_words: list, codes: bytes, place: bytes) -> Iterator[pa.RecordBatch]:
+        empty = np.empty(0, np.int32)
+        place, codes = _unpack(place), _unpack(codes)
+        len_all = np.concatenate([_unpack(x) for x in lens]).astype(np.int64) if lens else empty.astype(np.int64)
+        flat_all = np.concatenate([_unpack(x) for x in flat]) if flat else empty
+        size, start = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
+        size[place], start[place] = len_all, np.cumsum(len_all) - len_all
         text = [" ".join([pieces[i] for i in flat_all[a : a + k].tolist()]) for a, k in zip(start.tolist(), size.tolist(), strict=True)]
-        doc_ids, out_ids, out_text, offsets = [], [], [], [0]
-        for row in left.to_pylist():
-            at = _unpack(row["codes"])
-            cut_at = 0
-            for doc_id, k in zip(row["doc_ids"], row["n_words"], strict=True):
-                c = at[cut_at : cut_at + k]
-                cut_at += k
-                lens_ = size[c]
-                total = int(lens_.sum())
-                # the ids of each word lie together: its start, repeated, plus 0, 1, ... within the word
-                first = np.cumsum(lens_) - lens_
-                out_ids.append(flat_all[np.repeat(start[c] - first, lens_) + np.arange(total)])
-                out_text.append(" ".join(map(text.__getitem__, c.tolist())))
-                doc_ids.append(doc_id)
-                offsets.append(offsets[-1] + total)
-        values = pa.array(np.concatenate(out_ids) if out_ids else np.empty(0, np.int32), pa.int32())
-        return pa.table(
-            {
-                "doc_id": pa.array(doc_ids, pa.int64()),
-                "ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values),
-                "decoded": pa.array(out_text, pa.string()),
-            }
-        )
-
-    left = cut.select("block", "doc_ids", "n_words", "codes").groupBy("block")
-    return left.cogroup(ids.groupBy("block")).applyInArrow(join, "doc_id long, ids array<int>, decoded string")
+        out_docs, out_ids, out_text, offsets, chars, at = [], [], [], [0], 0, 0
+
+        def rows() -> pa.RecordBatch:
+            values = pa.array(np.concatenate(out_ids), pa.int32())
+            return batch(
+                doc_id=pa.array(out_docs, pa.int64()),
+                ids=pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values),
+                decoded=pa.array(out_text, pa.string()),
+            )
+
+        for doc_id, k in zip(doc_ids, n_words, strict=True):
+            c = codes[at : at + k]
+            at += k
+            lens_ = size[c]
+            total = int(lens_.sum())
+            # the ids of each word lie together: its start, repeated, plus 0, 1, ... within the word
+            first = np.cumsum(lens_) - lens_
+            out_ids.append(flat_all[np.repeat(start[c] - first, lens_) + np.arange(total)])
+            out_text.append(" ".join(map(text.__getitem__, c.tolist())))
+            out_docs.append(doc_id)
+            offsets.append(offsets[-1] + total)
+            chars += len(out_text[-1])
+            if chars >= OUT_CHARS:
+                yield rows()
+                out_docs, out_ids, out_text, offsets, chars = [], [], [], [0], 0
+        if out_docs:
+            yield rows()
+
+    return map_arrow(meets, run, "doc_id long, ids array<int>, decoded string")
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

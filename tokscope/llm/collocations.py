@@ -41,7 +41,7 @@ from .common import WordCodes, map_arrow, mix64, table, written
 MAX_WORDS, LEAST, TOP, SHARE, SCALE = 3, 10, 2000, 50, 1_000_000
 ENDS = b".,;:!?\n\x0b\x0c\r"
 #: Normalised bytes of a block; bytes turned into words at a time; n-grams of a hash partition; see above.
-BLOCK_BYTES, STEP_BYTES, PARTITION_MASS, ROOM, HOT = 8 << 20, 1 << 20, 4 << 20, 4, 10_000
+BLOCK_BYTES, STEP_BYTES, PARTITION_MASS, ROOM, HOT = 4 << 20, 1 << 20, 4 << 20, 4, 10_000
 
 _UPPER = bytes(range(65, 91))
 #: No byte of UTF-8: stands where a piece ends.
@@ -227,32 +227,46 @@ def _replies(least: int):
 
 
 COUNT = "lang string, phrase string, k int, n long"
+#: Rows of one batch of counts.
+OUT_ROWS = 50_000
 
 
 def _counts(bits: int, most: int):
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        langs, phrases, lengths, counts = [], [], [], []
-        alive = np.sort(np.concatenate([np.cumsum(unpacked(k.as_py(), np.uint64), dtype=np.uint64) for k in right.column("keys")])) if len(right) else np.empty(0, np.uint64)
-        for lang, body in zip(left.column("lang").to_pylist(), left.column("body"), strict=True):
-            words = Words()
-            codes = words.of(zstandard.ZstdDecompressor().decompress(body.as_py()))
-            langs.append(lang), phrases.append(b""), lengths.append(0), counts.append(int((codes != words.end).sum()))
-            said = words.codes.words
-            for n, starts, hashes in words.grams(codes, lang, most):
-                if not len(alive):
-                    break
-                keys = _keys(hashes, bits)
-                starts = starts[alive[np.minimum(np.searchsorted(alive, keys), len(alive) - 1)] == keys]
-                ids = codes[starts]
-                for i in range(1, n):  # name the n-grams by their words: prefix's number, next word
-                    ids = np.unique(ids, return_inverse=True)[1] * len(said) + codes[starts + i]
-                _, at, found = np.unique(ids, return_index=True, return_counts=True)
-                parts = [codes[starts[at] + i].tolist() for i in range(n)]
-                phrases += [b" ".join([said[c] for c in p]) for p in zip(*parts, strict=True)]
-                counts += found.tolist()
-                lengths += [n] * len(at)
-                langs += [lang] * len(at)
-        return pa.table({"lang": pa.array(langs, pa.string()), "phrase": pa.array(phrases, pa.binary()).cast(pa.string()), "k": pa.array(lengths, pa.int32()), "n": pa.array(counts, pa.int64())})
+    """Rows of a block (its lists of surviving keys first, then its text) -> counts of the surviving n-grams, by words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists: list[np.ndarray] = []
+        for b in batches:
+            for i, lang in enumerate(b.column("lang").to_pylist()):
+                if lang is None:
+                    lists.append(np.cumsum(unpacked(b.column("keys")[i].as_py(), np.uint64), dtype=np.uint64))
+                else:
+                    alive = np.sort(np.concatenate(lists)) if lists else np.empty(0, np.uint64)
+                    yield from counted(lang, b.column("body")[i].as_py(), alive)
+                    lists = []
+
+    def counted(lang: str, body: bytes, alive: np.ndarray) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        codes = words.of(zstandard.ZstdDecompressor().decompress(body))
+        yield rows(lang, 0, [b""], np.array([(codes != words.end).sum()]))
+        said = words.codes.words
+        for n, starts, hashes in words.grams(codes, lang, most):
+            if not len(alive):
+                return
+            keys = _keys(hashes, bits)
+            starts = starts[alive[np.minimum(np.searchsorted(alive, keys), len(alive) - 1)] == keys]
+            ids = codes[starts]
+            for i in range(1, n):  # name the n-grams by their words: prefix's number, next word
+                ids = np.unique(ids, return_inverse=True)[1] * len(said) + codes[starts + i]
+            _, at, found = np.unique(ids, return_index=True, return_counts=True)
+            first = starts[at]
+            for j in range(0, len(first), OUT_ROWS):
+                parts = [codes[first[j : j + OUT_ROWS] + i].tolist() for i in range(n)]
+                yield rows(lang, n, [b" ".join([said[c] for c in p]) for p in zip(*parts, strict=True)], found[j : j + OUT_ROWS])
+
+    def rows(lang: str, k: int, phrases: list[bytes], n: np.ndarray) -> pa.RecordBatch:
+        columns = [pa.repeat(lang, len(phrases)), pa.array(phrases, pa.binary()).cast(pa.string()), pa.repeat(pa.scalar(k, pa.int32()), len(phrases)), pa.array(n, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "k", "n"])
 
     return run
 
@@ -266,8 +280,12 @@ def frequent(docs: DataFrame, least: int = LEAST, max_words: int = MAX_WORDS, bl
     bits = min(max(-(-estimate // mass) - 1, 0).bit_length(), 28)
     cells = written(map_arrow(rows, _cells(bits, max_words, block_bytes), CELL), "collocation-cells")
     replies = cells.where("bucket >= 0").select("bucket", "block", "mass", "body", "counts").groupBy("bucket").applyInArrow(_replies(least), "block long, keys binary")
-    blocks = cells.where("bucket < 0").select("block", "lang", "body")
-    counts = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_counts(bits, max_words), COUNT)
+    none = F.lit(None)
+    lists = replies.select("block", none.cast("string").alias("lang"), none.cast("binary").alias("body"), "keys")
+    blocks = cells.where("bucket < 0").select("block", "lang", "body", none.cast("binary").alias("keys"))
+    # a block's lists come first (they have no language), then its text
+    meets = lists.unionByName(blocks).repartition("block").sortWithinPartitions("block", F.col("lang").asc_nulls_first())
+    counts = map_arrow(meets, _counts(bits, max_words), COUNT)
     return counts.groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n")).where((F.col("k") == 0) | (F.col("n") >= least))
 
 

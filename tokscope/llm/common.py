@@ -17,8 +17,8 @@ from ..session import ensure_checkpoint_dir
 # Workers get the functions of this package with the task, so they need no installed copy.
 cloudpickle.register_pickle_by_value(sys.modules[__package__.partition(".")[0]])
 
-#: Rows of one Arrow batch sent to Python: bounds a worker's memory when texts are long.
-BATCH_ROWS = 512
+#: Bytes of one Arrow batch sent to Python (a longer row is a batch of its own): bounds a worker's memory.
+BATCH_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,27 +41,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def written_by(df: DataFrame, name: str, column: str) -> DataFrame:
-    """Like ``written``, in buckets by ``column``: operators that need its values together need no shuffle of it.
-
-    The table's name is dropped from the catalog at once; its files stay in the shared folder.
-    """
-    spark = df.sparkSession
-    unique = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{unique}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.bucketBy(buckets, column).option("path", path).option("compression", "zstd").saveAsTable(unique)
-    out = spark.table(unique)
-    out.schema  # noqa: B018 - resolves the files before the name goes
-    spark.sql(f"DROP TABLE {unique}")
-    return out
-
-
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """``mapInArrow`` with batches of at most BATCH_ROWS rows."""
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """``mapInArrow`` with batches of about BATCH_BYTES bytes (the session's setting, lowered if it is larger)."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(conf.get(key).rstrip("b")) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
     return df.mapInArrow(fn, schema)
 
 

@@ -17,13 +17,19 @@ MIN_SCORE are retrieved:
 - the postings of the remaining blocks are summed exactly.
 
 Verification.  The item's question (all but the last line, or else all but the last sentence) and answer (the
-rest) are compared with the document by word three-grams.  A document leaks an item if OVERLAP or more of the
-three-grams of the question, or of the whole item, are in it.
+rest) are compared with the document by word three-grams.  A document leaks an item if it has
+
+- OVERLAP or more of the three-grams of the question, or of the whole item; or
+- OVERLAP of the answer's and half as many of the question's; or
+- EXCERPT or more of the three-grams of a retrieved segment (an excerpt of a long item);
+
+and an item of fewer than SHORT tokens has to stand in it word for word.
 
 Result: one row per document row and leaked item: doc_id, item_id, score (best passage), n_passages,
 question_overlap, answer_overlap (null if the item is a single sentence), item_overlap.  Defined results: null or
-empty texts leak nothing; items with a null or empty text, or with fewer than MIN_TOKENS tokens, are no evidence
-and are not indexed; equal items count once; repeated rows give repeated rows; extra columns are ignored.
+empty texts leak nothing; items with a null or empty text, or with fewer tokens than an n-gram has (NGRAM), are no
+evidence; equal items count once; repeated rows give repeated rows; an empty table of documents or items: no leaks; a very
+long document is searched passage by passage; ties in score: all are retrieved; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,9 +47,10 @@ from pyspark.sql import functions as F
 from .common import batch, map_arrow, table, texts, written
 
 SEGMENT = 48
-MIN_TOKENS = 8
+SHORT = 8
 MIN_SCORE = 0.4
 OVERLAP = 0.5
+EXCERPT = 0.8
 NGRAM = 3
 BLOCK = 32
 K1, B = 1.2, 0.75
@@ -71,32 +78,31 @@ def ngrams(words: list[bytes], n: int = NGRAM) -> set[tuple]:
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if n else set()
 
 
-def postings(items: DataFrame) -> DataFrame:
-    """item, item_id, text, segment, term, weight (share of the segment's own BM25 score)."""
+def postings(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """item, segment, term, weight (share of the segment's own BM25 score); and the items themselves: item, item_id, text."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: dict[str, list] = {"item": [], "item_id": [], "text": [], "segment": [], "terms": []}
-            for item, item_id, text in zip(*(b.column(c).to_pylist() for c in ("item", "item_id", "text")), strict=True):
+            out: dict[str, list] = {"item": [], "segment": [], "terms": []}
+            for item, text in zip(*(b.column(c).to_pylist() for c in ("item", "text")), strict=True):
                 words = tokens(text)
-                if len(words) < MIN_TOKENS:
+                if len(words) < NGRAM:
                     continue
                 for k, i in enumerate(range(0, len(words), SEGMENT)):
                     # the last segment reaches back, so that none is short
                     i = max(0, min(i, len(words) - SEGMENT))
-                    for name, value in zip(out, (item, item_id, text, k, words[i : i + SEGMENT]), strict=True):
+                    for name, value in zip(out, (item, k, words[i : i + SEGMENT]), strict=True):
                         out[name].append(value)
             yield batch(
                 item=pa.array(out["item"], pa.int64()),
-                item_id=pa.array(out["item_id"], pa.int64()),
-                text=pa.array(out["text"], pa.string()),
                 segment=pa.array(out["segment"], pa.int32()),
                 terms=pa.array(out["terms"], pa.list_(pa.binary())),
             )
 
     named = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null").distinct()
     named = named.withColumn("item", F.xxhash64("item_id", "text"))
-    segments = map_arrow(named.select("item", "item_id", "text"), cut, "item long, item_id long, text string, segment int, terms array<binary>")
+    named = written(named.select("item", "item_id", "text"), "items")
+    segments = map_arrow(named.select("item", "text"), cut, "item long, segment int, terms array<binary>")
     segments = written(segments, "segments")
     stats = segments.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("mean")).first()
     n, mean = stats["n"] or 0, stats["mean"] or 1.0
@@ -106,11 +112,7 @@ def postings(items: DataFrame) -> DataFrame:
     raw = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(mean)))
     scored = tf.join(df, "term").withColumn("raw", raw)
     own = scored.groupBy("item", "segment").agg(F.sum("raw").alias("own"))
-    return (
-        scored.join(own, ["item", "segment"])
-        .join(segments.select("item", "segment", "item_id", "text"), ["item", "segment"])
-        .select("item", "item_id", "text", "segment", "term", (F.col("raw") / F.col("own")).alias("weight"))
-    )
+    return scored.join(own, ["item", "segment"]).select("item", "segment", "term", (F.col("raw") / F.col("own")).alias("weight")), named
 
 
 @dataclass
@@ -150,10 +152,14 @@ class Shard:
         n = len(self.terms)
         self.term_at = np.searchsorted(self.block_key, np.arange(n + 1) * self.n_blocks)
         self.term_max = np.maximum.reduceat(self.block_max, self.term_at[:-1]) if n else np.empty(0)
-        self.item_sets = []
+        self.item_sets, self.short, self.segments = [], [], []
         for _, text in self.items:
             q, a = question_and_answer(text)
-            self.item_sets.append((ngrams(tokens(q)), ngrams(tokens(a)), ngrams(tokens(text))))
+            words = tokens(text)
+            self.item_sets.append((ngrams(tokens(q)), ngrams(tokens(a)), ngrams(words)))
+            self.short.append(b" %s " % b" ".join(words) if len(words) < SHORT else None)
+            # cut as in postings()
+            self.segments += [ngrams(words[i : i + SEGMENT]) for i in (max(0, min(i, len(words) - SEGMENT)) for i in range(0, len(words), SEGMENT))]
 
     @staticmethod
     def spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -237,25 +243,35 @@ class Shard:
         if not len(passage):
             return out
         doc = np.searchsorted(bases, passage, side="right") - 1
-        best: dict[tuple[int, int], tuple[float, set]] = {}
-        for d, p, item, s in zip(doc.tolist(), passage.tolist(), self.seg_item[seg].tolist(), score.tolist(), strict=True):
-            high, seen = best.get((d, item), (0.0, set()))
+        best: dict[tuple[int, int], tuple[float, set, set]] = {}
+        for d, p, s_, item, s in zip(doc.tolist(), passage.tolist(), seg.tolist(), self.seg_item[seg].tolist(), score.tolist(), strict=True):
+            high, seen, parts = best.get((d, item), (0.0, set(), set()))
             seen.add(p)
-            best[d, item] = max(high, s), seen
+            parts.add(s_)
+            best[d, item] = max(high, s), seen, parts
         sets: dict[int, set] = {}
         share = lambda a, b: len(a & b) / len(a) if a else None
-        for (d, item), (s, seen) in sorted(best.items()):
+        for (d, item), (s, seen, parts) in sorted(best.items()):
             if d not in sets:
                 sets[d] = {tuple(words[d][i : i + n]) for n in range(1, NGRAM + 1) for i in range(len(words[d]) - n + 1)}
             q, a, whole = (share(x, sets[d]) for x in self.item_sets[item])
-            if max(q or 0.0, whole or 0.0) >= overlap:
+            if self.short[item] is not None:
+                leak = self.short[item] in b" %s " % b" ".join(words[d])
+            else:
+                leak = (
+                    max(q or 0.0, whole or 0.0) >= overlap
+                    or ((a or 0.0) >= overlap and (q or 0.0) >= overlap / 2)
+                    or any(share(self.segments[x], sets[d]) >= EXCERPT for x in parts)
+                )
+            if leak:
                 out[d].append((self.items[item][0], s, len(seen), q, a, whole))
         return out
 
 
 def shards(items: DataFrame, shard_postings: int = SHARD_POSTINGS) -> Iterator[Shard]:
     """The index in shards; the driver holds one at a time."""
-    index = written(postings(items), "postings")
+    index, named = postings(items)
+    index = written(index, "postings")
     n = index.count()
     k = -(-n // shard_postings)
     for i in range(k):
@@ -266,15 +282,14 @@ def shards(items: DataFrame, shard_postings: int = SHARD_POSTINGS) -> Iterator[S
         new_item = np.diff(item, prepend=item[0] - 1) != 0
         new_seg = new_item | (np.diff(segment, prepend=-1) != 0)
         item_of, seg_of = np.cumsum(new_item) - 1, np.cumsum(new_seg) - 1
-        at = np.flatnonzero(new_item)
-        texts_ = rows.column("text").take(pa.array(at)).to_pylist()
-        ids = rows.column("item_id").take(pa.array(at)).to_pylist()
+        have = named.where(F.pmod(F.col("item"), F.lit(k)) == i).toArrow()
+        said = dict(zip(have.column("item").to_pylist(), zip(have.column("item_id").to_pylist(), have.column("text").to_pylist(), strict=True), strict=True))
         words = rows.column("term").to_pylist()
         terms = {t: j for j, t in enumerate(sorted(set(words)))}
         yield Shard(
             terms,
             item_of[new_seg],
-            list(zip(ids, texts_, strict=True)),
+            [said[x] for x in item[new_item].tolist()],
             np.array([terms[w] for w in words], dtype=np.int64),
             seg_of.astype(np.int64),
             rows.column("weight").to_numpy(),

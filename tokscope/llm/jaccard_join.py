@@ -23,7 +23,9 @@ Cost within a cluster of n different near copies is n**2 comparisons of bit rows
 Result: doc_id, class_id, n_links (documents linked with this one, its equals among them).  Defined results:
 null or empty text, or one without a word, has no shingles, so no links, and is its own class; repeated rows
 give repeated rows, each a link of the other; a null doc_id can't be named in a link, so it has a null class and
-no links; rows that share a doc_id but not the text are compared each by its own text, and share a class.
+no links; rows that share a doc_id but not the text are compared each by its own text, and belong to the class of
+that text; an empty table gives no rows; a very long text is one row of its task's unit; ties (equal least ids) name the
+same class id.
 """
 
 from __future__ import annotations
@@ -83,7 +85,7 @@ def prefixes(s: np.ndarray, trees: int, depth: int, rng_seed: int = 11) -> np.nd
 
 
 def sketches(docs: DataFrame, trees: int, depth: int) -> DataFrame:
-    """doc_id, a and b (128 bits that name the shingle set; null without shingles), nodes, z (compressed words)."""
+    """doc_id, text_key, a and b (128 bits that name the shingle set; null without shingles), nodes, z (compressed words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -106,13 +108,15 @@ def sketches(docs: DataFrame, trees: int, depth: int) -> DataFrame:
                 z.append(pack(b" ".join(words)))
             yield batch(
                 doc_id=got.column("doc_id"),
+                text_key=got.column("text_key"),
                 a=pa.array(a, pa.int64()),
                 b=pa.array(b, pa.int64()),
                 nodes=pa.array(nodes, pa.list_(pa.int64())),
                 z=pa.array(z, pa.binary()),
             )
 
-    return map_arrow(texts(docs), run, "doc_id long, a long, b long, nodes array<long>, z binary")
+    named = texts(docs).withColumn("text_key", F.xxhash64("text"))
+    return map_arrow(named, run, "doc_id long, text_key long, a long, b long, nodes array<long>, z binary")
 
 
 def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: tuple[int, int]) -> np.ndarray:
@@ -139,11 +143,11 @@ def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshol
     return out & (side | side.T)
 
 
-UNIT = "a long, b long, rep long, links long, root long"
+UNIT = "a long, b long, links long, root long"
 
 
 def verified(units: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Per unit and linked class: its links counted here, and the least rep of its cluster within the unit."""
+    """Per unit and linked class: its links counted here, and the least class name (a) of its cluster within the unit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -169,9 +173,8 @@ def verified(units: DataFrame, threshold: tuple[int, int]) -> DataFrame:
                 if len(members) > 1:
                     counted[np.ix_(members, members)] = False
             links = counted @ np.array([r["size"] for r in rows], dtype=np.int64)
-            reps = np.array([r["rep"] for r in rows], dtype=np.int64)
-            root = reps.copy()
-            while True:  # least rep of the cluster
+            root = np.array([r["a"] for r in rows], dtype=np.int64)
+            while True:  # least name of the cluster
                 low = np.minimum(root, np.where(ok, root[None, :], np.iinfo(np.int64).max).min(axis=1))
                 if (low == root).all():
                     break
@@ -180,7 +183,6 @@ def verified(units: DataFrame, threshold: tuple[int, int]) -> DataFrame:
             return batch(
                 a=pa.array([rows[k]["a"] for k in keep], pa.int64()),
                 b=pa.array([rows[k]["b"] for k in keep], pa.int64()),
-                rep=pa.array(reps[keep]),
                 links=pa.array(links[keep], pa.int64()),
                 root=pa.array(root[keep]),
             )
@@ -203,9 +205,16 @@ def join(
     docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, target: float = TARGET_RECALL, trees: int = TREES, chunk: int = CHUNK
 ) -> DataFrame:
     """doc_id, class_id, n_links for every row of ``docs``."""
+    return named_join(docs, threshold, target, trees, chunk).select("doc_id", "class_id", "n_links")
+
+
+def named_join(
+    docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, target: float = TARGET_RECALL, trees: int = TREES, chunk: int = CHUNK
+) -> DataFrame:
+    """doc_id, text_key (hash of the text), root (names the class; null without shingles or id), class_id, n_links."""
     sketch = written(sketches(docs, trees, matched_depth(target, trees, threshold)), "sketches")
     named = sketch.where(F.col("doc_id").isNotNull() & F.col("a").isNotNull())
-    classes = named.groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("z").alias("z"))
+    classes = named.groupBy("a", "b").agg(F.count("*").alias("size"), F.first("z").alias("z"))
 
     under = named.select("a", "b", F.explode("nodes").alias("node"))
     shared = under.groupBy("node").agg(F.min("a").alias("m"), F.max("a").alias("last")).where("m < last").select("node", "m")
@@ -220,35 +229,45 @@ def join(
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         .withColumn("i", F.least("chunk", "other"))
         .withColumn("j", F.greatest("chunk", "other"))
-        .select("m", "i", "j", "chunk", "a", "b", "rep", "size", "groups", "z")
+        .select("m", "i", "j", "chunk", "a", "b", "size", "groups", "z")
         .repartition("m", "i", "j")
         .sortWithinPartitions("m", "i", "j")
     )
     found = written(verified(units, threshold), "links")
-    roots = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
+    roots = components(found.select(F.col("a").alias("u"), F.col("root").alias("v")))
     links = found.groupBy("a", "b").agg(F.sum("links").alias("links"))
     per_class = (
         named.groupBy("a", "b")
         .agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"))
         .join(links, ["a", "b"], "left")
-        .join(roots, F.col("rep") == F.col("node"), "left")
-        .select("a", "b", F.coalesce("root", "rep").alias("class_id"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+        .join(roots.withColumnRenamed("node", "a"), "a", "left")
+        .select("a", "b", F.coalesce("root", "a").alias("root"), "rep", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     )
+    ids = per_class.groupBy("root").agg(F.min("rep").alias("class_id"))
+    per_class = per_class.join(ids, "root").select("a", "b", "root", "class_id", "n_links")
+    none = F.lit(None).cast("long")
     rest = sketch.where(F.col("doc_id").isNull() | F.col("a").isNull())
     return (
-        named.select("doc_id", "a", "b")
+        named.select("doc_id", "text_key", "a", "b")
         .join(per_class, ["a", "b"])
-        .select("doc_id", "class_id", "n_links")
-        .unionByName(rest.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+        .select("doc_id", "text_key", "root", "class_id", "n_links")
+        .unionByName(rest.select("doc_id", "text_key", none.alias("root"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
     )
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: of each class the document with the least doc_id, once; null ids all stay."""
-    least = join(docs).where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("kept_id")).distinct()
-    named = docs.where(F.col("doc_id").isNotNull())
-    kept = named.join(least, F.col("doc_id").cast("long") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    """The rows of ``docs`` that stay: of each class the one of the least (doc_id, text hash); null ids all stay.
+
+    Rows that agree in doc_id and text are one row; unlike texts under one doc_id are judged each by its own class.
+    """
+    key = "__text_key"
+    named = docs.where(F.col("doc_id").isNotNull()).withColumn(key, F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows = named_join(docs).where(F.col("doc_id").isNotNull())
+    least = rows.where(F.col("root").isNotNull()).groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("k")).select("k.doc_id", "k.text_key")
+    least = least.unionByName(rows.where(F.col("root").isNull()).select("doc_id", "text_key"))
+    least = least.select(F.col("doc_id").alias("__kept_id"), F.col("text_key").alias("__kept_key")).distinct()
+    kept = named.join(least, (F.col("doc_id").cast("long") == F.col("__kept_id")) & (F.col(key) == F.col("__kept_key")), "left_semi")
+    return kept.dropDuplicates(["doc_id", key]).drop(key).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,6 +29,8 @@ no labels; repeated rows give repeated rows; extra columns are ignored; template
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -80,7 +82,7 @@ TEMPLATES = [
 
 
 def words(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(text), APART), "")
+    return F.array_remove(F.split(F.translate(text, string.ascii_uppercase, string.ascii_lowercase), APART), "")
 
 
 def _all_words(notice: str) -> list[str]:

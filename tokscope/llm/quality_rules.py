@@ -15,14 +15,15 @@ distinct word once.
 Bands are per language, over all documents: the median plus or minus SPREAD times the median absolute deviation
 (at least FLOOR) of each measure; a text of n < STEADY words has a band wider by sqrt(STEADY / n), as a mean over
 few words strays further.  Measures are rounded to thousandths and counted, so medians are exact and come
-from a histogram of bounded size, never from a sorted column; a language with fewer than LEAST documents uses the
-bands of all.  ``kept``: no base failure, and at most TOLERATED measures outside their band (texts of fewer than
+from a histogram of bounded size, never from a sorted column.  A language's middle and reach are blended with those of
+all languages, which weigh as much as PRIOR of its documents.  ``kept``: no base failure, and at most TOLERATED measures outside their band (texts of fewer than
 MIN_WORDS words are judged by the base rule alone).
 
 Result: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, then lang,
 chars_per_token, fallback_share, entropy, rejected_by.  Defined results: null or empty text has no words, fails the
-base rule and has null measures; a null language is a language of its own; repeated rows give repeated rows;
-extra columns are ignored.
+base rule and has null measures; a null language is a language of its own; repeated rows give repeated rows and count
+each in the bands; an empty table gives no rows; ties at a median: the lower of the two middle values; a very long text is
+measured whole; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 20
 SPREAD = {"chars_per_token": 8.0, "fallback_share": 8.0, "entropy": 5.0}
 FLOOR = {"chars_per_token": 0.1, "fallback_share": 0.02, "entropy": 0.03}
-LEAST = 30
+PRIOR = 30
 STEADY = 200
 TOLERATED = 0
 
@@ -212,7 +213,7 @@ def judge(docs: DataFrame, pieces: str | None = None) -> DataFrame:
     )
     # one row per language; written, so that both uses read it
     wide = written(wide, "bands")
-    own = wide.where("not every").select(F.col("lang").alias("own_lang"), *[F.when(F.col("all") >= LEAST, F.col(m)).alias(f"own_{m}") for m in FLOOR])
+    own = wide.where("not every").select(F.col("lang").alias("own_lang"), F.col("all").alias("own_n"), *[F.col(m).alias(f"own_{m}") for m in FLOOR])
     every = wide.where("every").first()
     joined = measured.join(own, measured["lang"].eqNullSafe(own["own_lang"]), "left")
     outside = []
@@ -220,7 +221,8 @@ def judge(docs: DataFrame, pieces: str | None = None) -> DataFrame:
     for m in FLOOR:
         mid, reach = F.col(f"own_{m}.mid"), F.col(f"own_{m}.reach")
         if every is not None:
-            mid, reach = F.coalesce(mid, F.lit(every[m]["mid"])), F.coalesce(reach, F.lit(every[m]["reach"]))
+            blend = lambda mine, all_: (F.coalesce(mine * F.col("own_n"), F.lit(0.0)) + PRIOR * F.lit(all_)) / (F.coalesce("own_n", F.lit(0)) + PRIOR)
+            mid, reach = blend(mid, every[m]["mid"]), blend(reach, every[m]["reach"])
         stray = F.abs(F.round(F.col(m) * 1000) - mid) > reach * wider
         outside.append(F.when((F.col("n_words") >= MIN_WORDS) & stray, F.lit(m)))
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)

@@ -3,20 +3,21 @@
 Candidates of a text are the spans of four kinds: ``assign``, ``access``, ``hex`` (the base patterns of the
 contract) and ``known`` (token formats of well-known services, and private key blocks).  A candidate's value
 is hashed, and the hashes are counted over the whole corpus: by distinct owners (``source``) and distinct
-repositories (``source`` with ``lang``).  A value that EXAMPLE_OWNERS owners or more share is a widely copied
-example; a value of fewer owners with MIN_DISTINCT different characters or more looks like a live credential of
+repositories (``source`` with ``lang``; reported with the verdicts).  A value that EXAMPLE_OWNERS owners or more share is
+a widely copied example; a value of fewer owners with MIN_DISTINCT different characters or more looks like a live credential of
 its owner; the rest is ``weak``.  Base spans are always reported; ``known`` spans only where they look live.
 
 Span positions come from the pieces between the matches (``split``) and the matches themselves: a span starts
-at the summed lengths of all pieces and matches before it.  Lengths count code points.
+at the summed lengths of all pieces and matches before it.  Lengths count code points.  Running sums and cuts go in
+stretches (FOLD, STRETCH), so that the work on a text grows with its length, however many matches it holds.
 
 The candidates (without texts) are written once to the shared checkpoint folder; ownership is a two-step
 count (per hash and owner, then per hash), so a value that a third of all rows carry shrinks before it moves.
 
 Defined results: null or empty text has no spans (the digest of the empty string); a null ``source`` or
 ``lang`` counts as one owner or language of its own; repeated rows give repeated rows and count once for
-ownership; overlapping spans of different kinds are all reported; extra columns are ignored by ``scan`` and kept
-by ``masked``.
+ownership; overlapping spans of different kinds are all reported, by start, then kind; an empty table gives no rows; a
+very long text is one row, searched whole; extra columns are ignored by ``scan`` and kept by ``masked``.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from .common import table, written
 
 EXAMPLE_OWNERS = 3
 MIN_DISTINCT = 8
+SALTS = 16
 KINDS = ("assign", "access", "hex", "known")
 
 ASSIGN = (
@@ -46,6 +48,34 @@ KNOWN = (
 )
 
 
+#: Steps of a fold over an array, and code points of a stretch of text: folds and substrings never go over more.
+FOLD = 256
+STRETCH = 4096
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)``, with the value computed once, also where the body uses it in a lambda."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _running(values: Column, op) -> Column:
+    """For each number of an array, ``op`` over those before it (0 before the first).
+
+    In stretches of FOLD: a fold that appends copies what it has, so it must stay short.
+    """
+
+    def fold(xs: Column, at: Column) -> Column:
+        start = F.struct(at.alias("at"), F.array().cast("array<int>").alias("out"))
+        step = lambda acc, x: F.struct(op(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(xs, start, step, lambda acc: acc["out"])
+
+    zero = F.lit(0)
+    starts = F.when(F.size(values) > 0, F.sequence(F.lit(1), F.size(values), F.lit(FOLD))).otherwise(F.array().cast("array<int>"))
+    parts = F.transform(starts, lambda s: F.slice(values, s, FOLD))
+    total = lambda xs: F.aggregate(xs, zero, op)
+    return _let(parts, lambda ps: _let(fold(F.transform(ps, total), zero), lambda at: F.flatten(F.transform(ps, lambda xs, i: fold(xs, F.get(at, i))))))
+
+
 def _spans(text: Column, pattern: str, kind: int, group: int, least: int, test: str) -> Column:
     """array<struct<kind, start, end, value>> of the leftmost matches, those with a long enough value."""
     regex = F.lit(pattern)
@@ -56,32 +86,49 @@ def _spans(text: Column, pattern: str, kind: int, group: int, least: int, test:
         F.transform(F.slice(gaps, 1, F.size(hits)), lambda g: F.length(g)).alias("gap"),
         values.alias("value"),
     )
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<kind:int,start:int,end:int,value:string>>)").alias("out"))
-    found = F.aggregate(
-        step,
-        start,
-        lambda acc, s: F.struct(
-            (acc["at"] + s["gap"] + s["n"]).alias("at"),
-            F.when(
-                F.length(s["value"]) >= least,
-                F.concat(
-                    acc["out"],
-                    F.array(
-                        F.struct(
-                            F.lit(kind).alias("kind"),
-                            (acc["at"] + s["gap"]).alias("start"),
-                            (acc["at"] + s["gap"] + s["n"]).alias("end"),
-                            s["value"].alias("value"),
-                        )
-                    ),
-                ),
-            )
-            .otherwise(acc["out"])
-            .alias("out"),
-        ),
-        lambda acc: acc["out"],
+
+    def placed(steps: Column) -> Column:
+        before = _running(F.transform(steps, lambda s: s["gap"] + s["n"]), lambda a, b: a + b)
+        each = F.zip_with(
+            steps,
+            before,
+            lambda s, at: F.struct(
+                F.lit(kind).alias("kind"), (at + s["gap"]).alias("start"), (at + s["gap"] + s["n"]).alias("end"), s["value"].alias("value")
+            ),
+        )
+        return F.filter(each, lambda s: F.length(s["value"]) >= least)
+
+    none = F.expr("cast(array() as array<struct<kind:int,start:int,end:int,value:string>>)")
+    return F.when(text.rlike(test), _let(step, placed)).otherwise(none)
+
+
+def _cut(stretches: Column, start: Column, end: Column) -> Column:
+    """The code points [start, end) of a text given in stretches of STRETCH."""
+    size = F.lit(STRETCH)
+    i, j = F.floor(start / size).cast("int"), F.floor((end - 1) / size).cast("int")
+    at = lambda k: F.get(stretches, k)
+    long = F.concat(
+        F.substring(at(i), start % size + 1, size),
+        F.array_join(F.slice(stretches, i + 2, F.greatest(j - i - 1, F.lit(0))), ""),
+        F.substring(at(j), F.lit(1), (end - 1) % size + 1),
     )
-    return F.when(text.rlike(test), found).otherwise(start["out"])
+    return F.when(end <= start, F.lit("")).when(i == j, F.substring(at(i), start % size + 1, end - start)).otherwise(long)
+
+
+def hidden(text: Column, spans: Column, mask: str) -> Column:
+    """``text`` with the mask in place of each span; spans by start, one that begins within another has no mask of its own."""
+
+    def built(found: Column) -> Column:
+        upto = _running(F.transform(found, lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+        kept = F.filter(F.zip_with(found, upto, lambda s, at: F.struct(at.alias("from"), s["start"].alias("to"))), lambda x: x["to"] >= x["from"])
+        last = F.struct(F.array_max(F.transform(found, lambda s: s["end"])).alias("from"), F.length(text).alias("to"))
+        pieces = _let(
+            F.regexp_extract_all(text, F.lit(f"(?s).{{1,{STRETCH}}}"), F.lit(0)),
+            lambda st: F.transform(F.concat(kept, F.array(last)), lambda x: _cut(st, x["from"], x["to"])),
+        )
+        return F.array_join(pieces, mask)
+
+    return F.when(F.size(spans) > 0, _let(spans, built)).otherwise(text)
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -143,8 +190,11 @@ def judged(found: DataFrame) -> DataFrame:
     verdict = (
         F.when(F.col("n_owners") >= EXAMPLE_OWNERS, "example").when(F.col("n_distinct") >= MIN_DISTINCT, "live").otherwise("weak")
     )
+    # a value that very many rows carry: its rows are spread over SALTS tasks, its one ownership row is repeated for each
+    owned = ownership(found).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    each = each.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_key", "start"), F.lit(SALTS)).cast("int"))
     return (
-        each.join(ownership(found), "hash")
+        each.join(owned, ["hash", "salt"])
         .groupBy("doc_id", "text_key")
         .agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", verdict.alias("verdict")))).alias("spans"))
     )
@@ -192,18 +242,7 @@ def masked(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     key = (F.col("d.doc_id").cast("long").eqNullSafe(F.col("v.doc_id"))) & (F.xxhash64(F.coalesce("d.text", F.lit(""))) == F.col("v.text_key"))
     both = hit.alias("d").join(live.alias("v"), key, "left")
     old = F.col("d.text")
-    # spans by start: keep what lies before each, put the mask where a span goes beyond the last one's end
-    built = F.aggregate(
-        F.col("v.live"),
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(old, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask)))
-            .otherwise(acc["out"])
-            .alias("out"),
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(old, acc["at"] + 1, F.length(old))),
-    )
+    built = hidden(old, F.col("v.live"), mask)
     new = F.when(F.col("v.live").isNull(), old).otherwise(built)
     put = {"text": new, "n_chars": F.when(F.col("v.live").isNull(), F.col("d.n_chars")).otherwise(F.length(new).cast("long")) if "n_chars" in names else None}
     changed = both.select(*[put[c].alias(c) if put.get(c) is not None else F.col(f"d.`{c}`") for c in names])

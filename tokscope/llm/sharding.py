@@ -10,7 +10,7 @@ Given the documents' old shards and the capacities of new ones, move as few byte
 3. Blocks to rows: blocks of large rows go whole to new shards that have room for them; the blocks of small rows
    (and what had no room) fill the shards up, cut at the row whose middle byte passes the shard's share.  Running
    sums are taken within a block only, so no task orders a whole shard.
-4. Rewrite: only shards that lose or gain rows are written anew.
+4. Rewrite: only shards that lose or gain rows are written anew, each by several tasks (FILE_ROWS rows a file).
 
 Result: doc_id, size, text_crc32, law ('bytes'), shard, slot (gapless in each shard), grown_shard (null under
 this law), old_shard, moved.  New shards differ by no more than the (small) rows at their cuts.
@@ -25,6 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
 from .common import table, written
 
 OLD_SHARDS = 32
@@ -32,6 +33,8 @@ SHARDS = 40
 BLOCKS = 64
 FINE = 1024
 ROW_BYTES = 16
+#: Rows of a file that rewrite() writes.
+FILE_ROWS = 20_000
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost: list[list[int]]) -> list[list[int]]:
@@ -161,20 +164,52 @@ def reshard(
     )
 
 
-def rewrite(docs: DataFrame, places: DataFrame, path: str) -> list[int]:
-    """Writes the shards that lose or gain rows below ``path`` (folders shard=N, rows by slot); returns their numbers.
+def rewrite(docs: DataFrame, places: DataFrame, path: str, file_rows: int = FILE_ROWS) -> list[int]:
+    """Writes the shards that lose or gain rows below ``path`` (folders shard=N, with ``slot``); returns their numbers.
 
-    ``docs`` needs distinct (doc_id, text) rows.  Shards that keep exactly their rows are left as they are.
+    Shards that keep exactly their rows are left as they are.  A shard is dealt out by stretches of ``file_rows`` slots, a
+    task and a file each.  Rows that agree in doc_id and text are interchangeable: the k-th of them takes their k-th place.
     """
     lost = places.where("moved").select(F.col("old_shard").alias("shard"))
     gained = places.where("moved").select("shard")
     affected = sorted(r["shard"] for r in lost.unionByName(gained).distinct().collect())
-    place = places.where(F.col("shard").isin(affected)).select("doc_id", "text_crc32", "shard", "slot")
-    key = F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.crc32(F.coalesce("d.text", F.lit("")).cast("binary")) == F.col("p.text_crc32"))
-    rows = docs.alias("d").join(place.alias("p"), key).select("d.*", "p.shard", "p.slot")
-    rows.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    names = ["__id", "__crc", "__k"]
+    alike = Window.partitionBy(*names[:2])
+    place = places.select(F.col("doc_id").alias("__id"), F.col("text_crc32").alias("__crc"), "shard", "slot")
+    place = place.withColumn("__k", F.row_number().over(alike.orderBy("shard", "slot"))).where(F.col("shard").isin(affected))
+    place = place.select(*[F.col(n).alias(f"{n}p") for n in names], F.col("shard").alias("__shard"), F.col("slot").alias("__slot"))
+    rows = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__crc": F.crc32(F.coalesce("text", F.lit("")).cast("binary"))})
+    rows = rows.withColumn("__k", F.row_number().over(alike.orderBy("text")))
+    same = F.col("__id").eqNullSafe(F.col("__idp")) & (F.col("__crc") == F.col("__crcp")) & (F.col("__k") == F.col("__kp"))
+    taken = {c for c in docs.columns if c in ("shard", "slot")}
+    rows = rows.join(place, same).select(*[F.col(c) for c in docs.columns if c not in taken], F.col("__shard").alias("shard"), F.col("__slot").alias("slot"))
+    stretch = F.floor(F.col("slot") / file_rows)
+    rows.repartition("shard", stretch).sortWithinPartitions("shard", "slot").write.partitionBy("shard").option("maxRecordsPerFile", file_rows).option("compression", "zstd").parquet(path)
     return affected
 
 
+def rewritten(spark: SparkSession, places: DataFrame, affected: list[int], path: str) -> DataFrame:
+    """The places read back: from the files of the shards that were written, from ``places`` for the others."""
+    law = [F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard")]
+    kept = places.where(~F.col("shard").isin(affected)).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    if not affected:
+        return kept
+    text = F.coalesce("text", F.lit(""))
+    files = spark.read.parquet(path).select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        (F.octet_length(text).cast("long") + ROW_BYTES).alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        law[0],
+        F.col("shard").cast("int").alias("shard"),
+        "slot",
+        law[1],
+    )
+    return kept.unionByName(files)
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reshard(table(spark, sf_dir, "documents"))
+    """Places all of ``documents``, rewrites the affected shards into the shared folder and reads the result from the files."""
+    docs = table(spark, sf_dir, "documents")
+    places = reshard(docs)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/shards-{uuid.uuid4().hex}"
+    return rewritten(spark, places, rewrite(docs, places, path), path)

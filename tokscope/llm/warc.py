@@ -8,8 +8,9 @@ Identifiers are derived from content, so a retried task writes the same records.
 WARC/1.1 text; ``write_warc`` writes files of them.
 
 Defined results: a null or empty payload gives a metadata record with no links and an empty conversion; a null
-target stays null (and has no header line); repeated responses give repeated records with equal identifiers;
-extra columns are ignored.
+target stays null (and has no header line); repeated responses give repeated records with equal identifiers; an empty
+table gives no records; unclosed tags, quotes and comments never cost more than the text's length; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import hashlib
 import html
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from urllib.parse import urljoin
 
@@ -29,42 +31,119 @@ from .common import batch, map_arrow, table
 
 #: Pages carry no time of capture.
 NO_DATE = "1970-01-01T00:00:00Z"
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head)\b[^>]*+>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_ATTRIBUTES = r"""(?:[^>"']|"[^"]*"|'[^']*')*+"""
+#: Elements that are not shown, and elements that begin a new line.
+_UNSHOWN = re.compile(r"<!--|<(script|style|noscript|template|head)\b", re.I)
 _BLOCK = re.compile(
-    r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b"
-    + _ATTRIBUTES
-    + ">",
+    r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b",
     re.I,
 )
-_TAG = re.compile(r"</?[a-zA-Z!?]" + _ATTRIBUTES + ">|</?[a-zA-Z!?][^>]*+>")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-_LANG = re.compile(r"""<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z-]+)""", re.I)
-_HREF = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+_START = re.compile(r"</?[a-zA-Z!?]")
+_MARK = re.compile("[>\"']")
+_TITLE, _TITLE_END = re.compile(r"<title\b[^<>]*", re.I), re.compile(r"</title\s*>", re.I)
+_HTML, _LANG = re.compile(r"<html\b", re.I), re.compile(r"""\blang\s*=\s*["']?([A-Za-z-]+)""", re.I)
+_LINK = re.compile(r"<a\b", re.I)
+_HREF, _VALUE = re.compile(r"\bhref\s*=\s*", re.I), re.compile(r"""(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""")
+
+# Every search below goes forward with one cursor, so that its time grows with the text, however it is marked up.
+
+
+def shown(source: str) -> str:
+    """The text without comments and unshown elements, a blank for each; one without an end hides all that follows."""
+    out, at = [], 0
+    while (m := _UNSHOWN.search(source, at)) is not None:
+        if m[1] is None:
+            body, end = m.end(), source.find("-->", m.end())
+            end = len(source) if end < 0 else end + 3
+        else:
+            body = source.find(">", m.end())
+            if body < 0:  # no tag after this one is ever closed, but a comment may hide the rest
+                comment = source.find("<!--", m.end())
+                return "".join(out) + (source[at:] if comment < 0 else source[at:comment] + " ")
+            close = re.compile(rf"</{m[1]}\s*>", re.I).search(source, body)
+            end = len(source) if close is None else close.end()
+        out += [source[at : m.start()], " "]
+        at = end
+    return "".join(out) + source[at:]
+
+
+def _tag_ends(source: str):
+    """(start) -> end of the tag there, past quoted values; -1 if a quote is left open or no end follows."""
+    marks = [(m.start(), m[0]) for m in _MARK.finditer(source)]
+    places = [at for at, _ in marks]
+    # what a tag does from each mark on: from the last mark to the first
+    ends, later = [-1] * (len(marks) + 1), {}
+    for i in range(len(marks) - 1, -1, -1):
+        at, mark = marks[i]
+        if mark == ">":
+            ends[i] = at
+        else:
+            ends[i] = ends[later[mark] + 1] if mark in later else -1
+            later[mark] = i
+    return lambda start: ends[bisect_left(places, start)]
+
+
+def without_tags(source: str) -> str:
+    """The text without its tags, a line end for each that begins a block and whose quotes are closed."""
+    end_of, out, at = _tag_ends(source), [], 0
+    while (m := _START.search(source, at)) is not None:
+        end = whole = end_of(m.end())
+        if whole < 0:
+            end = source.find(">", m.end())
+            if end < 0:
+                break
+        out.append(source[at : m.start()])
+        if whole >= 0 and _BLOCK.match(source, m.start()):
+            out.append("\n")
+        at = end + 1
+    return "".join(out) + source[at:]
 
 
 def plain_text(source: str) -> str:
     """Visible text: one line per block, blanks within a line as one."""
-    shown = _TAG.sub("", _BLOCK.sub("\n", _HIDDEN.sub(" ", source)))
-    lines = (" ".join(x.split()) for x in html.unescape(shown).split("\n"))
+    lines = (" ".join(x.split()) for x in html.unescape(without_tags(shown(source))).split("\n"))
     return "\n".join(x for x in lines if x)
 
 
+def title_of(source: str) -> str | None:
+    for m in _TITLE.finditer(source):
+        if source[m.end() : m.end() + 1] == ">":
+            end = _TITLE_END.search(source, m.end())  # if there is none here, there is none for a later title
+            return None if end is None else " ".join(html.unescape(source[m.end() + 1 : end.start()]).split())
+    return None
+
+
+def lang_of(source: str) -> str | None:
+    at = 0
+    while (m := _HTML.search(source, at)) is not None:
+        end = source.find(">", m.end())
+        end = len(source) if end < 0 else end
+        if (lang := _LANG.search(source, m.end(), end)) is not None:
+            return lang[1].lower()
+        at = end
+    return None
+
+
+def links_of(source: str) -> Iterator[str]:
+    at = 0
+    while (m := _LINK.search(source, at)) is not None:
+        end = source.find(">", m.end())
+        end = len(source) if end < 0 else end
+        for key in _HREF.finditer(source, m.end(), end):
+            if (value := _VALUE.match(source, key.end())) is not None:  # it may hold a '>'
+                yield html.unescape(next(x for x in value.groups() if x is not None)).strip()
+                end = value.end()
+                break
+        at = max(end, m.end())
+
+
 def facts(source: str, target: str | None) -> dict:
-    title, lang = _TITLE.search(source), _LANG.search(source)
-    seen = _HIDDEN.sub(" ", source)
     links = []
-    for m in _HREF.finditer(seen):
-        href = html.unescape(next(x for x in m.groups() if x is not None)).strip()
+    for href in links_of(shown(source)):
         try:
             links.append(urljoin(target or "", href))
         except ValueError:  # not a URL
             links.append(href)
-    return {
-        "title": " ".join(html.unescape(title[1]).split()) if title else None,
-        "lang": lang[1].lower() if lang else None,
-        "outlinks": list(dict.fromkeys(links)),
-    }
+    return {"title": title_of(source), "lang": lang_of(source), "outlinks": list(dict.fromkeys(links))}
 
 
 def _urn(*parts: Column) -> Column:
