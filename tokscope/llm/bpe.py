@@ -153,6 +153,34 @@ def _unpack(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<i4").ravel()
 
 
+def _pack_small(a: np.ndarray) -> bytes:
+    """Numbers that are mostly small: seven bits at a time, the first of all, then the next of those that go on, ..."""
+    import zstandard
+
+    out, x = [], a.astype(np.uint32)
+    while True:
+        more = x >= 128
+        out.append(zstandard.ZstdCompressor(level=3).compress((x & 127 | more.astype(np.uint32) << 7).astype(np.uint8).tobytes()))
+        if not more.any():
+            return np.array([len(out), *map(len, out)], "<i4").tobytes() + b"".join(out)
+        x = x[more] >> 7
+
+
+def _unpack_small(b: bytes) -> np.ndarray:
+    import zstandard
+
+    n = int(np.frombuffer(b, "<i4", 1)[0])
+    ends = 4 * (n + 1) + np.cumsum(np.frombuffer(b, "<i4", n, 4))
+    x = None
+    for end, size in zip(ends[::-1].tolist(), np.frombuffer(b, "<i4", n, 4)[::-1].tolist(), strict=True):
+        first = np.frombuffer(zstandard.ZstdDecompressor().decompress(b[end - size : end]), np.uint8)
+        value = (first & 127).astype(np.int32)
+        if x is not None:
+            value[first >= 128] |= x << 7
+        x = value
+    return x
+
+
 #: A block's own row has bucket -1; the others hold its words (lengths and UTF-8 bytes) by hash bucket.
 BLOCKS = "block long, bucket int, doc_ids array<long>, n_words array<int>, codes binary, words binary"
 IDS = "block long, bucket int, lens binary, ids binary"
@@ -191,7 +219,7 @@ def blocks(docs: DataFrame, spec: str, buckets: int, block_chars: int = BLOCK_CH
             place = np.argsort(bucket, kind="stable")
             borders = np.searchsorted(bucket[place], np.arange(buckets + 1))
             name = uuid.uuid4().int >> 65
-            out = [(-1, ids, [len(p) for p in parts], _pack(rank[codes]), _pack(place.astype(np.int32)))]
+            out = [(-1, ids, [len(p) for p in parts], _pack_small(rank[codes]), _pack(place.astype(np.int32)))]
             for b in np.flatnonzero(np.diff(borders)).tolist():
                 out.append((b, None, None, None, _joined([words[i] for i in place[borders[b] : borders[b + 1]].tolist()])))
             for at in range(0, len(out), 4096):
@@ -247,7 +275,7 @@ def encoded_words(cut: DataFrame, spec: str) -> DataFrame:
                     if w not in done:
                         done[w] = np.array(encode(w), np.int32)
                 said = [done[w] for w in words]
-                lens.append(_pack(np.fromiter(map(len, said), np.int32, len(said))))
+                lens.append(_pack_small(np.fromiter(map(len, said), np.int32, len(said))))
                 ids.append(_pack(np.concatenate(said)))
             yield batch(block=b.column("block"), bucket=b.column("bucket"), lens=pa.array(lens, pa.binary()), ids=pa.array(ids, pa.binary()))
 
@@ -282,8 +310,8 @@ def encode(docs: DataFrame, tokenizer: str | None = None, block_chars: int = BLO
 
     def join(lens: list[bytes], flat: list[bytes], doc_ids: list, n_words: list, codes: bytes, place: bytes) -> Iterator[pa.RecordBatch]:
         empty = np.empty(0, np.int32)
-        place, codes = _unpack(place), _unpack(codes)
-        len_all = np.concatenate([_unpack(x) for x in lens]).astype(np.int64) if lens else empty.astype(np.int64)
+        place, codes = _unpack(place), _unpack_small(codes)
+        len_all = np.concatenate([_unpack_small(x) for x in lens]).astype(np.int64) if lens else empty.astype(np.int64)
         flat_all = np.concatenate([_unpack(x) for x in flat]) if flat else empty
         size, start = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
         size[place], start[place] = len_all, np.cumsum(len_all) - len_all
