@@ -2,17 +2,17 @@
 
 Method (mergeable Misra-Gries summaries, then an exact count):
 
-1. One scan packs normalised text into blocks of one language and about BLOCK_BYTES, and writes them. For each block it
-   also writes its n-grams of 1 to MAX_WORDS words as cells: for each hash partition (leading bits of a 64-bit hash of
-   language, length and words) the sorted 32-bit rests of the hashes with their counts in the block. The number of hash
-   partitions follows from the corpus, so that one has about PARTITION_MASS n-grams.
+1. One scan packs normalised text into blocks of one language and about BLOCK_BYTES, and writes them. Each block gives its
+   n-grams of 1 to MAX_WORDS words as cells: for each hash partition (leading bits of a 64-bit hash of language, length
+   and words) the sorted 32-bit rests of the hashes with their counts in the block. The number of hash partitions follows
+   from the corpus, so that one has about PARTITION_MASS n-grams.
 2. All cells of a hash partition meet in one task and are merged into a Misra-Gries summary: counters are added and,
    beyond the capacity, all are lowered by the first counter over it. The capacity, ROOM * mass // least + 1 counters,
    exceeds mass / least; everything taken off is at most mass / (capacity + 1) < least / ROOM, so each n-gram with
    ``least`` occurrences keeps a counter. Counters that even with all that was taken off stay under ``least`` go.
-   The survivors are returned to each block as the list of those it holds.
-3. Each block meets its list and counts the surviving n-grams by their words (equal hashes only let more survive). Sums
-   over the blocks are exact counts of all n-grams with ``least`` or more occurrences.
+   What survives is returned to each block as one bit for each entry of its cell.
+3. Each block meets its bits and counts the surviving n-grams by their words (equal hashes only let more survive). The
+   counts are dealt out by hash and added up: exact counts of all n-grams with ``least`` or more occurrences.
 
 Every part of such a phrase is at least as frequent, so scores need no further scan. Looking up a part's count joins on
 the part; parts with a HOT-th of all words or more (at most HOT a length, hence a bounded table) are broadcast, and no
@@ -111,13 +111,20 @@ def _keys(hashes: np.ndarray, bits: int) -> np.ndarray:
     return hashes >> np.uint64(32 - bits)
 
 
-CELL = "bucket int, block long, lang string, mass long, body binary, counts binary"
+BLOCK = "block long, lang string, body binary"
+CELL = "bucket int, block long, mass long, body binary, counts binary"
+_ARROW = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
 
 
-def _cells(bits: int, most: int, block_bytes: int):
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, _ARROW[k]) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], names=[n for n, _ in fields])
+
+
+def _blocks(block_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
-        words, held, size = Words(), {}, {}
+        held, size = {}, {}
 
         def flush(lang: str) -> Iterator[pa.RecordBatch]:
             nonlocal block
@@ -127,32 +134,10 @@ def _cells(bits: int, most: int, block_bytes: int):
             while at < len(body):
                 to = body.find(END, at + block_bytes)
                 to = len(body) if to < 0 else to
-                yield from one(lang, body[at:to])
+                yield _batch([(block, lang, zstandard.ZstdCompressor(1).compress(body[at:to]))], BLOCK)
                 at = to + 1
                 block += 1
 
-        def one(lang: str, body: bytes) -> Iterator[pa.RecordBatch]:
-            codes = words.of(body)
-            hashes = [h for _, _, h in words.grams(codes, lang, most)]
-            keys, n = np.unique(_keys(np.concatenate(hashes), bits), return_counts=True) if hashes else (np.empty(0, np.uint64),) * 2
-            if not len(keys):
-                return
-            yield rows([(-1, block, lang, 0, zstandard.ZstdCompressor(1).compress(body), None)])
-            borders = np.searchsorted(keys, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(32))
-            out = []
-            for bucket in np.flatnonzero(np.diff(borders)).tolist():
-                a, b = borders[bucket], borders[bucket + 1]
-                out.append((bucket, block, None, int(n[a:b].sum()), packed(_steps(keys[a:b].astype(np.uint32))), packed(n[a:b].astype(np.uint32))))
-                if len(out) == 4096:
-                    yield rows(out)
-                    out = []
-            if out:
-                yield rows(out)
-
-        def rows(x: list) -> pa.RecordBatch:
-            kinds = [pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*x, strict=True), kinds, strict=True)], names=[c.split()[0] for c in CELL.split(", ")])
-
         for b in batches:
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text"), strict=True):
                 body = normalised(text.as_py())
@@ -170,6 +155,38 @@ def _cells(bits: int, most: int, block_bytes: int):
     return run
 
 
+def _cells(bits: int, most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for b in batches:
+            for block, lang, body in zip(b.column("block").to_pylist(), b.column("lang").to_pylist(), b.column("body"), strict=True):
+                codes = words.of(zstandard.ZstdDecompressor().decompress(body.as_py()))
+                keys, n = np.unique(_block_keys(words, codes, lang, bits, most), return_counts=True)
+                out = []
+                for bucket, a, b_ in _borders(keys, bits):
+                    out.append((bucket, block, int(n[a:b_].sum()), packed(_steps(keys[a:b_].astype(np.uint32))), packed(n[a:b_].astype(np.uint32))))
+                    if len(out) == 4096:
+                        yield _batch(out, CELL)
+                        out = []
+                if out:
+                    yield _batch(out, CELL)
+
+    return run
+
+
+def _block_keys(words: Words, codes: np.ndarray, lang: str, bits: int, most: int) -> np.ndarray:
+    return np.concatenate([np.empty(0, np.uint64), *(_keys(h, bits) for _, _, h in words.grams(codes, lang, most))])
+
+
+def _borders(keys: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
+    """(hash partition, from, to) of the sorted keys that lie in it."""
+    if not len(keys):
+        return
+    at = np.flatnonzero(np.diff(keys >> np.uint64(32), prepend=np.uint64((1 << bits) + 1)))
+    for a, b in zip(at.tolist(), [*at[1:].tolist(), len(keys)], strict=True):
+        yield int(keys[a] >> np.uint64(32)), a, b
+
+
 class Summary:
     """Misra-Gries counters over sorted 32-bit keys; ``taken`` is what any counter may have lost."""
 
@@ -209,64 +226,112 @@ def summarised(cells: list[tuple[bytes, bytes]], mass: int, least: int) -> Summa
     return out
 
 
+BITS = "block long, bucket int, bits binary"
+
+
 def _replies(least: int):
     def run(rows: pa.Table) -> pa.Table:
-        bucket = np.uint64(rows.column("bucket")[0].as_py()) << np.uint64(32)
+        bucket = rows.column("bucket")[0].as_py()
         cells = [(a.as_py(), b.as_py()) for a, b in zip(rows.column("body"), rows.column("counts"), strict=True)]
         alive = summarised(cells, sum(rows.column("mass").to_pylist()), least).survivors(least)
-        blocks, bodies = [], []
+        blocks, bits = [], []
         for block, (body, _) in zip(rows.column("block").to_pylist(), cells, strict=True):
             keys = np.cumsum(unpacked(body, np.uint32), dtype=np.uint32)
-            keys = keys[alive[np.minimum(np.searchsorted(alive, keys), len(alive) - 1)] == keys] if len(alive) else keys[:0]
-            if len(keys):
+            if len(alive) and (stays := alive[np.minimum(np.searchsorted(alive, keys), len(alive) - 1)] == keys).any():
                 blocks.append(block)
-                bodies.append(packed(_steps(keys.astype(np.uint64) | bucket)))
-        return pa.table({"block": pa.array(blocks, pa.int64()), "keys": pa.array(bodies, pa.binary())})
+                bits.append(zstandard.ZstdCompressor(1).compress(np.packbits(stays).tobytes()))
+        return pa.table({"block": pa.array(blocks, pa.int64()), "bucket": pa.array([bucket] * len(blocks), pa.int32()), "bits": pa.array(bits, pa.binary())})
 
     return run
 
 
+#: Counts of a block for one part of the phrases: lines of phrases, and their counts.
+PART = "part int, lang string, k int, phrases binary, counts binary"
 COUNT = "lang string, phrase string, k int, n long"
 #: Rows of one batch of counts.
 OUT_ROWS = 50_000
 
 
-def _counts(bits: int, most: int):
-    """Rows of a block (its lists of surviving keys first, then its text) -> counts of the surviving n-grams, by words."""
+def _counts(bits: int, most: int, parts: int):
+    """Rows of a block (its bits by hash partition first, then its text) -> its counts of the surviving n-grams, by words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lists: list[np.ndarray] = []
+        replies: dict[int, bytes] = {}
         for b in batches:
             for i, lang in enumerate(b.column("lang").to_pylist()):
                 if lang is None:
-                    lists.append(np.cumsum(unpacked(b.column("keys")[i].as_py(), np.uint64), dtype=np.uint64))
+                    replies[b.column("bucket")[i].as_py()] = b.column("bits")[i].as_py()
                 else:
-                    alive = np.sort(np.concatenate(lists)) if lists else np.empty(0, np.uint64)
-                    yield from counted(lang, b.column("body")[i].as_py(), alive)
-                    lists = []
+                    yield from counted(lang, b.column("body")[i].as_py(), replies)
+                    replies = {}
 
-    def counted(lang: str, body: bytes, alive: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def counted(lang: str, body: bytes, replies: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
         words = Words()
         codes = words.of(zstandard.ZstdDecompressor().decompress(body))
-        yield rows(lang, 0, [b""], np.array([(codes != words.end).sum()]))
+        yield _batch([(0, lang, 0, _lines([b""]), packed(np.array([(codes != words.end).sum()], np.int64)))], PART)
+        keys = np.unique(_block_keys(words, codes, lang, bits, most))
+        alive = []
+        for bucket, a, b in _borders(keys, bits):
+            if bucket in replies:
+                stays = np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(replies[bucket]), np.uint8), count=b - a)
+                alive.append(keys[a:b][stays.astype(bool)])
+        if not alive:
+            return
+        alive = np.concatenate(alive)
         said = words.codes.words
         for n, starts, hashes in words.grams(codes, lang, most):
-            if not len(alive):
-                return
             keys = _keys(hashes, bits)
-            starts = starts[alive[np.minimum(np.searchsorted(alive, keys), len(alive) - 1)] == keys]
+            stays = alive[np.minimum(np.searchsorted(alive, keys), len(alive) - 1)] == keys
+            starts, hashes = starts[stays], hashes[stays]
             ids = codes[starts]
             for i in range(1, n):  # name the n-grams by their words: prefix's number, next word
                 ids = np.unique(ids, return_inverse=True)[1] * len(said) + codes[starts + i]
             _, at, found = np.unique(ids, return_index=True, return_counts=True)
-            first = starts[at]
-            for j in range(0, len(first), OUT_ROWS):
-                parts = [codes[first[j : j + OUT_ROWS] + i].tolist() for i in range(n)]
-                yield rows(lang, n, [b" ".join([said[c] for c in p]) for p in zip(*parts, strict=True)], found[j : j + OUT_ROWS])
+            part = (hashes[at] % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            borders = np.searchsorted(part[order], np.arange(parts + 1))
+            out = []
+            for p in np.flatnonzero(np.diff(borders)).tolist():
+                mine = order[borders[p] : borders[p + 1]]
+                columns = [codes[starts[at[mine]] + i].tolist() for i in range(n)]
+                phrases = [b" ".join([said[c] for c in x]) for x in zip(*columns, strict=True)]
+                out.append((p, lang, n, _lines(phrases), packed(found[mine].astype(np.int64))))
+                if len(out) == 256:
+                    yield _batch(out, PART)
+                    out = []
+            if out:
+                yield _batch(out, PART)
+
+    return run
 
-    def rows(lang: str, k: int, phrases: list[bytes], n: np.ndarray) -> pa.RecordBatch:
-        columns = [pa.repeat(lang, len(phrases)), pa.array(phrases, pa.binary()).cast(pa.string()), pa.repeat(pa.scalar(k, pa.int32()), len(phrases)), pa.array(n, pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "k", "n"])
+
+def _lines(phrases: list[bytes]) -> bytes:
+    """No phrase has a line end in it."""
+    return zstandard.ZstdCompressor(1).compress(b"\n".join(phrases))
+
+
+def _added(least: int):
+    """Counts of one part after the other, sorted by part -> the phrases that reach ``least``, and the totals."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sums = None, {}
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            for (lang, k), counts in sums.items():
+                kept = [(lang, p.decode("utf-8", "surrogatepass"), k, n) for p, n in counts.items() if k == 0 or n >= least]
+                for i in range(0, len(kept), OUT_ROWS):
+                    yield _batch(kept[i : i + OUT_ROWS], COUNT)
+
+        for b in batches:
+            for part, lang, k, phrases, counts in zip(*(b.column(c) for c in ("part", "lang", "k", "phrases", "counts")), strict=True):
+                if part.as_py() != now:
+                    yield from rows()
+                    now, sums = part.as_py(), {}
+                have = sums.setdefault((lang.as_py(), k.as_py()), {})
+                get = have.get
+                for p, n in zip(zstandard.ZstdDecompressor().decompress(phrases.as_py()).split(b"\n"), unpacked(counts.as_py(), np.int64).tolist(), strict=True):
+                    have[p] = get(p, 0) + n
+        yield from rows()
 
     return run
 
@@ -278,15 +343,17 @@ def frequent(docs: DataFrame, least: int = LEAST, max_words: int = MAX_WORDS, bl
     # a word and what parts it take two bytes at least
     estimate = (rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // 2
     bits = min(max(-(-estimate // mass) - 1, 0).bit_length(), 28)
-    cells = written(map_arrow(rows, _cells(bits, max_words, block_bytes), CELL), "collocation-cells")
-    replies = cells.where("bucket >= 0").select("bucket", "block", "mass", "body", "counts").groupBy("bucket").applyInArrow(_replies(least), "block long, keys binary")
+    blocks = written(map_arrow(rows, _blocks(block_bytes), BLOCK), "collocation-blocks")
+    cells = map_arrow(blocks, _cells(bits, max_words), CELL)
+    replies = cells.groupBy("bucket").applyInArrow(_replies(least), BITS)
     none = F.lit(None)
-    lists = replies.select("block", none.cast("string").alias("lang"), none.cast("binary").alias("body"), "keys")
-    blocks = cells.where("bucket < 0").select("block", "lang", "body", none.cast("binary").alias("keys"))
-    # a block's lists come first (they have no language), then its text
-    meets = lists.unionByName(blocks).repartition("block").sortWithinPartitions("block", F.col("lang").asc_nulls_first())
-    counts = map_arrow(meets, _counts(bits, max_words), COUNT)
-    return counts.groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n")).where((F.col("k") == 0) | (F.col("n") >= least))
+    replies = replies.select("block", none.cast("string").alias("lang"), none.cast("binary").alias("body"), "bucket", "bits")
+    texts = blocks.select("block", "lang", "body", none.cast("int").alias("bucket"), none.cast("binary").alias("bits"))
+    # a block's bits come first (they have no language), then its text
+    meets = replies.unionByName(texts).repartition("block").sortWithinPartitions("block", F.col("lang").asc_nulls_first())
+    parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = map_arrow(meets, _counts(bits, max_words, parts), PART)
+    return map_arrow(counts.repartition("part").sortWithinPartitions("part"), _added(least), COUNT)
 
 
 def _looked_up(cuts: DataFrame, grams: DataFrame, part: str, name: str, hot: int) -> DataFrame:
