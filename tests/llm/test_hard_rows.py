@@ -253,3 +253,17 @@ def test_bands_equal_plain_python(spark):
         assert (r.n_dup_lines, r.n_repeat_words) == (len(lines) - len(set(lines)), len(inside))
         assert r.base_failed == (len(w) < 20 or 100 * len(inside) > 30 * len(w))
         assert r.kept == (not r.base_failed and not r.rejected_by)
+
+
+def test_written_tables_can_be_dropped(spark, tmp_path):
+    from tokscope.llm import common
+
+    common.drop_written(spark)
+    old = common.ensure_checkpoint_dir
+    common.ensure_checkpoint_dir = lambda _: f"file://{tmp_path}"
+    try:
+        df = common.written(spark.range(5).toDF("x"), "some")
+    finally:
+        common.ensure_checkpoint_dir = old
+    assert df.count() == 5 and len(list(tmp_path.iterdir())) == 1
+    assert common.drop_written(spark) == 1 and not list(tmp_path.iterdir()) and common.drop_written(spark) == 0

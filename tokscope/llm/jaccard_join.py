@@ -47,6 +47,7 @@ TREES = 32
 MAX_DEPTH = 10
 TARGET_RECALL = 0.9999
 CHUNK = 1000
+SALTS = 16
 
 
 def recall(depth: int, trees: int = TREES, threshold: tuple[int, int] = THRESHOLD) -> float:
@@ -219,12 +220,15 @@ def named_join(
     under = named.select("a", "b", F.explode("nodes").alias("node"))
     shared = under.groupBy("node").agg(F.min("a").alias("m"), F.max("a").alias("last")).where("m < last").select("node", "m")
     member = written(under.join(shared, "node").select("m", "a", "b").distinct(), "members")
+    # a large group's rows are spread over SALTS tasks, its one size row is repeated for each
     sizes = member.groupBy("m").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
+    sizes = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     groups = member.groupBy("a", "b").agg(F.array_sort(F.collect_set("m")).alias("groups"))
     units = (
         classes.join(groups, ["a", "b"])
         .withColumn("m", F.explode("groups"))
-        .join(sizes, "m")
+        .withColumn("salt", F.pmod(F.xxhash64("b", "a"), F.lit(SALTS)).cast("int"))
+        .join(sizes, ["m", "salt"])
         .withColumn("chunk", F.pmod(F.xxhash64("a", "b"), F.col("chunks").cast("long")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         .withColumn("i", F.least("chunk", "other"))
