@@ -408,28 +408,31 @@ WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang,
     unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER.decode()}', '{_UPPER.lower().decode()}'), '[.,;:!?\\x0A-\\x0D]')) AS piece
   FROM documents
-), words AS (
+), words AS MATERIALIZED (
   SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM pieces
-), grams AS (
+), starts AS (
+  SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words
+), grams AS MATERIALIZED (
   SELECT lang, phrase, k, count(*) AS f FROM (
-    SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' '))) AS phrase
-    FROM words, (SELECT unnest([1, 2, 3]) AS k)
-  ) GROUP BY ALL
+    SELECT lang, 1 AS k, w[i] AS phrase FROM starts
+    UNION ALL SELECT lang, 2, w[i] || ' ' || w[i + 1] FROM starts WHERE i + 1 <= len(w)
+    UNION ALL SELECT lang, 3, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FROM starts WHERE i + 2 <= len(w)
+  ) GROUP BY ALL HAVING count(*) >= {LEAST}
 ), totals AS (
   SELECT lang, sum(len(w)) AS n FROM words GROUP BY lang
-), found AS (
-  SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS w FROM grams WHERE k > 1 AND f >= {LEAST}
+), found AS MATERIALIZED (
+  SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS w FROM grams WHERE k > 1
 ), cuts AS (
-  SELECT f.lang, f.phrase, f.k, f.a, f.w, c.cut, l.f AS l, r.f AS r,
-    ({SCALE}::HUGEINT * f.a * f.a) // (l.f::HUGEINT * r.f) AS score
-  FROM found f JOIN (SELECT unnest([1, 2]) AS cut) c ON c.cut < f.k
-  JOIN grams l ON l.lang = f.lang AND l.phrase = array_to_string(f.w[1 : c.cut], ' ')
-  JOIN grams r ON r.lang = f.lang AND r.phrase = array_to_string(f.w[c.cut + 1 : f.k], ' ')
+  SELECT lang, phrase, a, 1 AS cut, w[1] AS head, array_to_string(w[2:], ' ') AS rest FROM found
+  UNION ALL SELECT lang, phrase, a, 2, w[1] || ' ' || w[2], w[3] FROM found WHERE k = 3
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, c.cut, l.f AS l, r.f AS r, ({SCALE}::HUGEINT * c.a * c.a) // (l.f::HUGEINT * r.f) AS score
+  FROM cuts c JOIN grams l ON l.lang = c.lang AND l.phrase = c.head JOIN grams r ON r.lang = c.lang AND r.phrase = c.rest
 ), best AS (
-  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
 ), longer AS (
   SELECT lang, phrase, max(a) AS a FROM (
-    SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase FROM found WHERE k = 3
+    SELECT lang, a, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS phrase FROM found WHERE k = 3
   ) GROUP BY ALL
 )
 SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, b.phrase) AS rank, b.phrase, b.a, b.l, b.r,
