@@ -23,10 +23,6 @@ FALLBACK_MARKERS = ("Sample text for", "tokenizer testing")
 SEPARATOR = "\n"
 # ---------------------------------------------------------------------------
 
-#: Largest byte budget per language whose kept ids are broadcast; beyond it they are joined with a shuffle.
-BROADCAST_BUDGET = 64_000_000
-
-
 def byte_budget(docs: DataFrame, target_bytes: int, block_size: int = DEFAULT_BLOCK_SIZE) -> DataFrame:
     """``(lang_key, doc_id, n_bytes, bytes_before)`` of the documents taken while the bytes
     of the earlier documents stay below ``target_bytes`` (separators not counted)."""
@@ -45,9 +41,11 @@ def corpus_sample(docs: DataFrame, target_bytes: int, block_size: int = DEFAULT_
     kept = byte_budget(docs, target_bytes, block_size)
     # kept rows per language are bounded by the budget, so this window is small
     seq = kept.withColumn("doc_seq", F.row_number().over(Window.partitionBy("lang_key").orderBy("doc_id")) - 1)
-    # a document has a byte at least, so the budget bounds the kept rows of a language
-    side = F.broadcast(seq) if target_bytes <= BROADCAST_BUDGET else seq
-    texts = docs.select("lang_key", "doc_id", "text").join(side, ["lang_key", "doc_id"])
+    # the kept documents are a prefix of each language, so its last one (one row per language, broadcast) sifts the texts
+    # as they are scanned; what is left is bounded by the budget and meets its offsets by a shuffle
+    last = kept.groupBy("lang_key").agg(F.max("doc_id").alias("_last"))
+    texts = docs.select("lang_key", "doc_id", "text").join(F.broadcast(last), "lang_key").where(F.col("doc_id") <= F.col("_last"))
+    texts = texts.drop("_last").join(seq, ["lang_key", "doc_id"])
     first = F.col("doc_seq") == 0
     seg = F.when(first, F.col("text")).otherwise(F.concat(F.lit(SEPARATOR), F.col("text")))
     start = F.when(first, F.lit(0)).otherwise(F.col("bytes_before") + F.col("doc_seq") - 1).cast("long")

@@ -7,6 +7,10 @@ pieces fall back to characters (broadcast char table) and then to UTF-8 bytes.
 is a map-side projection or broadcast hash join: the token stream is never shuffled, and
 ``token_counts`` shuffles only its partial aggregates (at most vocab-size rows per group
 and task).
+
+Character-level tokenizers have no piece worth counting but characters; their ids are counted
+from the distinct pieces of a *covering* pattern (one whose pieces are all of the text), so no
+row per character of the corpus is ever made: only the characters of distinct pieces are.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import unicode_classes as uc
 from ..functions.scalars import utf8_bytes_of_char
 from .tokenizers import CHAR_PATTERN, NativeTokenizer, Vocab
 
@@ -89,17 +94,28 @@ def token_stream(
     return encode_pieces(pieces(df, vocab.tokenizers, keys, text_col), vocab, keys)
 
 
-def piece_counts(df: DataFrame, tokenizers: Sequence[NativeTokenizer], group_cols: Sequence[str], text_col: str = "text") -> DataFrame:
+def covering_pattern(tokenizers: Sequence[NativeTokenizer]) -> str:
+    """A pattern whose pieces are all of any text: a tokenizer's own, else runs of white space and of other characters."""
+    own = [t.piece_pattern for t in tokenizers if t.covers and not t.char_level]
+    return own[0] if own else f"[^{uc.ws()}]+|[{uc.ws()}]+"
+
+
+def piece_counts(
+    df: DataFrame, tokenizers: Sequence[NativeTokenizer], group_cols: Sequence[str], text_col: str = "text", covering: bool = False
+) -> DataFrame:
     """``(tokenizer, group_cols..., piece, n)``: how often each piece occurs per group (the fold).
 
     Tokenizers sharing a pre-tokenizer pattern share one explode and one fold; the tokenizer
     names are attached to the folded (small) table only.  The aggregation is partial on the
     map side, so what crosses the shuffle is the set of distinct pieces per task.
+    ``covering``: character-level tokenizers get the pieces of the covering pattern instead of
+    characters (encoding these falls back to their characters, so ids and counts are the same).
     """
     g = list(group_cols)
+    cover = covering_pattern(tokenizers)
     by_pattern: dict[str, list[str]] = {}
     for t in tokenizers:
-        by_pattern.setdefault(t.piece_pattern, []).append(t.name)
+        by_pattern.setdefault(cover if covering and t.char_level else t.piece_pattern, []).append(t.name)
     per_pat = F.array(
         *[
             F.struct(F.lit(i).alias("pat"), F.regexp_extract_all(F.col(text_col), F.lit(pat), 0).alias("ps"))
@@ -120,7 +136,7 @@ def token_counts(df: DataFrame, vocab: Vocab, group_cols: Sequence[str], text_co
     the piece counts are summed per id.
     """
     g = list(group_cols)
-    folded = piece_counts(df, vocab.tokenizers, g, text_col)
+    folded = piece_counts(df, vocab.tokenizers, g, text_col, covering=True)
     ids = encode_pieces(folded, vocab, [*g, "n"])
     return ids.groupBy("tokenizer", *g, "token_id").agg(F.sum("n").alias("n"))
 

@@ -72,6 +72,37 @@ def language_conflicts(docs: DataFrame, group_cols: Sequence[str] = ("lang_key",
     return kinds.where(F.col("n_kinds") > 1)
 
 
+EMPTY_TEXT = "text cannot be empty or None"
+
+
+def text_violations(texts: DataFrame, group_cols: Sequence[str], text_col: str = "text") -> DataFrame:
+    """``(group..., reason, n)``: rows that the library wrapper refuses, by reason; a group without any has no row."""
+    text = F.col(text_col)
+    reason = F.when(text.isNull(), F.lit("text is None")).when(text == "", F.lit("text is empty"))
+    return texts.select(*group_cols, reason.alias("reason")).where(F.col("reason").isNotNull()).groupBy(*group_cols, "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def refuse_empty(texts: DataFrame, text_col: str = "text") -> DataFrame:
+    """D2, strict: reading an empty or NULL text fails the job, as the wrapper's call does."""
+    text = F.col(text_col)
+    return texts.withColumn(text_col, F.when(text.isNull() | (text == ""), F.raise_error(F.lit(EMPTY_TEXT)).cast("string")).otherwise(text))
+
+
+def text_metrics(texts: DataFrame, vocab: Vocab, key: str, strict: bool = True) -> DataFrame:
+    """The wrapper's record of every text (rows ``key, iso_code, script, text``; ``key`` is unique), without special
+    tokens: one text is one group.  ``strict``: an empty or NULL text fails; else it is left out (:func:`text_violations`)."""
+    rows = refuse_empty(texts) if strict else texts.where(F.col("text").isNotNull() & (F.col("text") != ""))
+    docs = rows.select(
+        F.col(key).cast("string").alias("lang_key"), "iso_code", "script", F.lit("").alias("language"), F.lit("").alias("source"),
+        F.lit(0).cast("long").alias("doc_id"), "text",
+    )
+    m = language_metrics(docs, vocab, add_special_tokens=False)
+    return m.select(
+        "tokenizer", F.col("lang_key").alias(key), "bytes_per_token", "total_bytes", "total_tokens", "unique_tokens", "subword_fertility",
+        "continued_word_rate", "segmentation_method", "total_units", "estimated_units_split",
+    )
+
+
 def language_totals(
     docs: DataFrame, group_cols: Sequence[str] = ("lang_key",), block_size: int = DEFAULT_BLOCK_SIZE
 ) -> tuple[DataFrame, DataFrame]:

@@ -226,7 +226,7 @@ def efficiency_vs_vocab(rows: DataFrame, natural_only: bool = False) -> DataFram
     """Unweighted mean bytes per token, vocabulary size and row count per tokenizer."""
     r = rows.where(F.col("source") != "starcoder") if natural_only else rows
     agg = r.groupBy("tokenizer_key").agg(
-        F.first("tokenizer_name", ignorenulls=True).alias("tokenizer_name"),
+        F.min("tokenizer_name").alias("tokenizer_name"),
         F.min("vocab_size").alias("vocab_size"),
         F.avg("bytes_per_token").alias("avg_efficiency"),
         F.count(F.lit(1)).alias("languages_count"),
@@ -246,11 +246,13 @@ def first_per_tokenizer(rows: DataFrame, cols: Sequence[str]) -> DataFrame:
 def pivot_metric(rows: DataFrame, metric: str, lang_keys: Sequence[str], tokenizers: Sequence[str]) -> DataFrame:
     """Mean ``metric`` per language (rows, in list order) and tokenizer (columns, in list order).
 
-    NULLs are dropped first; languages or tokenizers absent from the data are left out.
+    NULLs are dropped first; languages or tokenizers without a value in the data are left out: a first pass over
+    the rows finds which of the listed tokenizers there are (at most the list is collected).
     """
     sub = rows.where(F.col("lang_key").isin(*lang_keys) & F.col("tokenizer_name").isin(*tokenizers) & F.col(metric).isNotNull())
-    present = [t for t in tokenizers]
-    p = sub.groupBy("lang_key").pivot("tokenizer_name", present).agg(F.avg(metric))
+    found = {r[0] for r in sub.select("tokenizer_name").distinct().collect()}
+    present = [t for t in tokenizers if t in found]
+    p = sub.groupBy("lang_key").pivot("tokenizer_name", present).agg(F.avg(metric)) if present else sub.select("lang_key").distinct()
     order = F.create_map(*[x for i, k in enumerate(lang_keys) for x in (F.lit(k), F.lit(i))])
     return p.withColumn("row_pos", F.element_at(order, F.col("lang_key")))
 

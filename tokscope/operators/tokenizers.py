@@ -32,8 +32,8 @@ N_BYTES = 256
 WORDS_SCHEMA = "tokenizer string, piece string, ids array<int>"
 CHARS_SCHEMA = "tokenizer string, ch string, char_id int"
 CHAR_PATTERN = "(?s)."
-# Table rows that are broadcast to every task at most; larger tables are joined with a shuffle.
-BROADCAST_SLOTS = 1_000_000
+# Slots that a tokenizer's tables may have: they are broadcast, so this bounds what every task holds.
+MAX_SLOTS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -44,10 +44,13 @@ class NativeTokenizer:
     word_slots: int = 0
     bos: bool = False
     unk_id: int | None = None  # when set, an unknown piece becomes [unk_id] instead of falling back
+    covers: bool = False  # the pieces of any text are all of it
 
     def __post_init__(self):
-        if self.char_slots < 0 or self.word_slots < 0:
-            raise ValueError("slot counts must be >= 0")
+        if not self.name:
+            raise ValueError("tokenizer name cannot be empty")
+        if not (0 <= self.char_slots <= MAX_SLOTS and 0 <= self.word_slots <= MAX_SLOTS):
+            raise ValueError(f"slot counts must lie between 0 and {MAX_SLOTS}")
 
     @property
     def char_base(self) -> int:
@@ -69,13 +72,18 @@ class NativeTokenizer:
     def n_special(self) -> int:
         return 1 if self.bos else 0
 
+    @property
+    def char_level(self) -> bool:
+        """Pieces are single characters and none is in a word table: ids follow from the characters alone."""
+        return self.piece_pattern == CHAR_PATTERN and self.word_slots == 0 and self.unk_id is None
+
 
 def default_tokenizers() -> list[NativeTokenizer]:
     """The shipped set: byte level, character level with byte fallback, and word level."""
     return [
         NativeTokenizer("bytes", CHAR_PATTERN),
         NativeTokenizer("chars", CHAR_PATTERN, char_slots=512),
-        NativeTokenizer("words", uc.words_piece_pattern(), char_slots=256, word_slots=4096, bos=True),
+        NativeTokenizer("words", uc.words_piece_pattern(), char_slots=256, word_slots=4096, bos=True, covers=True),
     ]
 
 
@@ -105,14 +113,22 @@ class Vocab:
     tokenizers: list[NativeTokenizer]
     decode_table: DataFrame | None = None  # explicit (tokenizer, token_id, token_text), e.g. for mocks
     words_bounded: bool = True  # False: the word table grows with the corpus and is never broadcast
+    _char_sets: dict[str, list[int]] | None = None
 
     def words_for_join(self) -> DataFrame:
-        fits = self.words_bounded and sum(t.word_slots for t in self.tokenizers) <= BROADCAST_SLOTS
-        return F.broadcast(self.words) if fits else self.words
+        return F.broadcast(self.words) if self.words_bounded else self.words
 
     def chars_for_join(self) -> DataFrame:
-        fits = sum(t.char_slots for t in self.tokenizers) <= BROADCAST_SLOTS
-        return F.broadcast(self.chars) if fits else self.chars
+        return F.broadcast(self.chars)
+
+    def char_sets(self) -> dict[str, list[int]]:
+        """Per tokenizer, the code points of its char table (at most its slots), collected once."""
+        if self._char_sets is None:
+            sets: dict[str, set[int]] = {}
+            for r in self.chars.select("tokenizer", "ch").collect():
+                sets.setdefault(r["tokenizer"], set()).add(ord(r["ch"]))
+            self._char_sets = {name: sorted(points) for name, points in sets.items()}
+        return self._char_sets
 
     def decoded(self, spark: SparkSession) -> DataFrame:
         """J3 target: ``(tokenizer, token_id, token_text)`` for every id below the vocab size.
@@ -271,6 +287,7 @@ class PythonTokenizer(NativeTokenizer):
         object.__setattr__(self, "word_slots", 0)
         object.__setattr__(self, "bos", bos_token_id is not None)
         object.__setattr__(self, "unk_id", None)
+        object.__setattr__(self, "covers", False)
         object.__setattr__(self, "tokenizer_file", tokenizer_file)
         object.__setattr__(self, "bos_token_id", bos_token_id)
         object.__setattr__(self, "size", size)

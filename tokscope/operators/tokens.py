@@ -26,6 +26,9 @@ VOCAB_SAMPLE = 10000  # ids analysed per tokenizer (stride sample)
 EXAMPLES = 10  # examples kept on each side (with / without leading space)
 # ---------------------------------------------------------------------------
 
+#: Pieces between two marks of the rank index, and characters for character-level tokenizers.
+INDEX_PIECES, INDEX_CHARS = 128, 1024
+
 
 def annotated_vocab(vocab: Vocab) -> DataFrame:
     """``(tokenizer, token_id, token_text, starts_with_space, has_whitespace_in_middle, scripts, script_overlap)``.
@@ -97,15 +100,7 @@ def vocab_analysis(vocab: Vocab) -> DataFrame:
 
 def _char_classes(vocab: Vocab) -> dict[str, str]:
     """Per tokenizer, a regex class of its known characters (tables are bounded by slots)."""
-    rows = vocab.chars.select("tokenizer", "ch").collect()
-    by_tok: dict[str, list[int]] = {}
-    for r in rows:
-        by_tok.setdefault(r["tokenizer"], []).append(ord(r["ch"]))
-    out = {}
-    for name, cps in by_tok.items():
-        cps = sorted(set(cps))
-        out[name] = "[" + uc.ranges_to_class_body(uc._ranges(cps)) + "]"
-    return out
+    return {name: "[" + uc.ranges_to_class_body(uc._ranges(points)) + "]" for name, points in vocab.char_sets().items()}
 
 
 def piece_token_counts(p: DataFrame, vocab: Vocab, classes: dict[str, str] | None = None) -> Column:
@@ -126,11 +121,6 @@ def piece_token_counts(p: DataFrame, vocab: Vocab, classes: dict[str, str] | Non
     return F.when(F.col("ids").isNotNull(), F.size("ids")).otherwise(n_unknown)
 
 
-def _char_level(t) -> bool:
-    """Pieces are single characters and there is no word table: counts follow from the text."""
-    return t.piece_pattern == CHAR_PATTERN and t.word_slots == 0 and t.unk_id is None
-
-
 def tokens_per_doc(docs: DataFrame, vocab: Vocab, keys: Sequence[str]) -> DataFrame:
     """``(tokenizer, keys..., n_tokens)`` per row, from pieces without materialising tokens.
 
@@ -140,8 +130,8 @@ def tokens_per_doc(docs: DataFrame, vocab: Vocab, keys: Sequence[str]) -> DataFr
     """
     keys = list(keys)
     classes = _char_classes(vocab)
-    direct = [t for t in vocab.tokenizers if _char_level(t)]
-    other = [t for t in vocab.tokenizers if not _char_level(t)]
+    direct = [t for t in vocab.tokenizers if t.char_level]
+    other = [t for t in vocab.tokenizers if not t.char_level]
     parts = []
     if direct:
         text = F.col("text")
@@ -167,6 +157,104 @@ def tokens_per_doc(docs: DataFrame, vocab: Vocab, keys: Sequence[str]) -> DataFr
 # --- D4 / W5 on ids: positional sample of each language's token sequence ---------
 
 
+def token_index(docs: DataFrame, vocab: Vocab, keys: Sequence[str]) -> DataFrame:
+    """Rank index over token positions: ``(tokenizer, keys..., blk, n_tokens)``, the tokens of every
+    stretch of INDEX_PIECES pieces (INDEX_CHARS characters for a character-level tokenizer).
+
+    One scan of the text: pieces are counted by (row, stretch) on the map side, so what is shuffled
+    and written is one slim row a stretch.  Rows without tokens are left out.
+    """
+    keys = list(keys)
+    by_pattern: dict[tuple[str, int], list[str]] = {}
+    for t in vocab.tokenizers:
+        stretch = (f"(?s).{{1,{INDEX_CHARS}}}", 1) if t.char_level else (t.piece_pattern, INDEX_PIECES)
+        by_pattern.setdefault(stretch, []).append(t.name)
+    items = F.array(
+        *[
+            F.struct(
+                F.array(*[F.lit(n) for n in names]).alias("names"),
+                F.lit(size).alias("size"),
+                F.regexp_extract_all("text", F.lit(pattern), 0).alias("ps"),
+            )
+            for (pattern, size), names in by_pattern.items()
+        ]
+    )
+    p = docs.select(*keys, F.inline(items)).select(*keys, "names", "size", F.posexplode("ps").alias("pidx", "piece"))
+    p = p.select(F.explode("names").alias("tokenizer"), *keys, F.expr("pidx div size").cast("int").alias("blk"), "piece")
+    p = p.join(vocab.words_for_join(), ["tokenizer", "piece"], "left")
+    n = F.sum(piece_token_counts(p, vocab)).cast("long")
+    return p.groupBy("tokenizer", *keys, "blk").agg(n.alias("n_tokens")).where(F.col("n_tokens") > 0)
+
+
+def _stretches(texts: DataFrame, vocab: Vocab, g: list[str]) -> DataFrame:
+    """The chosen stretches of ``texts`` (``wanted``: array of ``(tokenizer, blk, start, step)``) as
+    ``(tokenizer, group..., doc_id, start, step, ps)``: the pieces, or the one text, of each stretch."""
+    def of_one(t) -> Column:
+        of = F.filter("wanted", lambda w: w["tokenizer"] == t.name)
+        if t.char_level:
+            cut = F.transform(of, lambda w: w.withField("ps", F.array(F.substring(F.col("text"), w["blk"] * INDEX_CHARS + 1, F.lit(INDEX_CHARS)))))
+        else:
+            # the pieces are cut once a text (a lambda variable), then sliced for each stretch
+            sliced = lambda ps: F.transform(of, lambda w: w.withField("ps", F.slice(ps, w["blk"] * INDEX_PIECES + 1, INDEX_PIECES)))
+            cut = F.flatten(F.transform(F.array(F.regexp_extract_all("text", F.lit(t.piece_pattern), 0)), sliced))
+        return F.when(F.size(of) > 0, cut).otherwise(F.slice(cut, 1, 0))
+
+    by_tok = [of_one(t) for t in vocab.tokenizers]
+    return texts.select(*g, "doc_id", F.inline(F.concat(*by_tok))).select("tokenizer", *g, "doc_id", "start", "step", "ps")
+
+
+def _positions(n: Column, max_tokens: int) -> Column:
+    """Sampled positions (from 0, within a stretch of ``n`` tokens that begins at ``start``)."""
+    first = F.expr("((start + step - 1) div step) * step - start")
+    rels = F.when(first < n, F.sequence(first, n - 1, F.col("step"))).otherwise(F.array().cast("array<bigint>"))
+    return F.filter(rels, lambda r: F.floor((F.col("start") + r) / F.col("step")) < max_tokens)
+
+
+def _char_picks(stretches: DataFrame, vocab: Vocab, g: list[str], max_tokens: int) -> tuple[DataFrame, DataFrame]:
+    """Character-level tokenizers: sampled ids read from the stretch by position, where every
+    character is one id (or, without a table, every byte); and the other stretches, cut into characters."""
+    s = stretches.where(F.col("tokenizer").isin(*[t.name for t in vocab.tokenizers if t.char_level]))
+    s = s.withColumn("text", F.col("ps")[0])
+    known, has_table = F.lit(True), F.lit(False)
+    for name, cls in _char_classes(vocab).items():
+        mine = F.col("tokenizer") == name
+        known = F.when(mine, F.regexp_replace("text", cls, "") == "").otherwise(known)
+        has_table = has_table | mine
+    s = s.withColumn("has_table", has_table).withColumn("known", known)
+    n = F.when(F.col("has_table"), F.char_length("text")).otherwise(F.octet_length("text")).cast("long")
+    e = s.where(~F.col("has_table") | F.col("known")).select("tokenizer", *g, "has_table", "text", "start", F.explode(_positions(n, max_tokens)).alias("rel"))
+    at = F.col("rel").cast("int") + 1
+    byte = F.conv(F.hex(F.substring(F.encode("text", "UTF-8"), at, 1)), 16, 10).cast("int")
+    e = e.select("tokenizer", *g, "has_table", (F.col("start") + F.col("rel")).alias("tpos"), F.when(F.col("has_table"), F.substring("text", at, 1)).alias("ch"), byte.alias("byte"))
+    e = e.join(vocab.chars_for_join(), ["tokenizer", "ch"], "left")
+    picks = e.select("tokenizer", *g, "tpos", F.when(F.col("has_table"), F.col("char_id")).otherwise(F.col("byte")).alias("token_id"))
+    hard = s.where(F.col("has_table") & ~F.col("known"))
+    hard = hard.withColumn("ps", F.regexp_extract_all("text", F.lit(CHAR_PATTERN), 0)).select(*stretches.columns)
+    return picks, hard
+
+
+def _piece_picks(stretches: DataFrame, vocab: Vocab, g: list[str], max_tokens: int) -> DataFrame:
+    """Sampled ids of stretches given as pieces: running token counts inside a stretch (a short array)
+    point to the pieces that hold a sampled position, and only these are encoded token by token."""
+    here = ["tokenizer", *g, "doc_id", "start", "step"]
+    p = stretches.select(*here, F.posexplode("ps").alias("pidx", "piece"))
+    p = p.join(vocab.words_for_join(), ["tokenizer", "piece"], "left")
+    p = p.select(*here, F.struct("pidx", "piece", piece_token_counts(p, vocab).cast("long").alias("n")).alias("p"))
+    s = p.groupBy(*here).agg(F.sort_array(F.collect_list("p")).alias("ps"))
+    none = F.array().cast("array<bigint>")
+    ends = F.aggregate("ps", none, lambda acc, x: F.concat(acc, F.array(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)) + x["n"])))
+    s = s.withColumn("ends", F.when(F.size("ps") > 0, ends).otherwise(none))
+    placed = F.transform("ps", lambda x, i: F.struct(x["piece"].alias("piece"), (F.col("start") + F.get("ends", i) - x["n"]).alias("at"), x["n"].alias("n")))
+    s = s.select(*here, F.explode(placed).alias("x")).select(*here, "x.*")
+    first = F.expr("(at + step - 1) div step")
+    hits = s.where((F.col("n") > 0) & (first * F.col("step") < F.col("at") + F.col("n")) & (first < max_tokens))
+    enc = encode_pieces(hits.select("tokenizer", *g, "doc_id", "step", "at", "n", "piece"), vocab, [*g, "doc_id", "step", "at", "n"])
+    ids = enc.groupBy("tokenizer", *g, "doc_id", "step", "at", "n").agg(F.sort_array(F.collect_list(F.struct("cidx", "bidx", "token_id"))).alias("ids"))
+    ids = ids.withColumnRenamed("at", "start")
+    picked = ids.select("tokenizer", *g, "start", "ids", F.explode(_positions(F.col("n"), max_tokens)).alias("rel"))
+    return picked.select("tokenizer", *g, (F.col("start") + F.col("rel")).alias("tpos"), F.get("ids", F.col("rel").cast("int"))["token_id"].alias("token_id"))
+
+
 def even_sample_tokens(
     docs: DataFrame,
     vocab: Vocab,
@@ -179,110 +267,45 @@ def even_sample_tokens(
     """``(tokenizer, group..., tpos, token_id)``: every ``step``-th token of the language's ids.
 
     ``docs`` must carry separators already; ``firsts`` = ``(group..., first_doc)``.  With
-    special tokens the BOS id sits at position 0 and document tokens start at 1.  Only
-    documents that hold a sampled position (at most ``max_tokens`` per language and
-    tokenizer) are re-encoded token by token.
+    special tokens the BOS id sits at position 0 and document tokens start at 1.
+
+    Rank and select: one scan of the text writes a rank index (:func:`token_index`); running sums
+    over it name the stretches that hold a sampled position (at most ``max_tokens`` a tokenizer and
+    group), and a second scan cuts just these out of their texts.
     """
     g = list(group_cols)
     spark = docs.sparkSession
-    # slim (one row per document and tokenizer) and read twice by the prefix sum
-    per_doc = materialize(tokens_per_doc(docs.select(*g, "doc_id", "text"), vocab, [*g, "doc_id"]))
+    index = token_index(docs.select(*g, "doc_id", "text"), vocab, [*g, "doc_id"])
+    index = materialize(index.withColumn("place", F.struct("doc_id", "blk")))
     specials = spark.createDataFrame(
         [(t.name, t.n_special if add_special_tokens else 0, t.bos_id) for t in vocab.tokenizers],
         "tokenizer string, n_special int, bos_id int",
     )
-    with_off, totals = exclusive_prefix_sums(per_doc, ["tokenizer", *g], "doc_id", {"t_off": "n_tokens"}, block_size, written=True)
-    totals = totals.join(F.broadcast(specials), "tokenizer").select(
-        "tokenizer", *g, "n_special", "bos_id", (F.col("n_tokens_total") + F.col("n_special")).alias("total")
+    with_off, totals = exclusive_prefix_sums(index, ["tokenizer", *g], "place", {"t_off": "n_tokens"}, block_size, written=True)
+    total = F.col("n_tokens_total") + F.col("n_special")
+    lt = totals.join(F.broadcast(specials), "tokenizer").select(
+        "tokenizer", *g, "n_special", "bos_id", total.alias("total"), even_sample_step(total, max_tokens).alias("step")
     )
-    lt = totals.select("tokenizer", *g, "n_special", "bos_id", "total", even_sample_step(F.col("total"), max_tokens).alias("step"))
-    sel = with_off.join(F.broadcast(lt), ["tokenizer", *g])
-    # global position of the document's first token, and the first sampled index at or after it
+    sel = with_off.join(F.broadcast(lt), ["tokenizer", *g])  # one row per tokenizer and group
+    # global position of the stretch's first token, and the first sampled index at or after it
     sel = sel.withColumn("start", F.col("t_off") + F.col("n_special"))
     first_kept = F.expr("(start + step - 1) div step")
-    keep_doc = (F.col("n_tokens") > 0) & (first_kept * F.col("step") < F.col("start") + F.col("n_tokens")) & (
-        first_kept < max_tokens
-    )
-    # at most max_tokens rows per (tokenizer, language); used twice below
-    chosen = materialize(sel.where(keep_doc).select("tokenizer", *g, "doc_id", "start", "step"))
-    direct_names = [t.name for t in vocab.tokenizers if _char_level(t)]
-    classes = _char_classes(vocab)
-    # ``chosen`` holds at most max_tokens rows per (tokenizer, language): safe to broadcast
-    texts_all = docs.select(*g, "doc_id", "text").join(F.broadcast(chosen.select(*g, "doc_id").distinct()), [*g, "doc_id"])
-
-    # (a) character-level tokenizers: a sampled position is a character (or, without a
-    # char table, a byte) of the document, read directly -- no explode, no window.
-    direct_hits = None
-    if direct_names:
-        dc = chosen.where(F.col("tokenizer").isin(*direct_names))
-        d = texts_all.join(F.broadcast(dc), [*g, "doc_id"])
-        known_all = F.lit(True)
-        for name, cls in classes.items():
-            known_all = F.when(F.col("tokenizer") == name, F.regexp_replace("text", cls, "") == "").otherwise(known_all)
-        has_table = F.col("tokenizer").isin(*[n for n in direct_names if n in classes]) if classes else F.lit(False)
-        n_tok = F.when(has_table, F.char_length("text")).otherwise(F.octet_length("text"))
-        d = d.withColumn("has_table", has_table).withColumn("known_all", known_all).withColumn("n_tok", n_tok)
-        easy = d.where(~F.col("has_table") | F.col("known_all"))
-        rel0 = F.expr("((start + step - 1) div step) * step - start")
-        rels = F.when(rel0 <= F.col("n_tok") - 1, F.sequence(rel0, F.col("n_tok") - 1, F.col("step"))).otherwise(
-            F.array().cast("array<bigint>")
-        )
-        e = easy.select("tokenizer", *g, "doc_id", "text", "has_table", "start", "step", F.explode(rels).alias("rel"))
-        e = e.where(F.floor((F.col("start") + F.col("rel")) / F.col("step")) < max_tokens)
-        ch = F.substring(F.col("text"), F.col("rel").cast("int") + 1, 1)
-        byte = F.conv(F.hex(F.substring(F.encode("text", "UTF-8"), F.col("rel").cast("int") + 1, 1)), 16, 10).cast("int")
-        e = e.select("tokenizer", *g, "has_table", (F.col("start") + F.col("rel")).alias("tpos"), F.when(F.col("has_table"), ch).alias("ch"), byte.alias("byte"))
-        e = e.join(vocab.chars_for_join(), ["tokenizer", "ch"], "left")
-        direct_hits = e.select(
-            "tokenizer", *g, F.col("tpos").cast("long"), F.when(F.col("has_table"), F.col("char_id")).otherwise(F.col("byte")).alias("token_id")
-        )
-        hard_docs = d.where(F.col("has_table") & ~F.col("known_all")).select("tokenizer", *g, "doc_id")
-    # (b) other tokenizers (and character documents with unknown characters): token offsets
-    # of pieces from a running sum over pieces; only pieces holding a sampled position are
-    # encoded token by token.
-    rest_chosen = chosen.where(~F.col("tokenizer").isin(*direct_names)) if direct_names else chosen
-    if direct_names:
-        rest_chosen = rest_chosen.unionByName(chosen.join(hard_docs, ["tokenizer", *g, "doc_id"]))
-
-    def chosen_pieces(picked: DataFrame, toks) -> DataFrame:
-        texts = docs.select(*g, "doc_id", "text").join(F.broadcast(picked.select(*g, "doc_id").distinct()), [*g, "doc_id"])
-        # Shuffle the (few) chosen documents, not their pieces: explode and broadcast joins
-        # keep this partitioning, which already clusters the per-document window below.
-        return pieces(texts.repartition(*g, "doc_id"), toks, [*g, "doc_id"])
-
-    other_toks = [t for t in vocab.tokenizers if not _char_level(t)]
-    direct_toks = [t for t in vocab.tokenizers if _char_level(t)]
-    parts = []
-    if other_toks:
-        parts.append(chosen_pieces(chosen.where(F.col("tokenizer").isin(*[t.name for t in other_toks])), other_toks))
-    if direct_toks:
-        parts.append(chosen_pieces(hard_docs, direct_toks))
-    p = parts[0]
-    for q in parts[1:]:
-        p = p.unionByName(q)
-    p = p.join(F.broadcast(rest_chosen), ["tokenizer", *g, "doc_id"])
-    p = p.join(vocab.words_for_join(), ["tokenizer", "piece"], "left")
-    p = p.withColumn("n", piece_token_counts(p, vocab, classes))
-    wp = Window.partitionBy(*g, "doc_id", "tokenizer").orderBy("pidx").rowsBetween(Window.unboundedPreceding, -1)
-    p = p.withColumn("poff", F.coalesce(F.sum("n").over(wp), F.lit(0)))
-    p = p.withColumn("gstart", F.col("start") + F.col("poff"))
-    first = F.expr("(gstart + step - 1) div step")
-    hit = (F.col("n") > 0) & (first * F.col("step") < F.col("gstart") + F.col("n")) & (first < max_tokens)
-    hits = p.where(hit).select(*g, "doc_id", "tokenizer", "pidx", "piece", "gstart", "step")
-    enc = encode_pieces(hits, vocab, [*g, "doc_id", "gstart", "step"])
-    wt = Window.partitionBy(*g, "doc_id", "tokenizer", "pidx").orderBy("cidx", "bidx")
-    pos = enc.select("tokenizer", *g, "token_id", "step", (F.col("gstart") + F.row_number().over(wt) - 1).alias("tpos"))
-    text_part = pos.where((F.col("tpos") % F.col("step") == 0) & (F.floor(F.col("tpos") / F.col("step")) < max_tokens)).select(
-        "tokenizer", *g, F.col("tpos").cast("long"), "token_id"
-    )
-    if direct_hits is not None:
-        text_part = text_part.unionByName(direct_hits)
+    holds = (first_kept * F.col("step") < F.col("start") + F.col("n_tokens")) & (first_kept < max_tokens)
+    wanted = sel.where(holds).groupBy(*g, "doc_id").agg(F.collect_list(F.struct("tokenizer", "blk", "start", "step")).alias("wanted"))
+    # at most max_tokens stretches per tokenizer and group
+    texts = docs.select(*g, "doc_id", "text").join(F.broadcast(wanted), [*g, "doc_id"])
+    stretches = materialize(_stretches(texts, vocab, g))
+    rest = stretches.where(~F.col("tokenizer").isin(*[t.name for t in vocab.tokenizers if t.char_level])) if any(t.char_level for t in vocab.tokenizers) else stretches
+    picks, hard = _char_picks(stretches, vocab, g, max_tokens) if any(t.char_level for t in vocab.tokenizers) else (None, None)
+    out = _piece_picks(rest if hard is None else rest.unionByName(hard), vocab, g, max_tokens)
+    if picks is not None:
+        out = out.unionByName(picks)
     # the special token at position 0 is always kept (0 % step = 0)
     bos = lt.where((F.col("n_special") > 0) & (F.col("total") > 0)).select(
         "tokenizer", *g, F.lit(0).cast("long").alias("tpos"), F.col("bos_id").alias("token_id")
     )
     # at most max_tokens rows per (tokenizer, language), and consumers read it more than once
-    return materialize(text_part.unionByName(bos))
+    return materialize(out.select("tokenizer", *g, F.col("tpos").cast("long"), "token_id").unionByName(bos))
 
 
 # --- A12 / A13 ------------------------------------------------------------------

@@ -383,6 +383,32 @@ FROM dp d JOIN pe_ostream o ON o.p = d.piece AND o.tokenizer = d.tokenizer
 GROUP BY d.tokenizer, d.piece, d.occurrences"""
 
 
+def longest_match_sql(slots: int, max_len: int) -> str:
+    """Greedy longest match by a recursive walk over the distinct chunks."""
+    from ..operators.encode import covering_pattern
+
+    chunks = f"unnest(regexp_extract_all(text, {q(covering_pattern([]))}))"
+    return f"""WITH RECURSIVE tc AS (SELECT chunk, count(*) AS n FROM (SELECT {chunks} AS chunk FROM benchmark WHERE text IS NOT NULL AND text <> '') GROUP BY chunk),
+subs AS (SELECT k, n, unnest(list_transform(range(1, length(chunk) - k + 2), lambda i: substr(chunk, i, k))) AS token FROM tc, (SELECT unnest(range(2, {max_len + 1})) AS k)),
+saved AS (SELECT token, sum(n) * (any_value(k) - 1) AS saved FROM subs GROUP BY token ORDER BY saved DESC, token LIMIT {slots}),
+tokens AS (SELECT token, CAST(row_number() OVER (ORDER BY saved DESC, token) + 255 AS INTEGER) AS id FROM saved),
+dp AS (SELECT piece, count(*) AS occurrences FROM (SELECT {chunks} AS piece FROM documents WHERE text IS NOT NULL AND text <> '') GROUP BY piece),
+spots AS (SELECT piece, unnest(range(1, length(piece) + 1)) AS pos FROM dp),
+best AS (
+  SELECT s.piece, s.pos, max(length(t.token)) AS len, max_by(t.id, length(t.token)) AS id
+  FROM (SELECT piece, pos, unnest(range(2, {max_len + 1})) AS k FROM spots) s JOIN tokens t ON t.token = substr(s.piece, s.pos, s.k) AND length(t.token) = s.k GROUP BY ALL
+),
+each AS (SELECT s.piece, s.pos, coalesce(b.len, 1) AS len, b.id, substr(s.piece, s.pos, 1) AS ch FROM spots s LEFT JOIN best b USING (piece, pos)),
+walk(piece, pos) AS (
+  SELECT piece, 1::BIGINT FROM dp
+  UNION ALL
+  SELECT w.piece, w.pos + e.len FROM walk w JOIN each e ON e.piece = w.piece AND e.pos = w.pos
+),
+taken AS (SELECT e.piece, e.pos, CASE WHEN e.id IS NOT NULL THEN [e.id] ELSE {utf8_bytes_sql('e.ch')} END AS ids FROM walk w JOIN each e ON e.piece = w.piece AND e.pos = w.pos)
+SELECT d.piece, d.occurrences, CAST(len(a.ids) AS BIGINT) AS n_ids, array_to_string(a.ids, ' ') AS ids
+FROM dp d JOIN (SELECT piece, flatten(list(ids ORDER BY pos)) AS ids FROM taken GROUP BY piece) a USING (piece)"""
+
+
 def _doc_counts(toks) -> list[str]:
     return [SEP_DOCS, encode_ctes("dt", "sdocs", ["lang_key"], "text", toks),
             "tc AS (SELECT tokenizer, lang_key, token_id, count(*) AS n FROM dt_stream GROUP BY ALL)"]

@@ -141,3 +141,23 @@ chk AS (
   FROM per
 )
 SELECT source, lang_key, CAST(n_docs AS BIGINT) AS n_docs, CASE WHEN reason IS NULL THEN 'ok' ELSE 'error' END AS status, reason FROM chk"""
+
+
+def work_list_sql(natural_n: int) -> str:
+    """U1 over the catalogue CTEs: a SELECT of its own, with duplicate keys flagged."""
+    iso, script, name, source = CAT.ENGLISH_ROW
+    return f"""
+WITH top AS (SELECT * FROM valid ORDER BY size_gb DESC, catalog_pos LIMIT {natural_n}),
+blocks AS (
+  SELECT 0 AS block, 0 AS pos, {q(iso)} AS iso_code, {q(script)} AS script, {q(name)} AS name, {q(source)} AS source, NULL::VARCHAR AS data_dir
+  UNION ALL SELECT 1, catalog_pos, iso_code, script, name, 'fineweb2', NULL FROM top
+  UNION ALL SELECT 2, catalog_pos, language, 'code', name, 'starcoder', language FROM {code_catalogue_sql()}
+),
+numbered AS (
+  SELECT *, CAST(row_number() OVER (ORDER BY block, pos) - 1 AS INTEGER) AS position,
+         CASE WHEN source = 'starcoder' THEN iso_code || '-code' ELSE iso_code || '-' || script END AS lang_key
+  FROM blocks
+)
+SELECT position, lang_key, iso_code, script, name, source, data_dir,
+       row_number() OVER (PARTITION BY lang_key ORDER BY position) > 1 AS duplicate_key
+FROM numbered"""

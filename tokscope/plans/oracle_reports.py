@@ -11,8 +11,11 @@ from . import oracle_catalog as OC
 TIMESTAMP = 1_700_000_000.0
 
 
-def rows_with(toks) -> str:
+def rows_with(toks, docs_cte: str | None = None, size_mb: float = 1.0, samples: bool = False) -> str:
+    """WITH list ending in ``rows`` over all sources, or over the ``docs`` of ``docs_cte``; with the snippets' columns if asked."""
     ctes = O.language_metrics_ctes(toks, with_code=True)
+    if docs_cte is not None:
+        ctes[0] = docs_cte
     ctes += [O.decoded_vocab_ctes(toks), O.VOCAB_ANALYSIS]
     ctes += O.sampled_tokens_ctes(toks)
     ctes += [O.annotated_vocab_cte(), O.ANNOTATED_SAMPLE.strip()]
@@ -31,7 +34,8 @@ def rows_with(toks) -> str:
             e = f"(SELECT CAST(s.n AS DOUBLE) / t.total * 100.0 FROM scr s WHERE s.tokenizer = t.tokenizer AND lower(s.script) = '{script}' AND s.n > 0)"
         gm_cols.append(f"{e} AS {c}")
     ctes.append("gm AS (SELECT t.tokenizer, " + ", ".join(gm_cols) + " FROM tot t WHERE t.total > 0)")
-    ctes.append(OC.catalogue_ctes())
+    if docs_cte is None:  # else it comes with the documents
+        ctes.append(OC.catalogue_ctes())
     eng = CAT.ENGLISH_RANK_NAME
     ctes.append(f"""present AS (SELECT DISTINCT language FROM metrics),
 natpos AS (
@@ -49,13 +53,21 @@ blocks AS (
 firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY language ORDER BY block, pos) AS k FROM blocks) WHERE k = 1),
 ranked AS (SELECT language, CAST(row_number() OVER (ORDER BY block, pos, language) - 1 AS INTEGER) AS language_rank FROM firsts),
 ranks AS (SELECT p.language, r.language_rank FROM present p LEFT JOIN ranked r USING (language))""")
+    sample_cols = sample_join = ""
+    if samples:
+        snip = O.snippet_sql().split(O.SEP_DOCS + ",\n", 1)[1]
+        per = O.sample_preview_sql(toks).split(O.decoded_vocab_ctes(toks), 1)[1].rsplit("\nSELECT t.tokenizer, s.lang_key", 1)[0]
+        ctes.append(snip + ",\n" + O.ordered_encode_ctes("sn", "snip", ["lang_key"], "text", toks) + per)
+        sample_cols = """, s.byte_offset AS sample_byte_offset, CAST(strlen(s.text) AS BIGINT) AS sample_text_bytes, md5(s.text) AS sample_text_md5,
+         CAST(len(p.ts) AS INTEGER) AS sample_token_count, p.p AS sample_tokens_preview"""
+        sample_join = " LEFT JOIN snip s ON s.lang_key = m.lang_key LEFT JOIN prev p ON p.lang_key = m.lang_key AND p.tokenizer = m.tokenizer"
     ctes.append(f"""rows AS (
   SELECT m.tokenizer AS tokenizer_key, m.tokenizer AS tokenizer_name, m.language, m.iso_code, m.script, m.source, m.lang_key,
-         m.bytes_per_token, m.total_bytes, m.total_tokens, m.unique_tokens, m.vocab_size, CAST(1.0 AS DOUBLE) AS benchmark_size_mb,
+         m.bytes_per_token, m.total_bytes, m.total_tokens, m.unique_tokens, m.vocab_size, CAST({size_mb!r} AS DOUBLE) AS benchmark_size_mb,
          CAST({TIMESTAMP} AS DOUBLE) AS timestamp, m.subword_fertility, m.word_split_pct, 'word_split_pct' AS word_split_source,
          va.tokens_without_leading_space_pct, va.tokens_without_leading_space_count, va.analyzed_sample_size,
-         {", ".join("gm." + c for c in REPORT_GLOBAL_COLUMNS)}, r.language_rank
-  FROM metrics m LEFT JOIN va USING (tokenizer) LEFT JOIN gm USING (tokenizer) LEFT JOIN ranks r USING (language)
+         {", ".join("gm." + c for c in REPORT_GLOBAL_COLUMNS)}, r.language_rank, va.sample_non_space_tokens, va.sample_space_tokens{sample_cols}
+  FROM metrics m LEFT JOIN va USING (tokenizer) LEFT JOIN gm USING (tokenizer) LEFT JOIN ranks r USING (language){sample_join}
 )""")
     return "WITH " + ",\n".join(ctes)
 

@@ -145,6 +145,29 @@ def _counts_with_separators(spark, sf_dir):
     return EN.token_counts(M.with_separators(docs, heads, ["lang_key"]).select("lang_key", "text"), C.vocab(spark, sf_dir), ["lang_key"])
 
 
+LONGEST_SLOTS, LONGEST_LEN = 1024, 8
+
+
+def _longest_tokens(spark, sf_dir):
+    from ..operators import longest as LO
+    from ..sources import text as T
+
+    return C.shared(spark, sf_dir, "longest_tokens", lambda: LO.learn_tokens(T.training_text(spark, sf_dir), LONGEST_SLOTS, LONGEST_LEN))
+
+
+@register("longest_match", lambda: O.longest_match_sql(LONGEST_SLOTS, LONGEST_LEN))
+def q_longest_match(spark, sf_dir):
+    """Every distinct chunk of the documents under a greedy longest-match tokenizer, whose tokens cross piece borders."""
+    from ..operators import longest as LO
+
+    docs = C.documents(spark, sf_dir)
+    folded = EN.piece_counts(docs, [EN.NativeTokenizer("longest", EN.covering_pattern([]), covers=True)], [])
+    ids = LO.longest_match(folded.select("piece"), _longest_tokens(spark, sf_dir), LONGEST_LEN)
+    return folded.join(ids, "piece").select(
+        "piece", F.col("n").alias("occurrences"), F.size("ids").cast("long").alias("n_ids"), F.array_join(F.transform("ids", lambda i: i.cast("string")), " ").alias("ids")
+    )
+
+
 @register("decode_tokens", lambda: O.decode_tokens_sql(C.tokenizers()))
 def q_decode_tokens(spark, sf_dir):
     """Id counts of every language joined with their decoded text (NULL = undecodable)."""

@@ -11,6 +11,7 @@ from ..functions import scalars as S
 from ..operators import corpus as CO
 from ..session import ensure_checkpoint_dir
 from ..sources import catalog as CAT
+from ..sources import registry as REG
 from ..sources import text as T
 from . import context as C
 from . import oracle as O
@@ -82,22 +83,7 @@ def q_metrics_csv(spark, sf_dir):
 
 
 def _work_list_sql() -> str:
-    eng = CAT.ENGLISH_ROW
-    return "WITH " + OC.catalogue_ctes() + f""",
-top AS (SELECT * FROM valid ORDER BY size_gb DESC, catalog_pos LIMIT {TOP_N}),
-blocks AS (
-  SELECT 0 AS block, 0 AS pos, {O.q(eng[0])} AS iso_code, {O.q(eng[1])} AS script, {O.q(eng[2])} AS name, {O.q(eng[3])} AS source, NULL::VARCHAR AS data_dir
-  UNION ALL SELECT 1, catalog_pos, iso_code, script, name, 'fineweb2', NULL FROM top
-  UNION ALL SELECT 2, catalog_pos, language, 'code', name, 'starcoder', language FROM {OC.code_catalogue_sql()}
-),
-numbered AS (
-  SELECT *, CAST(row_number() OVER (ORDER BY block, pos) - 1 AS INTEGER) AS position,
-         CASE WHEN source = 'starcoder' THEN iso_code || '-code' ELSE iso_code || '-' || script END AS lang_key
-  FROM blocks
-)
-SELECT position, lang_key, iso_code, script, name, source, data_dir,
-       row_number() OVER (PARTITION BY lang_key ORDER BY position) > 1 AS duplicate_key
-FROM numbered"""
+    return "WITH " + OC.catalogue_ctes() + ",\n" + "work AS (" + OC.work_list_sql(TOP_N) + ")\nSELECT * FROM work"
 
 
 @register("work_list", _work_list_sql)
@@ -215,6 +201,110 @@ def q_quarantine(spark, sf_dir):
     return CO.quarantine(first)
 
 
+# --- source registry (S4), code catalogue from CSV (S2), refused texts (D2) ---------------------
+
+#: How the registered query lays out the documents of each language: kind of source, and the kind itself.
+LAYOUT = {
+    "en": ("lines_json", REG.SourceKind("json", "content", "{iso_code}_{script}")),
+    "de": ("table_csv", REG.SourceKind("csv", "text", "{data_dir}", {"multiLine": "true", "escape": '"'})),
+    "fr": ("lines_text", REG.SourceKind("text", "value", "{iso_code}")),
+    "es": ("fineweb2", REG.DEFAULT_KINDS["fineweb2"]),
+}
+
+
+def _laid_out(spark: SparkSession, sf_dir: str, root: str, registry: REG.Registry) -> DataFrame:
+    """Writes the documents of each language the way its kind of source holds them; returns the work list.
+
+    A stand-in for a corpus of mixed sources: it only writes the rows, with a further column beside the text.
+    """
+    docs = T.read_table(spark, sf_dir, "documents").where(T.non_empty(F.col("text"))).select("lang", "text", "source")
+    names = {code: (iso, script) for code, iso, script, *_ in T.LANGUAGE_CODES}
+    work = []
+    for code, (kind, k) in LAYOUT.items():
+        iso, script = names[code]
+        language = {"lang_key": f"{iso}-{script}", "iso_code": iso, "script": script, "source": kind, "data_dir": f"{iso} data" if kind == "table_csv" else None}
+        rows = docs.where(F.col("lang") == code).select(F.col("text").alias(k.column), "source")
+        writer = (rows.select(k.column) if k.fmt == "text" else rows).write.format(k.fmt)
+        writer.options(**({"header": True, "escape": '"'} if k.fmt == "csv" else {})).save(registry.folder(root, language))
+        work.append(language)
+    work.append({"lang_key": "kor-Hang", "iso_code": "kor", "script": "Hang", "source": "fineweb2", "data_dir": None})
+    work.append({"lang_key": "xxx-Latn", "iso_code": "xxx", "script": "Latn", "source": "no such kind", "data_dir": None})
+    return spark.createDataFrame([tuple(w.values()) for w in work], "lang_key string, iso_code string, script string, source string, data_dir string")
+
+
+def _source_kinds_sql() -> str:
+    code_of = {code: f"{iso}-{script}" for code, iso, script, *_ in T.LANGUAGE_CODES}
+    parts = []
+    for code, (_, k) in LAYOUT.items():
+        rows = f"SELECT text FROM documents WHERE lang = {O.q(code)} AND text IS NOT NULL AND text <> ''"
+        if k.fmt == "text":
+            rows = f"SELECT text FROM (SELECT unnest(regexp_split_to_array(text, '\r\n|\n|\r')) AS text FROM ({rows})) WHERE text <> ''"
+        parts.append(
+            f"SELECT {O.q(code_of[code])} AS lang_key, count(*) AS n_docs, CAST(coalesce(sum(strlen(text)), 0) AS BIGINT) AS n_bytes, "
+            f"CAST(coalesce(sum(CAST(('0x' || substr(md5(text), 1, 8)) AS BIGINT)), 0) AS BIGINT) AS text_sum, NULL AS problem FROM ({rows}) HAVING count(*) > 0"
+        )
+    return " UNION ALL ".join([*parts, "SELECT 'xxx-Latn', 0, 0, 0, 'unknown source: no such kind'"])
+
+
+@register("source_kinds", _source_kinds_sql)
+def q_source_kinds(spark, sf_dir):
+    """The documents laid out as JSON, CSV, text and Parquet sources by language, read back through the registry; a
+    missing folder gives no rows, an unknown kind of source a problem."""
+    registry = REG.Registry()
+    for name, kind in LAYOUT.values():
+        registry.register(name, kind)
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/corpus-{uuid.uuid4().hex}"
+    work = _laid_out(spark, sf_dir, root, registry)
+    rows = registry.scan_all(spark, root, work)
+    part = F.conv(F.substring(F.md5("text"), 1, 8), 16, 10).cast("long")
+    return rows.groupBy("lang_key").agg(
+        F.count("text").alias("n_docs"),
+        F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).cast("long").alias("n_bytes"),
+        F.coalesce(F.sum(part), F.lit(0)).alias("text_sum"),
+        F.min("problem").alias("problem"),
+    )
+
+
+CODE_N = 10
+
+
+@register(
+    "code_catalogue",
+    lambda: f"""SELECT CAST(pos AS INTEGER) AS catalog_pos, s AS iso_code, 'code' AS script,
+  array_to_string(list_transform(regexp_extract_all(s, '[\\p{{Lu}}\\p{{Ll}}\\p{{Lt}}]+|[^\\p{{Lu}}\\p{{Ll}}\\p{{Lt}}]+'),
+       lambda r: CASE WHEN regexp_matches(r, '^[\\p{{Lu}}\\p{{Ll}}\\p{{Lt}}]') THEN upper(r[1]) || lower(r[2:]) ELSE r END), '') || ' (code)' AS name,
+  'starcoder' AS source, s AS data_dir
+FROM (SELECT s, row_number() OVER (ORDER BY n DESC, s) - 1 AS pos FROM (SELECT source AS s, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY source))
+WHERE pos < {CODE_N}""",
+)
+def q_code_catalogue(spark, sf_dir):
+    """A code catalogue read from CSV (the documents' origins, the most frequent first): its first rows in file order."""
+    origins = T.read_table(spark, sf_dir, "documents").where("source IS NOT NULL").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/code-{uuid.uuid4().hex}"
+    rows = origins.coalesce(1).sortWithinPartitions(F.col("n").desc(), "source")  # one row an origin
+    CAT.write_csv(rows.select(F.col("source").alias("Language")), path)
+    return CAT.code_languages(spark, CODE_N, CAT.read_code_catalogue(spark, path))
+
+
+@register(
+    "text_violations",
+    lambda: " UNION ALL ".join(
+        f"SELECT '{table}' AS origin, CASE WHEN {col} IS NULL THEN 'text is None' ELSE 'text is empty' END AS reason, count(*) AS n FROM {table} WHERE {col} IS NULL OR {col} = '' GROUP BY ALL"
+        for table, col in (("documents", "text"), ("conversations", "text"), ("pages", "html"), ("benchmark", "text"))
+    ),
+)
+def q_text_violations(spark, sf_dir):
+    """Rows of the text tables that the library wrapper refuses, by reason."""
+    from ..operators import metrics as M
+
+    tables = (("documents", "text"), ("conversations", "text"), ("pages", "html"), ("benchmark", "text"))
+    parts = [T.read_table(spark, sf_dir, t).select(F.lit(t).alias("origin"), F.col(c).alias("text")) for t, c in tables]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return M.text_violations(every, ["origin"])
+
+
 # --- pytest-planned scalar keys, run over the whole documents table --------------------------
 
 SLICE_START, SLICE_END = 7, 107

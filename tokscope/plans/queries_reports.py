@@ -5,12 +5,14 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import corpus as CO
 from ..operators import metrics as M
 from ..operators import report as R
 from ..operators import results as RS
+from ..operators import run as RUN
 from ..operators import tokens as TK
 from ..session import ensure_checkpoint_dir
 from ..sources import catalog as CAT
@@ -28,9 +30,13 @@ SELECTED_TOKENIZERS = ["bytes", "words"]
 SELECTED_LANGUAGES = ["English", "French", "Html (code)"]
 PREFERRED_TOKENIZERS = ["words", "gpt2"]
 PIVOT_LANGS = ["eng-Latn", "fra-Latn", "deu-Latn", "spa-Latn", "html-code", "kor-Hang"]
-PIVOT_TOKENIZERS = ["words", "chars", "bytes"]
+PIVOT_TOKENIZERS = ["words", "gpt2", "chars", "bytes"]  # one of them has no results
 BASELINE = "bytes"
 STREAM_BUDGET_BYTES = 60_000
+STREAM_FILES = 4
+RUN_BYTES = 100_000
+RUN_EXTRA = 1000  # position of the first work-list row beyond the catalogues
+RUN_MISSING = ("kor", "Hang", "Korean", "fineweb2")  # a listed language without text
 FIRST_COLUMNS = ["tokens_with_latin_unicode_pct", "tokens_starting_with_space_pct", "tokens_without_leading_space_pct"]
 # ---------------------------------------------------------------------------
 
@@ -103,15 +109,14 @@ def q_result_roundtrip(spark, sf_dir):
     _rows_sql(
         "SELECT DISTINCT tokenizer_key, tokenizer_name, vocab_size, timestamp, strftime(to_timestamp(timestamp) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS datetime, "
         + O.rnd("tokens_without_leading_space_pct")
-        + " AS tokens_without_leading_space_pct, tokens_without_leading_space_count, analyzed_sample_size, "
+        + " AS tokens_without_leading_space_pct, tokens_without_leading_space_count, analyzed_sample_size, sample_non_space_tokens, sample_space_tokens, "
         + ", ".join(O.rnd(c) + f" AS {c}" for c in RS.REPORT_GLOBAL_COLUMNS)
         + " FROM rows"
     ),
 )
 def q_tokenizer_summary(spark, sf_dir):
-    """One row per tokenizer with vocabulary and global metrics."""
-    s = RS.tokenizer_summary(result_documents(spark, sf_dir)).drop("sample_non_space_tokens", "sample_space_tokens")
-    return C.rounded(s)
+    """One row per tokenizer with vocabulary metrics and examples, and global metrics."""
+    return C.rounded(RS.tokenizer_summary(result_documents(spark, sf_dir)))
 
 
 @register("language_rank", _rows_sql("SELECT language, language_rank FROM ranks"))
@@ -212,7 +217,9 @@ def q_default_languages(spark, sf_dir):
 
 def _pivot_sql() -> str:
     cols = ", ".join(
-        O.rnd(f"avg(bytes_per_token) FILTER (WHERE tokenizer_name = {O.q(t)})") + f" AS {t}" for t in PIVOT_TOKENIZERS
+        O.rnd(f"avg(bytes_per_token) FILTER (WHERE tokenizer_name = {O.q(t)})") + f" AS {t}"
+        for t in PIVOT_TOKENIZERS
+        if t in {k.name for k in C.tokenizers()}
     )
     order = " ".join(f"WHEN {O.q(k)} THEN {i}" for i, k in enumerate(PIVOT_LANGS))
     return (
@@ -241,11 +248,24 @@ def q_efficiency_vs_vocab(spark, sf_dir):
     return C.rounded(R.efficiency_vs_vocab(report_rows(spark, sf_dir)))
 
 
+@register(
+    "efficiency_natural",
+    _rows_sql(
+        "SELECT tokenizer_key, min(tokenizer_name) AS tokenizer_name, min(vocab_size) AS vocab_size, "
+        + O.rnd("avg(bytes_per_token)")
+        + " AS avg_efficiency, count(*) AS languages_count FROM rows WHERE source <> 'starcoder' GROUP BY tokenizer_key HAVING min(vocab_size) IS NOT NULL"
+    ),
+)
+def q_efficiency_natural(spark, sf_dir):
+    """A14 over natural languages only."""
+    return C.rounded(R.efficiency_vs_vocab(report_rows(spark, sf_dir), natural_only=True))
+
+
 @register(
     "first_per_tokenizer",
     _rows_sql(
         "SELECT tokenizer_name, "
-        + ", ".join(O.rnd(f"arg_min({c}, [language_rank::VARCHAR, lang_key]) FILTER (WHERE {c} IS NOT NULL)") + f" AS {c}" for c in FIRST_COLUMNS)
+        + ", ".join(O.rnd(f"arg_min({c}, [coalesce(printf('%09d', language_rank), ''), lang_key]) FILTER (WHERE {c} IS NOT NULL)") + f" AS {c}" for c in FIRST_COLUMNS)
         + " FROM rows GROUP BY tokenizer_name"
     ),
 )
@@ -330,6 +350,96 @@ def q_nonnull_columns(spark, sf_dir):
     return R.nonnull_columns(report_rows(spark, sf_dir), NONNULL)
 
 
+# --- the budgeted run: every row of a work list ends in the results or in the table of languages -------
+
+
+def _run_work(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """English, all natural and code languages of the catalogues, one listed language without text, and the languages of the
+    conversations (whose code is unknown).  The catalogue has English too: its key comes twice."""
+    work = CAT.work_list(spark, CAT.natural_catalogue(spark, sf_dir)).drop("duplicate_key")
+    n = F.lit(RUN_EXTRA)
+    missing = spark.createDataFrame([RUN_MISSING], "iso_code string, script string, name string, source string")
+    missing = missing.select(n.alias("position"), T.lang_key(F.col("iso_code"), F.col("script"), F.col("source")).alias("lang_key"), "*", F.lit(None).cast("string").alias("data_dir"))
+    talk = T.conversations(spark, sf_dir).select("lang_key", "iso_code", "script", F.col("language").alias("name"), "source").distinct()
+    talk = talk.withColumns({"position": n + F.dense_rank().over(Window.orderBy("lang_key")), "data_dir": F.lit(None).cast("string")})  # a few rows
+    return work.unionByName(missing).unionByName(talk)
+
+
+def _run(spark: SparkSession, sf_dir: str) -> RUN.Run:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _RUNS:
+        texts = all_sources(spark, sf_dir).select("lang_key", "doc_id", "text")
+        _RUNS[key] = RUN.benchmark_run(_run_work(spark, sf_dir), texts, C.vocab(spark, sf_dir), RUN_BYTES, TIMESTAMP, draw="modulo")
+    return _RUNS[key]
+
+
+_RUNS: dict[tuple[str, str], RUN.Run] = {}
+
+
+def _run_languages_cte() -> str:
+    work = OC.work_list_sql(99)
+    iso, script, name, source = RUN_MISSING
+    return f"""raw_work AS ({work}),
+work AS (
+  SELECT position, lang_key, iso_code, script, name, source, data_dir FROM raw_work
+  UNION ALL SELECT {RUN_EXTRA}, {O.q(f'{iso}-{script}')}, {O.q(iso)}, {O.q(script)}, {O.q(name)}, {O.q(source)}, NULL
+  UNION ALL SELECT {RUN_EXTRA} + row_number() OVER (ORDER BY role), 'und-{T.UNKNOWN_SCRIPT}/' || role, 'und', '{T.UNKNOWN_SCRIPT}', 'Conversation (' || role || ')', 'conversations', NULL
+  FROM (SELECT DISTINCT role FROM conversations WHERE text IS NOT NULL AND text <> '')
+),
+tagged AS (
+  SELECT w.*, coalesce(n.n_docs, 0) AS n_docs,
+    CASE WHEN w.script = '{T.UNKNOWN_SCRIPT}' THEN '{RUN.UNKNOWN}'
+         WHEN row_number() OVER (PARTITION BY w.lang_key ORDER BY w.position) > 1 THEN '{RUN.DUPLICATE}'
+         WHEN n.n_docs IS NULL THEN '{RUN.NO_TEXT}' END AS reason
+  FROM work w LEFT JOIN (SELECT lang_key, count(*) AS n_docs FROM all_docs GROUP BY lang_key) n USING (lang_key)
+)"""
+
+
+def _run_docs_cte() -> str:
+    """``docs`` of the run: the exact cut of each good language, the fallback text of the one without."""
+    raw = O.documents_cte(with_code=True).replace("docs AS (", "all_docs AS (", 1)
+    cut = OC.corpus_sample_sql(RUN_BYTES).split(O.documents_cte() + ",\n", 1)[1].rsplit("\nSELECT lang_key, CAST(doc_seq", 1)[0]
+    phrase = CO.FALLBACK_PHRASE.replace("{name}", "' || w.name || '")
+    fallback = f"left(repeat('{phrase}', {RUN_BYTES // 20}), {RUN_BYTES})"
+    return f"""{raw},
+{OC.catalogue_ctes()},
+{_run_languages_cte()},
+{cut.replace("FROM docs", "FROM all_docs", 1)},
+docs AS (
+  SELECT w.lang_key, w.iso_code, w.script, w.name AS language, w.source, c.doc_seq AS doc_id, CASE WHEN c.doc_seq > 0 THEN substr(c.out, 2) ELSE c.out END AS text
+  FROM cut c JOIN tagged w ON w.lang_key = c.lang_key AND w.reason IS NULL
+  UNION ALL
+  SELECT w.lang_key, w.iso_code, w.script, w.name, w.source, 0, {fallback} FROM tagged w WHERE w.reason = '{RUN.NO_TEXT}'
+)"""
+
+
+RUN_COLUMNS = [*FLAT, "sample_byte_offset", "sample_text_bytes", "sample_text_md5", "sample_token_count", "sample_tokens_preview"]
+
+
+def _run_sql() -> str:
+    cte = OR.rows_with(C.tokenizers(), _run_docs_cte(), RUN_BYTES / RUN.MB, samples=True)
+    return cte + "\n" + OR.flat_select(RUN_COLUMNS)
+
+
+@register("budgeted_run", _run_sql)
+def q_budgeted_run(spark, sf_dir):
+    """The run of :mod:`..operators.run` under a byte budget, flattened: metrics of the exact cut (and of one fallback text),
+    samples, the real benchmark size."""
+    flat = RS.flatten(_run(spark, sf_dir).documents).withColumn("sample_text_md5", F.md5("sample_text"))
+    return C.rounded(flat.select(*RUN_COLUMNS))
+
+
+@register(
+    "run_languages",
+    lambda: "WITH " + O.documents_cte(with_code=True).replace("docs AS (", "all_docs AS (", 1) + ",\n" + OC.catalogue_ctes() + ",\n" + _run_languages_cte()
+    + f"\nSELECT CAST(position AS INTEGER) AS position, lang_key, name, source, n_docs, "
+    f"CASE WHEN reason IS NULL THEN '{RUN.OK}' WHEN reason = '{RUN.NO_TEXT}' THEN '{RUN.FALLBACK}' ELSE '{RUN.ERROR}' END AS status, reason FROM tagged",
+)
+def q_run_languages(spark, sf_dir):
+    """P13/U1/S5 of the run: what every row of the work list ended as, and why."""
+    return _run(spark, sf_dir).languages.select(F.col("position").cast("int"), "lang_key", "name", "source", "n_docs", "status", "reason")
+
+
 # --- sample preview (F13, F15, F16, D5) and streaming (X2) ---------------------------------
 
 
@@ -375,34 +485,77 @@ scr AS (SELECT tokenizer, script, count(*) AS n FROM (SELECT tokenizer, unnest(s
     )
 
 
+def _arriving(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """(folder, name): the documents as STREAM_FILES files that arrive in ``doc_id`` order, and a name for the stream's tables.
+
+    A stand-in for a folder that new files come into: it only copies the rows and dates the files one after another.
+    """
+    base, name = ensure_checkpoint_dir(spark), f"stream_{uuid.uuid4().hex[:12]}"
+    folder = f"{base}/{name}-in"
+    docs = T.read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    docs.repartitionByRange(STREAM_FILES, "doc_id").sortWithinPartitions("doc_id").write.parquet(folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = sorted((f.getPath() for f in fs.listStatus(path) if f.getPath().getName().startswith("part-")), key=lambda f: f.getName())
+    for i, f in enumerate(files):
+        fs.setTimes(f, 1_700_000_000_000 + 1000 * i, -1)
+    return folder, name
+
+
+ARRIVING = "doc_id bigint, text string, lang string, source string"
+
+
 @register("stream_global_metrics", _stream_sql)
 def q_stream_global_metrics(spark, sf_dir):
-    """Global token metrics of all documents, computed incrementally by a streaming query."""
+    """Global token metrics of all documents, added up in the state of a streaming query over several micro-batches."""
     from ..streaming import stream as ST
 
     base = ensure_checkpoint_dir(spark)
-    name = f"global_metrics_{uuid.uuid4().hex[:12]}"
-    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
-    state = os.path.join(base, name + "-state")
-    folder, glob = ST.table_folder(spark, f"{sf_dir}/documents.parquet")
-    q = ST.start_global_metrics_stream(spark, folder, schema, C.vocab(spark, sf_dir), os.path.join(base, name), name, state, glob=glob)
-    q.awaitTermination()
+    folder, name = _arriving(spark, sf_dir)
+    state = f"{base}/{name}-state"
+    ST.start_global_metrics_stream(spark, folder, ARRIVING, C.vocab(spark, sf_dir), f"{base}/{name}", name, state).awaitTermination()
     return C.rounded(ST.counters_to_long(ST.read_counters(spark, state)))
 
 
+def _unique_stream_sql() -> str:
+    toks = C.tokenizers()
+    return (
+        "WITH " + O.vocab_ctes(toks) + ",\n" + O.documents_cte() + ",\n" + O.encode_ctes("st", "docs", ["lang_key", "doc_id"], "text", toks)
+        + f"""
+SELECT tokenizer, lang_key, CAST({STREAM_FILES} AS BIGINT) AS n_batches, count(*) AS text_tokens, count(DISTINCT token_id) AS exact_tokens, true AS within_bound
+FROM st_stream GROUP BY ALL"""
+    )
+
+
+@register("stream_unique_tokens", _unique_stream_sql)
+def q_stream_unique_tokens(spark, sf_dir):
+    """A3 on a stream: distinct ids per (tokenizer, language) from the sketches of several micro-batches, beside the exact
+    count, and whether the estimate lies within three standard errors of it."""
+    from ..streaming import stream as ST
+
+    base = ensure_checkpoint_dir(spark)
+    folder, name = _arriving(spark, sf_dir)
+    v, state = C.vocab(spark, sf_dir), f"{base}/{name}-state"
+    ST.start_unique_tokens_stream(spark, folder, ARRIVING, v, f"{base}/{name}", state).awaitTermination()
+    docs = T.documents(spark, sf_dir)
+    exact = M.token_totals(docs, v).select("tokenizer", "lang_key", F.col("distinct_ids").alias("exact_tokens"))
+    near = F.abs(F.col("unique_tokens") - F.col("exact_tokens")) <= 3 * ST.SKETCH_ERROR * F.col("exact_tokens")
+    both = ST.read_unique_tokens(spark, state).join(exact, ["tokenizer", "lang_key"])
+    return both.select("tokenizer", "lang_key", "n_batches", "text_tokens", "exact_tokens", near.alias("within_bound"))
+
+
 @register("stream_budget", lambda: OC.byte_budget_sql(STREAM_BUDGET_BYTES))
 def q_stream_budget(spark, sf_dir):
-    """The byte-budgeted documents, taken by a streaming query that carries its totals between micro-batches.
-
-    Equal to W1 where the files arrive in ``doc_id`` order.
-    """
+    """The byte-budgeted documents, taken by a streaming query over files that arrive in ``doc_id`` order; it carries its
+    totals between micro-batches and stops as soon as all languages have reached the budget."""
     from ..streaming import stream as ST
 
     base = ensure_checkpoint_dir(spark)
-    name = f"budget_{uuid.uuid4().hex[:12]}"
-    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    folder, name = _arriving(spark, sf_dir)
     state = f"{base}/{name}-state"
-    folder, glob = ST.table_folder(spark, f"{sf_dir}/documents.parquet")
-    ST.start_budget_stream(spark, folder, schema, STREAM_BUDGET_BYTES, f"{base}/{name}", state, glob=glob, with_text=True).awaitTermination()
+    languages = [r["lang_key"] for r in T.documents(spark, sf_dir).select("lang_key").distinct().collect()]  # the work list
+    budget = ST.Budget(languages, STREAM_BUDGET_BYTES)
+    query = ST.start_budget_stream(spark, folder, ARRIVING, STREAM_BUDGET_BYTES, f"{base}/{name}", state, with_text=True, budget=budget)
+    ST.run_until_budget(query, budget)
     rows = spark.read.schema("lang_key string, doc_id long, text string, n_bytes long, bytes_before long").option("recursiveFileLookup", True).parquet(state)
     return rows.select("lang_key", "doc_id", "n_bytes", "bytes_before")

@@ -100,9 +100,15 @@ def code_catalogue(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, name) for i, (name, _) in enumerate(CODE_LANGUAGES)], "catalog_pos int, language string")
 
 
-def code_languages(spark: SparkSession, n: int = 20) -> DataFrame:
-    """First ``n`` code languages as language info rows."""
-    cat = code_catalogue(spark).where(F.col("catalog_pos") < n)
+def read_code_catalogue(spark: SparkSession, path: str) -> DataFrame:
+    """S2 source from a CSV with a ``Language`` column: ``(catalog_pos, language)`` in file order."""
+    rows = read_catalogue_csv(spark, path, "Language string")
+    return rows.select("catalog_pos", F.col("Language").alias("language"))
+
+
+def code_languages(spark: SparkSession, n: int = 20, catalogue: DataFrame | None = None) -> DataFrame:
+    """First ``n`` code languages of a catalogue (the shipped one if none is given) as language info rows."""
+    cat = (code_catalogue(spark) if catalogue is None else catalogue).where(F.col("catalog_pos") < n)
     lang = F.trim(F.col("language"))
     return cat.select(
         "catalog_pos",

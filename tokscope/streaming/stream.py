@@ -1,46 +1,100 @@
-"""Structured Streaming: incremental global token metrics (X2) and streamed ingest.
+"""Structured Streaming: incremental global token metrics (X2), distinct ids (A3) and streamed ingest.
 
 New text files are read with ``readStream`` (``maxFilesPerTrigger`` bounds each micro-batch).
-Each micro-batch is a plain DataFrame inside ``foreachBatch``: it is encoded with the fold
-(piece counts, distinct pieces encoded once), weighted by the annotated vocabulary (a
-static, bounded table) and written as that batch's partial counters under
-``<state>/batch_id=<n>`` with overwrite, so a replayed batch replaces itself (idempotent).
-The result is the sum over all batch files: counters are order-insensitive, so any grouping
-of the files gives the batch result.
+
+* X2 is a streaming aggregation: pieces are cut, encoded and annotated by stream-static joins with bounded
+  tables, and ``groupBy(tokenizer)`` keeps the counters in the state store.  In complete mode each
+  micro-batch hands over the totals so far, which replace the earlier ones.  A restart goes on from the checkpoint.
+* A3 keeps a distinct-count sketch of the ids of every (tokenizer, language) per micro-batch; sketches merge, so
+  any grouping of the files gives the same estimate.  Its relative standard error is SKETCH_ERROR.
+* X1 carries the bytes kept before a micro-batch into its running sums, and reads off the micro-batch's own write
+  (``observe``) when every language has reached the budget.
+
+What a micro-batch writes goes to ``<state>/batch_id=<n>`` with overwrite, so a replayed batch replaces itself.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import threading
+from dataclasses import replace
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import unicode_classes as uc
-from ..operators.encode import token_counts, token_stream
+from ..operators.encode import encode_pieces, pieces, token_counts, token_stream
 from ..operators.prefix import exclusive_prefix_sums
 from ..operators.tokens import annotated_vocab
 from ..operators.tokenizers import Vocab
 from ..sources.text import dealt, documents_from, non_empty
 
+#: log2 of the registers of a distinct-count sketch, and the relative standard error that gives (1.04 / sqrt(registers)).
+SKETCH_BITS = 14
+SKETCH_ERROR = 1.04 / 2 ** (SKETCH_BITS / 2)
+
 COUNT_COLUMNS = ("total", "space", "inner", "overlap", *[f"script_{label}" for label in uc.SCRIPT_LABELS])
 
 
+def contributions(tokens: DataFrame, vocab: Vocab) -> DataFrame:
+    """``(tokenizer, COUNT_COLUMNS...)``: what each annotated token (or ``(tokenizer, token_id, n)`` count) adds to the counters."""
+    ann = F.broadcast(annotated_vocab(vocab).where(F.col("token_text").isNotNull()))
+    a = tokens.join(ann, ["tokenizer", "token_id"])
+    one = F.col("n").cast("long") if "n" in tokens.columns else F.lit(1).cast("long")
+    zero = F.lit(0).cast("long")
+    return a.select(
+        "tokenizer",
+        one.alias("total"),
+        F.when(F.col("starts_with_space"), one).otherwise(zero).alias("space"),
+        F.when(F.col("has_whitespace_in_middle"), one).otherwise(zero).alias("inner"),
+        F.when(F.col("script_overlap"), one).otherwise(zero).alias("overlap"),
+        *[F.when(F.array_contains("scripts", label), one).otherwise(zero).alias(f"script_{label}") for label in uc.SCRIPT_LABELS],
+    )
+
+
+def character_contributions(docs: DataFrame, vocab: Vocab) -> DataFrame:
+    """The same for character-level tokenizers, one row per text and tokenizer: characters are counted by class, not exploded.
+
+    A token that decodes is a known character, or an ASCII character by its byte; it has one character, so no white space
+    within and one script at most.
+    """
+    sets = vocab.char_sets()
+    text = F.col("text")
+
+    def count(points: set[int]):
+        if not points:
+            return F.lit(0).cast("long")
+        cls = "[" + uc.ranges_to_class_body(uc._ranges(sorted(points))) + "]"
+        return (F.char_length(text) - F.char_length(F.regexp_replace(text, cls, ""))).cast("long")
+
+    rows = []
+    for t in vocab.tokenizers:
+        if t.char_level:
+            decodable = set(range(128)) | set(sets.get(t.name, ()))
+            zero = F.lit(0).cast("long")
+            rows.append(
+                F.struct(
+                    F.lit(t.name).alias("tokenizer"),
+                    count(decodable).alias("total"),
+                    count({p for p in decodable if chr(p).isspace()}).alias("space"),
+                    zero.alias("inner"),
+                    zero.alias("overlap"),
+                    *[count({p for p in decodable if label in uc.py_scripts(chr(p))}).alias(f"script_{label}") for label in uc.SCRIPT_LABELS],
+                )
+            )
+    return docs.select(F.inline(F.array(*rows)))
+
+
+def summed(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("tokenizer").agg(*[F.sum(c).alias(c) for c in COUNT_COLUMNS])
+
+
 def counters(tokens: DataFrame, vocab: Vocab) -> DataFrame:
     """``(tokenizer, total, space, inner, overlap, script_<label>...)`` over annotated tokens.
 
     ``tokens`` holds one row per token, or ``(tokenizer, token_id, n)`` counts.
     """
-    ann = F.broadcast(annotated_vocab(vocab).where(F.col("token_text").isNotNull()))
-    a = tokens.join(ann, ["tokenizer", "token_id"])
-    one = F.col("n").cast("long") if "n" in tokens.columns else F.lit(1).cast("long")
-    aggs = [
-        F.sum(one).alias("total"),
-        F.sum(F.when(F.col("starts_with_space"), one).otherwise(0)).alias("space"),
-        F.sum(F.when(F.col("has_whitespace_in_middle"), one).otherwise(0)).alias("inner"),
-        F.sum(F.when(F.col("script_overlap"), one).otherwise(0)).alias("overlap"),
-        *[F.sum(F.when(F.array_contains("scripts", label), one).otherwise(0)).alias(f"script_{label}") for label in uc.SCRIPT_LABELS],
-    ]
-    return a.groupBy("tokenizer").agg(*aggs)
+    return summed(contributions(tokens, vocab))
 
 
 def counters_to_long(c: DataFrame) -> DataFrame:
@@ -75,10 +129,13 @@ def document_token_counts(docs: DataFrame, vocab: Vocab) -> DataFrame:
     return token_counts(d, vocab, ["_all"]).drop("_all")
 
 
-def read_counters(spark: SparkSession, state: str) -> DataFrame:
-    """The running counters: the sum of every micro-batch's partial counters."""
-    parts = spark.read.parquet(state)
-    return parts.groupBy("tokenizer").agg(*[F.sum(c).alias(c) for c in COUNT_COLUMNS])
+def file_stream(spark: SparkSession, folder: str, schema: str, glob: str, max_files_per_trigger: int) -> DataFrame:
+    return (
+        spark.readStream.schema(schema)
+        .option("maxFilesPerTrigger", max_files_per_trigger)
+        .option("pathGlobFilter", glob)
+        .parquet(folder)
+    )
 
 
 def start_global_metrics_stream(
@@ -92,23 +149,25 @@ def start_global_metrics_stream(
     max_files_per_trigger: int = 1,
     glob: str = "*.parquet",
 ) -> StreamingQuery:
-    """Stream the parquet files of ``folder`` matching ``glob`` into per-batch counters under
-    ``state`` (``availableNow``: the query stops once the files present are read); read the
-    totals with :func:`read_counters`."""
-    src = (
-        spark.readStream.schema(schema)
-        .option("maxFilesPerTrigger", max_files_per_trigger)
-        .option("pathGlobFilter", glob)
-        .parquet(folder)
-    )
+    """Stream the parquet files of ``folder`` matching ``glob`` into counters (``availableNow``: the query stops
+    once the files present are read); read the totals with :func:`read_counters`.
 
-    def per_batch(batch: DataFrame, batch_id: int) -> None:
-        counts = document_token_counts(dealt(batch.select("doc_id", "text"), "doc_id"), vocab)
-        part = counters(counts, vocab)
-        part.write.mode("overwrite").parquet(f"{state}/batch_id={batch_id}")
+    The counters are the query's state: one row per tokenizer, added up in the state store.
+    """
+    src = file_stream(spark, folder, schema, glob, max_files_per_trigger)
+    docs = dealt(src.select("doc_id", "text"), "doc_id").where(non_empty(F.col("text")))
+    others = [t for t in vocab.tokenizers if not t.char_level]
+    parts = [contributions(piece_tokens(docs, replace(vocab, tokenizers=others)), vocab)] if others else []
+    if len(others) < len(vocab.tokenizers):
+        parts.append(character_contributions(docs, vocab))
+    totals = summed(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]))
+
+    def hand_over(so_far: DataFrame, batch_id: int) -> None:
+        so_far.coalesce(1).write.mode("overwrite").parquet(f"{state}/batch_id={batch_id}")
 
     return (
-        src.writeStream.foreachBatch(per_batch)
+        totals.writeStream.outputMode("complete")
+        .foreachBatch(hand_over)
         .queryName(query_name)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
@@ -116,6 +175,60 @@ def start_global_metrics_stream(
     )
 
 
+def piece_tokens(docs: DataFrame, vocab: Vocab) -> DataFrame:
+    """``(tokenizer, token_id)`` of every text encoded on its own, in no order: the rows of a stream."""
+    p = pieces(docs, vocab.tokenizers, []).select("tokenizer", "piece")
+    return encode_pieces(p, vocab, []).select("tokenizer", "token_id")
+
+
+def read_counters(spark: SparkSession, state: str) -> DataFrame:
+    """The running counters as of the last micro-batch that handed them over."""
+    parts = spark.read.parquet(state)
+    last = parts.select(F.max(F.struct("batch_id"))["batch_id"].alias("batch_id"))  # one row
+    return parts.join(F.broadcast(last), "batch_id", "left_semi").drop("batch_id")
+
+
+# --- A3 on streams: distinct ids by mergeable sketches ------------------------------------------
+
+
+def id_sketches(docs: DataFrame, vocab: Vocab) -> DataFrame:
+    """``(tokenizer, lang_key, sketch, n)``: the distinct ids of a table of texts as sketches, and how many tokens."""
+    counts = token_counts(docs.select("lang_key", "text").where(non_empty(F.col("text"))), vocab, ["lang_key"])
+    return counts.groupBy("tokenizer", "lang_key").agg(
+        F.hll_sketch_agg("token_id", SKETCH_BITS).alias("sketch"), F.sum("n").alias("n")
+    )
+
+
+def start_unique_tokens_stream(
+    spark: SparkSession,
+    folder: str,
+    schema: str,
+    vocab: Vocab,
+    checkpoint: str,
+    state: str,
+    max_files_per_trigger: int = 1,
+    glob: str = "*.parquet",
+) -> StreamingQuery:
+    """A3 on a stream: one sketch per (tokenizer, language) and micro-batch under ``state``; read with :func:`read_unique_tokens`."""
+    src = file_stream(spark, folder, schema, glob, max_files_per_trigger)
+
+    def per_batch(batch: DataFrame, batch_id: int) -> None:
+        docs = documents_from(dealt(batch.select("doc_id", "text", "lang", "source"), "doc_id"))
+        id_sketches(docs, vocab).write.mode("overwrite").parquet(f"{state}/batch_id={batch_id}")
+
+    return src.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_unique_tokens(spark: SparkSession, state: str) -> DataFrame:
+    """``(tokenizer, lang_key, n_batches, text_tokens, unique_tokens)``: the merged sketches' estimates."""
+    parts = spark.read.parquet(state)
+    return parts.groupBy("tokenizer", "lang_key").agg(
+        F.count(F.lit(1)).alias("n_batches"),
+        F.sum("n").alias("text_tokens"),
+        F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("unique_tokens"),
+    )
+
+
 # --- X1: streamed ingest under a byte budget, stopping early -----------------------------------
 
 
@@ -129,21 +242,16 @@ def start_budget_stream(
     glob: str = "*.parquet",
     max_files_per_trigger: int = 1,
     with_text: bool = False,
+    budget: Budget | None = None,
 ) -> StreamingQuery:
     """Keep documents of each language while the bytes kept before them stay below the budget.
 
     Each micro-batch continues the running total from the bytes already kept (read from
     ``state``); rows are written under ``<state>/batch_id=<n>`` (overwrite: replay-safe).  With
     files arriving in ``doc_id`` order this equals the batch budget (W1).  ``with_text`` writes the
-    documents' texts too.
+    documents' texts too.  ``budget``: told when its languages have reached the budget (:func:`run_until_budget`).
     """
-    src = (
-        spark.readStream.schema(schema)
-        .option("maxFilesPerTrigger", max_files_per_trigger)
-        .option("pathGlobFilter", glob)
-        .parquet(folder)
-    )
-
+    src = file_stream(spark, folder, schema, glob, max_files_per_trigger)
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         docs = documents_from(batch.select("doc_id", "text", "lang", "source"))
         slim = docs.select("lang_key", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"))
@@ -154,15 +262,51 @@ def start_budget_stream(
         )
         kept = rows.where(F.col("bytes_before") < F.lit(target_bytes)).select("lang_key", "doc_id", "n_bytes", "bytes_before")
         if with_text:
-            kept = docs.select("lang_key", "doc_id", "text").join(F.broadcast(kept), ["lang_key", "doc_id"])  # at most the budget's rows
+            kept = docs.select("lang_key", "doc_id", "text").join(kept, ["lang_key", "doc_id"])
+        seen = Observation() if budget is not None else None
+        if seen is not None:  # measured by the write itself, once a row
+            kept = kept.observe(seen, *budget.measures())
         kept.write.mode("overwrite").parquet(f"{state}/batch_id={batch_id}")
+        if seen is not None:
+            budget.add(batch_id, seen.get)
 
-    return (
-        src.writeStream.foreachBatch(per_batch)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    if budget is not None:
+        budget.resume(spark, state)
+    return src.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+class Budget:
+    """Early stop of X1: adds up the bytes by language that each micro-batch keeps, as its write observes them, and says
+    when every one of ``languages`` has reached ``target_bytes``.
+
+    A micro-batch that is replayed after a restart replaces its own figures.  What earlier runs kept is read once, when the
+    query starts.
+    """
+
+    def __init__(self, languages, target_bytes: int):
+        self.languages, self.target = list(languages), target_bytes
+        self.seen: dict[int, list[int]] = {}
+        self.reached = threading.Event()
+
+    def measures(self) -> list:
+        return [F.sum(F.when(F.col("lang_key") == k, F.col("n_bytes"))).alias(f"b{i}") for i, k in enumerate(self.languages)]
+
+    def resume(self, spark: SparkSession, state: str) -> None:
+        if folder_exists(spark, state):
+            rows = spark.read.schema(KEPT).option("recursiveFileLookup", "true").parquet(state)
+            batch = F.regexp_extract(F.col("_metadata.file_path"), r"/batch_id=(\d+)/", 1).cast("long").alias("batch")
+            for r in rows.groupBy(batch, "lang_key").agg(F.sum("n_bytes").alias("n")).collect():  # one row a batch and language
+                if r["lang_key"] in self.languages:
+                    self.seen.setdefault(r["batch"], [0] * len(self.languages))[self.languages.index(r["lang_key"])] = r["n"]
+        self._judge()
+
+    def add(self, batch_id: int, measured: dict) -> None:
+        self.seen[batch_id] = [measured.get(f"b{i}") or 0 for i in range(len(self.languages))]
+        self._judge()
+
+    def _judge(self) -> None:
+        if all(sum(b[i] for b in self.seen.values()) >= self.target for i in range(len(self.languages))):
+            self.reached.set()
 
 
 def kept_totals(spark: SparkSession, state: str, exclude_batch: int | None = None) -> DataFrame:
@@ -193,15 +337,10 @@ def folder_exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
-def run_until_budget(query: StreamingQuery, spark: SparkSession, state: str, target_bytes: int, languages: int, poll: float = 0.5) -> None:
-    """Early stop: stop the stream once ``languages`` languages have reached the budget."""
-    while query.isActive:
-        query.awaitTermination(poll)
-        if not query.isActive:
-            break
-        if query.lastProgress is None:  # no micro-batch has ended yet
-            continue
-        # only folders of ended micro-batches: the running one is left out
-        done = kept_totals(spark, state, exclude_batch=query.lastProgress["batchId"] + 1).where(F.col("kept_bytes") >= target_bytes).count()
-        if done >= languages:
-            query.stop()
+def run_until_budget(query: StreamingQuery, budget: Budget, poll: float = 0.2) -> None:
+    """Early stop: stop the stream once ``budget``'s languages have reached it; returns when the query has ended."""
+    while query.isActive and not budget.reached.wait(poll):
+        pass
+    if query.isActive:
+        query.stop()
+    query.awaitTermination()
