@@ -36,11 +36,13 @@ def brute(rows, labels, items):
         words = decontamination.tokens(text)
         have = {tuple(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)}
         for item in items:
-            q, _ = decontamination.question_and_answer(item)
-            for part in (q, item):
+            q, a = decontamination.question_and_answer(item)
+            share = []
+            for part in (q, a, item):
                 grams = decontamination.ngrams(decontamination.tokens(part))
-                if grams and len(grams & have) >= 0.5 * len(grams):
-                    return True
+                share.append(len(grams & have) / len(grams) if grams else 0.0)
+            if max(share[0], share[2]) >= 0.5 or (share[1] >= 0.5 and share[0] >= 0.25):
+                return True
         return False
 
     rows = [d for d in rows if not leaks(d["text"])]

@@ -245,14 +245,14 @@ def _replies(least: int):
     return run
 
 
-#: Counts of a block for one part of the phrases: lines of phrases, and their counts.
-PART = "part int, lang string, k int, phrases binary, counts binary"
+#: A block's counts for one hash partition: lines of phrases (an empty one for the number of words), and their counts.
+PART = "part int, lang string, phrases binary, counts binary"
 COUNT = "lang string, phrase string, k int, n long"
 #: Rows of one batch of counts.
 OUT_ROWS = 50_000
 
 
-def _counts(bits: int, most: int, parts: int):
+def _counts(bits: int, most: int):
     """Rows of a block (its bits by hash partition first, then its text) -> its counts of the surviving n-grams, by words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,39 +268,35 @@ def _counts(bits: int, most: int, parts: int):
     def counted(lang: str, body: bytes, replies: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
         words = Words()
         codes = words.of(zstandard.ZstdDecompressor().decompress(body))
-        yield _batch([(0, lang, 0, _lines([b""]), packed(np.array([(codes != words.end).sum()], np.int64)))], PART)
+        out: dict[int, tuple[list[bytes], list[np.ndarray]]] = {0: ([b""], [np.array([(codes != words.end).sum()])])}
         keys = np.unique(_block_keys(words, codes, lang, bits, most))
         alive = []
         for bucket, a, b in _borders(keys, bits):
             if bucket in replies:
                 stays = np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(replies[bucket]), np.uint8), count=b - a)
                 alive.append(keys[a:b][stays.astype(bool)])
-        if not alive:
-            return
-        alive = np.concatenate(alive)
+        alive = np.concatenate([np.empty(0, np.uint64), *alive])
         said = words.codes.words
         for n, starts, hashes in words.grams(codes, lang, most):
+            if not len(alive):
+                break
             keys = _keys(hashes, bits)
             stays = alive[np.minimum(np.searchsorted(alive, keys), len(alive) - 1)] == keys
-            starts, hashes = starts[stays], hashes[stays]
+            starts, part = starts[stays], (keys[stays] >> np.uint64(32)).astype(np.int64)
             ids = codes[starts]
             for i in range(1, n):  # name the n-grams by their words: prefix's number, next word
                 ids = np.unique(ids, return_inverse=True)[1] * len(said) + codes[starts + i]
             _, at, found = np.unique(ids, return_index=True, return_counts=True)
-            part = (hashes[at] % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            borders = np.searchsorted(part[order], np.arange(parts + 1))
-            out = []
-            for p in np.flatnonzero(np.diff(borders)).tolist():
-                mine = order[borders[p] : borders[p + 1]]
-                columns = [codes[starts[at[mine]] + i].tolist() for i in range(n)]
-                phrases = [b" ".join([said[c] for c in x]) for x in zip(*columns, strict=True)]
-                out.append((p, lang, n, _lines(phrases), packed(found[mine].astype(np.int64))))
-                if len(out) == 256:
-                    yield _batch(out, PART)
-                    out = []
-            if out:
-                yield _batch(out, PART)
+            order = np.argsort(part[at], kind="stable")
+            mine, cut = part[at][order], np.flatnonzero(np.diff(part[at][order], prepend=-1))
+            for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(order)] if len(cut) else [], strict=True):
+                columns = [codes[starts[at[order[a:b]]] + i].tolist() for i in range(n)]
+                phrases, counts = out.setdefault(int(mine[a]), ([], []))
+                phrases += [b" ".join([said[c] for c in x]) for x in zip(*columns, strict=True)]
+                counts.append(found[order[a:b]])
+        rows = [(p, lang, _lines(phrases), packed(np.concatenate(counts).astype(np.int64))) for p, (phrases, counts) in out.items()]
+        for i in range(0, len(rows), 256):
+            yield _batch(rows[i : i + 256], PART)
 
     return run
 
@@ -317,17 +313,17 @@ def _added(least: int):
         now, sums = None, {}
 
         def rows() -> Iterator[pa.RecordBatch]:
-            for (lang, k), counts in sums.items():
-                kept = [(lang, p.decode("utf-8", "surrogatepass"), k, n) for p, n in counts.items() if k == 0 or n >= least]
+            for lang, counts in sums.items():
+                kept = [(lang, p.decode("utf-8", "surrogatepass"), p.count(b" ") + 1 if p else 0, n) for p, n in counts.items() if n >= least or not p]
                 for i in range(0, len(kept), OUT_ROWS):
                     yield _batch(kept[i : i + OUT_ROWS], COUNT)
 
         for b in batches:
-            for part, lang, k, phrases, counts in zip(*(b.column(c) for c in ("part", "lang", "k", "phrases", "counts")), strict=True):
+            for part, lang, phrases, counts in zip(*(b.column(c) for c in ("part", "lang", "phrases", "counts")), strict=True):
                 if part.as_py() != now:
                     yield from rows()
                     now, sums = part.as_py(), {}
-                have = sums.setdefault((lang.as_py(), k.as_py()), {})
+                have = sums.setdefault(lang.as_py(), {})
                 get = have.get
                 for p, n in zip(zstandard.ZstdDecompressor().decompress(phrases.as_py()).split(b"\n"), unpacked(counts.as_py(), np.int64).tolist(), strict=True):
                     have[p] = get(p, 0) + n
@@ -351,8 +347,7 @@ def frequent(docs: DataFrame, least: int = LEAST, max_words: int = MAX_WORDS, bl
     texts = blocks.select("block", "lang", "body", none.cast("int").alias("bucket"), none.cast("binary").alias("bits"))
     # a block's bits come first (they have no language), then its text
     meets = replies.unionByName(texts).repartition("block").sortWithinPartitions("block", F.col("lang").asc_nulls_first())
-    parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counts = map_arrow(meets, _counts(bits, max_words, parts), PART)
+    counts = map_arrow(meets, _counts(bits, max_words), PART)
     return map_arrow(counts.repartition("part").sortWithinPartitions("part"), _added(least), COUNT)
 
 
