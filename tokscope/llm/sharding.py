@@ -22,6 +22,8 @@ columns are ignored by ``reshard`` and kept by ``rewrite``.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
