@@ -175,16 +175,16 @@ def rewrite(docs: DataFrame, places: DataFrame, path: str, file_rows: int = FILE
     lost = places.where("moved").select(F.col("old_shard").alias("shard"))
     gained = places.where("moved").select("shard")
     affected = sorted(r["shard"] for r in lost.unionByName(gained).distinct().collect())
-    names = ["__id", "__crc", "__k"]
-    alike = Window.partitionBy(*names[:2])
-    place = places.select(F.col("doc_id").alias("__id"), F.col("text_crc32").alias("__crc"), "shard", "slot")
-    place = place.withColumn("__k", F.row_number().over(alike.orderBy("shard", "slot"))).where(F.col("shard").isin(affected))
-    place = place.select(*[F.col(n).alias(f"{n}p") for n in names], F.col("shard").alias("__shard"), F.col("slot").alias("__slot"))
-    rows = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__crc": F.crc32(F.coalesce("text", F.lit("")).cast("binary"))})
-    rows = rows.withColumn("__k", F.row_number().over(alike.orderBy("text")))
-    same = F.col("__id").eqNullSafe(F.col("__idp")) & (F.col("__crc") == F.col("__crcp")) & (F.col("__k") == F.col("__kp"))
-    taken = {c for c in docs.columns if c in ("shard", "slot")}
-    rows = rows.join(place, same).select(*[F.col(c) for c in docs.columns if c not in taken], F.col("__shard").alias("shard"), F.col("__slot").alias("slot"))
+    names = [c for c in docs.columns if c not in ("shard", "slot")]
+    places = places.select(F.col("doc_id").alias("__id"), F.col("text_crc32").alias("__crc"), F.col("shard").alias("__shard"), F.col("slot").alias("__slot"))
+    rows = docs.select(*names).withColumns({"__id": F.col("doc_id").cast("long"), "__crc": F.crc32(F.coalesce("text", F.lit("")).cast("binary"))})
+    # rows and places of one key meet by a single shuffle; both windows keep to it
+    both = rows.unionByName(places, allowMissingColumns=True).repartition("__id", "__crc")
+    side = F.col("__slot").isNull()
+    both = both.withColumn("__side", side).withColumn("__k", F.row_number().over(Window.partitionBy("__id", "__crc", "__side").orderBy("__shard", "__slot")))
+    pair = Window.partitionBy("__id", "__crc", "__k")
+    both = both.withColumns({"shard": F.max("__shard").over(pair), "slot": F.max("__slot").over(pair)})
+    rows = both.where(F.col("__side") & F.col("shard").isin(affected)).select(*names, "shard", "slot")
     stretch = F.floor(F.col("slot") / file_rows)
     rows.repartition("shard", stretch).sortWithinPartitions("shard", "slot").write.partitionBy("shard").option("maxRecordsPerFile", file_rows).option("compression", "zstd").parquet(path)
     return affected
