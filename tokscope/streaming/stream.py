@@ -16,6 +16,7 @@ What a micro-batch writes goes to ``<state>/batch_id=<n>`` with overwrite, so a
 from __future__ import annotations
 
 import threading
+from collections.abc import Sequence
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -26,7 +27,8 @@ from ..functions import unicode_classes as uc
 from ..operators.encode import encode_pieces, pieces, token_counts, token_stream
 from ..operators.prefix import exclusive_prefix_sums
 from ..operators.tokens import annotated_vocab
-from ..operators.tokenizers import Vocab
+from ..operators.tokenizers import NativeTokenizer, Vocab
+from ..session import materialize
 from ..sources.text import dealt, documents_from, non_empty
 
 #: log2 of the registers of a distinct-count sketch, and the relative standard error that gives (1.04 / sqrt(registers)).
@@ -36,14 +38,15 @@ SKETCH_ERROR = 1.04 / 2 ** (SKETCH_BITS / 2)
 COUNT_COLUMNS = ("total", "space", "inner", "overlap", *[f"script_{label}" for label in uc.SCRIPT_LABELS])
 
 
-def contributions(tokens: DataFrame, vocab: Vocab) -> DataFrame:
-    """``(tokenizer, COUNT_COLUMNS...)``: what each annotated token (or ``(tokenizer, token_id, n)`` count) adds to the counters."""
+def contributions(tokens: DataFrame, vocab: Vocab, keys: Sequence[str] = ()) -> DataFrame:
+    """``(tokenizer, keys..., COUNT_COLUMNS...)``: what each annotated token (or ``(tokenizer, token_id, n)`` count) adds to the counters."""
     ann = F.broadcast(annotated_vocab(vocab).where(F.col("token_text").isNotNull()))
     a = tokens.join(ann, ["tokenizer", "token_id"])
     one = F.col("n").cast("long") if "n" in tokens.columns else F.lit(1).cast("long")
     zero = F.lit(0).cast("long")
     return a.select(
         "tokenizer",
+        *keys,
         one.alias("total"),
         F.when(F.col("starts_with_space"), one).otherwise(zero).alias("space"),
         F.when(F.col("has_whitespace_in_middle"), one).otherwise(zero).alias("inner"),
@@ -52,37 +55,60 @@ def contributions(tokens: DataFrame, vocab: Vocab) -> DataFrame:
     )
 
 
-def character_contributions(docs: DataFrame, vocab: Vocab) -> DataFrame:
-    """The same for character-level tokenizers, one row per text and tokenizer: characters are counted by class, not exploded.
+def _atoms(vocab: Vocab) -> list[tuple[set[int], list[tuple[str, str]]]]:
+    """Disjoint sets of decodable code points and the (tokenizer, counter) pairs that each of their characters adds to,
+    those with ASCII first."""
+    sets = vocab.char_sets()
+    adds: dict[int, list[tuple[str, str]]] = {}
+    for t in vocab.tokenizers:
+        for p in set(range(128)) | set(sets.get(t.name, ())):
+            marks = ["total", *(["space"] if chr(p).isspace() else []), *(f"script_{label}" for label in uc.py_scripts(chr(p)))]
+            adds.setdefault(p, []).extend((t.name, m) for m in marks)
+    atoms: dict[tuple, set[int]] = {}
+    for p, marks in adds.items():
+        atoms.setdefault(tuple(marks), set()).add(p)
+    return [(points, list(marks)) for marks, points in sorted(atoms.items(), key=lambda x: (min(x[1]) >= 128, -len(x[1]), min(x[1])))]
+
+
+def character_contributions(docs: DataFrame, vocab: Vocab, keys: Sequence[str] = ()) -> DataFrame:
+    """The same where all tokens are characters, one row per text and tokenizer: they are counted by class, not exploded.
 
     A token that decodes is a known character, or an ASCII character by its byte; it has one character, so no white space
-    within and one script at most.
+    within and one script at most.  The classes are disjoint, and each is counted by taking its runs out of what the
+    earlier ones have left, so a text is passed about once however many classes there are.
     """
-    sets = vocab.char_sets()
-    text = F.col("text")
+    atoms = _atoms(vocab)
+    df = docs.select(*keys, F.col("text").alias("_left"))
+    lengths = list(keys)
+    for i, (points, _) in enumerate(atoms):  # step by step: what is left is read twice
+        runs = uc.java_class(uc._ranges(sorted(points))) + "+"
+        df = df.select(*lengths, F.char_length("_left").alias(f"_n{i}"), F.regexp_replace("_left", F.lit(runs), F.lit("")).alias("_left"))
+        lengths.append(f"_n{i}")
+    df = df.select(*lengths, F.char_length("_left").alias(f"_n{len(atoms)}"))
 
-    def count(points: set[int]):
-        if not points:
-            return F.lit(0).cast("long")
-        cls = "[" + uc.ranges_to_class_body(uc._ranges(sorted(points))) + "]"
-        return (F.char_length(text) - F.char_length(F.regexp_replace(text, cls, ""))).cast("long")
+    def count(tokenizer: str, counter: str):
+        mine = [F.col(f"_n{i}") - F.col(f"_n{i + 1}") for i, (_, marks) in enumerate(atoms) if (tokenizer, counter) in marks]
+        return sum(mine[1:], mine[0]).cast("long") if mine else F.lit(0).cast("long")
 
-    rows = []
-    for t in vocab.tokenizers:
-        if t.char_level:
-            decodable = set(range(128)) | set(sets.get(t.name, ()))
-            zero = F.lit(0).cast("long")
-            rows.append(
-                F.struct(
-                    F.lit(t.name).alias("tokenizer"),
-                    count(decodable).alias("total"),
-                    count({p for p in decodable if chr(p).isspace()}).alias("space"),
-                    zero.alias("inner"),
-                    zero.alias("overlap"),
-                    *[count({p for p in decodable if label in uc.py_scripts(chr(p))}).alias(f"script_{label}") for label in uc.SCRIPT_LABELS],
-                )
-            )
-    return docs.select(F.inline(F.array(*rows)))
+    rows = [F.struct(F.lit(t.name).alias("tokenizer"), *[count(t.name, c).alias(c) for c in COUNT_COLUMNS]) for t in vocab.tokenizers]
+    return df.select(*keys, F.inline(F.array(*rows))).select("tokenizer", *keys, *COUNT_COLUMNS)
+
+
+def falls_back(t: NativeTokenizer, vocab: Vocab) -> bool:
+    """Whether the pieces are all of the text and an unknown one is its characters, whose ids decode to them."""
+    return t.char_level or (t.covers and t.unk_id is None and vocab.decode_table is None and vocab.words_bounded)
+
+
+def known_pieces(vocab: Vocab) -> DataFrame:
+    """``(tokenizer, piece, COUNT_COLUMNS...)``: what a known piece adds beyond what its characters would (bounded by the
+    slots), so that a text's counters are those of its characters and of its known pieces."""
+    names = [t.name for t in vocab.tokenizers]
+    words = vocab.words.where(F.col("tokenizer").isin(*names))
+    ids = contributions(words.select("tokenizer", "piece", F.explode("ids").alias("token_id")), vocab, ["piece"])
+    spelt = words.select(F.col("tokenizer").alias("_of"), "piece").distinct().withColumn("text", F.col("piece"))
+    spelt = character_contributions(spelt, vocab, ["_of", "piece"]).where(F.col("tokenizer") == F.col("_of"))
+    less = spelt.select("tokenizer", "piece", *[(-F.col(c)).alias(c) for c in COUNT_COLUMNS])
+    return ids.unionByName(less).groupBy("tokenizer", "piece").agg(*[F.sum(c).alias(c) for c in COUNT_COLUMNS])
 
 
 def summed(rows: DataFrame) -> DataFrame:
@@ -156,14 +182,24 @@ def start_global_metrics_stream(
     """
     src = file_stream(spark, folder, schema, glob, max_files_per_trigger)
     docs = dealt(src.select("doc_id", "text"), "doc_id").where(non_empty(F.col("text")))
-    others = [t for t in vocab.tokenizers if not t.char_level]
-    parts = [contributions(piece_tokens(docs, replace(vocab, tokenizers=others)), vocab)] if others else []
-    if len(others) < len(vocab.tokenizers):
-        parts.append(character_contributions(docs, vocab))
-    totals = summed(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]))
+    # counters of the characters, corrected where pieces are known: only known pieces are looked up one by one
+    spelt = replace(vocab, tokenizers=[t for t in vocab.tokenizers if falls_back(t, vocab)])
+    cut = replace(spelt, tokenizers=[t for t in spelt.tokenizers if not t.char_level])
+    others = replace(vocab, tokenizers=[t for t in vocab.tokenizers if not falls_back(t, vocab)])
+    parts = [contributions(piece_tokens(docs, others), others)] if others.tokenizers else []
+    if spelt.tokenizers:
+        parts.append(character_contributions(docs, spelt))
+    if cut.tokenizers:
+        known = F.broadcast(materialize(known_pieces(cut)))  # bounded by the slots
+        parts.append(pieces(docs, cut.tokenizers, []).join(known, ["tokenizer", "piece"]).select("tokenizer", *COUNT_COLUMNS))
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    totals = summed(rows)
 
     def hand_over(so_far: DataFrame, batch_id: int) -> None:
-        so_far.coalesce(1).write.mode("overwrite").parquet(f"{state}/batch_id={batch_id}")
+        # one file; a shuffle, so that the state's partitions are still read by as many tasks
+        so_far.repartition(1).write.mode("overwrite").parquet(f"{state}/batch_id={batch_id}")
 
     return (
         totals.writeStream.outputMode("complete")
