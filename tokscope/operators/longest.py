@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.scalars import utf8_bytes_of_char
-from .encode import covering_pattern
+from .encode import covering_pattern, java_covering_pattern
 from .tokenizers import CHAR_PATTERN, CHARS_SCHEMA, MAX_SLOTS, N_BYTES, NativeTokenizer, Vocab
 
 #: Positions of one fold.
@@ -114,7 +114,7 @@ def longest_vocab(docs: DataFrame, tokens: DataFrame, name: str, max_len: int, s
     The table grows with the corpus, so it is joined with a shuffle; ids 0-255 are bytes, then the tokens, then the BOS id.
     """
     spark = docs.sparkSession
-    pattern = covering_pattern([])
+    pattern = java_covering_pattern([])
     spec = NativeTokenizer(name, pattern, word_slots=slots, bos=bos, covers=True)
     chunks = docs.select(F.explode(F.regexp_extract_all("text", F.lit(pattern), 0)).alias("piece")).distinct()
     words = longest_match(chunks, tokens, max_len).select(F.lit(name).alias("tokenizer"), "piece", "ids")
