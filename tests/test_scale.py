@@ -78,3 +78,12 @@ def test_an_arrival_is_as_many_files_as_its_text_asks_for(spark, monkeypatch, tm
     assert all(a[1] < b[0] for a, b in zip(sizes, sizes[1:])) and max(s[2] for s in sizes) <= 60
     times = [os.path.getmtime(os.path.join(folder, f)) for f in files]
     assert times == sorted(times)
+
+
+def test_codes_of_earlier_blocks_are_let_go():
+    from tokscope.llm import collocations as CO
+
+    words = CO.Words()
+    words.of(b" ".join(b"w%d" % i for i in range(150_000)))
+    words.of(b"a")
+    assert len(words.codes.words) <= 2 and CO.BLOCK_BYTES <= 2 << 20

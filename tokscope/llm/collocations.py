@@ -41,9 +41,11 @@ from .common import WordCodes, map_arrow, mix64, table, written
 MAX_WORDS, LEAST, TOP, SHARE, SCALE = 3, 10, 2000, 50, 1_000_000
 ENDS = b".,;:!?\n\x0b\x0c\r"
 #: Normalised bytes of a block; bytes turned into words at a time; n-grams of a hash partition; see above.
-BLOCK_BYTES, STEP_BYTES, PARTITION_MASS, ROOM, HOT = 4 << 20, 1 << 20, 4 << 20, 4, 10_000
+BLOCK_BYTES, STEP_BYTES, PARTITION_MASS, ROOM, HOT = 2 << 20, 1 << 20, 4 << 20, 4, 10_000
 
 _UPPER = bytes(range(65, 91))
+#: Words that a task keeps the codes of between two blocks.
+LIMIT = 100_000
 #: No byte of UTF-8: stands where a piece ends.
 END = b"\xff"
 _TABLE = bytes.maketrans(_UPPER + ENDS, _UPPER.lower() + END * len(ENDS))
@@ -76,7 +78,7 @@ class Words:
     """Codes of a block's words; code ``end`` stands for the end of a piece."""
 
     def __init__(self):
-        self.codes = WordCodes()
+        self.codes = WordCodes(LIMIT)
 
     def of(self, body: bytes) -> np.ndarray:
         self.codes.trim()
