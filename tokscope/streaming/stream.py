@@ -2,8 +2,8 @@
 
 New text files are read with ``readStream`` (``maxFilesPerTrigger`` bounds each micro-batch).
 
-* X2 is a streaming aggregation: pieces are cut, encoded and annotated by stream-static joins with bounded
-  tables, and ``groupBy(tokenizer)`` keeps the counters in the state store.  In complete mode each
+* X2 is a streaming aggregation: characters are counted by class, known pieces are looked up in a bounded static table
+  of what they add beyond their characters (other tokenizers: tokens are encoded and annotated one by one), and ``groupBy(tokenizer)`` keeps the counters in the state store.  In complete mode each
   micro-batch hands over the totals so far, which replace the earlier ones.  A restart goes on from the checkpoint.
 * A3 keeps a distinct-count sketch of the ids of every (tokenizer, language) per micro-batch; sketches merge, so
   any grouping of the files gives the same estimate.  Its relative standard error is SKETCH_ERROR.
