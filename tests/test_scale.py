@@ -159,3 +159,11 @@ def test_sampled_characters_are_read_by_position(spark):
             cols = ["tokenizer", "lang_key", "tpos", "token_id"]
             assert {tuple(r) for r in got.select(*cols).collect()} == {tuple(r) for r in want.select(*cols).collect()}
             assert got.count() == want.count()
+
+
+def test_stretches_of_a_repeated_key_are_one(spark):
+    docs = spark.createDataFrame([("en", 0, "aä"), ("en", 0, "bä"), ("en", 1, "aab")], "lang_key string, doc_id long, text string")
+    vocab = learn_vocab(spark.createDataFrame([("aab",)], "text string"), TOKENIZERS[1:2])
+    heads = docs.groupBy("lang_key").agg(F.min("doc_id").alias("first_doc"))
+    got = {r.tpos: r.token_id for r in TK.even_sample_tokens(docs, vocab, heads).collect()}
+    assert got == dict(enumerate([256, 257, 0xC3, 0xA4, 0xC3, 0xA4, 256, 256, 257]))
